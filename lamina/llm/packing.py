@@ -4,8 +4,8 @@ A document is its token ids and a closing id 0. Whole windows of 1,024 ids are c
 their own, without padding. What remains, 1 to 1,023 ids, is an item. The items of an Arrow batch (up to 1,000 documents)
 are shared out over k windows: each item starts as a partition with one filled window, and the two partitions of the
 largest spread are merged again and again, the fullest windows of one with the emptiest of the other. k starts at the
-least count that could hold the ids and rises by one until no window exceeds the capacity, so windows are near equal and
-near full. Nothing is shuffled; a sequence id is the partition's number and a count within it, and a lost task makes the
+least count that could hold the ids (or two below what the batch before needed for its size) and rises by one until no
+window exceeds the capacity, so windows are near equal and near full. Nothing is shuffled; a sequence id is the partition's number and a count within it, and a lost task makes the
 same sequences again, as its batch is the same rows of the same input split.
 
 Cases: null and empty texts are documents of one id (0). Equal rows are packed once each. An empty table gives an empty
@@ -119,11 +119,11 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return where, total
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each item, none over the capacity; each size is from 1 to the capacity."""
+def windows(sizes: np.ndarray, capacity: int = CAPACITY, first: int = 0) -> np.ndarray:
+    """The window of each item, none over the capacity; each size is from 1 to the capacity. `first`: a count to start from, if above the least."""
     if not len(sizes):
         return np.empty(0, np.int64)
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    k = max(1, -(-int(sizes.sum()) // capacity), first)
     while True:
         where, total = difference(sizes, k)
         if total.max() <= capacity:
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, encoder: Callable[
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, count = encoder(), TaskContext.get().partitionId() << 36, 0
+        encode, base, count, spare = encoder(), TaskContext.get().partitionId() << 36, 0, 1.0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             doc, start, length, check, total, sequence, offset, items, kept = [], [], [], [], [], [], [], [], []
@@ -157,7 +157,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, encoder: Callable[
                     if n % capacity:
                         items.append(len(doc))
                         piece(row, ids, n - n % capacity, n, -1, n)
-            where = windows(np.array([length[i] for i in items], np.int64), capacity)
+            sizes = np.array([length[i] for i in items], np.int64)
+            # batches of one table are alike: the next starts two windows below the share that this one needed
+            where = windows(sizes, capacity, int(sizes.sum() / capacity * spare) - 2)
+            spare = (where.max() + 1) * capacity / sizes.sum() if len(sizes) else spare
             filled: dict[int, int] = {}
             number = {w: base + count + r for r, w in enumerate(np.unique(where).tolist())}
             count += len(number)

@@ -4,7 +4,7 @@
    runs of windows with one least hash ("regions", some 260 bytes of text) need comparing only within that hash's group.
    Regions that occur twice in an Arrow batch are marked at once and sent on as one row, so no group can grow with the
    number of copies; the rest, without text, goes to the task of its hash. A region with the same bytes as another is
-   covered whole. A region that is alone with its hash is dropped.
+   covered whole. A region that is alone with its hash is dropped, unless the gram of that hash occurs twice in it.
 2. What is left, regions that share a hash with different regions, is fetched once per distinct region (a join by
    document) and dealt by hash to shards of a few megabytes. A shard's suffix array is made by Larsson-Sadakane
    refinement: ranks of 8-byte prefixes, then of 16, 32, ... and `length`, with only the groups that still have ties
@@ -45,10 +45,10 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(y[:n], y[width - k : width - k + n]) if k < width else y
 
 
-def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, least hash) of the runs of windows that share their least gram hash; gram is a power of two."""
+def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, least hash, whether its gram occurs more than once) of the runs of windows that share their least gram hash; gram is a power of two."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     h = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     k, m = 1, 0x9E3779B97F4A7C15
     while k < gram:
@@ -58,10 +58,20 @@ def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    least = _slide(h, length - gram + 1, np.minimum)
+    width = length - gram + 1
+    least = _slide(h, width, np.minimum)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate([[0], cut])
-    return first, np.diff(np.append(first, len(least))), least[first].view(np.int64)
+    n = np.diff(np.append(first, len(least)))
+    # a gram is the least of some window if the largest of the least hashes around it is its own
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == h)
+    twice = np.zeros(len(first), bool)
+    if len(at) > len(first):  # else each run has one such gram, and no window can repeat within it
+        low, high = np.searchsorted(at, first), np.searchsorted(at, first + n + width - 1)
+        for i in np.flatnonzero(high - low > 1).tolist():
+            twice[i] = (h[at[low[i] : high[i]]] == least[first[i]]).sum() > 1
+    return first, n, least[first].view(np.int64), twice
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:
@@ -215,7 +225,7 @@ def _by_region(places: np.ndarray, regions: list[bytes]) -> list[np.ndarray]:
 
 # ---- the plan ------------------------------------------------------------------------------------------------------
 
-_OCCURRENCE = "key bigint, region bigint, doc_id {d}, t bigint, start int, size int, many boolean, marks binary"
+_OCCURRENCE = "key bigint, region bigint, doc_id {d}, t bigint, start int, size int, many boolean, loop boolean, marks binary"
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
@@ -223,17 +233,17 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, row, start, size, digest = [], [], [], [], []
+            key, row, start, size, loop, digest = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 data = (text or "").encode("utf-8", "replace")
-                first, n, least = window_runs(data, length)
+                first, n, least, inner = window_runs(data, length)
                 if len(first):
-                    key.append(least), start.append(first), size.append(n + length - 1)
+                    key.append(least), start.append(first), size.append(n + length - 1), loop.append(inner)
                     row.append(np.full(len(first), i))
                     digest += [hashlib.blake2b(data[a:z], digest_size=8).digest() for a, z in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]
             if not key:
                 continue
-            key, row, start, size = (np.concatenate(x) for x in (key, row, start, size))
+            key, row, start, size, loop = (np.concatenate(x) for x in (key, row, start, size, loop))
             region = np.frombuffer(b"".join(digest), "<i8")
             order = np.lexsort((region, key))
             new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (region[order][1:] != region[order][:-1])])
@@ -256,9 +266,9 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                 [
                     pa.array(keys), pa.array(np.concatenate([region[sent], none])), b.column("doc_id").take(pa.array(rows)), t,
                     pa.array(np.concatenate([start[sent], none]).astype(np.int32)), pa.array(np.concatenate([size[sent], none]).astype(np.int32)),
-                    pa.array(np.concatenate([many[new], none.astype(bool)])), pa.array([None] * len(sent) + marks, pa.binary()),
+                    pa.array(np.concatenate([many[new], none.astype(bool)])), pa.array(np.concatenate([loop[sent], none.astype(bool)])), pa.array([None] * len(sent) + marks, pa.binary()),
                 ],
-                names=["key", "region", "doc_id", "t", "start", "size", "many", "marks"],
+                names=["key", "region", "doc_id", "t", "start", "size", "many", "loop", "marks"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, _OCCURRENCE.format(d=kind.simpleString()))
@@ -274,7 +284,7 @@ def _judged(found: DataFrame, shard_regions: int) -> DataFrame:
     real = F.col("marks").isNull()
     found = found.withColumn("n_regions", F.sum(F.when(real & (F.col("nth") == 1), 1).otherwise(0)).over(by_key))
     found = found.withColumn("open", F.max(real & ~F.col("twice")).over(by_key))
-    ask = (F.col("nth") == 1) & (F.col("n_regions") > 1) & F.col("open")
+    ask = (F.col("nth") == 1) & ((F.col("n_regions") > 1) | F.col("loop")) & F.col("open")
     found = found.withColumn("kind", F.when(F.col("marks").isNotNull(), F.lit(3)).when(F.col("twice") & ask, F.lit(1)).when(ask, F.lit(2)).when(F.col("twice"), F.lit(0)))
     found = found.where(F.col("kind").isNotNull())
     parts = F.ceil(F.col("n_regions") / F.lit(shard_regions)).cast("int")

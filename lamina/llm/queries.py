@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, licences, media, near_join, packing, quality, suffix_dedup, url_filter
+from . import bpe, language_id, language_model, licences, media, near_join, packing, quality, suffix_dedup, url_filter
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.join_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op8_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language, op3_licences, op4_quality, op5_media, op6_repeats, op7_near, op9_urls, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_language, op3_licences, op4_quality, op5_media, op6_repeats, op7_near, op8_trie, op9_urls, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

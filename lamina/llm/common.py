@@ -67,6 +67,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list:
+    """The columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing will read again."""
     jvm = spark.sparkContext._jvm

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_of, written
 
 WORDS, THRESHOLD, RECALL, LEAF, DEPTH, COORDINATES = 5, 0.8, 0.9999, 4096, 2, 64
 
@@ -306,13 +306,13 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group, all columns as they are."""
-    kept = join_documents(docs, threshold).where("keeper").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
-    counts = written(kept.groupBy("_d", "_t").agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")))
-    if counts.where("_n > 1").isEmpty():
-        return out.select(*docs.columns)
-    # equal rows: only here are texts dealt once more
-    return out.dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    d, t, n = "_lamina_d", "_lamina_t", "_lamina_n"
+    kept = join_documents(docs, threshold).where("keeper").select(F.col("doc_id").alias(d), F.col("t").alias(t))
+    counts = written(kept.groupBy(d, t).agg(F.count("*").alias(n)), "kept")
+    out = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)))
+    if not counts.where(F.col(n) > 1).isEmpty():  # equal rows: only here are texts dealt once more
+        out = out.dropDuplicates([d, t])
+    return out.select(*columns_of(docs))
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, columns_of, written
 
 LEAST_DOCS, SHARE, LEAST_WORDS = 20, 0.05, 10
 WINDOW = 5
@@ -138,24 +138,26 @@ def judge_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float
 
 def keep_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The kept rows of docs with all their columns; boilerplate lines are taken out of text, and n_chars follows."""
+    d, t, h, lines = "_lamina_d", "_lamina_t", "_lamina_h", "_lamina_lines"
     judged = judge_documents(docs, least_docs, share, least_words).where("kept")
-    judged = judged.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("host").alias("_h"), "removed_lines").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")) & F.col("source").cast("string").eqNullSafe(F.col("_h"))
-    rows = docs.join(judged, same).select(*docs.columns, "removed_lines")
-    place, has_size = docs.columns.index("text"), "n_chars" in docs.columns
+    judged = judged.select(F.col("doc_id").alias(d), F.col("t").alias(t), F.col("host").alias(h), F.col("removed_lines").alias(lines)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)) & F.col("source").cast("string").eqNullSafe(F.col(h))
+    rows = docs.join(judged, same).select(*columns_of(docs), lines)
+    names = docs.columns
+    place = names.index("text")
+    sizes_at = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone = b.column("text").to_pylist(), b.column("removed_lines").to_pylist()
+            texts, gone = b.column("text").to_pylist(), b.column(lines).to_pylist()
             for i, g in enumerate(gone):
                 if g:
                     drop = set(g)
                     texts[i] = "\n".join(x for x in texts[i].split("\n") if not x.strip(_BLANK) or line_key(x) not in drop)
-            b = b.select(docs.columns).set_column(place, "text", pa.array(texts, pa.string()))
-            if has_size:
-                k = docs.columns.index("n_chars")
+            b = b.select(names).set_column(place, "text", pa.array(texts, pa.string()))
+            if sizes_at is not None:
                 sizes = [old if not g else len(t) for old, g, t in zip(b.column("n_chars").to_pylist(), gone, texts, strict=True)]
-                b = b.set_column(k, "n_chars", pa.array(sizes, b.schema.field(k).type))
+                b = b.set_column(sizes_at, "n_chars", pa.array(sizes, b.schema.field(sizes_at).type))
             yield b
 
     return rows.mapInArrow(run, docs.schema)

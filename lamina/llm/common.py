@@ -67,9 +67,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def columns_of(df: DataFrame) -> list:
-    """The columns of df, whatever characters their names have."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list:
+    """The columns of df (all, or those named), whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kept: int | None = None) -> DataFrame:
+    """mapInArrow for functions that give back the columns that they get (the first `kept` of them), whatever characters their names have."""
+    names = df.columns
+    plain = df.toDF(*(f"_{i}" for i in range(len(names))))
+    out = plain.select(*plain.columns[:kept])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(names) for x in batches):
+            yield b.rename_columns([f"_{i}" for i in range(b.num_columns)])
+
+    return plain.mapInArrow(renamed, out.schema).toDF(*names[:kept])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts
+from .common import crc_mod, map_rows, map_texts
 
 ROW, HIDDEN = 96, 12
 PER_LANGUAGE, EPOCHS, BATCH, RATE = 1500, 6, 64, 0.02
@@ -240,4 +240,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             lang, score = model.predict(b.column("text").to_pylist())
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -75,7 +75,7 @@ def drawn(node: int, threshold: float = THRESHOLD) -> np.ndarray:
 def children(node: int, values: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Names of the buckets below a node for rows of minhash values: (rows, drawn)."""
     at = drawn(node, threshold)
-    x = (np.uint64(node & (2**64 - 1)) * _MIX ^ values[:, at].astype(np.uint64)) * _MIX
+    x = (np.uint64(node * int(_MIX) & (2**64 - 1)) ^ values[:, at].astype(np.uint64)) * _MIX
     x = (x ^ (x >> np.uint64(31)) ^ at.astype(np.uint64)) * _MIX
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns_of, written
+from .common import chunks, columns_of, map_rows, written
 
 LEAST_DOCS, SHARE, LEAST_WORDS = 20, 0.05, 10
 WINDOW = 5
@@ -160,7 +160,7 @@ def keep_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float =
                 b = b.set_column(sizes_at, "n_chars", pa.array(sizes, b.schema.field(sizes_at).type))
             yield b
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_rows(rows, run, len(names))
 
 
 def oracle_sql(least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS) -> str:

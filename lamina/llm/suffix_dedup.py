@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_of, written
 
 LENGTH, GRAM, SHARD_REGIONS, SHARD_BYTES = 200, 64, 16_384, 2 << 20
 
@@ -317,21 +317,23 @@ def _results(rows: list[tuple[int, int, int, bytes]], with_text: bool) -> list[p
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, shard_regions: int = SHARD_REGIONS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes of cut characters are left out)."""
     out = _compared(docs, ["doc_id"], length, with_text, shard_regions)
-    return out.select("c.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)
+    return out.select(F.col("c._0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)
 
 
 def keep_rest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with all their columns and rows, repeats taken out of text; n_chars follows. A text of nothing but repeats becomes empty."""
-    out = _compared(docs, [c for c in docs.columns if c != "text"], length, True, SHARD_REGIONS)
-    made = {"text": F.col("kept_text"), **({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("c.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
-    return out.select(*(made.get(c, F.col("c").getField(c)).alias(c) for c in docs.columns))
+    others = [c for c in docs.columns if c != "text"]
+    out = _compared(docs, others, length, True, SHARD_REGIONS)
+    field = {c: F.col(f"c._{i}") for i, c in enumerate(others)}
+    made = {"text": F.col("kept_text"), **({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(field["n_chars"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return out.select(*((made[c] if c in made else field[c]).alias(c) for c in docs.columns))
 
 
 def _compared(docs: DataFrame, carry: list[str], length: int, with_text: bool, shard_regions: int) -> DataFrame:
-    """A struct c of the columns in `carry`, then the results."""
+    """A struct c of the columns in `carry` (fields _0, _1, ...), then the results."""
     spark = docs.sparkSession
     asked = _judged(_occurrences(docs, length), shard_regions).select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), "marks", "asks")
-    rows = docs.select(F.struct(*(F.col("`" + x.replace("`", "``") + "`") for x in carry)).alias("c"), F.col("doc_id"), F.xxhash64("text").alias("t"), "text")
+    rows = docs.select(F.struct(*(x.alias(f"_{i}") for i, x in enumerate(columns_of(docs, carry)))).alias("c"), F.col("doc_id"), F.xxhash64("text").alias("t"), "text")
     rows = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left").drop("d2", "t2")
     names = ["c", "doc_id", "t", "key", "block", "start", "target", "data", "done", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     part_schema = f"c {rows.schema['c'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, key bigint, block bigint, start int, target boolean, data binary, done binary, {_RESULT}"

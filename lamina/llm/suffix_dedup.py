@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, written
 
-LENGTH, GRAM, SHARD_REGIONS, SHARD_BYTES = 200, 64, 16_384, 2 << 20
+LENGTH, GRAM, SHARD_REGIONS, SHARD_BYTES = 200, 64, 16_384, 1 << 20
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:

@@ -9,7 +9,9 @@ threshold**depth at least; runs are repeated until the target recall: at 0.8, de
 
 Documents with equal sets are one class and go through as one. Pairs are not emitted: a bucket gives for each set its count
 of links, and one edge to the least of those it hangs together with. As a pair may meet in several buckets, it is counted in the
-first it shares, which is known from the members' lists of buckets; sets are only fetched for buckets that count something.
+first it shares, which is known from the members' lists of buckets. Sets are only fetched for buckets that count something:
+pairs that agree in fewer minhash values than six standard deviations below the threshold's expectation are left out first
+(a pair at the threshold is so with a probability of some 1e-8).
 
 The result has for each document: class_id, the smallest doc_id of the documents that are linked to it directly or through
 others, its own included; n_links, the number of other classes of similarity `threshold` or more; n_copies, the documents with an equal set.
@@ -85,7 +87,7 @@ def class_of(found: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = None) -> DataFrame:
-    """doc_id, t (hash of the text), c (class), keys (buckets of all runs), sig."""
+    """doc_id, t (hash of the text), c (class), keys (buckets of all runs), sig (minhash values), sketch (a byte of each)."""
     count = runs or runs_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +97,12 @@ def profiles(docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = N
             keys = np.concatenate([children(r, sig, threshold) for r in range(count)], 1) if len(sets) else np.empty((0, 1), np.int64)
             lists = [k if len(s) else [] for k, s in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("t"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "t", "c", "keys", "sig"]
+                [b.column("doc_id"), b.column("t"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
+                names=["doc_id", "t", "c", "keys", "sig", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, c bigint, keys array<bigint>, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, c bigint, keys array<bigint>, sig binary, sketch binary")
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -168,6 +171,19 @@ def _first_meetings(b: int, lists: list) -> np.ndarray:
     return out
 
 
+def _alike(sketches: list[bytes], threshold: float) -> np.ndarray:
+    """Which pairs agree in enough of their minhash values that their similarity may reach the threshold."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), COORDINATES)
+    if len(x) <= 64:
+        same = (x[:, None] == x[None]).sum(-1)
+    else:
+        same = np.zeros((len(x), len(x)), np.uint8)
+        for column in x.T:
+            same += column[:, None] == column[None]
+    # six standard deviations below what is expected at the threshold
+    return same >= COORDINATES * threshold - 6 * math.sqrt(COORDINATES * threshold * (1 - threshold))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, list]]:
     """Rows of one value of a column at a time, from batches that are sorted by it."""
     held: dict[str, list] = {}
@@ -242,13 +258,14 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
     """(c, root, links) rows of every bucket: how many first met links a class has there, and the least class it hangs together with."""
     lists = buckets(found, threshold, leaf, depth)
     members = lists.select("b", F.explode("m").alias("c"))
-    own = members.groupBy("c").agg(F.collect_list("b").alias("bs")).withColumnRenamed("c", "c2")
-    rows = members.join(own, F.col("c") == F.col("c2")).select("b", "c", "bs")
+    own = members.groupBy("c").agg(F.collect_list("b").alias("bs"))
+    own = own.join(found.groupBy("c").agg(F.first("sketch").alias("sketch")), "c").withColumnRenamed("c", "c2")
+    rows = members.join(own, F.col("c") == F.col("c2")).select("b", "c", "bs", "sketch")
 
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, c, bs = [], [], []
         for g in _groups(batches, "b"):
-            for i in np.flatnonzero(_first_meetings(g["b"][0], g["bs"]).any(1)).tolist():
+            for i in np.flatnonzero((_first_meetings(g["b"][0], g["bs"]) & _alike(g["sketch"], threshold)).any(1)).tolist():
                 b.append(g["b"][i]), c.append(g["c"][i]), bs.append(g["bs"][i])
             if len(b) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bs, pa.list_(pa.int64()))], names=["b", "c", "bs"])

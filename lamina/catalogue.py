@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.plans import spatial  # noqa: F401
+from lamina.plans.registry import PLANS, SQL
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -61,5 +61,5 @@ def sholl(tree: DataFrame, step: float, max_radius: float, types: tuple[int, ...
     top = int(max_radius / step)
     k = F.sequence(F.greatest(F.lit(1), F.floor(F.col("lo") / step) + 1).cast("bigint"), F.least(F.lit(top), F.floor(F.col("hi") / step)).cast("bigint"))
     hit = s.where(F.floor(F.col("lo") / step) + 1 <= F.least(F.lit(top), F.floor(F.col("hi") / step))).select("neuron", F.explode(k).alias("k")).groupBy("neuron", "k").agg(F.count("*").alias("c"))
-    grid = tree.select("neuron").distinct().select("neuron", F.explode(F.sequence(F.lit(1), F.lit(top))).cast("bigint").alias("k"))
+    grid = tree.select("neuron").distinct().select("neuron", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(top).cast("bigint"))).alias("k"))
     return grid.join(hit, ["neuron", "k"], "left").select("neuron", (F.col("k") * F.lit(step)).alias("radius"), F.coalesce("c", F.lit(0)).cast("bigint").alias("n"))

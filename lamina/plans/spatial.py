@@ -143,10 +143,10 @@ def clustering_coefficient(spark, sf):
 
 
 @plan(f"""WITH {fx.OBS}, q AS (SELECT block, label AS t, CAST(floor((x - (min(x) OVER ())) / 100) AS BIGINT) AS p FROM obs), c AS (SELECT block, t, p, count(*)::DOUBLE AS n FROM q GROUP BY ALL),
-a AS (SELECT block, t, sum(n) AS m FROM c GROUP BY ALL), b AS (SELECT block, p, sum(n) AS m FROM c GROUP BY ALL), N AS (SELECT block, sum(n) AS N, sum(n * (n - 1) / 2) AS s FROM c GROUP BY block),
-ha AS (SELECT block, sum(m * (m - 1) / 2) AS st, -sum(m / N * ln(m / N)) AS ht FROM a JOIN N USING (block) GROUP BY block), hb AS (SELECT block, sum(m * (m - 1) / 2) AS sp, -sum(m / N * ln(m / N)) AS hp FROM b JOIN N USING (block) GROUP BY block),
-mi AS (SELECT block, sum(n / N * ln(N * n / (a.m * b.m))) AS mi FROM c JOIN a USING (block, t) JOIN b USING (block, p) JOIN N USING (block) GROUP BY block)
-SELECT block, N::BIGINT AS n, round((s - st * sp / (N * (N - 1) / 2)) / ((st + sp) / 2 - st * sp / (N * (N - 1) / 2)), 6) AS ari, round(mi / ((ht + hp) / 2), 6) AS nmi FROM N JOIN ha USING (block) JOIN hb USING (block) JOIN mi USING (block)""")
+a AS (SELECT block, t, sum(n) AS m FROM c GROUP BY ALL), b AS (SELECT block, p, sum(n) AS m FROM c GROUP BY ALL), tot AS (SELECT block, sum(n) AS en, sum(n * (n - 1) / 2) AS s FROM c GROUP BY block),
+ha AS (SELECT block, sum(m * (m - 1) / 2) AS st, -sum(m / en * ln(m / en)) AS ht FROM a JOIN tot USING (block) GROUP BY block), hb AS (SELECT block, sum(m * (m - 1) / 2) AS sp, -sum(m / en * ln(m / en)) AS hp FROM b JOIN tot USING (block) GROUP BY block),
+mi AS (SELECT block, sum(c.n / en * ln(en * c.n / (a.m * b.m))) AS mi FROM c JOIN a USING (block, t) JOIN b USING (block, p) JOIN tot USING (block) GROUP BY block)
+SELECT block, en::BIGINT AS n, round((s - st * sp / (en * (en - 1) / 2)) / ((st + sp) / 2 - st * sp / (en * (en - 1) / 2)), 6) AS ari, round(mi / ((ht + hp) / 2), 6) AS nmi FROM tot JOIN ha USING (block) JOIN hb USING (block) JOIN mi USING (block)""")
 def ari_nmi_by_block(spark, sf):
     o = fx.obs(spark, sf)
     low = o.agg(F.min("x").alias("x0"))

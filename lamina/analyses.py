@@ -158,7 +158,7 @@ def hodgkin_huxley(spark, ctx, currents, sodium, ms):
     return neurons.hh_sweep(spark.createDataFrame([(i, float(c), sodium) for i, c in enumerate(currents)], "run bigint, current double, sodium double"), ms)
 
 
-@skill("modeling.network", "Rates and synchrony of sparse random networks", Input("g", "float", default=5.0), Input("eta", "float", default=2.0), Input("runs", "int", default=3), Input("ms", "float", default=300.0))
+@skill("modeling.network", "Rates and synchrony of sparse random networks", Input("g", "float", default=5.0), Input("eta", "float", default=2.0), Input("runs", "int", default=3), Input("ms", "float", default=1000.0))
 def brunel(spark, ctx, g, eta, runs, ms):
     return neurons.brunel_sweep(spark.range(runs).selectExpr(f"id + {ctx.seed} AS run", f"{g}D AS g", f"{eta}D AS eta").repartition(runs, "run"), ms=ms)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Leaky integrate-and-fire in ms, mV, nA and MOhm.
-LIF = {"tau": 20.0, "rest": -65.0, "reset": -65.0, "threshold": -50.0, "resistance": 10.0, "refractory": 2.0}
+LIF = {"tau": 20.0, "rest": -70.0, "reset": -70.0, "threshold": -50.0, "resistance": 10.0, "refractory": 2.0}
 #: The squid axon of Hodgkin and Huxley, in uF, mS and mV, with rest at -65 mV.
 HH = {"c": 1.0, "g_na": 120.0, "g_k": 36.0, "g_l": 0.3, "e_na": 50.0, "e_k": -77.0, "e_l": -54.387}
 
@@ -82,41 +82,53 @@ def hh_sweep(runs: DataFrame, ms: float = 500.0, dt: float = 0.02) -> DataFrame:
     return runs.select("run", "current", "sodium").mapInPandas(f, "run bigint, current double, sodium double, n_spikes bigint, rate double")
 
 
-def brunel(g: float, eta: float, seed: int, n_e: int = 400, n_i: int = 100, ms: float = 300.0, dt: float = 0.1, share: float = 0.1, weight: float = 0.4, delay: float = 1.5) -> tuple[float, float]:
-    """(mean rate in Hz, synchrony) of a sparse network of excitatory and inhibitory neurons under Poisson drive."""
+def brunel(g: float, eta: float, seed: int, n_e: int = 2000, ms: float = 1000.0, dt: float = 0.1, share: float = 0.1, weight: float = 0.1, delay: float = 1.5, burn: float = 100.0) -> dict:
+    """Rates in Hz (excitatory, inhibitory), mean interval variation and synchrony after `burn` ms of a sparse random network under Poisson drive of eta times the threshold rate."""
     r = np.random.default_rng(seed)
+    n_i = n_e // 4
     n, ce, ci = n_e + n_i, max(1, int(share * n_e)), max(1, int(share * n_i))
-    to = [[] for _ in range(n)]
-    for i in range(n):
-        for j in [*r.choice(n_e, ce, replace=False), *(n_e + r.choice(n_i, ci, replace=False))]:
-            to[j].append(i)
-    to = [np.array(x, int) for x in to]
-    tau, theta, reset, ref = 20.0, 20.0, 10.0, int(2.0 / dt)
+    post = np.repeat(np.arange(n), ce + ci)
+    pre = np.concatenate([r.integers(0, n_e, (n, ce)), r.integers(n_e, n, (n, ci))], 1).ravel()
+    order = np.argsort(pre, kind="stable")
+    post, start = post[order], np.searchsorted(pre[order], np.arange(n + 1))
+    tau, theta, reset, ref = 20.0, 20.0, 10.0, round(2.0 / dt)
     drive = eta * theta / (weight * tau) * dt  # external spikes a step
-    steps, lag = int(ms / dt), int(delay / dt)
+    steps, lag, decay = int(ms / dt), max(1, round(delay / dt)), math.exp(-dt / tau)
     v, still, queue = r.uniform(0, theta, n), np.zeros(n, int), np.zeros((lag, n))
-    bins, total = np.zeros((int(ms), n), np.float32), 0
+    when, who = [], []
     for t in range(steps):
-        v = v * math.exp(-dt / tau) + queue[t % lag] + weight * r.poisson(drive, n)
-        queue[t % lag] = 0
-        v[still > 0] = reset
-        still = np.maximum(still - 1, 0)
+        slot = queue[t % lag]
+        free = still <= 0
+        v = np.where(free, v * decay + slot + weight * r.poisson(drive, n), v)
+        slot[:] = 0
+        still -= ~free
         fired = np.flatnonzero(v >= theta)
-        v[fired], still[fired] = reset, ref
-        total += len(fired)
-        bins[min(int(t * dt), len(bins) - 1), fired] += 1
-        for j in fired:
-            queue[t % lag, to[j]] += weight if j < n_e else -g * weight
+        if len(fired):
+            v[fired], still[fired] = reset, ref
+            when.append(np.full(len(fired), t * dt)), who.append(fired)
+            for cells, w in ((fired[fired < n_e], weight), (fired[fired >= n_e], -g * weight)):
+                if len(cells):
+                    slot += w * np.bincount(np.concatenate([post[start[j] : start[j + 1]] for j in cells]), minlength=n)
+    when, who = (np.concatenate(x) if x else np.empty(0) for x in (when, who))
+    when, who = when[when >= burn], who[when >= burn].astype(int)
+    rate = np.bincount(who, minlength=n) / max(1e-9, (ms - burn) / 1000)
+    order = np.lexsort((when, who))
+    t, i = when[order], who[order]
+    gap, same = np.diff(t), np.diff(i) == 0
+    cv = [x.std() / x.mean() for x in np.split(gap[same & (i[1:] < n_e)], np.flatnonzero(np.diff(i[1:][same & (i[1:] < n_e)])) + 1) if len(x) > 2 and x.mean() > 0]
+    bins = np.zeros((max(1, int(ms - burn)), min(200, n_e)), np.float32)
+    few = who < bins.shape[1]
+    np.add.at(bins, (np.minimum((when[few] - burn).astype(int), len(bins) - 1), who[few]), 1)
     spread = bins.var(0).mean()
-    return total / n / ms * 1000, float(bins.mean(1).var() / spread) if spread > 0 else 0.0
+    return {"rate_e": float(rate[:n_e].mean()), "rate_i": float(rate[n_e:].mean()), "isi_cv": float(np.mean(cv)) if cv else math.nan, "synchrony": float(bins.mean(1).var() / spread) if spread > 0 else math.nan}
 
 
 def brunel_sweep(runs: DataFrame, **kw) -> DataFrame:
-    """run, g, eta, rate, synchrony for rows (run, g, eta); a run is one task's work."""
+    """run, g, eta and the measures of brunel() for rows (run, g, eta); a run is one task's work."""
 
     def f(batches):
         for p in batches:
             out = [brunel(float(a), float(b), int(i), **kw) for i, a, b in zip(p["run"], p["g"], p["eta"], strict=True)]
-            yield pd.DataFrame({"run": p["run"], "g": p["g"], "eta": p["eta"], "rate": [x[0] for x in out], "synchrony": [x[1] for x in out]})
+            yield pd.DataFrame({"run": p["run"], "g": p["g"], "eta": p["eta"], **{k: [x[k] for x in out] for k in ("rate_e", "rate_i", "isi_cv", "synchrony")}})
 
-    return runs.select("run", "g", "eta").mapInPandas(f, "run bigint, g double, eta double, rate double, synchrony double")
+    return runs.select("run", "g", "eta").mapInPandas(f, "run bigint, g double, eta double, rate_e double, rate_i double, isi_cv double, synchrony double")

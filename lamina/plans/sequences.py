@@ -219,7 +219,7 @@ def label_cleanup(spark, sf):
     return fx.read(spark, sf, "part").select("p_partkey", F.regexp_replace(t, "[ _]*[0-9]+$", "").alias("clean"), kind.alias("class"))
 
 
-@plan("""SELECT c_custkey, round(CASE WHEN c_acctbal / 500 * 10 > 15 THEN 1000 / (2.0::DOUBLE + 20 * ln((c_acctbal / 500 * 10) / (c_acctbal / 500 * 10 - 15))) ELSE 0 END, 6) AS rate FROM customer""")
+@plan("""SELECT c_custkey, round(CASE WHEN c_acctbal / 500 * 10 > 20 THEN 1000 / (2.0::DOUBLE + 20 * ln((c_acctbal / 500 * 10) / (c_acctbal / 500 * 10 - 20))) ELSE 0 END, 6) AS rate FROM customer""")
 def lif_closed_form(spark, sf):
     return rounded(fx.read(spark, sf, "customer").select("c_custkey", neurons.lif_rate(F.col("c_acctbal") / 500).alias("rate")))
 
@@ -233,7 +233,7 @@ def hh_fi_curve(spark, sf):
 @plan()
 def brunel_networks(spark, sf):
     runs = spark.createDataFrame([(0, 5.0, 2.0), (1, 4.5, 0.9), (2, 6.0, 4.0)], "run bigint, g double, eta double").repartition(3, "run")
-    return neurons.brunel_sweep(runs, ms=100.0)
+    return neurons.brunel_sweep(runs, ms=300.0)
 
 
 # ---- texts ---------------------------------------------------------------------------------------------------------

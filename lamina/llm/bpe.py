@@ -38,7 +38,7 @@ END = "</w>"
 class WordBpe:
     """An encoder for a vocabulary file of the tokenizers library whose model is BPE with word ends."""
 
-    def __init__(self, path: str | None = None, remembered: int = 300_000):
+    def __init__(self, path: str | None = None, remembered: int = 500_000):
         import regex
 
         self.path = path or token_path("word_bpe_49k.json")
@@ -53,7 +53,9 @@ class WordBpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.first, self.final = ([self.vocab[self.symbol[b] + end] for b in range(256)] for end in ("", END))
         self.joins = self._joins()
+        self.apart = frozenset(zip(*(x.tolist() for x in np.nonzero(~self.joins))))
         self.special_cut = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or "(?!)")
         self.any_words = regex.compile(_ANY_WORDS)
         self.remembered = remembered
@@ -71,33 +73,28 @@ class WordBpe:
 
     def _merge(self, piece: bytes, last: bool) -> list[int]:
         """Merges of lowest rank first, leftmost first among equals, within one fragment."""
-        names = [self.symbol[b] for b in piece]
+        ids, rank = [*map(self.first.__getitem__, piece)], self.merges.get
         if last:
-            names[-1] += END
-        ids = [self.vocab[n] for n in names]
+            ids[-1] = self.final[piece[-1]]
         while len(ids) > 1:
-            best = min((m for m in map(self.merges.get, zip(ids, ids[1:])) if m), default=None)
+            found = list(map(rank, zip(ids, ids[1:])))
+            best = min(filter(None, found), default=None)
             if best is None:
                 break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
         return ids
 
     def split(self, word: bytes) -> list[bytes]:
         """The fragments of a word: cut wherever no token could join the two bytes."""
-        b = np.frombuffer(word, np.uint8)
-        cuts = (np.flatnonzero(~self.joins[b[:-1], b[1:]]) + 1).tolist()
-        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+        apart = self.apart
+        cuts = [i + 1 for i, pair in enumerate(zip(word, word[1:])) if pair in apart]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
     def encode_word(self, word: str) -> list[int]:
         parts, ids = self.split(word.encode("utf-8", "replace")), []
+        if len(parts) == 1:
+            return self._merge(parts[0], True)  # the word itself is remembered
         for k, p in enumerate(parts):
             key = (p, k == len(parts) - 1)
             if (found := self.fragments.get(key)) is None:

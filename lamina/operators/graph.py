@@ -15,43 +15,49 @@ def distance2(a: str, b: str) -> Column:
     return sum((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in ("x", "y", "z"))
 
 
-def knn(points: DataFrame, k: int, z_scale: float = 1.0) -> DataFrame:
-    """The k nearest other points of the same block: block, src, dst, d2, rank; ties go to the smaller id.
-
-    points has obs_id, block, x, y, z. Each point looks in the 3 x 3 squares of a grid around it. It is done once its k-th
-    neighbour is no farther than a square is wide, as no point outside can be nearer, or once the squares hold the whole block;
-    the others look again with squares twice as wide. Only equi-joins on (block, square), never all pairs of a block."""
-    p = points.select("obs_id", "block", "x", "y", (F.col("z") * z_scale).alias("z"))
-    box = p.groupBy("block").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
-    width = F.greatest(F.col("extent") * F.sqrt(F.lit(2.0 * max(k, 1)) / F.col("n")) / 2, F.col("extent") * 1e-6, F.lit(1e-12))
-    box = box.select("block", "n", "x0", "y0", "extent", width.alias("w0"))
-    p = written(p.join(box, "block"), "points")
-    levels = p.select(F.max(F.col("extent") / F.col("w0")).alias("m")).first()["m"]
-    last = max(0, math.ceil(math.log2(max(1.0, levels or 1.0)))) + 1
-    done, todo = [], p
+def nearest(sources: DataFrame, targets: DataFrame, k: int, small: int = 1024, same: bool = False) -> DataFrame:
+    """The k nearest targets of the same block for each source: block, src, dst, d2, rank; ties go to the smaller id.
+
+    sources has block, src, x, y, z and targets block, dst, x, y, z; with `same` a point is no neighbour of itself. Each source looks in the
+    3 x 3 squares of a grid around it. It is done once its k-th neighbour is no farther than a square is wide, as no point outside can
+    be nearer, or once the squares hold the whole block; the others look again with squares twice as wide. Joins are on (block, square):
+    all pairs of a block are compared only where it has at most `small` targets, which make one square."""
+    both = sources.select("block", "x", "y", F.lit(0).alias("t")).unionByName(targets.select("block", "x", "y", F.lit(1).alias("t")))
+    box = both.groupBy("block").agg(F.sum("t").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
+    fine = F.greatest(F.col("extent") * F.sqrt(F.lit(2.0 * max(k, 1)) / F.col("n")) / 2, F.col("extent") * 1e-6, F.lit(1e-12))
+    width = F.when(F.col("n") <= small, F.col("extent") * 1.01 + 1e-12).otherwise(fine)
+    box = written(box.where(F.col("n") > int(same)).select("block", "n", "x0", "y0", "extent", width.alias("w0")), "boxes")
+    s, t = written(sources.join(box, "block"), "sources"), targets.join(box, "block")
+    # a point without others in its block has no neighbours
+    left, steps = s.agg(F.count("*").alias("c"), F.max(F.col("extent") / F.col("w0")).alias("m")).first()
+    last = max(0, math.ceil(math.log2(max(1.0, steps or 1.0)))) + 1
+    done: DataFrame | None = None
     for level in range(last + 1):
         w = F.col("w0") * float(2**level)
-        cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / w)
-        near = p.select("block", F.col("obs_id").alias("dst"), *(F.col(c).alias(f"b{c}") for c in "xyz"), cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy"))
-        own = todo.select("block", F.col("obs_id").alias("src"), *(F.col(c).alias(f"a{c}") for c in "xyz"), w.alias("w"), F.col("extent"), F.col("n"), cell("x", "x0").alias("gx"), cell("y", "y0").alias("gy"))
+        cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / w)  # noqa: B023, E731
+        todo = s if done is None else s.join(done.select("block", "src").distinct(), ["block", "src"], "left_anti")
+        near = t.select("block", "dst", *(F.col(c).alias(f"b{c}") for c in "xyz"), cell("x", "x0").alias("cx"), cell("y", "y0").alias("cy"))
+        own = todo.select("block", "src", *(F.col(c).alias(f"a{c}") for c in "xyz"), w.alias("w"), "extent", "n", cell("x", "x0").alias("gx"), cell("y", "y0").alias("gy"))
         own = own.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
         own = own.withColumn("cx", F.col("gx") + F.col("dx")).withColumn("cy", F.col("gy") + F.col("dy")).drop("dx", "dy", "gx", "gy")
-        pairs = own.join(near, ["block", "cx", "cy"]).where("src <> dst").withColumn("d2", distance2("a", "b"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("block", "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-        if level == last:
-            done.append(ranked.select("block", "src", "dst", "d2", "rank"))
+        pairs = own.join(near, ["block", "cx", "cy"]).withColumn("d2", distance2("a", "b"))
+        pairs = pairs.where("src <> dst") if same else pairs
+        by = Window.partitionBy("block", "src")
+        ranked = pairs.withColumn("rank", F.row_number().over(by.orderBy("d2", "dst"))).where(F.col("rank") <= k)
+        far = ranked.withColumn("far", F.max("d2").over(by)).withColumn("got", F.count("*").over(by))
+        ok = ((F.col("got") == F.least(F.lit(k), F.col("n") - int(same))) & (F.col("far") <= F.col("w") * F.col("w"))) | (F.col("w") > F.col("extent"))
+        found = written(far.where(ok).select("block", "src", "dst", "d2", F.col("rank").cast("bigint").alias("rank")), "nearest")
+        done = found if done is None else done.unionByName(found)
+        left -= found.where("rank = 1").count()
+        if left <= 0:
             break
-        far = ranked.withColumn("far", F.max("d2").over(Window.partitionBy("block", "src"))).withColumn("got", F.count("*").over(Window.partitionBy("block", "src")))
-        ok = ((F.col("got") == F.least(F.lit(k), F.col("n") - 1)) & (F.col("far") <= F.col("w") * F.col("w"))) | (F.col("w") > F.col("extent"))
-        found = written(far.where(ok).select("block", "src", "dst", "d2", "rank"), "knn")
-        done.append(found)
-        todo = written(todo.join(found.select("block", F.col("src").alias("obs_id")).distinct(), ["block", "obs_id"], "left_anti").select(*p.columns), "open")
-        if todo.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("block", "src", "dst", "d2", F.col("rank").cast("bigint").alias("rank"))
+    return done
+
+
+def knn(points: DataFrame, k: int, z_scale: float = 1.0, small: int = 1024) -> DataFrame:
+    """The k nearest other points of the same block: block, src, dst, d2, rank. points has obs_id, block, x, y, z."""
+    z = (F.col("z") * z_scale).alias("z")
+    return nearest(points.select("block", F.col("obs_id").alias("src"), "x", "y", z), points.select("block", F.col("obs_id").alias("dst"), "x", "y", z), k, small, same=True)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -82,18 +88,16 @@ def section_pairs(points: DataFrame) -> DataFrame:
     return s.select("block", F.col("section").alias("a"), F.col("other").alias("b")).unionByName(s.select("block", F.col("other").alias("a"), F.col("section").alias("b")))
 
 
-def cross_section_edges(points: DataFrame, k: int = 3) -> DataFrame:
-    """block, src, dst, d2 (in the plane), dz, rank: for each spot its k nearest in the next and in the previous section.
-
-    A spot of one section is laid over the other, and the two are searched as one block of their own: neighbours of the same section are
-    left out after the search, which therefore asks for spots of the other section only."""
-    pairs = section_pairs(points)
-    own = points.select("block", F.col("section").alias("a"), F.col("obs_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    other = points.select("block", F.col("section").alias("b"), F.col("obs_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-    e = own.join(pairs, ["block", "a"]).join(other, ["block", "b"]).withColumn("d2", d2)
-    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("src", "b").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-    return e.select("block", "src", "dst", "d2", (F.col("az") - F.col("bz")).alias("dz"), F.col("rank").cast("bigint").alias("rank"))
+def cross_section_edges(points: DataFrame, k: int = 3, small: int = 1024) -> DataFrame:
+    """block, src, dst, d2 (in the plane), dz, rank: for each spot its k nearest in the next and in the previous section, each pair of sections being a block of its own."""
+    pairs = written(section_pairs(points), "sections")
+    pair = F.concat_ws("\u0001", "block", "a", "b").alias("block")
+    flat = F.lit(0.0).alias("z")
+    own = points.withColumnRenamed("section", "a").join(pairs, ["block", "a"]).select(pair, F.col("obs_id").alias("src"), "x", "y", flat)
+    other = points.withColumnRenamed("section", "b").join(pairs, ["block", "b"]).select(pair, F.col("obs_id").alias("dst"), "x", "y", flat)
+    e = nearest(own, other, k, small).select("src", "dst", "d2", "rank")
+    e = e.join(points.select(F.col("obs_id").alias("src"), "block", F.col("z").alias("az")), "src").join(points.select(F.col("obs_id").alias("dst"), F.col("z").alias("bz")), "dst")
+    return e.select("block", "src", "dst", "d2", (F.col("az") - F.col("bz")).alias("dz"), "rank")
 
 
 def cross_section_graph(points: DataFrame, k_within: int = 6, k_between: int = 3, z_scale: float = 1.0) -> DataFrame:

@@ -32,11 +32,11 @@ def brute_knn(rows, k):
     return {i: v for i, v in out.items() if v}
 
 
-@pytest.mark.parametrize("k", [1, 5, 40])
-def test_knn_is_exact(spark, k):
+@pytest.mark.parametrize(("k", "small"), [(1, 0), (5, 0), (40, 0), (5, 1024)])
+def test_knn_is_exact(spark, k, small):
     p = points(spark, 90)
     got = {}
-    for r in graph.knn(p, k).orderBy("src", "rank").collect():
+    for r in graph.knn(p, k, small=small).orderBy("src", "rank").collect():
         got.setdefault(r["src"], []).append(r["dst"])
     assert got == brute_knn(p.collect(), k)
 

@@ -43,7 +43,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that lies in fewer splits than there are cores is dealt out to all of them, as the work on a row is far more than its way."""
+    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

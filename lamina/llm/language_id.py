@@ -16,7 +16,6 @@ empty tables give empty results; only doc_id, text and lang are read. Texts of a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -30,7 +29,11 @@ ROW, HIDDEN = 96, 12
 PER_LANGUAGE, EPOCHS, BATCH, RATE = 1500, 6, 64, 0.02
 #: Most rows that go through the network at once.
 WIDE = 4096
-_LETTER = re.compile("[^\\W\\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
 
 
 def init(languages: int, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
@@ -166,7 +169,7 @@ def training_sample(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) ->
     found = rows.where(F.col("h") < bound).select("lang", "h", stretch.alias("s")).orderBy("h", "s").collect()
     out, taken = [], dict.fromkeys(counts, 0)
     for r in found:
-        if taken[r["lang"]] < per_language and r["s"] and _LETTER.search(r["s"]):
+        if taken[r["lang"]] < per_language and has_letter(r["s"]):
             taken[r["lang"]] += 1
             out.append((r["lang"], r["s"].encode("utf-8", "replace")))
     return out
@@ -183,7 +186,7 @@ class Model:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         if self.weights is None:
             return lang, score
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
         rows = [rows_of(texts[i].encode("utf-8", "replace")) for i in known]
         if not rows:
             return lang, score

@@ -287,6 +287,17 @@ class Trie:
         own, back = np.unique(key, return_inverse=True)
         return tuple(x[back] for x in self.find(level, own // self.words, own % self.words))
 
+    def successors(self, level: int, context: int) -> list[tuple[int, float]]:
+        """(word id, probability) of all that was kept after a context, an entry of the level below; its pointers bound them."""
+        for k, _ in self._by_shard(level, np.array([context], np.int64)):
+            if s := self.shard(level, k):
+                place = s.contexts.search(np.array([context - k * self.spans[level]]))
+                if place[0] >= 0:
+                    start, stop = s.pointers.get(place + np.array([0, 1])).astype(np.int64).tolist()
+                    ids = s.followers.get(np.arange(start, stop)) - np.uint64(int(place[0]) * self.words)
+                    return list(zip(ids.tolist(), (10 ** (s.codes[start:stop].astype(np.int64) / -STEP)).tolist(), strict=True))
+        return []
+
     def log10(self, ids: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Log-probability of every token; begins: whether a token is the first of its text."""
         out = np.log10((counts + 1) / (self.tokens + self.words + 1))

@@ -211,6 +211,12 @@ def test_probabilities_sum_to_one(make):
         ids, counts = language_model._known_words(trie, h)
         total += 10 ** trie.log10(ids, counts, np.array([True, False, False]))[2]
     assert abs(total - 1) < 2e-3
+    h = np.sort(np.array([language_model.xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in ("a", "b")], np.int64))
+    first, second = trie.find_words(h)[0].tolist()
+    after = trie.successors(1, first)
+    assert second in [w for w, _ in after] and [w for w, _ in after] == sorted(w for w, _ in after)
+    _, got, _ = trie.known(1, np.full(len(after), first), np.array([w for w, _ in after]))
+    assert [p for _, p in after] == (10 ** (-got / language_model.STEP)).tolist() and trie.successors(1, 10**9) == []
 
 
 def test_pipeline_stages(spark, sf_dir):

@@ -45,7 +45,7 @@ def test_languages_are_learned(spark, sf_dir):
 
 
 def test_language_edges(make, edge_texts):
-    docs = make([*edge_texts, "1234 !!"], lang=["en", None] * 7)
+    docs = make([*edge_texts, "1234 !! ½ ²"], lang=["en", None] * 7)
     model = language_id.train(docs, language_id.learned_rows(), epochs=1)
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
     assert [got[i] for i in (0, 1, 2, 13)] == ["und"] * 4 and got[8] == "en"

@@ -11,7 +11,9 @@
    sorted again. Kasai's relation (a neighbour's common prefix is one less along a diagonal) gives common prefixes, and
    windows whose common prefix with a neighbour reaches `length` repeat.
 3. The regions of a hash with more than `shard_regions` distinct ones are split over several shards. Every two of these
-   meet in a task that searches the windows of each in the suffix array of the other by bisection.
+   meet in a task that searches the windows of each in the suffix array of the other by bisection. With more than four
+   shards to a hash (a passage that millions of texts go on from in their own way), its windows are first dealt anew by bytes
+   that equal windows must share, in cells of 16 windows, then of 4, then of 1, until groups fit, so work stays in proportion.
 
 All that is collected in one place is bounded by a document or by two shards.
 
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import columns_of, written
 
 LENGTH, GRAM, SHARD_REGIONS, SHARD_BYTES = 200, 64, 16_384, 1 << 20
+#: Most shards of one hash that are merged two by two; a hash with more is dealt anew by cells of these many windows, one after the other.
+MERGED, CELLS = 4, (16, 4, 1)
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -45,10 +49,8 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(y[:n], y[width - k : width - k + n]) if k < width else y
 
 
-def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, least hash, whether its gram occurs more than once) of the runs of windows that share their least gram hash; gram is a power of two."""
-    if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the `gram` bytes from each place on; gram is a power of two."""
     h = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     k, m = 1, 0x9E3779B97F4A7C15
     while k < gram:
@@ -57,7 +59,33 @@ def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         k *= 2
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
+    return h ^ (h >> np.uint64(29))
+
+
+def cells(data: bytes, key: int, cell: int, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """(new hash, first window, last window) of a region's windows, dealt by how far the first gram with its hash lies from the window's start.
+
+    Windows whose distances fall into one cell all hold the bytes between the last start and the first end that the cell allows; the new
+    hash is of these bytes and the cell, so equal windows still share it, and at a cell of one it is of the window itself."""
+    at = np.flatnonzero(gram_hashes(data, gram) == np.uint64(key & (2**64 - 1)))
+    starts = np.arange(len(data) - length + 1)
+    place = at[np.searchsorted(at, starts)]
+    number = (place - starts) // cell
+    cut = np.flatnonzero((np.diff(number) != 0) | (np.diff(place) != 0)) + 1
+    out = []
+    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(starts)], strict=True):
+        p, c = int(place[a]), int(number[a])
+        core = data[p - c * cell : p - (c + 1) * cell + 1 + length]
+        digest = hashlib.blake2b(core, digest_size=8, key=f"{key},{c},{cell}".encode()).digest()
+        out.append((int.from_bytes(digest, "little", signed=True), a, z - 1))
+    return out
+
+
+def window_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, least hash, whether its gram occurs more than once) of the runs of windows that share their least gram hash; gram is a power of two."""
+    if len(data) < length:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    h = gram_hashes(data, gram)
     width = length - gram + 1
     least = _slide(h, width, np.minimum)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
@@ -314,6 +342,39 @@ def _results(rows: list[tuple[int, int, int, bytes]], with_text: bool) -> list[p
     ]
 
 
+def _dealt_anew(hot: DataFrame, cell: int, length: int, shard_regions: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranges covered whole, regions to compare, regions of hashes that are still too large) of hot hashes' regions by cells."""
+    kind = hot.schema["doc_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, region, row, start, part = [], [], [], [], []
+            for i, (k, at, data) in enumerate(zip(b.column("key").to_pylist(), b.column("start").to_pylist(), b.column("data").to_pylist(), strict=True)):
+                for new, first, last in cells(data, k, cell, length):
+                    key.append(new), row.append(i), start.append(at + first), part.append(data[first : last + length])
+                    region.append(int.from_bytes(hashlib.blake2b(part[-1], digest_size=8).digest(), "little", signed=True))
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), pa.array([np.array([a, a + len(x)], "<i4").tobytes() for a, x in zip(start, part, strict=True)], pa.binary()), b.column("key").take(take), pa.array(region, pa.int64()), b.column("doc_id").take(take), b.column("t").take(take), pa.array(start, pa.int32()), b.column("target").take(take), pa.array(part, pa.binary())],
+                names=["key", "mark", "gram", "region", "doc_id", "t", "start", "target", "data"],
+            )
+
+    rows = written(hot.mapInArrow(split, f"key bigint, mark binary, gram bigint, region bigint, doc_id {kind}, t bigint, start int, target boolean, data binary"), "cells")
+    # counted by partial sums, so a sub-region that very many texts have is one row for a task
+    pick = F.xxhash64("doc_id", "t", "start")
+    same = rows.groupBy("key", "region").agg(F.count("*").alias("c"), F.max("target").alias("wanted"), F.min(pick).alias("pick"))
+    keys = same.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("c") == 1) & F.col("wanted")).alias("open"))
+    same = written(same.join(keys, "key").select(F.col("key").alias("k2"), F.col("region").alias("r2"), "c", "pick", "n", "open").where("c > 1 or (open and n > 1)"), "cells")
+    j = rows.join(same, (F.col("key") == F.col("k2")) & (F.col("region") == F.col("r2")))
+    marks = j.where("c > 1 and target").select("doc_id", "t", F.col("mark").alias("found"))
+    asks = j.where((F.col("n") > 1) & F.col("open") & ((F.col("c") == 1) | (pick == F.col("pick"))))
+    asks = asks.select("key", "gram", "n", F.lit(0).cast("bigint").alias("block"), "doc_id", "t", "start", (F.col("target") & (F.col("c") == 1)).alias("target"), "data")
+    cool = asks.where(F.col("n") <= shard_regions).select("key", "block", "doc_id", "t", "start", "target", "data")
+    # a deeper cell asks for the first gram again, so these keep the hash of that
+    still = asks.where(F.col("n") > shard_regions).select(F.col("gram").alias("key"), "doc_id", "t", "start", "target", "data")
+    return marks, cool, still
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, shard_regions: int = SHARD_REGIONS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes of cut characters are left out)."""
     out = _compared(docs, ["doc_id"], length, with_text, shard_regions)
@@ -358,6 +419,10 @@ def _compared(docs: DataFrame, carry: list[str], length: int, with_text: bool, s
                             wanted = not (k >= 0 and covered[k, 1] >= z)
                         open_here |= wanted
                         p, n = a["part"], a["parts"]
+                        if n > MERGED:
+                            row.append(i), key.append(a["key"]), block.append(-1), start.append(a["start"]), target.append(wanted)
+                            data.append(raw[a["start"] : z]), done.append(None), result.append(None)
+                            continue
                         for other in range(n):  # shards of one hash meet two by two
                             if n == 1 or other != p:
                                 row.append(i), key.append(a["key"]), block.append((min(p, other) * n + max(p, other)) * 2 + (p > other)), start.append(a["start"]), target.append(wanted)
@@ -420,10 +485,19 @@ def _compared(docs: DataFrame, carry: list[str], length: int, with_text: bool, s
         if held:
             yield from flush()
 
-    regions = table.where(F.col("key").isNotNull()).select("key", "block", "doc_id", "t", "start", "target", "data")
+    regions = table.where("key is not null and block >= 0").select("key", "block", "doc_id", "t", "start", "target", "data")
+    covered = None
+    hot = table.where("block = -1").select("key", "doc_id", "t", "start", "target", "data")
+    for cell in CELLS:
+        if hot.isEmpty():
+            break
+        marks, cool, hot = _dealt_anew(hot, cell, length, shard_regions)
+        covered = marks if covered is None else covered.unionByName(marks)
+        regions = regions.unionByName(cool)
     # the side bit of a pair is no part of its group
     regions = regions.repartition(F.col("key"), F.floor(F.col("block") / 2)).sortWithinPartitions("key", "block")
     found = regions.mapInArrow(compare, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, found binary")
+    found = found if covered is None else found.unionByName(covered)
     found = found.groupBy("doc_id", "t").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), "found")
     answers = table.where(F.col("key").isNull())
     pending = answers.where(F.col("done").isNotNull()).select("c", "doc_id", "t", "data", "done")

@@ -87,11 +87,14 @@ def test_components(spark):
 
 def repeat_texts():
     shared, long = prose(60, 7), prose(150, 8)
-    return [f"{prose(30, 1)} {shared} {prose(30, 2)}", f"{shared} {prose(20, 3)}", f"{prose(50, 4)}{long[:450]}", long, long, long[:-3] + "é.", prose(100, 5), ("ab" * 150) + prose(10, 6), "é" * 250, f"{long[100:330]}"]
+    tails = [f"{shared[:260]}{prose(12, 300 + i)}" for i in range(25)] + [f"{prose(12, 400 + i)}{shared[:260]}" for i in range(15)]
+    tails += [f"{shared[:250]}x{i % 7}{long[20 * i : 20 * i + 120]}" for i in range(20)] + [prose(9, i) + "lo " * (80 + i % 3) for i in range(9)]
+    return tails + [f"{prose(30, 1)} {shared} {prose(30, 2)}", f"{shared} {prose(20, 3)}", f"{prose(50, 4)}{long[:450]}", long, long, long[:-3] + "é.", prose(100, 5), ("ab" * 150) + prose(10, 6), "é" * 250, f"{long[100:330]}"]
 
 
-@pytest.mark.parametrize("regions", [16_384, 2])
+@pytest.mark.parametrize("regions", [16_384, 12, 2, 1])
 def test_repeats_match_brute_force(make, edge_texts, regions):
+    """Small shards send hashes through pairs of shards, and those with more than four through cells."""
     texts = [t for t in [*repeat_texts(), *edge_texts] if not t or len(t) < 20_000]
     docs = make(texts, [None, *range(1, len(texts))])
     raw = [(t or "").encode() for t in texts]
@@ -105,6 +108,24 @@ def test_repeats_match_brute_force(make, edge_texts, regions):
         assert r["kept_text"] == rest.decode("utf-8", "ignore")
 
 
+def test_cells_deal_equal_windows_alike():
+    text = (prose(60, 1) + " lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo lo " + prose(60, 2)).encode()
+    for cell in (16, 4, 1):
+        seen: dict[bytes, int] = {}
+        for shift in (0, 7):
+            data = b"x" * shift + text
+            first, n, key, _ = suffix_dedup.window_runs(data)
+            for a, k, h in zip(first.tolist(), n.tolist(), key.tolist()):
+                part = data[a : a + k + 199]
+                dealt = suffix_dedup.cells(part, h, cell)
+                assert [w for _, x, y in dealt for w in range(x, y + 1)] == list(range(k)) and all(y - x < cell for _, x, y in dealt)
+                for new, x, y in dealt:
+                    for w in range(x, y + 1):
+                        assert seen.setdefault(part[w : w + 200], new) == new
+        if cell == 1:
+            assert len(set(seen.values())) == len(seen)
+
+
 def test_equal_rows_lose_what_they_share(make):
     text = prose(80, 1)
     out = suffix_dedup.remove_repeats(make([text, text, "x"], [1, 1, 1])).collect()
@@ -116,8 +137,8 @@ def test_keep_rest(make):
     docs = make([*repeat_texts(), None])
     kept = suffix_dedup.keep_rest(docs)
     assert kept.columns == docs.columns
-    rows = {r["doc_id"]: r for r in kept.collect()}
-    assert len(rows) == docs.count() and rows[6]["text"] == repeat_texts()[6] and rows[6]["a.b"] == "dot" and rows[3]["text"] == "" and rows[3]["n_chars"] == 0
+    rows, n = {r["doc_id"]: r for r in kept.collect()}, len(repeat_texts()) - 10
+    assert len(rows) == docs.count() and rows[n + 6]["text"] == repeat_texts()[n + 6] and rows[n + 6]["a.b"] == "dot" and rows[n + 3]["text"] == "" and rows[n + 3]["n_chars"] == 0
 
 
 @pytest.mark.parametrize("length", [8, 13, 40])

@@ -67,7 +67,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lamina_path = path
+    return out
 
 
 def columns_of(df: DataFrame, names: list[str] | None = None) -> list:
@@ -88,11 +90,11 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return plain.mapInArrow(renamed, out.schema).toDF(*names[:kept])
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made; only for those whose rows have all gone into another written table."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._lamina_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(values: list, limit: int = CHUNK_CHARS) -> Iterator[slice]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, written
+from .common import columns_of, dropped, written
 
 WORDS, THRESHOLD, RECALL, LEAF, DEPTH, COORDINATES = 5, 0.8, 0.9999, 4096, 2, 64
 
@@ -121,6 +121,7 @@ def _lists(rows: DataFrame) -> DataFrame:
 def buckets(found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(m, b) rows of all buckets to compare."""
     level = _shared(found.select(F.explode("keys").alias("k"), "c"), "paths")
+    levels = [level]
     out = [_lists(level.where(F.col("n") <= leaf))]
     for step in range(1, depth + 1):
         large = level.where(F.col("n") > leaf)
@@ -148,11 +149,14 @@ def buckets(found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, de
 
         rows = large.join(sigs, F.col("c") == F.col("c2")).select("k", "c", "sig").mapInArrow(split, "k bigint, c bigint")
         level = _shared(rows, "paths")
+        levels.append(level)
         out.append(_lists(level.where(F.col("n") <= leaf)))
     all_lists = out[0]
     for x in out[1:]:
         all_lists = all_lists.unionByName(x)
-    return written(all_lists.where(F.size("m") > 1), "buckets")
+    lists = written(all_lists.where(F.size("m") > 1), "buckets")
+    dropped(*levels)
+    return lists
 
 
 def _first_meetings(b: int, lists: list) -> np.ndarray:
@@ -246,16 +250,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         other = labels.select(F.col("a").alias("b2"), F.col("least").alias("l2"))
         around = both.join(other, F.col("b") == F.col("b2")).groupBy("a").agg(F.min("l2").alias("l3")).withColumnRenamed("a", "a3")
-        new = labels.join(around, F.col("a") == F.col("a3"), "left").select("a", F.col("least").alias("old"), F.least("least", "l3").alias("least"))
+        new = labels.select("a", "least").join(around, F.col("a") == F.col("a3"), "left").select("a", F.col("least").alias("old"), F.least("least", "l3").alias("least"))
         jump = new.select(F.col("a").alias("a4"), F.col("least").alias("l4"))
         new = written(new.join(jump, F.col("least") == F.col("a4")).select("a", "old", F.least("least", "l4").alias("least")), "labels")
+        dropped(labels)
         if new.where("old <> least").isEmpty():
+            dropped(both)
             return new.select("a", "least")
-        labels = new.select("a", "least")
+        labels = new
 
 
 def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(c, root, links) rows of every bucket: how many first met links a class has there, and the least class it hangs together with."""
+    """(c, root, links) rows, written, of every bucket: how many first met links a class has there, and the least class it hangs together with."""
     lists = buckets(found, threshold, leaf, depth)
     members = lists.select("b", F.explode("m").alias("c"))
     own = members.groupBy("c").agg(F.collect_list("b").alias("bs"))
@@ -300,13 +306,15 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
             if at.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(root[at]), pa.array(count[at].astype(np.int64))], names=["c", "root", "links"])
 
-    return full.repartition("b").sortWithinPartitions("b").mapInArrow(compare, "c bigint, root bigint, links bigint")
+    met = written(full.repartition("b").sortWithinPartitions("b").mapInArrow(compare, "c bigint, root bigint, links bigint"), "links")
+    dropped(lists, wanted)
+    return met
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """doc_id, class_id, n_links, n_copies, and t and keeper: the hash of the text, and whether this is the document of its group with the least (doc_id, t)."""
     found = written(profiles(docs, threshold, runs_for(threshold, recall, depth)), "shingles")
-    met = written(links(docs, found, threshold, leaf, depth), "links")
+    met = links(docs, found, threshold, leaf, depth)
     counts = met.groupBy("c").agg(F.sum("links").alias("links")).withColumnRenamed("c", "c2")
     groups = components(met.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("a", "c3")
     # a null doc_id comes after all others
@@ -314,6 +322,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = found.groupBy("c").agg(F.count("*").alias("n_copies"), F.min(place).alias("place"))
     classes = classes.join(counts, F.col("c") == F.col("c2"), "left").join(groups, F.col("c") == F.col("c3"), "left")
     classes = written(classes.select("c", "n_copies", "place", F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("least", "c").alias("g")), "classes")
+    dropped(met)
     least = classes.groupBy("g").agg(F.min("place").alias("keep")).withColumnRenamed("g", "g2")
     classes = classes.join(least, F.col("g") == F.col("g2")).select(F.col("c").alias("c4"), "n_copies", "n_links", "keep")
     out = found.select("doc_id", "t", "c").join(classes, F.col("c") == F.col("c4"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import written
+from lamina.session import dropped, written
 
 
 def distance2(a: str, b: str) -> Column:
@@ -21,13 +21,27 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, small: int = 1024, s
     sources has block, src, x, y, z and targets block, dst, x, y, z; with `same` a point is no neighbour of itself. Each source looks in the
     3 x 3 squares of a grid around it. It is done once its k-th neighbour is no farther than a square is wide, as no point outside can
     be nearer, or once the squares hold the whole block; the others look again with squares twice as wide. Joins are on (block, square):
-    all pairs of a block are compared only where it has at most `small` targets, which make one square."""
+    all pairs of a block are compared only where it has at most `small` targets, which make one square.
+
+    Dense places do not become tasks of their own: of targets in one and the same place only the k + 1 smallest ids can be anyone's
+    neighbours, and squares start as small as it takes for the fullest one to hold some 64 k targets at most."""
+    place = Window.partitionBy("block", "x", "y", "z").orderBy("dst")
+    targets = targets.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k + 1).drop("_r")
     both = sources.select("block", "x", "y", F.lit(0).alias("t")).unionByName(targets.select("block", "x", "y", F.lit(1).alias("t")))
     box = both.groupBy("block").agg(F.sum("t").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
     fine = F.greatest(F.col("extent") * F.sqrt(F.lit(2.0 * max(k, 1)) / F.col("n")) / 2, F.col("extent") * 1e-6, F.lit(1e-12))
     width = F.when(F.col("n") <= small, F.col("extent") * 1.01 + 1e-12).otherwise(fine)
     box = written(box.where(F.col("n") > int(same)).select("block", "n", "x0", "y0", "extent", width.alias("w0")), "boxes")
-    s, t = written(sources.join(box, "block"), "sources"), targets.join(box, "block")
+    s, t = written(sources.join(box, "block"), "sources"), written(targets.join(box, "block"), "targets")
+    shrink = 1.0
+    while shrink > 1e-9:
+        w = F.col("w0") * shrink
+        most = t.where(F.col("n") > small).groupBy("block", F.floor((F.col("x") - F.col("x0")) / w).alias("cx"), F.floor((F.col("y") - F.col("y0")) / w).alias("cy")).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+        if (most or 0) <= max(256, 64 * k):
+            break
+        shrink /= 2.0 ** max(1, math.ceil(math.log2(math.sqrt(most / (16 * k)))))
+    width = F.when(F.col("n") > small, F.col("w0") * shrink).otherwise(F.col("w0"))
+    s, t = s.withColumn("w0", width), t.withColumn("w0", width)
     # a point without others in its block has no neighbours
     left, steps = s.agg(F.count("*").alias("c"), F.max(F.col("extent") / F.col("w0")).alias("m")).first()
     last = max(0, math.ceil(math.log2(max(1.0, steps or 1.0)))) + 1
@@ -216,11 +230,13 @@ def components(edges: DataFrame) -> DataFrame:
     lab = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("c")), "labels")
     while True:
         near = both.join(lab.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c2"))
-        new = lab.join(near, "node").select("node", F.col("c").alias("old"), F.least("c", "c2").alias("c"))
+        new = lab.select("node", "c").join(near, "node").select("node", F.col("c").alias("old"), F.least("c", "c2").alias("c"))
         new = written(new.join(new.select(F.col("node").alias("c"), F.col("c").alias("c3")), "c").select("node", "old", F.least("c", "c3").alias("c")), "labels")
+        dropped(lab)
         if new.where("old <> c").isEmpty():
+            dropped(both)
             return new.select("node", F.col("c").alias("component"))
-        lab = new.select("node", "c")
+        lab = new
 
 
 def clustering(edges: DataFrame) -> DataFrame:

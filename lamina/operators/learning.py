@@ -221,9 +221,11 @@ def pseudotime(edges: DataFrame, root: int, rounds: int = 200) -> DataFrame:
     d = graph.written(nodes.select("obs_id", F.when(F.col("obs_id") == root, 0.0).alias("d")), "dist")
     for _ in range(rounds):
         step = e.join(d.where("d is not null").select(F.col("obs_id").alias("src"), "d"), "src").groupBy(F.col("dst").alias("obs_id")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
-        new = graph.written(d.join(step, "obs_id", "left").select("obs_id", F.col("d").alias("old"), F.least("d", "n").alias("d")), "dist")
-        if new.where("d is not null and (old is null or d < old)").isEmpty():
+        new = graph.written(d.select("obs_id", "d").join(step, "obs_id", "left").select("obs_id", F.col("d").alias("old"), F.least("d", "n").alias("d")), "dist")
+        graph.dropped(d)
+        still = new.where("d is not null and (old is null or d < old)").isEmpty()
+        d = new
+        if still:
             break
-        d = new.select("obs_id", "d")
     top = d.agg(F.max("d").alias("top"))
     return d.crossJoin(F.broadcast(top)).select("obs_id", (F.col("d") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("time"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import written
+from lamina.session import dropped, written
 
 
 def correlations(series: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -43,11 +43,14 @@ def hop_distances(edges: DataFrame) -> DataFrame:
     """src, dst, hops of all connected ordered pairs, one ring of neighbours after the other. edges is undirected (a, b)."""
     e = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "hops")
     seen = written(e.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(1).cast("bigint").alias("hops")), "hops")
-    ring = seen
+    ring = seen.select("*")
     while not ring.isEmpty():
         nxt = ring.join(e, F.col("dst") == F.col("x")).select("src", F.col("y").alias("dst"), (F.col("hops") + 1).alias("hops")).where("src <> dst").distinct()
         ring = written(nxt.join(seen.select("src", "dst"), ["src", "dst"], "left_anti"), "hops")
-        seen = written(seen.unionByName(ring), "hops")
+        last = seen
+        seen = written(last.unionByName(ring), "hops")
+        dropped(last)
+    dropped(e)
     return seen
 
 

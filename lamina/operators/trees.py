@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import written
+from lamina.session import dropped, written
 
 
 def _length():
@@ -49,7 +49,9 @@ def path_lengths(tree: DataFrame) -> DataFrame:
     t = written(t.join(known, ["neuron", "up"], "left").select("neuron", "id", F.when(F.col("has"), F.col("up")).otherwise(-1).alias("up"), "dist", "depth"), "paths")
     while not t.where("up <> -1").isEmpty():
         a = t.select("neuron", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("depth").alias("n2"))
-        t = written(t.join(a, ["neuron", "up"], "left").select("neuron", "id", F.coalesce("up2", F.lit(-1).cast("bigint")).alias("up"), (F.col("dist") + F.coalesce("d2", F.lit(0.0))).alias("dist"), (F.col("depth") + F.coalesce("n2", F.lit(0).cast("bigint"))).alias("depth")), "paths")
+        last = t
+        t = written(last.join(a, ["neuron", "up"], "left").select("neuron", "id", F.coalesce("up2", F.lit(-1).cast("bigint")).alias("up"), (F.col("dist") + F.coalesce("d2", F.lit(0.0))).alias("dist"), (F.col("depth") + F.coalesce("n2", F.lit(0).cast("bigint"))).alias("depth")), "paths")
+        dropped(last)
     return t.select("neuron", "id", "dist", "depth")
 
 

@@ -41,6 +41,17 @@ def test_knn_is_exact(spark, k, small):
     assert got == brute_knn(p.collect(), k)
 
 
+def test_knn_of_a_crowd(spark):
+    """Half of all points in one place, and a cluster far smaller than a square."""
+    r = random.Random(1)
+    rows = [(i, "b", "s", 5.0, 5.0, 0.0) for i in range(400)] + [(400 + i, "b", "s", 1e-4 * r.random(), 1e-4 * r.random(), 0.0) for i in range(500)] + [(900 + i, "b", "s", r.uniform(-99, 99), r.uniform(-99, 99), 0.0) for i in range(60)]
+    p = spark.createDataFrame(rows, OBS)
+    got = {}
+    for x in graph.knn(p, 3, small=0).orderBy("src", "rank").collect():
+        got.setdefault(x["src"], []).append(x["dst"])
+    assert got == brute_knn(p.collect(), 3)
+
+
 def test_edges_stay_in_their_blocks_and_sections(spark):
     p = points(spark, 60)
     by = {r["obs_id"]: r for r in p.collect()}

@@ -116,7 +116,7 @@ def svc_folds(values: DataFrame, labels: DataFrame, folds: int = 5, seed: int =
         train, test = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
         if test.isEmpty() or train.select("label").distinct().count() < 2:
             continue
-        r = LinearSVC(maxIter=50, regParam=0.01).fit(train).transform(test).agg(F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
+        r = LinearSVC(maxIter=20, regParam=0.01).fit(train).transform(test).agg(F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
         rows.append((f, r[0], r[1]))
     return values.sparkSession.createDataFrame(rows, "fold bigint, n bigint, accuracy double")
 

@@ -101,11 +101,11 @@ def unique_symbols(genes: DataFrame) -> DataFrame:
 
 
 def species(genes: DataFrame, hints: dict[str, list[str]]) -> DataFrame:
-    """species: of the hint lists the one with more hits, else by whether most symbols are upper case."""
+    """species: of the hint lists the one with more hits (human if as many), without any by whether most symbols are upper case."""
     hit = {k: F.sum(F.col("symbol").isin(v).cast("int")) for k, v in hints.items()}
     h, m = hit["human"], hit["mouse"]
     upper = F.avg((F.col("symbol") == F.upper("symbol")).cast("double"))
-    return genes.agg(F.when(h > m, "human").when(m > h, "mouse").when(upper > 0.8, "human").otherwise("mouse").alias("species"))
+    return genes.agg(F.when((h + m > 0) & (h >= m), "human").when(h + m > 0, "mouse").when(upper > 0.8, "human").otherwise("mouse").alias("species"))
 
 
 def to_mouse(symbol):

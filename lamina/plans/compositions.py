@@ -84,7 +84,7 @@ def confound_free(spark, sf):
     return rounded(studies.confound_free(fx.features(spark, sf), fx.obs(spark, sf).select("obs_id", F.col("x").alias("c")), F.col("obs_id") % 5 != 0))
 
 
-@plan("""SELECT CASE WHEN h > m THEN 'human' WHEN m > h THEN 'mouse' WHEN up > 0.8 THEN 'human' ELSE 'mouse' END AS species FROM (SELECT sum((p_name IN ('SLC17A7', 'GAD1'))::INT) AS h, sum((p_name IN ('Slc17a7', 'Gad1'))::INT) AS m, avg((p_name = upper(p_name))::INT) AS up FROM part)""")
+@plan("""SELECT CASE WHEN h + m > 0 AND h >= m THEN 'human' WHEN h + m > 0 THEN 'mouse' WHEN up > 0.8 THEN 'human' ELSE 'mouse' END AS species FROM (SELECT sum((p_name IN ('SLC17A7', 'GAD1'))::INT) AS h, sum((p_name IN ('Slc17a7', 'Gad1'))::INT) AS m, avg((p_name = upper(p_name))::INT) AS up FROM part)""")
 def species_guess(spark, sf):
     return ex.species(fx.var(spark, sf), {"human": ["SLC17A7", "GAD1"], "mouse": ["Slc17a7", "Gad1"]})
 

@@ -154,3 +154,25 @@ def test_every_skill_runs(spark, files, tmp_path, name):
 
 def test_all_skills_are_tried():
     assert set(SKILLS) == set(skills.discover())
+
+
+def test_bundle(spark, sf_dir, tmp_path):
+    from lamina.sources import bundle
+
+    o = fx.obs(spark, sf_dir)
+    obs = o.select("obs_id", F.lit("one").alias("donor"), F.when(F.col("block") != "m0", F.col("block")).alias("batch"))
+    spatial = o.select("obs_id", F.array("x", "y").alias("value"))
+    b = bundle.Bundle(obs, spark.createDataFrame([(8, "A"), (9, "B")], "gene_id bigint, gene_name string"), fx.features(spark, sf_dir).where("gene_id < 10").withColumn("count", F.lit(1)), {"spatial": spatial}, {"a": 1, "x_colors": 2})
+    got = {r["block"] for r in b.blocks().select("block").distinct().collect()}
+    assert got == {"Unknown", "m1", "m2"} and {r["block"] for r in b.blocks("donor").select("block").distinct().collect()} == {"one"}
+    bundle.Bundle(b.blocks(), b.var, b.x, b.obsm, b.uns).write(str(tmp_path / "b"))
+    c = bundle.read(spark, str(tmp_path / "b"))
+    assert c.uns == {"a": 1} and c.expression().count() == b.x.count() and c.counts().agg(F.max("count")).first()[0] == 1.0
+    assert {r["symbol"] for r in c.symbols().collect()} == {"A", "B"}
+    p = c.points().select("x", "z").first()
+    assert p["z"] == 0.0 and p["x"] is not None and "PartitionFilters: [isnotnull(block" in c.x.where("block = 'm1'")._jdf.queryExecution().toString()
+    with pytest.raises(KeyError):
+        c.expression("none")
+    np.savez(tmp_path / "s.npz", timeseries=np.arange(12.0).reshape(2, 3, 2), labels=np.array(["u", "v"]))
+    s, lab = bundle.read_npz(spark, str(tmp_path / "s.npz"))
+    assert s.count() == 12 and s.agg(F.max("value")).first()[0] == 11.0 and lab.count() == 2

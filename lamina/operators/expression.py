@@ -147,11 +147,11 @@ def panel_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame:
     obs = values.select("obs_id").distinct()
     s = values.join(sets, "gene_id").groupBy("obs_id", "panel", "null_id").agg(F.sum("value").alias("s"))
     m = s.join(size, ["panel", "null_id"]).select("obs_id", "panel", "null_id", (F.col("s") / F.col("k")).alias("m"))
-    # sets in which a cell has nothing have mean 0 and no row
+    # sums in another order may differ in their last digits, so a tie has a margin; sets in which a cell has nothing have mean 0 and no row
     real = m.where("null_id = -1").select("obs_id", "panel", F.col("m").alias("real"))
     grid = obs.crossJoin(F.broadcast(size.select("panel").distinct())).join(real, ["obs_id", "panel"], "left").select("obs_id", "panel", F.coalesce("real", F.lit(0.0)).alias("real"))
     null = grid.join(m.where("null_id >= 0").select("obs_id", "panel", "m"), ["obs_id", "panel"], "left")
-    g = null.groupBy("obs_id", "panel").agg(F.first("real").alias("real"), F.count("m").alias("k"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("q"), F.count_if(F.col("m") >= F.col("real")).alias("ge"))
+    g = null.groupBy("obs_id", "panel").agg(F.first("real").alias("real"), F.count("m").alias("k"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("q"), F.count_if(F.col("m") >= F.col("real") - 1e-12).alias("ge"))
     mean = F.col("s") / n_null
     sd = F.sqrt(F.greatest(F.col("q") / n_null - mean * mean, F.lit(0.0)))
     ge = F.when(F.col("real") <= 0, F.lit(n_null)).otherwise(F.col("ge"))

@@ -214,7 +214,7 @@ SETS = f"""gs AS (SELECT panel, null_id, gene_id FROM (SELECT panel, -1 AS null_
 ps AS MATERIALIZED (SELECT panel, null_id, count(*) AS k FROM gs GROUP BY ALL), pc AS MATERIALIZED (SELECT obs_id, gene_id, ln(1 + count) AS value FROM x),
 m AS MATERIALIZED (SELECT o.obs_id, ps.panel, ps.null_id, coalesce(s, 0) / k AS m FROM (SELECT DISTINCT obs_id FROM pc) o, ps LEFT JOIN (SELECT obs_id, panel, null_id, sum(value) AS s FROM pc JOIN gs USING (gene_id) GROUP BY ALL) t ON t.obs_id = o.obs_id AND t.panel = ps.panel AND t.null_id = ps.null_id),
 sc AS MATERIALIZED (SELECT obs_id, panel, any_value(m) FILTER (null_id = -1) AS re, avg(m) FILTER (null_id >= 0) AS av, sqrt(greatest(avg(m * m) FILTER (null_id >= 0) - (avg(m) FILTER (null_id >= 0)) ** 2, 0)) AS sd FROM m GROUP BY ALL),
-score AS MATERIALIZED (SELECT sc.obs_id, sc.panel, CASE WHEN any_value(sd) > 1e-12 THEN (any_value(re) - any_value(av)) / any_value(sd) ELSE 0 END AS effect, (1 + count(*) FILTER (m >= re)) / {NULLS + 1.0}::DOUBLE AS p FROM sc JOIN m ON m.obs_id = sc.obs_id AND m.panel = sc.panel AND null_id >= 0 GROUP BY ALL)"""
+score AS MATERIALIZED (SELECT sc.obs_id, sc.panel, CASE WHEN any_value(sd) > 1e-12 THEN (any_value(re) - any_value(av)) / any_value(sd) ELSE 0 END AS effect, (1 + count(*) FILTER (m >= re - 1e-12)) / {NULLS + 1.0}::DOUBLE AS p FROM sc JOIN m ON m.obs_id = sc.obs_id AND m.panel = sc.panel AND null_id >= 0 GROUP BY ALL)"""
 
 
 def _scores(spark, sf):

@@ -9,11 +9,12 @@ into memory. A successor is searched by the context's place and the word's id: s
 bisection over their low bits finds the entry.
 
 Probabilities are interpolated with absolute discounting: p(w | c) = max(n(cw) - D, 0) / n(c) + left(c) p(w | shorter c), and
-p(w) = (n(w) + 1) / (N + V + 1). N-grams of two words and more are kept from `min_count` occurrences on, and what is cut goes to
-left(c), so probabilities still sum to one. As an n-gram is no more frequent than its parts, only parts that were kept are counted.
+p(w) = (n(w) + 1) / (N + V + 1). Every n-gram of the training texts is kept. A caller may ask for a floor, `min_count`: n-grams of two
+words and more are then kept from that many occurrences on, and what is cut goes to left(c), so probabilities still sum to one. As an
+n-gram is no more frequent than its parts, only parts that were kept are counted.
 
 Each level is counted by one pass over the training texts. Tasks send sorted (key, count) blocks to the shard of their
-context; a shard adds them up and writes its file. What reaches the driver is one row for a shard.
+context, keys as differences and all numbers byte by byte, which Spark's compression makes small; a shard adds them up and writes its file. What reaches the driver is one row for a shard.
 
 Cases: null text is the empty text, which is its end token alone. With no training text N and V are 0, and every token has base
 probability 1. A null doc_id is neither held out nor learned from. Equal rows get equal scores; empty tables give empty results;
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, fresh_path, map_texts
 
-ORDER, MIN_COUNT, DISCOUNT, STEP = 3, 4, 0.75, 2048
+ORDER, MIN_COUNT, DISCOUNT, STEP = 3, 1, 0.75, 2048
 #: Stands for the end of a text; no word can have a line break.
 END = b"\n"
 #: Entries that a task gathers before it adds up equal keys, and that it may hold after that.
@@ -269,7 +270,8 @@ class Trie:
         for k, at in self._by_shard(level, contexts):
             if not (s := self.shard(level, k)):
                 continue
-            own, start = np.unique(contexts[at], return_index=True)
+            start = np.flatnonzero(np.concatenate([[True], contexts[at][1:] != contexts[at][:-1]]))
+            own = contexts[at][start]
             place = s.contexts.search(own - k * self.spans[level])
             place = np.repeat(place, np.diff(np.append(start, at.stop - at.start)))
             known = place >= 0
@@ -335,6 +337,16 @@ def _known_words(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[back], counts[back]
 
 
+def _bytes_of(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as all their first bytes, then all their second ones, and so on."""
+    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers_of(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
 def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -353,7 +365,7 @@ def _count_pass(train: DataFrame, trie: Trie | None, level: int, shards: int, sp
         cut = (np.flatnonzero(np.diff(part)) + 1).tolist()
         for a, z in zip([0, *cut], [*cut, len(k)], strict=True):
             if z > a:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([k[a:z].astype("<i8").tobytes()], pa.binary()), pa.array([c[a:z].astype("<u4").tobytes()], pa.binary())], names=["shard", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([_bytes_of(np.diff(k[a:z], prepend=0), "<i8")], pa.binary()), pa.array([_bytes_of(c[a:z], "<u4")], pa.binary())], names=["shard", "k", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -398,8 +410,8 @@ def _grams(trie: Trie, hashes: np.ndarray, sizes: np.ndarray, level: int, min_co
     return np.empty(0, np.int64)
 
 
-def _write_level(blocks: DataFrame, trie: Trie | None, level: int, span: int, folder: str, min_count: int, discount: float) -> list:
-    """Adds up each shard's blocks and writes its file; one row for a shard comes back."""
+def _write_level(blocks: DataFrame, trie: Trie | None, level: int, span: int, folder: str, min_count: int, discount: float, more: bool) -> list:
+    """Adds up each shard's blocks and writes its file, with counts if there are `more` levels to come; one row for a shard comes back."""
 
     def build(k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[str, int, int]:
         path = f"{folder}/level{level}-{k}"
@@ -411,7 +423,8 @@ def _write_level(blocks: DataFrame, trie: Trie | None, level: int, span: int, fo
         if not len(keys):
             return "", 0, 0
         context, word = keys // trie.words, keys % trie.words
-        own, start = np.unique(context, return_index=True)
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        own = context[start]
         sizes = np.diff(np.append(start, len(keys)))
         total = np.repeat(_context_counts(trie, level, own), sizes)
         sure = np.maximum(counts - discount, 0) / total
@@ -421,7 +434,7 @@ def _write_level(blocks: DataFrame, trie: Trie | None, level: int, span: int, fo
         put_arrays(
             path,
             [*EliasFano.of(own - k * span, span).arrays(), *EliasFano.of(np.append(start, len(keys)), len(keys) + 1).arrays(),
-             *EliasFano.of(place * trie.words + word, len(own) * trie.words).arrays(), code(np.minimum(p, 1)), code(left), counts.astype(np.uint32)],
+             *EliasFano.of(place * trie.words + word, len(own) * trie.words).arrays(), code(np.minimum(p, 1)), code(left), counts.astype(np.uint32)[: None if more else 0]],
         )
         return path, len(keys), int(counts.sum())
 
@@ -438,7 +451,7 @@ def _write_level(blocks: DataFrame, trie: Trie | None, level: int, span: int, fo
                     yield done()
                     keys, counts, size = [], [], 0
                 held = shard
-                keys.append(np.frombuffer(k, "<i8")), counts.append(np.frombuffer(n, "<u4").astype(np.int64))
+                keys.append(np.cumsum(_numbers_of(k, "<i8"))), counts.append(_numbers_of(n, "<u4").astype(np.int64))
                 size += len(keys[-1])
                 if size > GATHER:
                     x, y = _add_up(keys, counts)
@@ -501,7 +514,7 @@ def train(docs: DataFrame, learn, order: int = ORDER, min_count: int = MIN_COUNT
         universe = 2**63 if level == 0 else sum_of(levels[-1], found)
         span = max(1, -(-universe // shards))
         blocks = _count_pass(rows, trie, level, shards, span, min_count)
-        found = {r["shard"]: r for r in _write_level(blocks, trie, level, span, folder, min_count, discount)}
+        found = {r["shard"]: r for r in _write_level(blocks, trie, level, span, folder, min_count, discount, level + 1 < order)}
         names, before = [], 0
         for k in range(-(-universe // span) if universe else 0):
             names.append((found[k]["path"] if k in found else "", before))

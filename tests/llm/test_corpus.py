@@ -221,6 +221,20 @@ def test_scores_match_the_plain_model(make, edge_texts, order):
     assert (alone["n_tokens"], alone["n_known"], alone["train_tokens"], alone["base_score"]) == (3, 0, 0, 0.0)
 
 
+def test_rare_grams_are_kept(make):
+    # the document ids 0 and 1 are learned from; every n-gram occurs once or twice
+    texts = ["ab cd ef gh", "ab cd xy"]
+    want = plain_scores(list(enumerate(texts)), 3, least=1)
+    got = {r["doc_id"]: r for r in language_model.score_held_out(make(texts)).collect()}
+    for i, (n, _, _, _, score) in want.items():
+        assert abs(got[i]["score"] - score) < 3 / language_model.STEP * n
+    trie = language_model.train(make(texts), F.lit(True))
+    words = {w: language_model.xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in ("ab", "cd", "ef")}
+    ids = dict(zip(sorted(words, key=words.get), trie.find_words(np.sort(np.array(list(words.values()), np.int64)))[0], strict=True))
+    pair = trie.known(1, np.array([ids["ab"]]), np.array([ids["cd"]]))[0]
+    assert trie.known(2, pair, np.array([ids["ef"]]))[0][0] >= 0
+
+
 def test_probabilities_sum_to_one(make):
     docs = make([prose(200, i, ["a", "b", "c", "d"]) for i in range(10)])
     trie = language_model.train(docs, F.lit(True), 3)

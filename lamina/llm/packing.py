@@ -4,9 +4,10 @@ A document is its token ids and a closing id 0. Whole windows of 1,024 ids are c
 their own, without padding. What remains, 1 to 1,023 ids, is an item. The items of an Arrow batch (up to 1,000 documents)
 are shared out over k windows: each item starts as a partition with one filled window, and the two partitions of the
 largest spread are merged again and again, the fullest windows of one with the emptiest of the other. k starts at the
-least count that could hold the ids (or two below what the batch before needed for its size) and rises by one until no
-window exceeds the capacity, so windows are near equal and near full. Nothing is shuffled; a sequence id is the partition's number and a count within it, and a lost task makes the
-same sequences again, as its batch is the same rows of the same input split.
+least count that could hold the ids (by their sum, and by how many large items can share a window) and rises by one until no window exceeds the capacity, so windows are near equal and
+near full, and no batch depends on another. A count is given up as soon as a window exceeds the capacity. Nothing is
+shuffled; a sequence id is the partition's number and a count within it, and a lost task makes the same sequences again,
+as its batch is the same rows of the same input split.
 
 Cases: null and empty texts are documents of one id (0). Equal rows are packed once each. An empty table gives an empty
 result. A null doc_id stays null. Columns other than doc_id and text are not read. A document of any length is cut, so
@@ -17,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,36 +81,44 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window of each item, fill of each window) by differencing sizes into k windows."""
+def difference(sizes: np.ndarray, k: int, capacity: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(window of each item, fill of each window) by differencing sizes into k windows; None if a window exceeds the capacity."""
     n = len(sizes)
     left, right = [-1] * n, [-1] * n  # a node above n joins two groups of items
-    # a partition: ascending fills above its least one, and the node in each window (-1: none); the base is kept apart
-    parts = []
-    for i, s in enumerate(sizes.tolist()):
-        fills, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        fills[-1], nodes[-1] = s, i
-        parts.append((fills, nodes))
-    heap = [(-int(s), i) for i, s in enumerate(sizes.tolist())] if k > 1 else [(0, i) for i in range(n)]
+    # a partition: its filled windows by ascending fill, and the node in each; its other windows are empty
+    parts: list = [([s], [i]) for i, s in enumerate(sizes.tolist())]
+    heap = [(-s[0], i) for i, (s, _) in enumerate(parts)] if k > 1 else [(0, i) for i in range(n)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
+        _, a = heapq.heappop(heap)
+        _, b = heap[0]
         (fa, na), (fb, nb) = parts[a], parts[b]
         parts[a] = parts[b] = None
-        fb, nb = fb[::-1], nb[::-1]
-        fills = fa + fb
-        nodes = np.where(na < 0, nb, na)
-        for w in np.flatnonzero((na >= 0) & (nb >= 0)).tolist():
-            left.append(int(na[w])), right.append(int(nb[w]))
-            nodes[w] = len(left) - 1
-        order = np.argsort(fills, kind="stable")
-        fills, nodes = fills[order], nodes[order]
-        parts.append((fills, nodes))
-        heapq.heappush(heap, (-int(fills[-1] - fills[0]), len(parts) - 1))
+        if len(fa) < len(fb):
+            fa, na, fb, nb = fb, nb, fa, na
+        # the fullest of the one meet the emptiest of the other; with enough empty windows none meet
+        meet = max(0, len(fa) + len(fb) - k)
+        new = []
+        for i in range(meet):
+            left.append(na[i]), right.append(nb[meet - 1 - i])
+            new.append((fa[i] + fb[meet - 1 - i], len(left) - 1))
+        new += zip(fb[meet:], nb[meet:], strict=True)
+        del fa[:meet], na[:meet]
+        if len(new) > 16:
+            rows = sorted([*zip(fa, na, strict=True), *new])
+            fa, na = [f for f, _ in rows], [x for _, x in rows]
+        else:
+            for f, x in new:
+                at = bisect_right(fa, f)
+                fa.insert(at, f), na.insert(at, x)
+        if capacity is not None and fa[-1] > capacity:
+            return None
+        parts.append((fa, na))
+        heapq.heapreplace(heap, (-(fa[-1] - (fa[0] if len(fa) == k else 0)), len(parts) - 1))
     where = np.empty(n, np.int64)
     total = np.zeros(k, np.int64)
-    for w, node in enumerate(parts[heap[0][1]][1].tolist()):
-        stack = [node] if node >= 0 else []
+    for w, node in enumerate(parts[heap[0][1]][1], k - len(parts[heap[0][1]][1])):
+        stack = [node]
         while stack:
             x = stack.pop()
             if x < n:
@@ -119,16 +129,15 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return where, total
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY, first: int = 0) -> np.ndarray:
-    """The window of each item, none over the capacity; each size is from 1 to the capacity. `first`: a count to start from, if above the least."""
+def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The window of each item, none over the capacity; each size is from 1 to the capacity."""
     if not len(sizes):
         return np.empty(0, np.int64)
-    k = max(1, -(-int(sizes.sum()) // capacity), first)
-    while True:
-        where, total = difference(sizes, k)
-        if total.max() <= capacity:
-            return where
+    # a window holds at most j sizes above the (j + 1)-th part of the capacity
+    k = max(-(-int(sizes.sum()) // capacity), *(-(-int((sizes * (j + 1) > capacity).sum()) // j) for j in range(1, 9)))
+    while (found := difference(sizes, k, capacity)) is None:
         k += 1
+    return found[0]
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, encoder: Callable[[], Callable[[str], np.ndarray]] = byte_encoder, with_ids: bool = False) -> DataFrame:
@@ -136,7 +145,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, encoder: Callable[
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, count, spare = encoder(), TaskContext.get().partitionId() << 36, 0, 1.0
+        encode, base, count = encoder(), TaskContext.get().partitionId() << 36, 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             doc, start, length, check, total, sequence, offset, items, kept = [], [], [], [], [], [], [], [], []
@@ -158,9 +167,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, encoder: Callable[
                         items.append(len(doc))
                         piece(row, ids, n - n % capacity, n, -1, n)
             sizes = np.array([length[i] for i in items], np.int64)
-            # batches of one table are alike: the next starts two windows below the share that this one needed
-            where = windows(sizes, capacity, int(sizes.sum() / capacity * spare) - 2)
-            spare = (where.max() + 1) * capacity / sizes.sum() if len(sizes) else spare
+            where = windows(sizes, capacity)
             filled: dict[int, int] = {}
             number = {w: base + count + r for r, w in enumerate(np.unique(where).tolist())}
             count += len(number)

@@ -86,6 +86,30 @@ def test_differencing_is_near_equal():
     assert np.bincount(where, weights=[8, 7, 6, 5, 4]).tolist() == total.tolist()
 
 
+def test_a_count_over_the_capacity_is_given_up():
+    sizes = np.random.default_rng(5).integers(1, 1025, 300)
+    k = -(-int(sizes.sum()) // 1024)
+    for n in range(k, k + 12):
+        _, total = packing.difference(sizes, n)
+        assert total.sum() == sizes.sum() and (packing.difference(sizes, n, 1024) is None) == (total.max() > 1024)
+
+
+def test_copies_do_not_loosen_later_batches(spark):
+    # 1,000 remainders of 600 ids need a window each; the batch after them is packed as if it came first
+    later = [int(n) for n in np.random.default_rng(3).integers(1, 1000, 1000)]
+    rows = [(i, "x" * n) for i, n in enumerate([599] * 1000 + later)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        out = packing.pack_documents(docs, encoder=lambda: lambda text: np.ones(len(text), np.uint32)).where("doc_id >= 1000").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    used = len({r["sequence_id"] for r in out})
+    assert sum(r["length"] for r in out) > 0.95 * 1024 * used
+    assert used == packing.windows(np.array(later) + 1).max() + 1
+
+
 def test_packing_round_trip(make, byte_library, edge_texts):
     texts = [*edge_texts, *[f"text {i} " * (i % 90) for i in range(300)]]
     ids = [None, *range(1, len(texts))]

@@ -287,6 +287,28 @@ def test_pseudotime_along_a_chain(spark):
     assert [got[i] for i in range(10)] == pytest.approx([i / 9 for i in range(10)]) and got[50] is None
 
 
+def test_pseudotime_reaches_any_depth(spark):
+    # a chain of 260 points, a loop of light edges off it and a heavy edge that a path of 250 light ones undercuts
+    light = [(i, i + 1, 1.0) for i in range(259)] + [(0, 250, 300.0), (3, 400, 0.5), (400, 401, 0.25), (401, 5, 0.25), (900, 901, 1.0)]
+    e = spark.createDataFrame(light + [(b, a, w) for a, b, w in light], "src bigint, dst bigint, w double")
+    want, queue = {0: 0.0}, [0]
+    near = {}
+    for a, b, w in light + [(b, a, w) for a, b, w in light]:
+        near.setdefault(a, []).append((b, w))
+    while queue:
+        a = queue.pop()
+        for b, w in near[a]:
+            if want[a] + w < want.get(b, 1e9):
+                want[b] = want[a] + w
+                queue.append(b)
+    got = {r["obs_id"]: r["time"] for r in learning.pseudotime(e, 0).collect()}
+    top = max(want.values())
+    assert got[900] is None and got[901] is None and len(got) == len(want) + 2
+    assert all(got[i] == pytest.approx(t / top) for i, t in want.items())
+    with pytest.raises(ValueError):
+        learning.pseudotime(e.withColumn("w", -F.col("w")), 0)
+
+
 def test_networks(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0)], "a bigint, b bigint, w double")
     hops = {(r["src"], r["dst"]): r["hops"] for r in network.hop_distances(e).collect()}

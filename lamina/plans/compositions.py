@@ -121,8 +121,9 @@ def gsea_permutation(spark, sf):
 @plan()
 def matched_control_sets(spark, sf):
     v, n = _values(spark, sf)
+    # every gene of the fixture has a panel; those outside the filter are the genes that controls are drawn from
     panels = fx.var(spark, sf).where("gene_id % 40 = 0").select("panel", "gene_id")
-    return studies.control_sets(panels, ex.expression_bins(ex.gene_moments(v, n)), 20)
+    return studies.control_sets(panels, ex.expression_bins(ex.gene_moments(v, n)), 1000)
 
 
 @plan()
@@ -131,12 +132,12 @@ def hierarchical_annotation(spark, sf):
     g = fx.var(spark, sf).where("gene_id % 20 = 0")
     top = g.select(F.concat(F.lit("C"), (F.col("gene_id") % 3).cast("string")).alias("panel"), F.lit(None).cast("string").alias("parent"), "gene_id")
     low = g.where("gene_id % 3 = 0").select(F.concat(F.lit("S"), (F.col("gene_id") % 2).cast("string")).alias("panel"), F.lit("C0").alias("parent"), "gene_id")
-    return studies.annotate(v, top.unionByName(low), v.select("obs_id").distinct().count(), 39, 0.2)
+    return studies.annotate(v, top.unionByName(low), v.select("obs_id").distinct().count(), 1000, 0.2)
 
 
 @plan()
 def context_network(spark, sf):
-    pairs = spark.range(8, 20).select(F.col("id").alias("gene_a")).crossJoin(spark.range(30, 50).select(F.col("id").alias("gene_b")))
+    pairs = spark.range(8, 64).select(F.col("id").alias("gene_a")).crossJoin(spark.range(8, 64).select(F.col("id").alias("gene_b"))).where("gene_a < gene_b")
     return studies.pair_network(fx.features(spark, sf), pairs, fx.obs(spark, sf).select("obs_id", F.col("block").alias("context")), 0.0, 1.1)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina import skills
+from lamina import catalogue, skills
 from lamina.operators import events, expression, learning, studies
 from lamina.sources import fixtures as fx
 
@@ -176,3 +176,11 @@ def test_bundle(spark, sf_dir, tmp_path):
     np.savez(tmp_path / "s.npz", timeseries=np.arange(12.0).reshape(2, 3, 2), labels=np.array(["u", "v"]))
     s, lab = bundle.read_npz(spark, str(tmp_path / "s.npz"))
     assert s.count() == 12 and s.agg(F.max("value")).first()[0] == 11.0 and lab.count() == 2
+
+
+def test_registered_plans_have_all_sets_and_pairs(spark, sf_dir):
+    plans = catalogue.queries()
+    sets = plans["matched_control_sets"](spark, sf_dir)
+    assert sets.where("null_id >= 0").select("null_id").distinct().count() == 1000
+    got = plans["context_network"](spark, sf_dir)
+    assert got.count() == 56 * 55 // 2 and got.where("gene_a >= gene_b").isEmpty()

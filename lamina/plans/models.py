@@ -33,7 +33,7 @@ def niche_clusters(spark, sf):
 @plan()
 def forest_accuracy(spark, sf):
     o = fx.obs(spark, sf).select("obs_id", F.col("block").alias("label"), F.col("section").alias("grp"))
-    return learning.random_forest(fx.features(spark, sf), o.withColumn("grp", F.col("obs_id") % 20), trees=10)
+    return learning.random_forest(fx.features(spark, sf), o.withColumn("grp", F.col("obs_id") % 20), shuffles=20)
 
 
 @plan()

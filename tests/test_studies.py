@@ -184,3 +184,14 @@ def test_registered_plans_have_all_sets_and_pairs(spark, sf_dir):
     assert sets.where("null_id >= 0").select("null_id").distinct().count() == 1000
     got = plans["context_network"](spark, sf_dir)
     assert got.count() == 56 * 55 // 2 and got.where("gene_a >= gene_b").isEmpty()
+
+
+def test_registered_models_are_whole(spark, sf_dir, monkeypatch):
+    trees, rounds = [], []
+    forest, svc = learning.RandomForestClassifier, learning.LinearSVC
+    monkeypatch.setattr(learning, "RandomForestClassifier", lambda **k: trees.append(k["numTrees"]) or forest(**k))
+    monkeypatch.setattr(learning, "LinearSVC", lambda **k: rounds.append(k["maxIter"]) or svc(**k))
+    plans = catalogue.queries()
+    assert sorted(r["shuffle"] for r in plans["forest_accuracy"](spark, sf_dir).collect()) == list(range(-1, 20))
+    assert trees == [50] * 21
+    assert plans["svc_accuracy"](spark, sf_dir).count() == 3 and rounds == [50] * 3

@@ -115,7 +115,7 @@ def feature_knn(spark, sf):
 @plan()
 def gsea_permutation(spark, sf):
     v = fx.var(spark, sf)
-    return studies.gsea_test(v.select("gene_id", "score"), v.select(F.col("category").alias("term"), "gene_id"), 50)
+    return studies.gsea_test(v.select("gene_id", "score"), v.select(F.col("category").alias("term"), "gene_id"), 1000)
 
 
 @plan()

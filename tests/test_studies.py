@@ -195,3 +195,10 @@ def test_registered_models_are_whole(spark, sf_dir, monkeypatch):
     assert sorted(r["shuffle"] for r in plans["forest_accuracy"](spark, sf_dir).collect()) == list(range(-1, 20))
     assert trees == [50] * 21
     assert plans["svc_accuracy"](spark, sf_dir).count() == 3 and rounds == [50] * 3
+
+
+def test_registered_gsea_has_all_shuffles(spark, sf_dir, monkeypatch):
+    asked = []
+    real = studies.gsea_test
+    monkeypatch.setattr(studies, "gsea_test", lambda ranked, sets, n_perm: asked.append(n_perm) or real(ranked, sets, n_perm))
+    assert catalogue.queries()["gsea_permutation"](spark, sf_dir).count() > 0 and asked == [1000]

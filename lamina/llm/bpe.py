@@ -2,7 +2,8 @@
 
 Two neighbouring bytes that occur side by side inside no token of the vocabulary can never be merged across, so the
 encoder cuts between them, encodes each fragment by itself and joins the ids. The pairs are found once from the
-vocabulary (a table of 256 x 256 flags). Fragments and words are remembered, up to a bounded number of each.
+vocabulary (a table of 256 x 256 flags). A fragment of n bytes takes O(n log n): candidate merges lie in a heap, the
+symbols in a linked list. Short fragments and words are remembered, up to a bounded number and a bounded size of each.
 
 Before that, text is normalised and cut into words as the vocabulary file asks: NFC, lower case by character, and the
 pattern of the file. The names of special tokens in the text become their ids. Decoding joins token strings with spaces,
@@ -14,6 +15,7 @@ empty result. Columns other than doc_id and text are not read. Texts of any leng
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -33,12 +35,16 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _ANY_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{_SPACE}\\p{{L}}\\p{{N}}]+"
 
 END = "</w>"
+#: Up to this length a fragment is scanned anew for each merge, which is quicker than a heap.
+SHORT = 48
+#: Characters of remembered words, ids and token strings that an encoder holds at most, and the longest word it remembers.
+HELD, LONGEST = 64 << 20, 256
 
 
 class WordBpe:
     """An encoder for a vocabulary file of the tokenizers library whose model is BPE with word ends."""
 
-    def __init__(self, path: str | None = None, remembered: int = 500_000):
+    def __init__(self, path: str | None = None, remembered: int = 500_000, held: int = HELD):
         import regex
 
         self.path = path or token_path("word_bpe_49k.json")
@@ -58,7 +64,7 @@ class WordBpe:
         self.apart = frozenset(zip(*(x.tolist() for x in np.nonzero(~self.joins))))
         self.special_cut = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or "(?!)")
         self.any_words = regex.compile(_ANY_WORDS)
-        self.remembered = remembered
+        self.remembered, self.most_held, self.held = remembered, held, 0
         self.fragments: dict[tuple[bytes, bool], list[int]] = {}
         self.words: dict[str, tuple[str, str]] = {}
 
@@ -76,6 +82,8 @@ class WordBpe:
         ids, rank = [*map(self.first.__getitem__, piece)], self.merges.get
         if last:
             ids[-1] = self.final[piece[-1]]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         while len(ids) > 1:
             found = list(map(rank, zip(ids, ids[1:])))
             best = min(filter(None, found), default=None)
@@ -85,6 +93,40 @@ class WordBpe:
             ids[i : i + 2] = [best[1]]
         return ids
 
+    def _merge_long(self, ids: list) -> list[int]:
+        """The same merges by a heap of rank * n + place; an entry counts only if its two symbols still stand there and merge with that rank."""
+        n, rank = len(ids), self.merges.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [m[0] * n + i for i, m in enumerate(map(rank, zip(ids, ids[1:]))) if m]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            j = after[i]
+            if ids[i] is None or j >= n:
+                continue
+            m = rank((ids[i], ids[j]))
+            if m is None or m[0] != r:
+                continue
+            ids[i], ids[j], k = m[1], None, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if m := rank((ids[i], ids[k])):
+                    heapq.heappush(heap, m[0] * n + i)
+            if (h := before[i]) >= 0 and (m := rank((ids[h], ids[i]))):
+                heapq.heappush(heap, m[0] * n + h)
+        return [x for x in ids if x is not None]
+
+    def _room(self, kept: dict, size: int) -> bool:
+        """Whether `size` more characters may be remembered; a full memory is emptied first."""
+        if size > LONGEST * 16:
+            return False
+        if len(kept) >= self.remembered or self.held + size > self.most_held:
+            self.fragments.clear(), self.words.clear()
+            self.held = 0
+        self.held += size
+        return True
+
     def split(self, word: bytes) -> list[bytes]:
         """The fragments of a word: cut wherever no token could join the two bytes."""
         apart = self.apart
@@ -98,9 +140,9 @@ class WordBpe:
         for k, p in enumerate(parts):
             key = (p, k == len(parts) - 1)
             if (found := self.fragments.get(key)) is None:
-                if len(self.fragments) >= self.remembered:
-                    self.fragments.clear()
-                found = self.fragments[key] = self._merge(*key)
+                found = self._merge(*key)
+                if len(p) <= LONGEST and self._room(self.fragments, 8 * len(p)):
+                    self.fragments[key] = found
             ids += found
         return ids
 
@@ -132,9 +174,9 @@ class WordBpe:
 
     def _known(self, word: str) -> tuple[str, str]:
         ids = self.encode_word(word)
-        if len(self.words) >= self.remembered:
-            self.words.clear()
-        out = self.words[word] = (" ".join(map(str, ids)), " ".join(self.token[i] for i in ids))
+        out = (" ".join(map(str, ids)), " ".join(self.token[i] for i in ids))
+        if len(word) <= LONGEST and self._room(self.words, len(word) + len(out[0]) + len(out[1])):
+            self.words[word] = out
         return out
 
     def encode_as_text(self, text: str | None) -> tuple[str, str]:

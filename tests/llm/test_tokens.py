@@ -52,6 +52,30 @@ def test_memory_of_words_is_bounded(library):
     assert len(mine.words) <= 10 and len(mine.fragments) <= 11
 
 
+def test_long_words_take_n_log_n(library):
+    import time
+
+    mine = bpe.WordBpe()
+    r = random.Random(9)
+    for alphabet in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "é中x"):
+        for n in (bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1, 3000):
+            word = "".join(r.choices(alphabet, k=n))
+            assert mine.encode(word) == library.encode(word, add_special_tokens=False).ids
+    word = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    ids = mine.encode(word)
+    assert time.perf_counter() - began < 60  # some seconds; a quadratic merge would take hours
+    assert ids == library.encode(word, add_special_tokens=False).ids
+    assert word not in mine.words
+
+
+def test_memory_of_words_is_bounded_in_size(library):
+    mine = bpe.WordBpe(held=20_000)
+    text = " ".join(f"{'qxz' * 40}w{i}x" for i in range(300))
+    assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert mine.held <= 20_000 and len(mine.words) < 300
+
+
 def test_documents(make, library, edge_texts):
     out = bpe.encode_documents(make(edge_texts, [None, *range(1, len(edge_texts))])).collect()
     assert [r["doc_id"] for r in out] == [None, *range(1, len(edge_texts))]

@@ -6,9 +6,10 @@ with language probabilities. The log-probabilities of all bytes of all rows of a
 averaged, and a softmax over that mean, sharpened by the square root of the text's length (at most 16), pools them to
 the document's probabilities.
 
-Training. Backpropagation through time with Adam, on the driver, over a bounded sample: at most `per_language` rows of
-each language, those of least hash, and from each a stretch of 96 bytes at a place given by the hash. Nothing else of
-lang, source or doc_id enters a prediction. Weights have a fixed size of some 10 KB and go to executors with the function.
+Training. Backpropagation through time with Adam, on the driver, over a bounded sample: at most `per_language` distinct
+texts of each language, those of least hash, and from each a stretch of 96 bytes at a place given by the hash; of more
+than `languages` values of lang those with the most distinct texts are learned. Nothing else of lang, source or doc_id
+enters a prediction. Weights have a fixed size of some 10 KB and go to executors with the function.
 
 Cases: null texts and texts without a letter are `und` with score 0. With no training rows at all every text is `und`.
 Rows with a null doc_id have held_out null-safe false and are not learned from. Equal texts get equal predictions;
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_rows, map_texts
 
 ROW, HIDDEN = 96, 12
-PER_LANGUAGE, EPOCHS, BATCH, RATE = 1500, 6, 64, 0.02
+PER_LANGUAGE, LANGUAGES, EPOCHS, BATCH, RATE = 1500, 1000, 6, 64, 0.02
+#: Least number of steps of training, so that a small table is gone through more often than EPOCHS times.
+LEAST_STEPS = 400
 #: Most rows that go through the network at once.
 WIDE = 4096
 
@@ -35,7 +38,6 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-
 def init(languages: int, hidden: int = HIDDEN, seed: int = 7) -> dict[str, np.ndarray]:
     """wx: by direction and byte the inputs of the gates (update, reset, new); wh: from the states; wo: to the labels."""
     r = np.random.default_rng(seed)
@@ -128,7 +130,9 @@ def fit(rows: np.ndarray, y: np.ndarray, languages: int, epochs: int = EPOCHS, s
     m = init(languages, seed=seed)
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     r, step = np.random.default_rng(seed), 0
-    total = epochs * -(-len(rows) // BATCH)
+    a_round = -(-len(rows) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // a_round))
+    total = epochs * a_round
     for _ in range(epochs):
         order = r.permutation(len(rows))
         for a in range(0, len(rows), BATCH):
@@ -154,19 +158,26 @@ def rows_of(data: bytes) -> np.ndarray:
     return whole if len(b) % ROW == 0 else np.concatenate([whole, b[None, -ROW:]])
 
 
-def training_sample(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """At most per_language (language, stretch of a row's bytes) of each language, by least hash of the text."""
+def training_sample(docs: DataFrame, learn, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
+    """At most per_language (language, stretch of a text's bytes) of each language, those of least hash; copies of a text are one.
+
+    Two scans: the first counts the distinct texts of each language, which says below what hash about twice as many as are
+    asked for lie; the second fetches these. What reaches the driver is bounded by 2 x per_language rows a language,
+    whatever the number of copies, as equal (language, hash) rows are one before anything is sorted or sent."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("lang", "text", F.abs(F.xxhash64("text") % 1_000_003).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    n = F.approx_count_distinct("h")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(n.alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return []
-    # about twice as many as are asked for, by a bound on the hash for each language; then the least
-    bound = F.lit(-1)
-    for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, F.lit(min(1_000_003, int(2 * per_language / n * 1_000_003) + 1))).otherwise(bound)
-    stretch = F.substring(F.col("text"), (F.col("h") % F.greatest(F.lit(1), F.length("text") - ROW) + 1).cast("int"), F.lit(ROW))
-    found = rows.where(F.col("h") < bound).select("lang", "h", stretch.alias("s")).orderBy("h", "s").collect()
+    # a hash as a share of its range, over the share that is wanted of the language: below 1 for about twice as many as are asked for
+    u = F.lit(None).cast("double")
+    for lang, size in counts.items():
+        u = F.when(F.col("lang") == lang, (F.col("h") / 2.0**64 + 0.5) * max(1.0, size / (2 * per_language))).otherwise(u)
+    stretch = F.substring(F.col("text"), (F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - ROW)) + 1).cast("int"), F.lit(ROW))
+    found = rows.select("lang", "h", u.alias("u"), stretch.alias("s")).where("u <= 1")
+    found = found.groupBy("lang", "h").agg(F.min("u").alias("u"), F.min("s").alias("s"))
+    found = found.orderBy("u", "lang", "h").limit(2 * per_language * len(counts)).collect()
     out, taken = [], dict.fromkeys(counts, 0)
     for r in found:
         if taken[r["lang"]] < per_language and has_letter(r["s"]):

@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import language_id, licences, media, quality, url_filter
 
@@ -37,13 +38,60 @@ def test_gradient_is_the_slope():
 
 def test_languages_are_learned(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = language_id.identify(docs, language_id.train(docs, language_id.learned_rows(), epochs=20)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    out = language_id.identify(docs, language_id.train(docs, language_id.learned_rows())).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r["held_out"]]
     assert held and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.9
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def plain_language(m, names, text):
+    """One byte after the other: both directions, labels of all bytes, the pooled probabilities."""
+    data = text.encode().lower()
+    rows = [data[i : i + 96] for i in range(0, len(data), 96)]
+    if len(data) < 96:
+        rows = [data.ljust(96)]
+    elif len(data) % 96:
+        rows[-1] = data[-96:]
+    h = m["wh"].shape[2]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    total = np.zeros(len(names))
+    for row in rows:
+        states = np.zeros((96, 2 * h))
+        for d, places in ((0, range(96)), (1, range(95, -1, -1))):
+            s = np.zeros(h)
+            for t in places:
+                x, r = m["wx"][d][row[t]].astype(float), m["wh"][d].astype(float) @ s
+                z, g = sig(x[:h] + r[:h]), sig(x[h : 2 * h] + r[h : 2 * h])
+                s = (1 - z) * np.tanh(x[2 * h :] + g * (r[2 * h :] + m["bn"][d])) + z * s
+                states[t, d * h : d * h + h] = s
+        y = states @ m["wo"].T + m["bo"]
+        total += (y - np.log(np.exp(y).sum(1, keepdims=True))).mean(0)
+    y = total / len(rows) * min(16, len(text) ** 0.5)
+    p = np.exp(y - y.max())
+    return names[int(p.argmax())], p.max() / p.sum()
+
+
+def test_predictions_match_the_plain_network(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs, language_id.learned_rows())
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(25).collect() if language_id.has_letter(r["text"])] + ["é", "Der Hund", "x" * 96, "y" * 97]
+    for t, lang, score in zip(texts, *model.predict(texts)):
+        want = plain_language(model.weights, model.names, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-3
+
+
+def test_copies_are_one_training_row(make, spark):
+    texts = [prose(30, i) for i in range(60)]
+    many = spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.lit(texts[0]).alias("text"), F.lit("en").alias("lang"))
+    docs = make(texts).select("doc_id", "text", "lang").union(many)
+    sample = language_id.training_sample(docs, F.lit(True), per_language=40)
+    assert len(sample) == 40 == len(set(sample)) and language_id.training_sample(docs, F.lit(True), per_language=40) == sample
+    assert len(language_id.training_sample(docs, F.lit(True), per_language=500)) == 60
+    two = docs.union(make([prose(20, 900)]).select(F.lit(1).alias("doc_id"), "text", F.lit("de").alias("lang")))
+    assert {lang for lang, _ in language_id.training_sample(two, F.lit(True), languages=1)} == {"en"}
+
+
 def test_language_edges(make, edge_texts):
     docs = make([*edge_texts, "1234 !! ½ ²"], lang=["en", None] * 7)
     model = language_id.train(docs, language_id.learned_rows(), epochs=1)

@@ -10,6 +10,8 @@ Reader. It parses ID3v1 and ID3v2 tags, looks for frame headers, takes one as re
 follows where the frame ends, steps over damage to the next such place, verifies checks, reads Xing and VBRI tables, and
 gives exact durations (1,152 or 576 or 384 samples a frame) and each frame's offset.
 
+Frame offsets are stored whole, one number a frame. A file's sample rate is that of its first frame; the writer uses one.
+
 Cases: null text is the empty text, whose payload is 192 spaces. Equal texts give equal values. An empty table gives an
 empty result; columns other than doc_id and text are not read."""
 
@@ -155,7 +157,7 @@ def _frame(data: bytes, at: int) -> tuple[int, int, int, int, int, bool] | None:
 
 def parse(data: bytes) -> dict:
     """Tags, tables, frames and durations of an MPEG audio file; see the module's text for how it finds frames."""
-    out: dict = {"tags": {}, "frames": [], "damage": 0, "bad_checks": 0, "checked": 0, "samples": 0, "seconds": 0.0, "table": None, "rates": {}}
+    out: dict = {"tags": {}, "frames": [], "damage": 0, "bad_checks": 0, "checked": 0, "samples": 0, "seconds": 0.0, "hertz": None, "table": None, "rates": {}}
     at, end = 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         size = sum(b << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
@@ -217,6 +219,7 @@ def parse(data: bytes) -> dict:
             else:
                 out["frames"].append((at, length, body - at))
                 out["samples"] += samples
+                out["hertz"] = out["hertz"] or hertz
                 out["seconds"] += samples / hertz
                 out["rates"][kbit] = out["rates"].get(kbit, 0) + 1
             at, sure = after, True
@@ -258,8 +261,15 @@ def store(text: str | None) -> dict:
     return {"raw": raw, "media": media, "back": back, "found": found}
 
 
+_COLUMNS = {
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "n_frames": pa.int64(), "n_samples": pa.int64(), "sample_rate": pa.int64(), "duration_us": pa.int64(), "frame_offsets": pa.list_(pa.int64()), "media": pa.binary(),
+}
+
+
 def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, duration_us, and the file itself if asked for."""
+    """doc_id, what was stored and read back (n_bytes to feature), n_frames, the exact duration as n_samples at sample_rate a second
+    (duration_us rounds it), frame_offsets (where each audio frame begins), and the file itself if asked for."""
 
     def make():
         def work(texts: list) -> dict:
@@ -267,12 +277,14 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
             for text in texts:
                 s = store(text)
                 back, media, found = s["back"], s["media"], s["found"]
-                rows.append((len(s["raw"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features_of(media, found), len(found["frames"]), round(found["seconds"] * 1e6), media if with_media else None))
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_us", "media")
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-            return {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}
+                rows.append((
+                    len(s["raw"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features_of(media, found),
+                    len(found["frames"]), found["samples"], found["hertz"], round(found["seconds"] * 1e6), [f[0] for f in found["frames"]], media if with_media else None,
+                ))
+            return {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(_COLUMNS.items())}
 
         return work
 
-    out = map_texts(docs, make, "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames bigint, duration_us bigint, media binary")
+    kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<bigint>"}
+    out = map_texts(docs, make, ", ".join(f"{n} {kinds[k]}" for n, k in _COLUMNS.items()))
     return out if with_media else out.drop("media")

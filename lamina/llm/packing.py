@@ -6,8 +6,9 @@ are shared out over k windows: each item starts as a partition with one filled w
 largest spread are merged again and again, the fullest windows of one with the emptiest of the other. k starts at the
 least count that could hold the ids (by their sum, and by how many large items can share a window) and rises by one until no window exceeds the capacity, so windows are near equal and
 near full, and no batch depends on another. A count is given up as soon as a window exceeds the capacity. Nothing is
-shuffled; a sequence id is the partition's number and a count within it, and a lost task makes the same sequences again,
-as its batch is the same rows of the same input split.
+shuffled; a sequence id is the partition's number and a count within it. A lost task makes the same sequences again if its
+rows come in the same order: so it is for files, and for tables that written() made; write anything that a shuffle has
+left in no certain order first.
 
 Cases: null and empty texts are documents of one id (0). Equal rows are packed once each. An empty table gives an empty
 result. A null doc_id stays null. Columns other than doc_id and text are not read. A document of any length is cut, so

@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licences": licences.oracle_sql(), "op4_quality": quality.oracle_sql(), "op7_near": near_join.oracle_sql()}
+    return {"op3_licences": licences.oracle_sql(), "op4_quality": quality.oracle_sql(), "op7_near": near_join.oracle_sql(), "op9_urls": url_filter.oracle_sql()}

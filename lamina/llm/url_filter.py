@@ -9,8 +9,10 @@ columns other than page_id and url are not read."""
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
+from functools import partial
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,7 @@ BLOCKED = (
 )
 
 #: Size of the hashed feature space, lengths of the n-grams, and how training goes.
+_DIGIT, _md5 = re.compile("[0-9]"), partial(md5, usedforsecurity=False)
 BUCKETS, LENGTHS, ROUNDS, RATE, DECAY = 1 << 16, (3, 4, 5), 400, 2.0, 1e-4
 
 
@@ -73,12 +76,12 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """The distinct buckets of the character n-grams of host and of path; digits are one symbol, as page numbers tell nothing."""
+    """The distinct buckets of the character n-grams of host and of path; digits are one symbol, as page numbers tell nothing. A bucket is the first 16 bits of an n-gram's MD5."""
     grams = set()
     for mark, part in (("h", host), ("p", path)):
-        s = "^" + "".join("0" if c.isdigit() else c for c in part) + "$"
+        s = f"^{_DIGIT.sub('0', part)}$"
         grams.update(f"{mark}{s[i : i + n]}" for n in LENGTHS for i in range(max(1, len(s) - n + 1)))
-    return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams), np.int64))
+    return np.unique(np.array([int.from_bytes(_md5(g.encode("utf-8", "surrogatepass")).digest()[:2], "big") for g in grams], np.int64))
 
 
 def train(allowed=ALLOWED, blocked=BLOCKED) -> np.ndarray:
@@ -119,3 +122,25 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFra
     cut = pages.select("page_id", host_column(F.col("url")).alias("host"), path_column(F.col("url")).alias("path"))
     cut = cut.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
     return cut.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, block_probability double")
+
+
+def oracle_sql(rules=RULES, threshold: float = 0.5) -> str:
+    """The query's rows in DuckDB SQL: host, path and rule by expressions, the regression as a join of n-grams with the trained weights."""
+    weights = train()
+    rows = ", ".join(f"({i}, {float(weights[i])!r}::DOUBLE)" for i in np.flatnonzero(weights[:-1]).tolist())
+    rule = "CASE"
+    for r, _ in sorted(rules, key=lambda x: (len(x[0]), x[0]), reverse=True):
+        h, _, rest = r.partition("/")
+        rule += f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{rest}') THEN '{r}'"
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules)
+    gram = "SELECT page_id, rn, '{m}' || substr(s, i, n) AS g FROM (SELECT page_id, rn, s, n, unnest(range(1, 1 + greatest(1, len(s) - n + 1))) AS i FROM (SELECT page_id, rn, '^' || regexp_replace({c}, '[0-9]', '0', 'g') || '$' AS s, unnest([3, 4, 5]) AS n FROM u))"
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS rn, page_id, url, strpos(url, '://') AS sep FROM pages),
+r AS (SELECT rn, page_id, CASE WHEN sep > 0 THEN substr(url, sep + 3) END AS rest FROM p),
+u AS (SELECT rn, page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+w AS (SELECT * FROM (VALUES {rows}) v(b, w)),
+g AS (SELECT DISTINCT rn, ('0x' || substr(md5(g), 1, 4))::INTEGER AS b FROM ({gram.format(m="h", c="host")} UNION ALL {gram.format(m="p", c="path")})),
+x AS (SELECT rn, 1 / (1 + exp(-(coalesce(sum(w), 0) / sqrt(count(*)) + {float(weights[-1])!r}))) AS chance FROM g LEFT JOIN w USING (b) GROUP BY rn),
+v AS (SELECT u.*, {rule} ELSE NULL END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE WHEN chance >= {threshold} THEN 'block' ELSE 'allow' END END AS verdict FROM v JOIN x USING (rn)"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -209,6 +210,34 @@ def test_media_documents(make, edge_texts):
     assert media.media_columns(make([])).count() == 0
 
 
+def plain_frames(data):
+    """(offset, length) of the frames of a file that the writer made: after the tag and the first frame, one after the other by their bit rate."""
+    at = 10 + sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0)))
+    out = []
+    while at < len(data):
+        kbit = media.RATES[1, 3][(data[at + 2] >> 4) - 1]
+        out.append((at, 1152 * kbit * 1000 // 8 // 48000))
+        at += out[-1][1]
+    assert at == len(data)
+    return out[1:], out[0]
+
+
+def test_media_features_match_the_plain_way(make, edge_texts):
+    rows = media.media_columns(make(edge_texts), with_media=True).collect()
+    for r in rows:
+        frames, (first, size) = plain_frames(r["media"])
+        offsets = [a for a, _ in frames]
+        assert r["frame_offsets"] == offsets and r["n_frames"] == len(frames)
+        assert (r["n_samples"], r["sample_rate"]) == (1152 * len(frames), 48000) and r["duration_us"] == 24_000 * len(frames)
+        rates = Counter(media.RATES[1, 3][(r["media"][a + 2] >> 4) - 1] for a in offsets)
+        want = {
+            "frames": len(frames), "samples": 1152 * len(frames), "seconds": f"{len(frames) * 0.024:.6f}", "kbit": ",".join(f"{k}:{rates[k]}" for k in sorted(rates)), "vbr": "Xing", "table_frames": len(frames),
+            "table_bytes": size + sum(n for _, n in frames), "info_ok": 1, "music_ok": 1, "checked": len(frames) + 1, "bad": 0, "damage": 0,
+            "offsets_crc": zlib.crc32(b"".join(x.to_bytes(8, "little") for x in offsets)), "seek": ",".join(str(offsets[k * len(offsets) // 10]) for k in range(10)),
+        }
+        assert dict(x.split("=", 1) for x in r["feature"].split(";")) == {k: str(v) for k, v in want.items()}
+
+
 CASES = [
     (None, "", "", None), ("no scheme.com/en/", "", "", None), ("http://Example.COM/en/x?y#z", "example.com", "/en/x", "example.com/en/"), ("https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/"),
     ("https://a.www.example.com/en/q", "a.www.example.com", "/en/q", "www.example.com/en/"), ("http://b.example.com/EN/", "b.example.com", "/EN/", "com/"), ("http://x.net/es/1", "x.net", "/es/1", "net/es/"),
@@ -229,6 +258,36 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def plain_chance(weights, host, path):
+    """Each n-gram of host and path by itself."""
+    seen = []
+    for mark, part in (("h", host), ("p", path)):
+        s = "^" + "".join("0" if c in "0123456789" else c for c in part) + "$"
+        for n in (3, 4, 5):
+            for i in range(max(1, len(s) - n + 1)):
+                b = int(hashlib.md5((mark + s[i : i + n]).encode()).hexdigest()[:4], 16)
+                if b not in seen:
+                    seen.append(b)
+    x = sum(weights[b] for b in seen) / len(seen) ** 0.5 + weights[-1]
+    return 1 / (1 + np.exp(-x))
+
+
+def test_urls_match_the_plain_way_and_sql(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    more = spark.createDataFrame([(10**6 + i, c[0]) for i, c in enumerate([*CASES, ("https://ÉCOLE.fr/½²/９", "", "", None)])], "page_id bigint, url string")
+    docs = pages.union(more)
+    weights = url_filter.train()
+    got = url_filter.judge_urls(docs).collect()
+    for r in got:
+        if r["rule"] is None:
+            p = plain_chance(weights, r["host"], r["path"])
+            assert abs(r["block_probability"] - p) < 1e-9 and r["verdict"] == ("block" if p >= 0.5 else "allow")
+    c = duckdb.connect()
+    pages = docs.toPandas()  # noqa: F841
+    want = c.sql(url_filter.oracle_sql()).fetchall()
+    assert sorted((tuple(r[:5]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_url_model_generalises():
     w = url_filter.train()
     blocked = ["m.cheap-pills.example.net", "www.free-bets.example.org", "adult-x.example.net", "blog.spam-farm.example.org", "casino-bonus.org"]

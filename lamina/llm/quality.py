@@ -1,12 +1,13 @@
 """Quality rules: counts of each text, and cross-document line frequency by host.
 
 A line is normalised (lower case, white space collapsed, trimmed) and hashed. For each host (source; null is a host of
-its own) the distinct texts with that line are counted. A line is boilerplate of its host if more than
-max(`least_docs`, `share` x the host's distinct texts) of them have it. It is removed from every document of the host but
+its own) the distinct documents with that line are counted. A line is boilerplate of its host if more than
+max(`least_docs`, `share` x the host's distinct documents) of them have it. It is removed from every document of the host but
 the one with the smallest doc_id, so what a page was copied from stays. A document whose base rules fail, or that has
 fewer than `least_words` words left, is rejected; the words of removed lines do not count as left.
 
-Copies of one text are one text here: that a text occurs often is for deduplication to judge.
+A document is a doc_id with a text, so equal rows are one document and copies under several doc_ids are several. With
+`copies_count` off, distinct texts are counted instead, and copies are left to deduplication.
 
 Cases: null and empty texts have no words and fail the base rules. Lines without a word are never removed. Equal rows get
 equal verdicts. Empty tables give empty results. Only doc_id, text and source are read. A line that a third of all
@@ -102,11 +103,13 @@ def profiles(docs: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, f"doc_id {kind}, host string, t bigint, {_PROFILE}")
 
 
-def boilerplate(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def boilerplate(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, copies_count: bool = True) -> DataFrame:
     """host, h and the smallest doc_id of each line above the limits."""
-    # the count of distinct texts by host and of distinct texts by line, each in two steps: a line that all have is spread by text first
-    hosts = found.groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
-    lines = found.select("host", "t", "doc_id", F.explode("lines.h").alias("h")).groupBy("host", "h", "t").agg(F.min("doc_id").alias("first_doc"))
+    # documents by host and by line are counted in two steps: a line that all have is spread by document first, then added up from partial sums
+    one = ["t"] + ["doc_id"] * copies_count
+    hosts = found.groupBy("host", *one).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
+    lines = found.select("host", "t", "doc_id", F.explode("lines.h").alias("h"))
+    lines = lines.groupBy("host", "h", *one).agg(F.min("doc_id").alias("first_doc"))
     lines = lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc")).where(F.col("n") > least_docs)
     limits = hosts.select(F.col("host").alias("host2"), F.greatest(F.lit(float(least_docs)), F.col("texts") * share).alias("most"))
     return lines.join(limits, F.col("host").eqNullSafe(F.col("host2"))).where(F.col("n") > F.col("most")).select("host", "h", "first_doc")
@@ -130,16 +133,16 @@ def verdicts(found: DataFrame, bad: DataFrame, least_words: int = LEAST_WORDS) -
     )
 
 
-def judge_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def judge_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS, copies_count: bool = True) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept, and the hash `t` and lines to remove."""
     found = written(profiles(docs), "quality")
-    return verdicts(found, boilerplate(found, least_docs, share), least_words).drop("lines")
+    return verdicts(found, boilerplate(found, least_docs, share, copies_count), least_words).drop("lines")
 
 
-def keep_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def keep_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS, copies_count: bool = True) -> DataFrame:
     """The kept rows of docs with all their columns; boilerplate lines are taken out of text, and n_chars follows."""
     d, t, h, lines = "_lamina_d", "_lamina_t", "_lamina_h", "_lamina_lines"
-    judged = judge_documents(docs, least_docs, share, least_words).where("kept")
+    judged = judge_documents(docs, least_docs, share, least_words, copies_count).where("kept")
     judged = judged.select(F.col("doc_id").alias(d), F.col("t").alias(t), F.col("host").alias(h), F.col("removed_lines").alias(lines)).distinct()
     same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)) & F.col("source").cast("string").eqNullSafe(F.col(h))
     rows = docs.join(judged, same).select(*columns_of(docs), lines)
@@ -163,8 +166,9 @@ def keep_documents(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float =
     return map_rows(rows, run, len(names))
 
 
-def oracle_sql(least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS) -> str:
+def oracle_sql(least_docs: int = LEAST_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS, copies_count: bool = True) -> str:
     """The query's rows in DuckDB SQL."""
+    one = "row(doc_id, body)" if copies_count else "coalesce(body, chr(0))"
     word = "'[^\\x20\\x09-\\x0D]+'"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source AS host, text AS body, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
@@ -174,8 +178,8 @@ g AS (SELECT rn, i, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT rn,
 c AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, gram) AS k FROM g) WHERE k > 1),
 rep AS (SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest(range(i, i + 5)) AS p FROM c) GROUP BY rn),
 dup AS (SELECT rn, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rn),
-hosts AS (SELECT host, count(DISTINCT coalesce(body, chr(0))) AS texts FROM d GROUP BY host),
-bad AS (SELECT f.host, h, first_doc FROM (SELECT host, h, count(DISTINCT body) AS n, min(doc_id) AS first_doc FROM l GROUP BY host, h) f
+hosts AS (SELECT host, count(DISTINCT {one}) AS texts FROM d GROUP BY host),
+bad AS (SELECT f.host, h, first_doc FROM (SELECT host, h, count(DISTINCT {one}) AS n, min(doc_id) AS first_doc FROM l GROUP BY host, h) f
         JOIN hosts ON f.host IS NOT DISTINCT FROM hosts.host WHERE f.n > greatest({least_docs}, {share} * texts)),
 gone AS (SELECT rn, sum(l.n) AS n FROM l JOIN bad ON l.host IS NOT DISTINCT FROM bad.host AND l.h = bad.h WHERE l.doc_id IS DISTINCT FROM first_doc GROUP BY rn),
 b AS (SELECT d.rn, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,

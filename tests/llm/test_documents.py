@@ -156,6 +156,21 @@ def test_boilerplate_lines_go(make):
     assert sorted(tuple(r[n] for n in names) for r in got.values()) == sorted(c.sql(quality.oracle_sql()).fetchall())
 
 
+@pytest.mark.parametrize("copies_count", [True, False])
+def test_copies_count_as_documents_unless_told_otherwise(make, copies_count):
+    text = f"{prose(30, 1)}\nsome line that copies carry along"
+    texts = [*[text] * 40, *[prose(30, i) for i in range(2, 30)], None, ""]
+    docs = make([*texts, text, text, None], [*range(len(texts)), 5, 5, None])
+    got = quality.judge_documents(docs, copies_count=copies_count).collect()
+    assert {r["removed_words"] for r in got if r["doc_id"] == 5} == ({36} if copies_count else {0})
+    assert sum(r["kept"] for r in got) == (29 if copies_count else 70)
+    c = duckdb.connect()
+    documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept"]
+    want = c.sql(quality.oracle_sql(copies_count=copies_count)).fetchall()
+    assert sorted((tuple(r[n] for n in names) for r in got), key=str) == sorted(((None if x[0] is None or x[0] != x[0] else int(x[0]), *x[1:]) for x in want), key=str)
+
+
 def test_quality_edges(make, edge_texts):
     docs = make(edge_texts, [None, *range(1, len(edge_texts))], source=None)
     assert quality.judge_documents(docs).count() == len(edge_texts)

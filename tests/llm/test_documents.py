@@ -122,6 +122,61 @@ def test_licences_match_the_plain_way(make, edge_texts):
     assert licences.scan_licences(make([])).count() == 0
 
 
+def test_wrapped_notices_are_found():
+    """Every template, wrapped at several widths amid prose, as it stands and with a few words changed."""
+    import textwrap
+
+    scanner = licences.Scanner()
+    for name, text in licences.TEMPLATES.items():
+        for k, width in enumerate((72, 40, 10_000)):
+            inside = f"{prose(60, k)}\n" + "\n".join(f"# {x}" for x in textwrap.wrap(text, width)) + f"\n{prose(60, 9 + k)}"
+            best, score, found = scanner.scan(inside)
+            assert name in found and score == 1.0, (name, width)
+        words = text.split()
+        if len(words) > 60:
+            words[20:22] = ["some", "body"]
+            assert name in scanner.scan(f"{prose(20, 1)}\n{chr(10).join(words)}\n{prose(20, 2)}")[2], name
+    assert scanner.scan(licences.TEMPLATES["bsd-2-clause"])[0] == "bsd-2-clause" and scanner.scan(licences.TEMPLATES["bsd-3-clause"])[0] == "bsd-3-clause"
+    assert scanner.scan(prose(500, 3)) == (None, 0.0, [])
+
+
+def plain_best(text, templates, t=licences.THRESHOLD):
+    """All parts and all windows by plain sets."""
+    import re
+
+    words = re.findall("[a-z0-9]+", text.lower())
+    parts = [text, *text.split("\n"), *(x for line in text.split("\n") for x in re.split(r"(?<=[.!?])[ \t]+", line))]
+    out = {}
+    for name, body in templates.items():
+        b = licences.bigrams(body.lower())
+        n = len(re.findall("[a-z0-9]+", body.lower()))
+        sets = [licences.bigrams(p.lower()) for p in parts] + [frozenset(zip(w, w[1:])) for i in range(len(words) - n + 1) for w in [words[i : i + n]]]
+        score = max((2 * len(a & b) / (len(a) + len(b)) for a in sets), default=0)
+        if score >= t:
+            out[name] = score
+    return out
+
+
+def test_windows_match_plain_sets(make):
+    templates = {"one": "the quick brown fox jumps over the lazy dog and the quick brown cat", "two": "permission is hereby granted to any person", "three": "to be or not to be or to be not"}
+    words = " ".join(templates.values()).split()
+    r = np.random.default_rng(6)
+    texts = []
+    for i in range(120):
+        body = [str(w) for w in r.choice([*words, "x1", "y2"], int(r.integers(0, 40)))]
+        body[len(body) // 2 : len(body) // 2] = [w for w in templates[list(templates)[i % 3]].split() if r.random() > 0.08]
+        texts.append("".join(w + str(r.choice([" ", "\n", ". ", "  "], p=[0.8, 0.1, 0.05, 0.05])) for w in body))
+    scanner = licences.Scanner(templates)
+    for t in texts:
+        want = plain_best(t, templates)
+        best = min(want, key=lambda k: (-want[k], k)) if want else None
+        assert scanner.scan(t) == (best, want.get(best, 0.0), sorted(want))
+    docs = make([*texts, None, "", "word"])
+    c = duckdb.connect()
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    assert sorted(map(tuple, licences.scan_licences(docs, templates).collect()), key=str) == sorted(c.sql(licences.oracle_sql(templates)).fetchall(), key=str)
+
+
 def plain_counts(text):
     import re
 

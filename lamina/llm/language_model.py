@@ -2,19 +2,27 @@
 
 Level 1 holds the 63-bit hashes of all training words in order (the place in that order is the word's id) and their counts.
 Level k holds for each context, an entry of level k - 1, its successors: pointers to where each context's successors begin
-(monotone), the successors' ids within their context (monotone, as they rise with the context), a 16-bit code of each successor's
-smoothed probability and one of the mass that each context leaves to its suffix. All sequences are Elias-Fano coded:
-low bits packed, high bits in unary with counts by word. A level lies in shards, files in the shared folder that executors map
-into memory. A successor is searched by the context's place and the word's id: select finds the few entries of equal high bits, and
-bisection over their low bits finds the entry.
-
-Probabilities are interpolated with absolute discounting: p(w | c) = max(n(cw) - D, 0) / n(c) + left(c) p(w | shorter c), and
-p(w) = (n(w) + 1) / (N + V + 1). Every n-gram of the training texts is kept. A caller may ask for a floor, `min_count`: n-grams of two
-words and more are then kept from that many occurrences on, and what is cut goes to left(c), so probabilities still sum to one. As an
-n-gram is no more frequent than its parts, only parts that were kept are counted.
-
-Each level is counted by one pass over the training texts. Tasks send sorted (key, count) blocks to the shard of their
-context, keys as differences and all numbers byte by byte, which Spark's compression makes small; a shard adds them up and writes its file. What reaches the driver is one row for a shard.
+(monotone), the successors' ids within their context (monotone, as they rise with the context), a 16-bit code of each
+successor's smoothed probability and one of the mass that each context leaves to its suffix. All sequences, counts as their
+sums too, are Elias-Fano coded: low bits packed, high bits in unary with counts by word. A successor is searched within its
+context: select finds the few entries of equal high bits, and bisection over their low bits finds the entry.
+
+Probabilities. Every n-gram of the training texts is kept, whatever its count. p(w | c) = a(cw) + left(c) p(w | shorter c),
+a(cw) = (1 - left(c)) n(cw) / n(c), and p(w) = (n(w) + 1) / (N + V + 1). left is estimated by leaving one out, for each order
+and each range of n(c): the share of the training tokens after such contexts whose n-gram is seen but once, so would be
+unknown without that token (Jelinek and Mercer's interpolation). A context that was seen once leaves everything, so a text
+is not known by heart because it was learned from; one that occurs twice is. The sums run over all shards, so a score does
+not depend on how many there are.
+
+Plan. Nothing is collected but one row a shard, and no worker holds more of the model than the shard it serves.
+1. Tasks cut texts into words and write them in chunks of some 16 million characters, as numbers, to files in the shared folder.
+2. Each chunk sends its distinct words with their counts to shards by hash range, which write level 1; then it asks for ids.
+3. Each chunk sends its distinct training bigrams, each with the words that follow it, to the shard of the bigram's hash.
+   A shard adds them up and writes its part of levels 2 and 3, whose contexts lie in the same shard. A bigram that all texts
+   have is one entry a chunk, so no shard grows with a word's or a bigram's frequency but through distinct successors.
+4. With the sums of step 3, shards code probabilities.
+5. Each chunk sends the n-grams it wants to their shards; these map their file into memory, search, and send codes back.
+The numbers of shards follow the number of tokens (`SHARD_TOKENS`), and rows are dealt by shard number, one shard to a task.
 
 Cases: null text is the empty text, which is its end token alone. With no training text N and V are 0, and every token has base
 probability 1. A null doc_id is neither held out nor learned from. Equal rows get equal scores; empty tables give empty results;
@@ -22,6 +30,8 @@ only doc_id and text are read. Texts of any length are scored whole."""
 
 from __future__ import annotations
 
+import dataclasses
+import gc
 import json
 import mmap
 import os
@@ -33,16 +43,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, fresh_path, map_texts
+from .common import chunks, crc_mod, fresh_path, written
 
-ORDER, MIN_COUNT, DISCOUNT, STEP = 3, 1, 0.75, 2048
+ORDER, STEP = 3, 2048
 #: Stands for the end of a text; no word can have a line break.
 END = b"\n"
-#: Entries that a task gathers before it adds up equal keys, and that it may hold after that.
-GATHER, HOLD = 4_000_000, 2_000_000
+#: Characters of a chunk of texts; tokens to a shard of level 1 and of the higher levels.
+CHUNK_TEXT, WORD_SHARD_TOKENS, SHARD_TOKENS = 16_000_000, 16_000_000, 4_000_000
+#: Ranges of context counts: each count up to 8, then two to a doubling.
+RANGES = 136
+#: The code of no probability at all.
+NOTHING = 65535
 _ONE = np.uint64(1)
 
 
@@ -153,7 +169,7 @@ def _store(path: str):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def put_arrays(path: str, arrays: list[np.ndarray]) -> None:
@@ -193,134 +209,64 @@ def map_arrays(path: str) -> list[np.ndarray]:
     return out
 
 
-# ---- the model -----------------------------------------------------------------------------------------------------
+def _exists(path: str) -> bool:
+    from pyarrow import fs
 
+    store, at = _store(path)
+    return store.get_file_info(at).type == fs.FileType.File
 
-def code(p: np.ndarray) -> np.ndarray:
-    """16-bit codes of probabilities: -log10 in steps of 1 / 2048."""
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, 65535).astype(np.uint16)
 
+def _delete(path: str) -> None:
+    store, at = _store(path)
+    store.delete_file(at)
 
-class Words:
-    """A shard of level 1."""
 
-    def __init__(self, arrays: list[np.ndarray]):
-        self.hashes, self.counts = EliasFano.load(arrays[:5]), arrays[5]
+# ---- numbers as bytes ----------------------------------------------------------------------------------------------
 
 
-class Grams:
-    """A shard of a higher level: contexts from `first` on."""
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers from 0 on: each in the least width, all first bytes, all second ones, and so on, compressed."""
+    head, body = [], []
+    for x in arrays:
+        most = int(x.max()) if len(x) else 0
+        width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+        head += [width, len(x)]
+        body.append(x.astype(f"<u{width}").view(np.uint8).reshape(len(x), width).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(head) + 1}Q", len(arrays), *head) + b"".join(body))
 
-    def __init__(self, arrays: list[np.ndarray]):
-        self.contexts, self.pointers, self.followers = (EliasFano.load(arrays[i : i + 5]) for i in (0, 5, 10))
-        self.codes, self.left = arrays[15], arrays[16]
 
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = struct.unpack_from("<Q", raw)[0]
+    head = struct.unpack_from(f"<{2 * n}Q", raw, 8)
+    out, at = [], 8 + 16 * n
+    for width, size in zip(head[::2], head[1::2], strict=True):
+        planes = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1).astype(np.int64))
+        at += width * size
+    return out
 
-class Trie:
-    """All levels. `levels` has a row (path, entries before it) for each shard, `spans` the width of a shard's share of keys; files are mapped when first used."""
-
-    def __init__(self, levels: list[list[tuple[str, int]]], spans: list[int], words: int, tokens: int):
-        self.levels, self.spans, self.words, self.tokens = levels, spans, words, tokens
-        self.open: dict[tuple[int, int], Words | Grams | None] = {}
-
-    def __getstate__(self):
-        return (self.levels, self.spans, self.words, self.tokens)
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def shard(self, level: int, k: int):
-        if (level, k) not in self.open:
-            path, _ = self.levels[level][k]
-            self.open[level, k] = (Grams if level else Words)(map_arrays(path)) if path else None
-        return self.open[level, k]
-
-    def _by_shard(self, level: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Shards and the places of the keys that belong to them; keys are sorted."""
-        part = keys // self.spans[level]
-        cut = np.flatnonzero(np.diff(part)) + 1
-        for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
-            if z > a and 0 <= part[a] < len(self.levels[level]):
-                yield int(part[a]), slice(a, z)
-
-    def find_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of sorted word hashes."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for k, at in self._by_shard(0, hashes):
-            if s := self.shard(0, k):
-                found = s.hashes.search(hashes[at] - k * self.spans[0])
-                hit = found >= 0
-                ids[at] = np.where(hit, found + self.levels[0][k][1], -1)
-                counts[at] = np.where(hit, s.counts[np.maximum(found, 0)], 0)
-        return ids, counts
 
-    def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of word ids."""
-        before = np.array([b for _, b in self.levels[0]] + [self.words])
-        part = np.searchsorted(before, ids, "right") - 1
-        out = np.zeros(len(ids), np.int64)
-        for k in np.unique(part).tolist():
-            at = part == k
-            out[at] = self.shard(0, k).counts[ids[at] - before[k]]
-        return out
+def code(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities: -log10 in steps of 1 / 2048; the last code is 0."""
+    return np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, NOTHING - 1), NOTHING).astype(np.uint16)
 
-    def find(self, level: int, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(entry or -1, code of its probability, code of what the context leaves to others, 0 for unknown contexts), for pairs sorted by context."""
-        entry, got, left = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for k, at in self._by_shard(level, contexts):
-            if not (s := self.shard(level, k)):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], contexts[at][1:] != contexts[at][:-1]]))
-            own = contexts[at][start]
-            place = s.contexts.search(own - k * self.spans[level])
-            place = np.repeat(place, np.diff(np.append(start, at.stop - at.start)))
-            known = place >= 0
-            where = np.flatnonzero(known)
-            found = s.followers.search(place[where] * self.words + ids[at][where])
-            hit = found >= 0
-            entry[at.start + where[hit]] = found[hit] + self.levels[level][k][1]
-            got[at.start + where[hit]] = s.codes[found[hit]]
-            left[at.start + where] = s.left[place[where]]
-        return entry, got, left
-
-    def known(self, level: int, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """find() for pairs in any order."""
-        key = contexts * self.words + ids
-        own, back = np.unique(key, return_inverse=True)
-        return tuple(x[back] for x in self.find(level, own // self.words, own % self.words))
-
-    def successors(self, level: int, context: int) -> list[tuple[int, float]]:
-        """(word id, probability) of all that was kept after a context, an entry of the level below; its pointers bound them."""
-        for k, _ in self._by_shard(level, np.array([context], np.int64)):
-            if s := self.shard(level, k):
-                place = s.contexts.search(np.array([context - k * self.spans[level]]))
-                if place[0] >= 0:
-                    start, stop = s.pointers.get(place + np.array([0, 1])).astype(np.int64).tolist()
-                    ids = s.followers.get(np.arange(start, stop)) - np.uint64(int(place[0]) * self.words)
-                    return list(zip(ids.tolist(), (10 ** (s.codes[start:stop].astype(np.int64) / -STEP)).tolist(), strict=True))
-        return []
-
-    def log10(self, ids: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Log-probability of every token; begins: whether a token is the first of its text."""
-        out = np.log10((counts + 1) / (self.tokens + self.words + 1))
-        context, fresh = ids, begins.copy()
-        for level in range(1, len(self.levels)):
-            # the context of a token is the entry that ends at the token before it
-            before = np.concatenate([[-1], context[:-1]])
-            at = np.flatnonzero(~fresh & (before >= 0))
-            entry = np.full(len(ids), -1, np.int64)
-            if len(at):
-                # words that are unknown have no entry, but their contexts still pass on what they leave
-                e, got, left = self.known(level, before[at], np.where(ids[at] < 0, self.words - 1, ids[at]))
-                e = np.where(ids[at] < 0, -1, e)
-                out[at] = np.where(e >= 0, -got / STEP, out[at] - left / STEP)
-                entry[at] = e
-            context, fresh = entry, fresh | np.concatenate([[True], fresh[:-1]])
-        return out
+
+def value(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == NOTHING, 0.0, 10.0 ** (codes.astype(np.float64) / -STEP))
+
+
+def range_of(n: np.ndarray) -> np.ndarray:
+    """The range that each count lies in."""
+    n = np.asarray(n, np.int64)
+    return np.where(n <= 8, n, np.floor(2 * np.log2(np.maximum(n, 1))).astype(np.int64) + 3)
+
+
+# ---- words of texts ------------------------------------------------------------------------------------------------
 
 
 def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens of all texts, each text's count)."""
+    """(63-bit hashes of all tokens of all texts, each text's count)."""
     every: list[bytes] = []
     sizes = np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -331,231 +277,565 @@ def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, len(every)) >> _ONE, sizes
 
 
-def _known_words(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, back = np.unique(hashes.astype(np.int64), return_inverse=True)
-    ids, counts = trie.find_words(own)
-    return ids[back], counts[back]
+class Grams:
+    """The distinct bigrams and trigrams of some texts, in terms of the places of words in a table of `n_own` words.
 
+    pairs and triples are sorted: a pair is first x n_own + second, a triple is the place of its first pair x n_own + third.
+    pair_at and triple_at have the place of the pair and the triple that end at a token, -1 where a text has just begun."""
 
-def _bytes_of(values: np.ndarray, kind: str) -> bytes:
-    """Numbers as all their first bytes, then all their second ones, and so on."""
-    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, n_own: int, order: int):
+        n = len(tokens)
+        begins = np.zeros(n, bool)
+        begins[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)[sizes > 0]] = True
+        self.pair_at, self.triple_at = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        at = np.flatnonzero(~begins)
+        self.pairs, self.pair_at[at] = np.unique(tokens[at - 1] * n_own + tokens[at], return_inverse=True)
+        self.triples = np.empty(0, np.int64)
+        if order > 2:
+            at = at[self.pair_at[at - 1] >= 0]
+            self.triples, self.triple_at[at] = np.unique(self.pair_at[at - 1] * n_own + tokens[at], return_inverse=True)
+        self.first, self.second = self.pairs // max(1, n_own), self.pairs % max(1, n_own)
+        self.parent, self.third = self.triples // max(1, n_own), self.triples % max(1, n_own)
 
 
-def _numbers_of(raw: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+_DIRECTORY = "part int, chunk bigint, path string, at bigint, size bigint, tokens bigint, learned bigint, docs array<{d}>"
 
 
-def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    return k[at], np.add.reduceat(c, at) if len(at) else c
+@dataclasses.dataclass
+class Prepared:
+    """Texts as chunks of numbers: a written table with a row for each chunk, the numbers of tasks that made it and of tokens, and the folder."""
 
+    directory: DataFrame
+    parts: int
+    tokens: int
+    folder: str
+    words: DataFrame | None = None
 
-def _count_pass(train: DataFrame, trie: Trie | None, level: int, shards: int, span: int, min_count: int) -> DataFrame:
-    """(shard, keys, counts) blocks of a level's n-grams; a key is the word's hash, or context x words + word."""
 
-    def blocks(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (k if level == 0 else k // trie.words) // span
-        cut = (np.flatnonzero(np.diff(part)) + 1).tolist()
-        for a, z in zip([0, *cut], [*cut, len(k)], strict=True):
-            if z > a:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([_bytes_of(np.diff(k[a:z], prepend=0), "<i8")], pa.binary()), pa.array([_bytes_of(c[a:z], "<u4")], pa.binary())], names=["shard", "k", "n"])
+def prepared(docs: DataFrame, learn=None, chunk_text: int | None = None) -> Prepared:
+    """Cuts the texts of docs into words and writes them in chunks; `learn` says which rows a model is to learn from."""
+    spark = docs.sparkSession
+    folder, chunk_text = fresh_path(spark, "texts"), chunk_text or CHUNK_TEXT
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        part, count = TaskContext.get().partitionId(), 0
+        store, base = _store(folder)
+        path, stream, at = f"texts-{part}-{uuid.uuid4().hex}", None, 0
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal stream, at, held, size, count
+            if stream is None:
+                store.create_dir(base, recursive=True)
+                stream = store.open_output_stream(f"{base}/{path}")
+            own, tokens = np.unique(np.concatenate([h for _, h, _, _ in held]).astype(np.int64), return_inverse=True)
+            sizes, learned = np.concatenate([n for _, _, n, _ in held]), np.concatenate([x for _, _, _, x in held])
+            blob = pack([np.diff(own, prepend=0), tokens, sizes, learned.astype(np.int64)])
+            stream.write(blob)
+            docs_of = pa.concat_arrays([d for d, _, _, _ in held])
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([part << 33 | count], pa.int64()), pa.array([path]), pa.array([at], pa.int64()), pa.array([len(blob)], pa.int64()),
+                 pa.array([len(tokens)], pa.int64()), pa.array([int(sizes[learned].sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs_of)], pa.int32()), docs_of)],
+                names=["part", "chunk", "path", "at", "size", "tokens", "learned", "docs"],
+            )
+            at, held, size, count = at + len(blob), [], 0, count + 1
+            return row
+
         for b in batches:
             texts = b.column("text").to_pylist()
             for s in chunks(texts):
-                h, sizes = tokens_of(texts[s])
-                if level:
-                    h = _grams(trie, h, sizes, level, min_count)
-                k, c = np.unique(h.astype(np.int64), return_counts=True)
-                keys.append(k), counts.append(c)
-                held += len(k)
-                if held > GATHER:
-                    k, c = _add_up(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > HOLD:
-                        yield from blocks(k, c)
-                        keys, counts, held = [], [], 0
-        yield from blocks(*_add_up(keys, counts))
-
-    return train.select("text").mapInArrow(run, "shard int, k binary, n binary")
-
-
-def _grams(trie: Trie, hashes: np.ndarray, sizes: np.ndarray, level: int, min_count: int) -> np.ndarray:
-    """Keys of the n-grams of level + 1 words whose parts were kept."""
-    ids, counts = _known_words(trie, hashes)
-    ids = np.where(counts >= min_count, ids, -1)
-    begins = np.zeros(len(ids), bool)
-    begins[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
-    context, fresh, inner = ids, begins, ids >= 0
-    for k in range(1, level + 1):
-        before = np.concatenate([[-1], context[:-1]])
-        ok = ~fresh & (before >= 0) & inner
-        if k == level:
-            return before[ok] * trie.words + ids[ok]
-        at = np.flatnonzero(ok)
-        entry = np.full(len(ids), -1, np.int64)
-        if len(at):
-            entry[at] = trie.known(k, before[at], ids[at])[0]
-        context, fresh = entry, fresh | np.concatenate([[True], fresh[:-1]])
-        inner = inner & (entry >= 0)
-    return np.empty(0, np.int64)
-
-
-def _write_level(blocks: DataFrame, trie: Trie | None, level: int, span: int, folder: str, min_count: int, discount: float, more: bool) -> list:
-    """Adds up each shard's blocks and writes its file, with counts if there are `more` levels to come; one row for a shard comes back."""
-
-    def build(k: int, keys: np.ndarray, counts: np.ndarray) -> tuple[str, int, int]:
-        path = f"{folder}/level{level}-{k}"
-        if level == 0:
-            put_arrays(path, [*EliasFano.of(keys - k * span, span).arrays(), counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts])
-            return path, len(keys), int(counts.sum())
-        kept = counts >= min_count
-        keys, counts = keys[kept], counts[kept]
-        if not len(keys):
-            return "", 0, 0
-        context, word = keys // trie.words, keys % trie.words
-        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        own = context[start]
-        sizes = np.diff(np.append(start, len(keys)))
-        total = np.repeat(_context_counts(trie, level, own), sizes)
-        sure = np.maximum(counts - discount, 0) / total
-        left = np.maximum(1 - np.add.reduceat(sure, start), 1e-9)
-        p = sure + np.repeat(left, sizes) * 10 ** _shorter(trie, level, context, word)
-        place = np.repeat(np.arange(len(own)), sizes)
-        put_arrays(
-            path,
-            [*EliasFano.of(own - k * span, span).arrays(), *EliasFano.of(np.append(start, len(keys)), len(keys) + 1).arrays(),
-             *EliasFano.of(place * trie.words + word, len(own) * trie.words).arrays(), code(np.minimum(p, 1)), code(left), counts.astype(np.uint32)[: None if more else 0]],
-        )
-        return path, len(keys), int(counts.sum())
+                n = sum(len(t) for t in texts[s] if t)
+                if held and size + n > chunk_text:
+                    yield flush()
+                size += n
+                some = b.slice(s.start, s.stop - s.start)
+                held.append((some.column("doc_id"), *tokens_of(texts[s]), some.column("learn").to_numpy(zero_copy_only=False).astype(bool)))
+        if held:
+            yield flush()
+        if stream is not None:
+            stream.close()
+
+    rows = docs.select("doc_id", "text", F.coalesce(learn if learn is not None else F.lit(False), F.lit(False)).alias("learn"))
+    directory = written(rows.mapInArrow(run, _DIRECTORY.format(d=kind)), "chunks")
+    n = directory.agg(F.max("part").alias("part"), F.sum("tokens").alias("tokens")).first()
+    return Prepared(directory, (n["part"] or 0) + 1, n["tokens"] or 0, folder)
+
+
+def _read(folder: str, path: str, at: int, size: int) -> list[np.ndarray]:
+    """(own words' hashes, tokens as places among them, tokens of each text, which texts are learned from) of a chunk."""
+    store, base = _store(folder)
+    with store.open_input_file(f"{base}/{path}") as f:
+        f.seek(at)
+        own, tokens, sizes, learned = unpack(f.read(size))
+    return [np.cumsum(own), tokens, sizes, learned.astype(bool)]
+
+
+# ---- the model -----------------------------------------------------------------------------------------------------
+
+
+class Words:
+    """A shard of level 1."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.hashes, self.counts = EliasFano.load(arrays[:5]), arrays[5]
+
+
+class Levels:
+    """A shard of levels 2 and 3: the bigrams whose hash falls to it, and all that follow them."""
+
+    def __init__(self, arrays: list[np.ndarray], words: int):
+        self.words = words
+        self.contexts, self.pointers, self.followers, self.sums, self.pointers3, self.followers3, self.sums3 = (EliasFano.load(arrays[i : i + 5]) for i in range(0, 35, 5))
+        self.context_counts = arrays[35]
+        self.codes, self.left, self.codes3 = arrays[36:39] if len(arrays) > 36 else (None, None, None)
+
+    @staticmethod
+    def counts_of(sums: EliasFano) -> np.ndarray:
+        return np.diff(sums.get(np.arange(sums.n)).astype(np.int64), prepend=0)
+
+    def entries(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Entries of bigrams, -1 where they are unknown; rows of one first word lie together."""
+        if not len(first):
+            return np.empty(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        place = np.repeat(self.contexts.search(first[start]), np.diff(np.append(start, len(first))))
+        out = np.full(len(first), -1, np.int64)
+        at = np.flatnonzero(place >= 0)
+        out[at] = self.followers.search(place[at] * self.words + second[at])
+        return out
+
+    def successors(self, context: int) -> list[tuple[int, int]]:
+        """(word id, code) of what follows an entry of level 2; its pointers bound them."""
+        a, z = self.pointers3.get(np.array([context, context + 1])).astype(np.int64).tolist()
+        at = np.arange(a, z)
+        ids = self.followers3.get(at).astype(np.int64) - context * self.words
+        return list(zip(ids.tolist(), self.codes3[at].tolist(), strict=True))
+
+
+@dataclasses.dataclass
+class Trie:
+    """A model: its folder, level 1's shards (the hash range of each, and the words before each), shards of the higher levels, and what contexts leave by range of count."""
+
+    folder: str
+    order: int
+    span: int
+    before: np.ndarray
+    tokens: int
+    shards: int = 0
+    left: tuple[np.ndarray, ...] = ()
+
+    @property
+    def words(self) -> int:
+        return int(self.before[-1])
+
+    def shard_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        x = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(max(1, self.shards))).astype(np.int64)
+
+    def open_words(self, k: int) -> Words:
+        return Words(map_arrays(f"{self.folder}/words-{k}"))
+
+    def open_levels(self, k: int) -> Levels:
+        return Levels(map_arrays(f"{self.folder}/levels-{k}"), self.words)
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 1) / (self.tokens + self.words + 1)
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count) of some words, for a look at a model."""
+        ids, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            k, rest = divmod(xxhash.xxh3_64_intdigest(w) >> 1, self.span)
+            if self.before[k + 1] > self.before[k]:
+                level = self.open_words(k)
+                at = int(level.hashes.search(np.array([rest]))[0])
+                if at >= 0:
+                    ids[i], counts[i] = at + self.before[k], level.counts[at]
+        return ids, counts
+
+    def probabilities(self, words: list[bytes]) -> list[float]:
+        """p of each word after those before it, for a look at a model."""
+        ids, counts = self.find(words)
+        out = self.unigram(counts).tolist()
+        low, context = list(out), (None, -1)
+        for i in range(1, len(words)):
+            weight, found, got = 1.0, -1, None
+            if self.shards and ids[i - 1] >= 0:
+                out[i] = low[i] * float(value(code(self.left[0][range_of(counts[i - 1])])))
+                k = int(self.shard_of(ids[i - 1 : i], ids[i : i + 1])[0])
+                if ids[i] >= 0 and _exists(f"{self.folder}/levels-{k}"):
+                    got = self.open_levels(k)
+                    found = int(got.entries(ids[i - 1 : i], ids[i : i + 1])[0])
+                    out[i] += float(value(got.codes[found])) if found >= 0 else 0.0
+            level, entry = context
+            if entry >= 0:
+                weight = float(value(level.left[entry]))
+                own = dict(level.successors(entry)).get(int(ids[i]), NOTHING) if self.order > 2 else NOTHING
+                out[i] = weight * out[i] + float(value(np.array(own)))
+            context = (got, found) if self.order > 2 else (None, -1)
+        return out
+
+
+def _by_part(cut: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(number, rows) of each run of equal numbers."""
+    edge = (np.flatnonzero(np.diff(cut)) + 1).tolist()
+    for a, z in zip([0, *edge], [*edge, len(cut)], strict=True):
+        if z > a:
+            yield int(cut[a]), slice(a, z)
+
+
+_BLOCK = "shard int, part int, chunk bigint, blob binary"
+
+
+def _blocks(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 4, kinds, strict=True)], names=["shard", "part", "chunk", "blob"])
+
+
+def _word_blocks(p: Prepared, span: int, counted: bool) -> DataFrame:
+    """Each chunk's distinct words, by shard of level 1, with their counts in training texts or to be looked up."""
+    folder = p.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys, counts, size = None, [], [], 0
+        for b in batches:
+            for part, chunk, path, at, size in zip(*(b.column(c).to_pylist() for c in ("part", "chunk", "path", "at", "size")), strict=True):
+                own, tokens, sizes, learned = _read(folder, path, at, size)
+                n = np.bincount(tokens[np.repeat(learned, sizes)], minlength=len(own)) if counted else None
+                if counted:
+                    own, n = own[n > 0], n[n > 0]
+                yield _blocks([(k, part, chunk, pack([np.diff(own[s], prepend=k * span), *([n[s]] if counted else [])])) for k, s in _by_part(own // span)])
+
+    return p.directory.select("part", "chunk", "path", "at", "size").mapInArrow(run, _BLOCK)
 
-        def done() -> pa.RecordBatch:
-            path, n, total = build(held, *_add_up(keys, counts))
-            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["shard", "path", "n", "total"])
 
+def _serve(blocks: DataFrame, shards: int, run, schema: str) -> DataFrame:
+    """run over the rows of each shard, one shard to a task."""
+    return blocks.repartitionById(shards, F.col("shard")).mapInArrow(run, schema)
+
+
+def _train_words(p: Prepared, order: int) -> Trie:
+    """Writes level 1."""
+    spark = p.directory.sparkSession
+    folder = fresh_path(spark, "trie")
+    shards = max(2, -(-p.tokens // WORD_SHARD_TOKENS))
+    span = -(-(2**63) // shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        k = None
         for b in batches:
-            for shard, k, n in zip(b.column("shard").to_pylist(), b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
-                if held is not None and shard != held:
-                    yield done()
-                    keys, counts, size = [], [], 0
-                held = shard
-                keys.append(np.cumsum(_numbers_of(k, "<i8"))), counts.append(_numbers_of(n, "<u4").astype(np.int64))
-                size += len(keys[-1])
-                if size > GATHER:
-                    x, y = _add_up(keys, counts)
-                    keys, counts, size = [x], [y], 0
-        if held is not None:
-            yield done()
-
-    return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, path string, n bigint, total bigint").collect()
-
-
-def _context_counts(trie: Trie, level: int, contexts: np.ndarray) -> np.ndarray:
-    """How often contexts, entries of level - 1, occur."""
-    if level == 1:
-        return trie.counts_of(contexts)
-    before = np.array([b for _, b in trie.levels[level - 1]])
-    part = np.searchsorted(before, contexts, "right") - 1
-    out = np.zeros(len(contexts), np.int64)
-    for k in np.unique(part).tolist():
-        at = part == k
-        out[at] = map_arrays(trie.levels[level - 1][k][0])[17][contexts[at] - before[k]]
-    return out
+            for k, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                own, n = unpack(blob)
+                held.append((np.cumsum(own), n))
+                if len(held) >= 64 or sum(len(x) for x, _ in held[1:]) > 2_000_000:
+                    held = [_add_up(held)]
+        if k is not None:
+            own, n = _add_up(held)
+            put_arrays(f"{folder}/words-{k}", [*EliasFano.of(own, span).arrays(), n])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "n", "total"])
+
+    found = {r["shard"]: r for r in _serve(_word_blocks(p, span, True), shards, run, "shard int, n bigint, total bigint").collect()}
+    sizes = [found[k]["n"] if k in found else 0 for k in range(shards)]
+    return Trie(folder, order, span, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), sum(r["total"] for r in found.values()))
+
+
+def _add_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    k, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[at], np.add.reduceat(c, at)
 
 
-def _shorter(trie: Trie, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log10 p(word | context without its first word)."""
-    unigram = np.log10((trie.counts_of(word) + 1) / (trie.tokens + trie.words + 1))
-    if level == 1:
-        return unigram
-    last = _last_words(trie, level - 1, context)
-    order = np.argsort(last * trie.words + word)
-    entry, got, left = trie.find(1, last[order], word[order])
-    out = np.empty(len(word))
-    out[order] = np.where(entry >= 0, -got / STEP, unigram[order] - left / STEP)
-    return out
+_ANSWER = "part int, chunk bigint, kind int, shard int, blob binary"
 
 
-def _last_words(trie: Trie, level: int, entries: np.ndarray) -> np.ndarray:
-    """The word ids of entries of a level."""
-    before = np.array([b for _, b in trie.levels[level]])
-    part = np.searchsorted(before, entries, "right") - 1
-    out = np.zeros(len(entries), np.int64)
-    for k in np.unique(part).tolist():
-        at = part == k
-        out[at] = (trie.shard(level, k).followers.get(entries[at] - before[k]) % np.uint64(trie.words)).astype(np.int64)
-    return out
+def _answers(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, kinds, strict=True)], names=["part", "chunk", "kind", "shard", "blob"])
 
 
-def train(docs: DataFrame, learn, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> Trie:
-    """A trie of the rows for which the column `learn` holds; order is at most 3."""
+def _ask_words(p: Prepared, trie: Trie) -> None:
+    """Fetches (place + 1 in its shard or 0, count) of each chunk's words; kept with the chunks as a written table."""
+    shards, sizes = len(trie.before) - 1, np.diff(trie.before)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = None
+        for b in batches:
+            out = []
+            for k, part, chunk, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "chunk", "blob")), strict=True):
+                own = np.cumsum(unpack(blob)[0])
+                place, n = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
+                if sizes[k]:
+                    level = level or trie.open_words(k)
+                    place = level.hashes.search(own)
+                    n[place >= 0] = level.counts[place[place >= 0]]
+                out.append((part, chunk, 1, k, pack([place + 1, n])))
+            yield _answers(out)
+
+    p.words = written(_serve(_word_blocks(p, trie.span, False), shards, run, _ANSWER), "words")
+
+
+def _grouped(p: Prepared, more: list[DataFrame], run, schema: str) -> DataFrame:
+    """run(part, chunk, answers by kind and shard, chunk's arrays, docs) for each chunk with all that was answered to it."""
+    kind = p.directory.schema["docs"].dataType.simpleString()
+    rows = p.directory.select("part", "chunk", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.lit(None).cast("binary").alias("blob"), "path", "at", "size", "docs")
+    for x in [p.words, *more]:
+        rows = rows.unionByName(x.select("*", F.lit(None).cast("string").alias("path"), F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast(kind).alias("docs")))
+    folder = p.folder
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, got, docs = None, {}, None
+
+        def done():
+            return run(head[0], head[1], got, _read(folder, *head[2:]), docs)
+
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("part", "chunk", "kind", "shard", "blob", "path", "at", "size")]
+            for i, (part, chunk, k, shard, blob, path, at, size) in enumerate(zip(*cols, strict=True)):
+                if k == 0:
+                    if head is not None:
+                        yield from done()
+                    head, got, docs = (part, chunk, path, at, size), {}, b.column("docs").slice(i, 1).flatten()
+                else:
+                    got[k, shard] = blob
+        if head is not None:
+            yield from done()
+
+    return rows.repartitionById(p.parts, F.col("part")).sortWithinPartitions("chunk", "kind", "shard").mapInArrow(groups, schema)
+
+
+def _known(trie: Trie, own: np.ndarray, got: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(id or -1, count) of a chunk's words from the answers of level 1."""
+    ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
+    for k, s in _by_part(own // trie.span):
+        place, counts[s] = unpack(got[1, k])
+        ids[s] = np.where(place > 0, place - 1 + trie.before[k], -1)
+    return ids, counts
+
+
+class Asked:
+    """A chunk's known bigrams by shard, each with its known followers.
+
+    pair, triple: places in Grams' tables, in the order in which they are sent; cuts, cuts3: where each shard's begin."""
+
+    def __init__(self, trie: Trie, grams: Grams, ids: np.ndarray):
+        known = (ids[grams.first] >= 0) & (ids[grams.second] >= 0)
+        pair = np.flatnonzero(known)
+        shard = trie.shard_of(ids[grams.first[pair]], ids[grams.second[pair]])
+        order = np.argsort(shard, kind="stable")
+        self.pair, shard = pair[order], shard[order]
+        self.shards, self.cuts = np.unique(shard, return_index=True)
+        self.cuts = np.append(self.cuts, len(shard))
+        rank = np.full(len(grams.pairs), -1, np.int64)
+        rank[self.pair] = np.arange(len(self.pair))
+        triple = np.flatnonzero(known[grams.parent] & (ids[grams.third] >= 0)) if len(grams.triples) else np.empty(0, np.int64)
+        by = rank[grams.parent[triple]]
+        order = np.argsort(by, kind="stable")
+        self.triple = triple[order]
+        self.followers = np.bincount(by, minlength=len(self.pair)).astype(np.int64)
+        self.cuts3 = np.concatenate([[0], np.cumsum(self.followers)])[self.cuts]
+
+    def slices(self) -> Iterator[tuple[int, slice, slice]]:
+        for i, k in enumerate(self.shards.tolist()):
+            yield k, slice(self.cuts[i], self.cuts[i + 1]), slice(self.cuts3[i], self.cuts3[i + 1])
+
+
+def _gram_blocks(p: Prepared, trie: Trie, counted: bool) -> DataFrame:
+    """Each chunk's bigrams and what follows them, by shard: those of training texts with counts, or all of them to be looked up."""
+
+    def run(part: int, chunk: int, got: dict, arrays: list, docs) -> Iterator[pa.RecordBatch]:
+        own, tokens, sizes, learned = arrays
+        ids, counts = _known(trie, own, got)
+        if counted:
+            tokens, sizes = tokens[np.repeat(learned, sizes)], sizes[learned]
+        grams = Grams(tokens, sizes, len(own), trie.order)
+        asked = Asked(trie, grams, ids)
+        n2 = np.bincount(grams.pair_at[grams.pair_at >= 0], minlength=len(grams.pairs)) if counted else None
+        n3 = np.bincount(grams.triple_at[grams.triple_at >= 0], minlength=len(grams.triples)) if counted else None
+        for k, s, s3 in asked.slices():
+            pair, triple = asked.pair[s], asked.triple[s3]
+            first = grams.first[pair]
+            start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+            block = [np.diff(ids[first[start]], prepend=0), np.diff(np.append(start, len(pair))), ids[grams.second[pair]], asked.followers[s], ids[grams.third[triple]]]
+            yield _blocks([(k, part, chunk, pack([*block, *([counts[first[start]], n2[pair], n3[triple]] if counted else [])]))])
+
+    return _grouped(p, [], run, _BLOCK)
+
+
+def _opened(blob: bytes) -> list[np.ndarray]:
+    """(first, second, followers, third, ...) of a block."""
+    context, sizes, *rest = unpack(blob)
+    return [np.repeat(np.cumsum(context), sizes), *rest, sizes]
+
+
+def _train_levels(p: Prepared, trie: Trie) -> Trie:
+    """Writes levels 2 and 3: entries and counts, then, with the sums of all shards, codes."""
+    spark = p.directory.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    trie = dataclasses.replace(trie, shards=max(1, -(-p.tokens // SHARD_TOKENS), min(cores, -(-p.tokens // 200_000))))
+    folder, words = trie.folder, trie.words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        k = None
+        for b in batches:
+            for k, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                first, second, followers, third, n1, n2, n3, sizes = _opened(blob)
+                held.append([first, second, n2, np.repeat(n1, sizes), followers, third, n3])
+        if k is None:
+            return
+        first, second, n2, n1, followers, third, n3 = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        parent = np.repeat(np.arange(len(first)), followers)
+        contexts, place = np.unique(first, return_inverse=True)
+        key = place * words + second
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        entry = np.empty(len(key), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        key, c2, n1 = key[order][start], np.add.reduceat(n2[order], start), n1[order][start]
+        key3 = entry[parent] * words + third
+        order = np.argsort(key3, kind="stable")
+        key3, n3 = key3[order], n3[order]
+        start = np.flatnonzero(np.concatenate([[True], key3[1:] != key3[:-1]])) if len(key3) else np.empty(0, np.int64)
+        key3, c3 = key3[start], np.add.reduceat(n3, start) if len(start) else n3
+        sizes = np.bincount(key // words, minlength=len(contexts))
+        sizes3 = np.bincount(key3 // words, minlength=len(key))
+        levels = [
+            EliasFano.of(contexts, words), EliasFano.of(np.concatenate([[0], np.cumsum(sizes)]), len(key) + 1), EliasFano.of(key, len(contexts) * words), EliasFano.of(np.cumsum(c2), int(c2.sum()) + 1),
+            EliasFano.of(np.concatenate([[0], np.cumsum(sizes3)]), len(key3) + 1), EliasFano.of(key3, len(key) * words), EliasFano.of(np.cumsum(c3), int(c3.sum()) + 1),
+        ]
+        put_arrays(f"{folder}/counts-{k}", [*(a for x in levels for a in x.arrays()), n1[np.concatenate([[0], np.cumsum(sizes)[:-1]])]])
+        out = []
+        for level, n, c in ((2, n1, c2), (3, c2[key3 // words], c3)):
+            at = range_of(n)
+            out += [(k, level, i, int(x), int(y)) for i, (x, y) in enumerate(zip(np.bincount(at, c, RANGES), np.bincount(at[c == 1], minlength=RANGES), strict=True)) if x]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], names=["shard", "level", "range", "tokens", "once"])
+
+    sums = _serve(_gram_blocks(p, trie, True), trie.shards, count, "shard int, level int, range int, tokens bigint, once bigint")
+    sums = sums.groupBy("level", "range").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect()
+    left = np.ones((2, RANGES))
+    for r in sums:
+        left[r["level"] - 2, r["range"]] = (r["once"] + 1) / (r["tokens"] + 1)
+    trie = dataclasses.replace(trie, left=tuple(left))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                if not _exists(f"{folder}/counts-{k}"):  # no bigram falls to it
+                    continue
+                arrays = map_arrays(f"{folder}/counts-{k}")
+                level = Levels(arrays, words)
+                c2, c3 = level.counts_of(level.sums), level.counts_of(level.sums3)
+                n1 = np.repeat(level.context_counts, np.diff(level.pointers.get(np.arange(level.pointers.n)).astype(np.int64)))
+                n2 = np.repeat(c2, np.diff(level.pointers3.get(np.arange(level.pointers3.n)).astype(np.int64)))
+                put_arrays(f"{folder}/levels-{k}", [*arrays, code((1 - left[0][range_of(n1)]) * c2 / n1), code(left[1][range_of(c2)]), code((1 - left[1][range_of(n2)]) * c3 / n2)])
+                _delete(f"{folder}/counts-{k}")
+        yield from ()
+
+    spark.range(0, trie.shards, 1, trie.shards).mapInArrow(finish, "id bigint").write.format("noop").mode("overwrite").save()
+    return trie
+
+
+def _look_up(p: Prepared, trie: Trie) -> DataFrame:
+    """For each chunk and shard the codes of the bigrams, of what they leave as contexts, and of the trigrams that the chunk has there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, opened = None, False
+        for b in batches:
+            out = []
+            for k, part, chunk, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "chunk", "blob")), strict=True):
+                first, second, followers, third, _ = _opened(blob)
+                if not opened:
+                    level, opened = trie.open_levels(k) if _exists(f"{trie.folder}/levels-{k}") else None, True
+                codes, left, codes3 = np.full(len(first), NOTHING), np.zeros(len(first), np.int64), np.full(len(third), NOTHING)
+                if level is not None:
+                    entry = level.entries(first, second)
+                    hit = entry >= 0
+                    codes[hit], left[hit] = level.codes[entry[hit]], level.left[entry[hit]]
+                    context = np.repeat(entry, followers)
+                    at = np.flatnonzero(context >= 0)
+                    found = level.followers3.search(context[at] * trie.words + third[at])
+                    at, found = at[found >= 0], found[found >= 0]
+                    codes3[at] = level.codes3[found]
+                out.append((part, chunk, 2, k, pack([codes, left, codes3])))
+            yield _answers(out)
+
+    return _serve(_gram_blocks(p, trie, False), trie.shards, run, _ANSWER)
+
+
+_SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _scores(p: Prepared, trie: Trie) -> DataFrame:
+    def run(part: int, chunk: int, got: dict, arrays: list, docs: pa.Array) -> Iterator[pa.RecordBatch]:
+        own, tokens, sizes, _ = arrays
+        ids, counts = _known(trie, own, got)
+        unigram = trie.unigram(counts)
+        p1 = unigram[tokens]
+        out = p1
+        if trie.shards:
+            grams = Grams(tokens, sizes, len(own), trie.order)
+            asked = Asked(trie, grams, ids)
+            # a bigram whose first word is unknown, and a trigram whose first two words never stood together, leave all to the shorter context
+            own2 = np.zeros(len(grams.pairs))
+            left2 = np.where(ids >= 0, value(code(trie.left[0][range_of(counts)])), 1.0)
+            left3, own3 = np.ones(len(grams.pairs)), np.zeros(len(grams.triples))
+            for k, s, s3 in asked.slices():
+                codes, left, codes3 = unpack(got[2, k])
+                own2[asked.pair[s]], left3[asked.pair[s]], own3[asked.triple[s3]] = value(codes), value(left), value(codes3)
+            p2 = own2 + left2[grams.first] * unigram[grams.second]
+            at = np.flatnonzero(grams.pair_at >= 0)
+            out = p1.copy()
+            out[at] = p2[grams.pair_at[at]]
+            at = np.flatnonzero(grams.triple_at >= 0)
+            out[at] = own3[grams.triple_at[at]] + left3[grams.pair_at[at - 1]] * out[at]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        n = len(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [docs, pa.array(sizes), pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts)), pa.array(np.full(n, trie.tokens, np.int64)),
+             pa.array(np.add.reduceat(np.log10(p1), starts)), pa.array(np.add.reduceat(np.log10(out), starts))],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    kind = p.directory.schema["docs"].dataType.elementType.simpleString()
+    return _grouped(p, [_look_up(p, trie)] if trie.shards else [], run, f"doc_id {kind}, {_SCORES}")
+
+
+def _train(p: Prepared, order: int) -> Trie:
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
-    spark = docs.sparkSession
-    rows = docs.where(learn)
-    folder = fresh_path(spark, "trie")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    trie: Trie | None = None
-    levels: list[list[tuple[str, int]]] = []
-    spans: list[int] = []
-    for level in range(order):
-        universe = 2**63 if level == 0 else sum_of(levels[-1], found)
-        span = max(1, -(-universe // shards))
-        blocks = _count_pass(rows, trie, level, shards, span, min_count)
-        found = {r["shard"]: r for r in _write_level(blocks, trie, level, span, folder, min_count, discount, level + 1 < order)}
-        names, before = [], 0
-        for k in range(-(-universe // span) if universe else 0):
-            names.append((found[k]["path"] if k in found else "", before))
-            before += found[k]["n"] if k in found else 0
-        levels.append(names)
-        spans.append(span)
-        if level == 0:
-            words, tokens = before, sum(r["total"] for r in found.values())
-        if words and before * words >= 2**63:
-            raise ValueError("contexts times words exceed 63 bits: raise min_count")
-        trie = Trie(list(levels), list(spans), max(1, words), tokens)
-    return Trie(levels, spans, words, tokens)
-
-
-def sum_of(names: list[tuple[str, int]], found: dict) -> int:
-    """Entries of a level."""
-    return (names[-1][1] + (found[len(names) - 1]["n"] if len(names) - 1 in found else 0)) if names else 0
-
-
-def score_documents(docs: DataFrame, trie: Trie) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    trie = _train_words(p, order)
+    if order > 1 and trie.words:
+        _ask_words(p, trie)
+        trie = _train_levels(p, trie)
+        _free(p.directory.sparkSession)
+    return trie
 
-    def make():
-        def work(texts: list) -> dict:
-            h, sizes = tokens_of(texts)
-            ids, counts = _known_words(trie, h)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            begins = np.zeros(len(h), bool)
-            begins[starts] = True
-            base = np.log10((counts + 1) / (trie.tokens + trie.words + 1))
-            return {
-                "n_tokens": pa.array(sizes),
-                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                "train_tokens": pa.array(np.full(len(texts), trie.tokens, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base, starts)),
-                "score": pa.array(np.add.reduceat(trie.log10(ids, counts, begins) if trie.words else base, starts)),
-            }
 
-        return work
+def _free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    return map_texts(docs, make, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+def train(docs: DataFrame, learn, order: int = ORDER) -> Trie:
+    """A trie of the rows for which the column `learn` holds; order is at most 3."""
+    return _train(prepared(docs, learn), order)
+
+
+def score_documents(docs: DataFrame | Prepared, trie: Trie) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    p = docs if isinstance(docs, Prepared) else prepared(docs)
+    if p.words is None:
+        _ask_words(p, trie)
+    return _scores(p, trie)
 
 
 def learned_rows():
@@ -564,6 +844,7 @@ def learned_rows():
 
 
 def score_held_out(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Scores of all documents by a model of those that are not held out."""
-    out = score_documents(docs, train(docs, learned_rows(), order))
+    """Scores of all documents by a model of those that are not held out; texts are cut into words once."""
+    p = prepared(docs, learned_rows())
+    out = score_documents(p, _train(p, order))
     return out.select("doc_id", F.coalesce(crc_mod(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

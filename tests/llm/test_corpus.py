@@ -180,32 +180,39 @@ def test_elias_fano(n, universe):
     assert (e.search(q) == np.where(hit, want, -1)).all()
 
 
-def plain_scores(rows, order, least=language_model.MIN_COUNT, d=language_model.DISCOUNT):
+def plain_scores(rows, order):
     tokens = {i: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall("[^\x20\x09-\x0d]+", t or "")] + ["\n"] for i, t in rows}
     learned = [t for i, t in tokens.items() if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     n = [Counter(tuple(t[i : i + k + 1]) for t in learned for i in range(len(t) - k)) for k in range(order)]
     total, distinct = sum(n[0].values()), len(n[0])
-    n = [n[0], *({g: c for g, c in x.items() if c >= least} for x in n[1:])]
-    left = [{}] + [Counter() for _ in n[1:]]
+    bucket = lambda x: x if x <= 8 else int(2 * math.log2(x)) + 3
+    left = [None]
     for k in range(1, order):
+        every, once = Counter(), Counter()
         for g, c in n[k].items():
-            left[k][g[:-1]] += (c - d) / n[k - 1][g[:-1]]
+            every[bucket(n[k - 1][g[:-1]])] += c
+            once[bucket(n[k - 1][g[:-1]])] += c == 1
+        left.append({b: (once[b] + 1) / (every[b] + 1) for b in every})
 
     def p(g):
         if len(g) == 1:
             return (n[0].get(g, 0) + 1) / (total + distinct + 1)
         k, low = len(g) - 1, p(g[1:])
-        if g[:-1] not in left[k]:
+        if g[:-1] not in n[k - 1]:
             return low
-        c = n[k].get(g, 0)
-        return (max(c - d, 0) / n[k - 1][g[:-1]] if c else 0) + (1 - left[k][g[:-1]]) * low
+        weight = left[k].get(bucket(n[k - 1][g[:-1]]), 1)
+        return (1 - weight) * n[k].get(g, 0) / n[k - 1][g[:-1]] + weight * low
 
     return {i: (len(t), sum((x,) in n[0] for x in t), total, sum(math.log10(p((x,))) for x in t), sum(math.log10(p(tuple(t[max(0, j - order + 1) : j + 1]))) for j in range(len(t)))) for i, t in tokens.items()}
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_match_the_plain_model(make, edge_texts, order):
-    texts = [*(t for t in edge_texts if not t or len(t) < 20_000), *[prose(80, i) for i in range(60)], "Ünknown ÉLAN words"]
+@pytest.mark.parametrize(("order", "chunk", "shard"), [(1, 10**6, 10**6), (2, 10**6, 10**6), (3, 10**6, 10**6), (3, 3000, 700), (3, 1, 10**6)])
+def test_scores_match_the_plain_model(make, edge_texts, monkeypatch, order, chunk, shard):
+    """Whatever the numbers of chunks and shards, the scores are those of the plain model; a text of 20,000 words is among them."""
+    monkeypatch.setattr(language_model, "CHUNK_TEXT", chunk)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(language_model, "WORD_SHARD_TOKENS", shard)
+    texts = [*edge_texts, *[prose(80, i) for i in range(60)], "Ünknown ÉLAN words"]
     ids = [None, *range(1, len(texts))]
     want = plain_scores(list(zip(ids, texts, strict=True)), order)
     got = language_model.score_held_out(make(texts, ids), order).collect()
@@ -215,43 +222,57 @@ def test_scores_match_the_plain_model(make, edge_texts, order):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
         assert abs(r["base_score"] - base) < 1e-9 * max(1, n) and abs(r["score"] - score) < 3 / language_model.STEP * n
-    # more shards than keys of some level, and none at all
+
+
+def test_scores_of_nothing(make):
     assert language_model.score_held_out(make([])).count() == 0
     alone = language_model.score_documents(make(["a b"]), language_model.train(make([]), F.lit(True))).collect()[0]
-    assert (alone["n_tokens"], alone["n_known"], alone["train_tokens"], alone["base_score"]) == (3, 0, 0, 0.0)
+    assert (alone["n_tokens"], alone["n_known"], alone["train_tokens"], alone["base_score"], alone["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_equal_rows_get_equal_scores_of_another_model(make):
+    trie = language_model.train(make([prose(50, i) for i in range(20)]), F.lit(True))
+    got = language_model.score_documents(make([prose(50, 3), prose(50, 3), "x y", None], [1, 1, 2, None]), trie).collect()
+    same = [r["score"] for r in got if r["doc_id"] == 1]
+    assert len(got) == 4 and same[0] == same[1] and {r["n_tokens"] for r in got} == {51, 3, 1}
 
 
 def test_rare_grams_are_kept(make):
-    # the document ids 0 and 1 are learned from; every n-gram occurs once or twice
-    texts = ["ab cd ef gh", "ab cd xy"]
-    want = plain_scores(list(enumerate(texts)), 3, least=1)
-    got = {r["doc_id"]: r for r in language_model.score_held_out(make(texts)).collect()}
-    for i, (n, _, _, _, score) in want.items():
-        assert abs(got[i]["score"] - score) < 3 / language_model.STEP * n
-    trie = language_model.train(make(texts), F.lit(True))
-    words = {w: language_model.xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in ("ab", "cd", "ef")}
-    ids = dict(zip(sorted(words, key=words.get), trie.find_words(np.sort(np.array(list(words.values()), np.int64)))[0], strict=True))
-    pair = trie.known(1, np.array([ids["ab"]]), np.array([ids["cd"]]))[0]
-    assert trie.known(2, pair, np.array([ids["ef"]]))[0][0] >= 0
+    # every n-gram occurs once or twice
+    trie = language_model.train(make(["ab cd ef gh", "ab cd xy"]), F.lit(True))
+    words = [b"ab", b"cd", b"ef", b"gh", b"xy"]
+    ids = dict(zip(words, trie.find(words)[0].tolist(), strict=True))
+    assert min(ids.values()) >= 0 and trie.find([b"zz"])[0].tolist() == [-1]
+    for first, second, after in ((b"ab", b"cd", {b"ef", b"xy"}), (b"cd", b"ef", {b"gh"}), (b"cd", b"xy", set()), (b"ef", b"gh", set())):
+        a, b = np.array([ids[first]]), np.array([ids[second]])
+        level = trie.open_levels(int(trie.shard_of(a, b)[0]))
+        entry = int(level.entries(a, b)[0])
+        assert entry >= 0 and after <= {w for w in words if ids[w] in dict(level.successors(entry))}
+
+
+def test_a_text_is_not_known_by_heart_unless_it_occurs_twice(make):
+    words = [f"w{i}" for i in range(4000)]
+    once, twice = [prose(60, i, words) for i in range(80)], [prose(60, 500 + i, words) for i in range(20)]
+    got = language_model.score_documents(make([*once, *twice]), language_model.train(make([*once, *twice, *twice]), F.lit(True))).collect()
+    per = {r["doc_id"]: r["score"] / r["n_tokens"] for r in got}
+    assert min(per[i] for i in range(80, 100)) > max(per[i] for i in range(80)) + 1
 
 
 def test_probabilities_sum_to_one(make):
-    docs = make([prose(200, i, ["a", "b", "c", "d"]) for i in range(10)])
-    trie = language_model.train(docs, F.lit(True), 3)
-    words = sorted(set(" ".join(prose(200, i, ["a", "b", "c", "d"]) for i in range(10)).split()))
-    total = 0.0
-    for w in [*words, None, "\n"]:
-        last = [w] if w else ["zzz"]
-        h = np.array([language_model.xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in ["a", "b", *last]], np.uint64)
-        ids, counts = language_model._known_words(trie, h)
-        total += 10 ** trie.log10(ids, counts, np.array([True, False, False]))[2]
-    assert abs(total - 1) < 2e-3
-    h = np.sort(np.array([language_model.xxhash.xxh3_64_intdigest(w.encode()) >> 1 for w in ("a", "b")], np.int64))
-    first, second = trie.find_words(h)[0].tolist()
-    after = trie.successors(1, first)
-    assert second in [w for w, _ in after] and [w for w, _ in after] == sorted(w for w, _ in after)
-    _, got, _ = trie.known(1, np.full(len(after), first), np.array([w for w, _ in after]))
-    assert [p for _, p in after] == (10 ** (-got / language_model.STEP)).tolist() and trie.successors(1, 10**9) == []
+    texts = [prose(200, i, ["a", "b", "c", "d"]) for i in range(10)]
+    trie = language_model.train(make(texts), F.lit(True))
+    words = [w.encode() for w in sorted(set(" ".join(texts).split()))] + [b"zzz", language_model.END]
+    for before in ([b"a", b"b"], [b"a"], [b"zzz", b"b"], [b"zzz"], [b"a", b"zzz"]):
+        total = sum(trie.probabilities([*before, w])[-1] for w in words)
+        assert abs(total - 1) < 2e-3, before
+
+
+def test_numbers_as_bytes():
+    r = np.random.default_rng(1)
+    arrays = [r.integers(0, most, n) for most, n in ((1, 0), (2, 5), (300, 7), (70_000, 9), (2**40, 11), (2**62, 3))]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(language_model.unpack(language_model.pack(arrays)), arrays, strict=True))
+    p = np.array([1.0, 0.5, 1e-9, 0.0])
+    assert np.allclose(language_model.value(language_model.code(p)), p, rtol=1e-3) and language_model.value(language_model.code(p))[3] == 0
 
 
 def test_pipeline_stages(spark, sf_dir):

@@ -62,11 +62,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned in this block delete their shuffle files when they end; not for a DataFrame that is run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    try:
+        before = spark.conf.get(name)
+        spark.conf.set(name, "true")
+    except Exception:  # a setting of newer releases only
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives any lost executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lamina_path = path
     return out

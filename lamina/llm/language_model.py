@@ -2,8 +2,8 @@
 
 Level 1 holds the 63-bit hashes of all training words in order (the place in that order is the word's id) and their counts.
 Level k holds for each context, an entry of level k - 1, its successors: pointers to where each context's successors begin
-(monotone), the successors' ids within their context (monotone, as they rise with the context), a 16-bit code of each
-successor's smoothed probability and one of the mass that each context leaves to its suffix. All sequences, counts as their
+(monotone), the successors' ids within their context (monotone, as they rise with the context), a 12-bit code of each
+successor's smoothed probability and one byte for the mass that each context leaves to its suffix. All sequences, counts as their
 sums too, are Elias-Fano coded: low bits packed, high bits in unary with counts by word. A successor is searched within its
 context: select finds the few entries of equal high bits, and bisection over their low bits finds the entry.
 
@@ -17,11 +17,12 @@ not depend on how many there are.
 Plan. Nothing is collected but one row a shard, and no worker holds more of the model than the shard it serves.
 1. Tasks cut texts into words and write them in chunks of some 16 million characters, as numbers, to files in the shared folder.
 2. Each chunk sends its distinct words with their counts to shards by hash range, which write level 1; then it asks for ids.
-3. Each chunk sends its distinct training bigrams, each with the words that follow it, to the shard of the bigram's hash.
-   A shard adds them up and writes its part of levels 2 and 3, whose contexts lie in the same shard. A bigram that all texts
-   have is one entry a chunk, so no shard grows with a word's or a bigram's frequency but through distinct successors.
+3. Each chunk sends its distinct training bigrams, each with the words that follow it, to the shard of the first word's hash;
+   a frequent first word is split over shards by the second. A shard adds them up and writes its part of levels 2 and 3, whose
+   contexts lie in the same shard. A bigram that all texts have is one entry a chunk.
 4. With the sums of step 3, shards code probabilities.
-5. Each chunk sends the n-grams it wants to their shards; these map their file into memory, search, and send codes back.
+5. Each chunk sends the n-grams it wants to their shards; these map their file into memory, search, and send codes back. This
+   goes in `ROUNDS` shares of the chunks, one after the other, so shuffles take no more of the disk than the model.
 The numbers of shards follow the number of tokens (`SHARD_TOKENS`), and rows are dealt by shard number, one shard to a task.
 
 Cases: null text is the empty text, which is its end token alone. With no training text N and V are 0, and every token has base
@@ -31,7 +32,7 @@ only doc_id and text are read. Texts of any length are scored whole."""
 from __future__ import annotations
 
 import dataclasses
-import gc
+import functools
 import json
 import mmap
 import os
@@ -41,24 +42,29 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, fresh_path, written
+from .common import chunks, crc_mod, fresh_path, shuffles_freed, written
 
-ORDER, STEP = 3, 2048
+#: Codes have 12 bits and steps of 1 / 256 in log10; the last code is no probability at all.
+ORDER, BITS, STEP = 3, 12, 256
+NOTHING = (1 << BITS) - 1
 #: Stands for the end of a text; no word can have a line break.
 END = b"\n"
 #: Characters of a chunk of texts; tokens to a shard of level 1 and of the higher levels.
 CHUNK_TEXT, WORD_SHARD_TOKENS, SHARD_TOKENS = 16_000_000, 16_000_000, 4_000_000
 #: Ranges of context counts: each count up to 8, then two to a doubling.
 RANGES = 136
-#: The code of no probability at all.
-NOTHING = 65535
+#: Shares of the chunks that are looked up one after the other.
+ROUNDS = 2
+#: A first word with more than this share of a shard's tokens is split over several shards by the second word.
+HOT = 8
 _ONE = np.uint64(1)
 
 
@@ -248,12 +254,24 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def code(p: np.ndarray) -> np.ndarray:
-    """16-bit codes of probabilities: -log10 in steps of 1 / 2048; the last code is 0."""
-    return np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, NOTHING - 1), NOTHING).astype(np.uint16)
+    """Codes of probabilities: -log10 in steps; the last code is 0."""
+    return np.where(p > 0, np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 0, NOTHING - 1), NOTHING).astype(np.int64)
+
+
+_VALUES = np.append(10.0 ** (np.arange(NOTHING) / -STEP), 0.0)
 
 
 def value(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == NOTHING, 0.0, 10.0 ** (codes.astype(np.float64) / -STEP))
+    return _VALUES[codes]
+
+
+def table_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct numbers in order, the place of each number among them); quicker than sorting where few are distinct."""
+    places, own = pd.factorize(x)
+    order = np.argsort(own)
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    return own[order], rank[places]
 
 
 def range_of(n: np.ndarray) -> np.ndarray:
@@ -330,7 +348,7 @@ def prepared(docs: DataFrame, learn=None, chunk_text: int | None = None) -> Prep
             if stream is None:
                 store.create_dir(base, recursive=True)
                 stream = store.open_output_stream(f"{base}/{path}")
-            own, tokens = np.unique(np.concatenate([h for _, h, _, _ in held]).astype(np.int64), return_inverse=True)
+            own, tokens = table_of(np.concatenate([h for _, h, _, _ in held]).astype(np.int64))
             sizes, learned = np.concatenate([n for _, _, n, _ in held]), np.concatenate([x for _, _, _, x in held])
             blob = pack([np.diff(own, prepend=0), tokens, sizes, learned.astype(np.int64)])
             stream.write(blob)
@@ -383,13 +401,24 @@ class Words:
 
 
 class Levels:
-    """A shard of levels 2 and 3: the bigrams whose hash falls to it, and all that follow them."""
+    """A shard of levels 2 and 3: bigrams and all that follow them. While a model is made `more` are sums of counts and the contexts' counts, then codes."""
 
     def __init__(self, arrays: list[np.ndarray], words: int):
         self.words = words
-        self.contexts, self.pointers, self.followers, self.sums, self.pointers3, self.followers3, self.sums3 = (EliasFano.load(arrays[i : i + 5]) for i in range(0, 35, 5))
-        self.context_counts = arrays[35]
-        self.codes, self.left, self.codes3 = arrays[36:39] if len(arrays) > 36 else (None, None, None)
+        self.contexts, self.pointers, self.followers, self.pointers3, self.followers3 = (EliasFano.load(arrays[i : i + 5]) for i in range(0, 25, 5))
+        self.more = arrays[25:]
+
+    def code2(self, entries: np.ndarray) -> np.ndarray:
+        """Codes of bigrams."""
+        return _unpack(self.more[0], entries, BITS).astype(np.int64)
+
+    def left(self, entries: np.ndarray) -> np.ndarray:
+        """Ranges of the counts of bigrams, by which they leave something to shorter contexts."""
+        return self.more[1][entries].astype(np.int64)
+
+    def code3(self, entries: np.ndarray) -> np.ndarray:
+        """Codes of trigrams."""
+        return _unpack(self.more[2], entries, BITS).astype(np.int64)
 
     @staticmethod
     def counts_of(sums: EliasFano) -> np.ndarray:
@@ -411,7 +440,7 @@ class Levels:
         a, z = self.pointers3.get(np.array([context, context + 1])).astype(np.int64).tolist()
         at = np.arange(a, z)
         ids = self.followers3.get(at).astype(np.int64) - context * self.words
-        return list(zip(ids.tolist(), self.codes3[at].tolist(), strict=True))
+        return list(zip(ids.tolist(), self.code3(at).tolist(), strict=True))
 
 
 @dataclasses.dataclass
@@ -424,15 +453,19 @@ class Trie:
     before: np.ndarray
     tokens: int
     shards: int = 0
+    shard_tokens: int = SHARD_TOKENS
     left: tuple[np.ndarray, ...] = ()
 
     @property
     def words(self) -> int:
         return int(self.before[-1])
 
-    def shard_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        x = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    def shard_of(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The shards of bigrams; counts: of the first words."""
+        a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+        salt = (second.astype(np.uint64) * a >> np.uint64(33)) % (counts * HOT // self.shard_tokens + 1).astype(np.uint64)
+        x = (first.astype(np.uint64) + np.uint64(1)) * a ^ salt * b
+        x = (x ^ (x >> np.uint64(32))) * b
         return ((x ^ (x >> np.uint64(29))) % np.uint64(max(1, self.shards))).astype(np.int64)
 
     def open_words(self, k: int) -> Words:
@@ -465,14 +498,14 @@ class Trie:
             weight, found, got = 1.0, -1, None
             if self.shards and ids[i - 1] >= 0:
                 out[i] = low[i] * float(value(code(self.left[0][range_of(counts[i - 1])])))
-                k = int(self.shard_of(ids[i - 1 : i], ids[i : i + 1])[0])
+                k = int(self.shard_of(ids[i - 1 : i], ids[i : i + 1], counts[i - 1 : i])[0])
                 if ids[i] >= 0 and _exists(f"{self.folder}/levels-{k}"):
                     got = self.open_levels(k)
                     found = int(got.entries(ids[i - 1 : i], ids[i : i + 1])[0])
-                    out[i] += float(value(got.codes[found])) if found >= 0 else 0.0
+                    out[i] += float(value(got.code2(np.array([found])))[0]) if found >= 0 else 0.0
             level, entry = context
             if entry >= 0:
-                weight = float(value(level.left[entry]))
+                weight = float(value(code(self.left[1][level.left(np.array([entry]))]))[0])
                 own = dict(level.successors(entry)).get(int(ids[i]), NOTHING) if self.order > 2 else NOTHING
                 out[i] = weight * out[i] + float(value(np.array(own)))
             context = (got, found) if self.order > 2 else (None, -1)
@@ -534,10 +567,11 @@ def _train_words(p: Prepared, order: int) -> Trie:
                     held = [_add_up(held)]
         if k is not None:
             own, n = _add_up(held)
-            put_arrays(f"{folder}/words-{k}", [*EliasFano.of(own, span).arrays(), n])
+            put_arrays(f"{folder}/words-{k}", [*EliasFano.of(own, span).arrays(), n.astype(np.uint32) if n.max() < 1 << 32 else n])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "n", "total"])
 
-    found = {r["shard"]: r for r in _serve(_word_blocks(p, span, True), shards, run, "shard int, n bigint, total bigint").collect()}
+    with shuffles_freed(spark):
+        found = {r["shard"]: r for r in _serve(_word_blocks(p, span, True), shards, run, "shard int, n bigint, total bigint").collect()}
     sizes = [found[k]["n"] if k in found else 0 for k in range(shards)]
     return Trie(folder, order, span, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), sum(r["total"] for r in found.values()))
 
@@ -579,6 +613,12 @@ def _ask_words(p: Prepared, trie: Trie) -> None:
     p.words = written(_serve(_word_blocks(p, trie.span, False), shards, run, _ANSWER), "words")
 
 
+def _part(p: Prepared, k: int, n: int) -> Prepared:
+    """The k-th of n shares of the chunks, every task's among them."""
+    mine = lambda df: df.where(F.pmod(F.col("part") + F.col("chunk"), F.lit(n)) == k)
+    return dataclasses.replace(p, directory=mine(p.directory), words=mine(p.words))
+
+
 def _grouped(p: Prepared, more: list[DataFrame], run, schema: str) -> DataFrame:
     """run(part, chunk, answers by kind and shard, chunk's arrays, docs) for each chunk with all that was answered to it."""
     kind = p.directory.schema["docs"].dataType.simpleString()
@@ -622,22 +662,21 @@ class Asked:
 
     pair, triple: places in Grams' tables, in the order in which they are sent; cuts, cuts3: where each shard's begin."""
 
-    def __init__(self, trie: Trie, grams: Grams, ids: np.ndarray):
+    def __init__(self, trie: Trie, grams: Grams, ids: np.ndarray, counts: np.ndarray):
         known = (ids[grams.first] >= 0) & (ids[grams.second] >= 0)
         pair = np.flatnonzero(known)
-        shard = trie.shard_of(ids[grams.first[pair]], ids[grams.second[pair]])
-        order = np.argsort(shard, kind="stable")
+        shard = trie.shard_of(ids[grams.first[pair]], ids[grams.second[pair]], counts[grams.first[pair]])
+        order = np.argsort(shard.astype(np.uint16) if trie.shards < 1 << 16 else shard, kind="stable")
         self.pair, shard = pair[order], shard[order]
         self.shards, self.cuts = np.unique(shard, return_index=True)
         self.cuts = np.append(self.cuts, len(shard))
-        rank = np.full(len(grams.pairs), -1, np.int64)
-        rank[self.pair] = np.arange(len(self.pair))
-        triple = np.flatnonzero(known[grams.parent] & (ids[grams.third] >= 0)) if len(grams.triples) else np.empty(0, np.int64)
-        by = rank[grams.parent[triple]]
-        order = np.argsort(by, kind="stable")
-        self.triple = triple[order]
-        self.followers = np.bincount(by, minlength=len(self.pair)).astype(np.int64)
-        self.cuts3 = np.concatenate([[0], np.cumsum(self.followers)])[self.cuts]
+        # triples are sorted by their first pair: each pair's are a run, and the runs are taken in the pairs' order
+        triple = np.flatnonzero(known[grams.parent] & (ids[grams.third] >= 0))
+        runs = np.bincount(grams.parent[triple], minlength=len(grams.pairs))
+        self.followers = runs[self.pair]
+        ends = np.cumsum(self.followers)
+        self.triple = triple[np.arange(len(triple)) + np.repeat((np.cumsum(runs) - runs)[self.pair] - (ends - self.followers), self.followers)]
+        self.cuts3 = np.concatenate([[0], ends])[self.cuts]
 
     def slices(self) -> Iterator[tuple[int, slice, slice]]:
         for i, k in enumerate(self.shards.tolist()):
@@ -653,14 +692,16 @@ def _gram_blocks(p: Prepared, trie: Trie, counted: bool) -> DataFrame:
         if counted:
             tokens, sizes = tokens[np.repeat(learned, sizes)], sizes[learned]
         grams = Grams(tokens, sizes, len(own), trie.order)
-        asked = Asked(trie, grams, ids)
+        asked = Asked(trie, grams, ids, counts)
         n2 = np.bincount(grams.pair_at[grams.pair_at >= 0], minlength=len(grams.pairs)) if counted else None
         n3 = np.bincount(grams.triple_at[grams.triple_at >= 0], minlength=len(grams.triples)) if counted else None
         for k, s, s3 in asked.slices():
             pair, triple = asked.pair[s], asked.triple[s3]
             first = grams.first[pair]
             start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-            block = [np.diff(ids[first[start]], prepend=0), np.diff(np.append(start, len(pair))), ids[grams.second[pair]], asked.followers[s], ids[grams.third[triple]]]
+            second = np.diff(ids[grams.second[pair]], prepend=0)
+            second[start] = ids[grams.second[pair[start]]]
+            block = [np.diff(ids[first[start]], prepend=0), np.diff(np.append(start, len(pair))), second, asked.followers[s], ids[grams.third[triple]]]
             yield _blocks([(k, part, chunk, pack([*block, *([counts[first[start]], n2[pair], n3[triple]] if counted else [])]))])
 
     return _grouped(p, [], run, _BLOCK)
@@ -668,15 +709,17 @@ def _gram_blocks(p: Prepared, trie: Trie, counted: bool) -> DataFrame:
 
 def _opened(blob: bytes) -> list[np.ndarray]:
     """(first, second, followers, third, ...) of a block."""
-    context, sizes, *rest = unpack(blob)
-    return [np.repeat(np.cumsum(context), sizes), *rest, sizes]
+    context, sizes, second, *rest = unpack(blob)
+    total = np.cumsum(second)
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    return [np.repeat(np.cumsum(context), sizes), total - np.repeat(before, sizes), *rest, sizes]
 
 
 def _train_levels(p: Prepared, trie: Trie) -> Trie:
     """Writes levels 2 and 3: entries and counts, then, with the sums of all shards, codes."""
     spark = p.directory.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    trie = dataclasses.replace(trie, shards=max(1, -(-p.tokens // SHARD_TOKENS), min(cores, -(-p.tokens // 200_000))))
+    trie = dataclasses.replace(trie, shards=max(1, -(-p.tokens // SHARD_TOKENS), min(cores, -(-p.tokens // 200_000))), shard_tokens=SHARD_TOKENS)
     folder, words = trie.folder, trie.words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -707,8 +750,8 @@ def _train_levels(p: Prepared, trie: Trie) -> Trie:
         sizes = np.bincount(key // words, minlength=len(contexts))
         sizes3 = np.bincount(key3 // words, minlength=len(key))
         levels = [
-            EliasFano.of(contexts, words), EliasFano.of(np.concatenate([[0], np.cumsum(sizes)]), len(key) + 1), EliasFano.of(key, len(contexts) * words), EliasFano.of(np.cumsum(c2), int(c2.sum()) + 1),
-            EliasFano.of(np.concatenate([[0], np.cumsum(sizes3)]), len(key3) + 1), EliasFano.of(key3, len(key) * words), EliasFano.of(np.cumsum(c3), int(c3.sum()) + 1),
+            EliasFano.of(contexts, words), EliasFano.of(np.concatenate([[0], np.cumsum(sizes)]), len(key) + 1), EliasFano.of(key, len(contexts) * words),
+            EliasFano.of(np.concatenate([[0], np.cumsum(sizes3)]), len(key3) + 1), EliasFano.of(key3, len(key) * words), EliasFano.of(np.cumsum(c2), int(c2.sum()) + 1), EliasFano.of(np.cumsum(c3), int(c3.sum()) + 1),
         ]
         put_arrays(f"{folder}/counts-{k}", [*(a for x in levels for a in x.arrays()), n1[np.concatenate([[0], np.cumsum(sizes)[:-1]])]])
         out = []
@@ -718,8 +761,9 @@ def _train_levels(p: Prepared, trie: Trie) -> Trie:
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=True)], names=["shard", "level", "range", "tokens", "once"])
 
-    sums = _serve(_gram_blocks(p, trie, True), trie.shards, count, "shard int, level int, range int, tokens bigint, once bigint")
-    sums = sums.groupBy("level", "range").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect()
+    with shuffles_freed(spark):
+        sums = _serve(_gram_blocks(p, trie, True), trie.shards, count, "shard int, level int, range int, tokens bigint, once bigint")
+        sums = sums.groupBy("level", "range").agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect()
     left = np.ones((2, RANGES))
     for r in sums:
         left[r["level"] - 2, r["range"]] = (r["once"] + 1) / (r["tokens"] + 1)
@@ -732,10 +776,11 @@ def _train_levels(p: Prepared, trie: Trie) -> Trie:
                     continue
                 arrays = map_arrays(f"{folder}/counts-{k}")
                 level = Levels(arrays, words)
-                c2, c3 = level.counts_of(level.sums), level.counts_of(level.sums3)
-                n1 = np.repeat(level.context_counts, np.diff(level.pointers.get(np.arange(level.pointers.n)).astype(np.int64)))
+                c2, c3 = (level.counts_of(EliasFano.load(level.more[i : i + 5])) for i in (0, 5))
+                n1 = np.repeat(level.more[10], np.diff(level.pointers.get(np.arange(level.pointers.n)).astype(np.int64)))
                 n2 = np.repeat(c2, np.diff(level.pointers3.get(np.arange(level.pointers3.n)).astype(np.int64)))
-                put_arrays(f"{folder}/levels-{k}", [*arrays, code((1 - left[0][range_of(n1)]) * c2 / n1), code(left[1][range_of(c2)]), code((1 - left[1][range_of(n2)]) * c3 / n2)])
+                codes, codes3 = code((1 - left[0][range_of(n1)]) * c2 / n1), code((1 - left[1][range_of(n2)]) * c3 / n2)
+                put_arrays(f"{folder}/levels-{k}", [*arrays[:25], _pack(codes.astype(np.uint64), BITS), range_of(c2).astype(np.uint8), _pack(codes3.astype(np.uint64), BITS)])
                 _delete(f"{folder}/counts-{k}")
         yield from ()
 
@@ -744,7 +789,7 @@ def _train_levels(p: Prepared, trie: Trie) -> Trie:
 
 
 def _look_up(p: Prepared, trie: Trie) -> DataFrame:
-    """For each chunk and shard the codes of the bigrams, of what they leave as contexts, and of the trigrams that the chunk has there."""
+    """For each chunk and shard the codes of the bigrams, the ranges of their counts, and the codes of the trigrams that the chunk has there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, opened = None, False
@@ -758,12 +803,13 @@ def _look_up(p: Prepared, trie: Trie) -> DataFrame:
                 if level is not None:
                     entry = level.entries(first, second)
                     hit = entry >= 0
-                    codes[hit], left[hit] = level.codes[entry[hit]], level.left[entry[hit]]
-                    context = np.repeat(entry, followers)
+                    codes[hit], left[hit] = level.code2(entry[hit]), level.left(entry[hit])
+                    # what follows a bigram that was seen once has no probability of its own
+                    context = np.repeat(np.where(left > 1, entry, -1), followers)
                     at = np.flatnonzero(context >= 0)
                     found = level.followers3.search(context[at] * trie.words + third[at])
                     at, found = at[found >= 0], found[found >= 0]
-                    codes3[at] = level.codes3[found]
+                    codes3[at] = level.code3(found)
                 out.append((part, chunk, 2, k, pack([codes, left, codes3])))
             yield _answers(out)
 
@@ -782,14 +828,16 @@ def _scores(p: Prepared, trie: Trie) -> DataFrame:
         out = p1
         if trie.shards:
             grams = Grams(tokens, sizes, len(own), trie.order)
-            asked = Asked(trie, grams, ids)
+            asked = Asked(trie, grams, ids, counts)
             # a bigram whose first word is unknown, and a trigram whose first two words never stood together, leave all to the shorter context
             own2 = np.zeros(len(grams.pairs))
             left2 = np.where(ids >= 0, value(code(trie.left[0][range_of(counts)])), 1.0)
+            by_range = value(code(trie.left[1]))
+            by_range[0] = 1.0  # the range of bigrams that are unknown
             left3, own3 = np.ones(len(grams.pairs)), np.zeros(len(grams.triples))
             for k, s, s3 in asked.slices():
                 codes, left, codes3 = unpack(got[2, k])
-                own2[asked.pair[s]], left3[asked.pair[s]], own3[asked.triple[s3]] = value(codes), value(left), value(codes3)
+                own2[asked.pair[s]], left3[asked.pair[s]], own3[asked.triple[s3]] = value(codes), by_range[left], value(codes3)
             p2 = own2 + left2[grams.first] * unigram[grams.second]
             at = np.flatnonzero(grams.pair_at >= 0)
             out = p1.copy()
@@ -815,16 +863,9 @@ def _train(p: Prepared, order: int) -> Trie:
     if order > 1 and trie.words:
         _ask_words(p, trie)
         trie = _train_levels(p, trie)
-        _free(p.directory.sparkSession)
     return trie
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def train(docs: DataFrame, learn, order: int = ORDER) -> Trie:
     """A trie of the rows for which the column `learn` holds; order is at most 3."""
     return _train(prepared(docs, learn), order)
@@ -835,7 +876,8 @@ def score_documents(docs: DataFrame | Prepared, trie: Trie) -> DataFrame:
     p = docs if isinstance(docs, Prepared) else prepared(docs)
     if p.words is None:
         _ask_words(p, trie)
-    return _scores(p, trie)
+    done = [written(_scores(_part(p, k, ROUNDS), trie), "scores") for k in range(ROUNDS)]
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def learned_rows():

@@ -245,7 +245,7 @@ def test_rare_grams_are_kept(make):
     assert min(ids.values()) >= 0 and trie.find([b"zz"])[0].tolist() == [-1]
     for first, second, after in ((b"ab", b"cd", {b"ef", b"xy"}), (b"cd", b"ef", {b"gh"}), (b"cd", b"xy", set()), (b"ef", b"gh", set())):
         a, b = np.array([ids[first]]), np.array([ids[second]])
-        level = trie.open_levels(int(trie.shard_of(a, b)[0]))
+        level = trie.open_levels(int(trie.shard_of(a, b, trie.find([first])[1])[0]))
         entry = int(level.entries(a, b)[0])
         assert entry >= 0 and after <= {w for w in words if ids[w] in dict(level.successors(entry))}
 
@@ -264,7 +264,7 @@ def test_probabilities_sum_to_one(make):
     words = [w.encode() for w in sorted(set(" ".join(texts).split()))] + [b"zzz", language_model.END]
     for before in ([b"a", b"b"], [b"a"], [b"zzz", b"b"], [b"zzz"], [b"a", b"zzz"]):
         total = sum(trie.probabilities([*before, w])[-1] for w in words)
-        assert abs(total - 1) < 2e-3, before
+        assert abs(total - 1) < 1e-2, before
 
 
 def test_numbers_as_bytes():
@@ -272,7 +272,7 @@ def test_numbers_as_bytes():
     arrays = [r.integers(0, most, n) for most, n in ((1, 0), (2, 5), (300, 7), (70_000, 9), (2**40, 11), (2**62, 3))]
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(language_model.unpack(language_model.pack(arrays)), arrays, strict=True))
     p = np.array([1.0, 0.5, 1e-9, 0.0])
-    assert np.allclose(language_model.value(language_model.code(p)), p, rtol=1e-3) and language_model.value(language_model.code(p))[3] == 0
+    assert np.allclose(language_model.value(language_model.code(p)), p, rtol=5e-3) and language_model.value(language_model.code(p))[3] == 0
 
 
 def test_pipeline_stages(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 A set's tokens for choosing paths are its 64 minhash values: two sets share each with the probability of their similarity.
 In each run a few coordinates are drawn with probability 1 / (threshold x 64) each, one at least; a set goes to a bucket
-for each drawn coordinate, named by its value there. Buckets of up to `leaf` sets are compared by brute force on the whole
-shingle sets; larger ones are split again, with coordinates drawn for that bucket. What is still large at `depth` is cut into
-blocks, and every two blocks are compared, so nothing is capped. A pair at the threshold is found in one run with a probability of
+for each drawn coordinate, named by its value there. Buckets of up to `leaf` sets with up to `leaf_shingles` shingles in all are
+compared by brute force on the whole shingle sets; larger ones are split again, with coordinates drawn for that bucket. What is
+still large at `depth` is cut into blocks, and every two blocks are compared, so nothing is capped. A pair at the threshold is found in one run with a probability of
 threshold**depth at least; runs are repeated until the target recall: at 0.8, depth 2 and 0.9999 that is 10 runs.
 
 Documents with equal sets are one class and go through as one. Pairs are not emitted: a bucket gives for each set its count
@@ -13,13 +13,16 @@ first it shares, which is known from the members' lists of buckets. Sets are onl
 pairs that agree in fewer minhash values than six standard deviations below the threshold's expectation are left out first
 (a pair at the threshold is so with a probability of some 1e-8).
 
+Counting the links of one group of n similar texts takes work in proportion to n^2, in blocks. keep_one() asks for groups only:
+there a bucket's sets are searched from one linked set to the next, and a group of texts that are all similar takes one step.
+
 The result has for each document: class_id, the smallest doc_id of the documents that are linked to it directly or through
 others, its own included; n_links, the number of other classes of similarity `threshold` or more; n_copies, the documents with an equal set.
 
 Words are runs of anything but ASCII white space, in lower case. A text of one to four words has one shingle, all its
 words. Null, empty and blank texts have the empty set, which is linked to nothing; they are one class. A class whose doc_ids are
 all null has a null class_id. Equal rows are copies. Empty tables give empty results. Only doc_id and text are read.
-Shingles and classes are known by 64-bit hashes."""
+Shingles are known by 64-bit hashes, classes by 128-bit ones."""
 
 from __future__ import annotations
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, dropped, written
 
-WORDS, THRESHOLD, RECALL, LEAF, DEPTH, COORDINATES = 5, 0.8, 0.9999, 4096, 2, 64
+WORDS, THRESHOLD, RECALL, LEAF, LEAF_SHINGLES, DEPTH, COORDINATES = 5, 0.8, 0.9999, 2048, 4_000_000, 2, 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = np.random.default_rng(20).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
@@ -82,12 +85,12 @@ def children(node: int, values: np.ndarray, threshold: float = THRESHOLD) -> np.
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def class_of(found: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
+def class_of(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def profiles(docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = None) -> DataFrame:
-    """doc_id, t (hash of the text), c (class), keys (buckets of all runs), sig (minhash values), sketch (a byte of each)."""
+    """doc_id, t (hash of the text), c (class), w (shingles), keys (buckets of all runs), sig (minhash values), sketch (a byte of each)."""
     count = runs or runs_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +100,19 @@ def profiles(docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = N
             keys = np.concatenate([children(r, sig, threshold) for r in range(count)], 1) if len(sets) else np.empty((0, 1), np.int64)
             lists = [k if len(s) else [] for k, s in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("t"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
-                names=["doc_id", "t", "c", "keys", "sig", "sketch"],
+                [b.column("doc_id"), b.column("t"), pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())],
+                names=["doc_id", "t", "c", "w", "keys", "sig", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, c bigint, keys array<bigint>, sig binary, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, c binary, w int, keys array<bigint>, sig binary, sketch binary")
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """Distinct (k, c) rows with n, the size of bucket k, where that is two or more."""
+    """Distinct (k, c, w) rows with n and total, the sets and the shingles of bucket k, where n is two or more."""
     rows = rows.distinct()
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("k", "k2")
-    return written(rows.join(sizes, F.col("k") == F.col("k2")).select("k", "c", "n"), name)
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("w").alias("total")).where("n > 1").withColumnRenamed("k", "k2")
+    return written(rows.join(sizes, F.col("k") == F.col("k2")).select("k", "c", "w", "n", "total"), name)
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -118,18 +121,19 @@ def _lists(rows: DataFrame) -> DataFrame:
     return lists.groupBy("m").agg(F.min("k").alias("b"))
 
 
-def buckets(found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def buckets(found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """(m, b) rows of all buckets to compare."""
-    level = _shared(found.select(F.explode("keys").alias("k"), "c"), "paths")
+    small = (F.col("n") <= leaf) & (F.col("total") <= leaf_shingles)
+    level = _shared(found.select(F.explode("keys").alias("k"), "c", "w"), "paths")
     levels = [level]
-    out = [_lists(level.where(F.col("n") <= leaf))]
+    out = [_lists(level.where(small))]
     for step in range(1, depth + 1):
-        large = level.where(F.col("n") > leaf)
+        large = level.where(~small)
         if large.isEmpty():
             break
         if step == depth:
             # every two blocks of about half a leaf
-            blocks = F.ceil(F.col("n") / (leaf / 2)).cast("long")
+            blocks = F.greatest(F.ceil(F.col("n") / (leaf / 2)), F.ceil(F.col("total") / (leaf_shingles / 2))).cast("long")
             own = F.pmod(F.xxhash64("c", F.lit(step)), blocks)
             rows = large.select("k", "c", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j")).where("i <> j")
             rows = rows.select(F.xxhash64("k", F.least("i", "j"), F.greatest("i", "j")).alias("k"), "c")
@@ -141,16 +145,16 @@ def buckets(found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, de
             for b in batches:
                 node = b.column("k").to_numpy()
                 value = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                c = b.column("c").to_numpy()
                 for k in np.unique(node).tolist():
-                    at = node == k
+                    at = np.flatnonzero(node == k)
                     names = children(k, value[at], threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(np.repeat(c[at], names.shape[1]))], names=["k", "c"])
+                    rows = pa.array(np.repeat(at, names.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), b.column("c").take(rows), b.column("w").take(rows)], names=["k", "c", "w"])
 
-        rows = large.join(sigs, F.col("c") == F.col("c2")).select("k", "c", "sig").mapInArrow(split, "k bigint, c bigint")
+        rows = large.join(sigs, F.col("c") == F.col("c2")).select("k", "c", "w", "sig").mapInArrow(split, "k bigint, c binary, w int")
         level = _shared(rows, "paths")
         levels.append(level)
-        out.append(_lists(level.where(F.col("n") <= leaf)))
+        out.append(_lists(level.where(small)))
     all_lists = out[0]
     for x in out[1:]:
         all_lists = all_lists.unionByName(x)
@@ -219,7 +223,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     often = count[at] > 1
     _, at = np.unique(at[often], return_inverse=True)
     row = row[often]
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n), np.float32)  # counts below 2**24 are exact
+    if len(tokens) >= 1 << 24:
+        out = out.astype(np.float64)
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
     wide = max(256, 8_000_000 // n)
@@ -231,6 +237,45 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of different sets reach the threshold."""
+    both = overlaps(sets)
+    size = np.array([len(s) for s in sets], both.dtype)
+    out = np.empty(both.shape, bool)
+    for i in range(len(sets)):  # exact quotients, a row at a time
+        out[i] = both[i].astype(np.float64) / (size[i] + size - both[i]).astype(np.float64) >= threshold
+    np.fill_diagonal(out, False)
+    return out
+
+
+def hang_together(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each set the least one it is linked to, directly or through others: from each set found to all that are not yet, so a group of sets that are all similar takes one look."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    begins = np.cumsum(size) - size
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros(len(tokens), bool)
+    label, left = np.full(n, -1), np.arange(n)
+    for first in range(n):
+        if label[first] >= 0:
+            continue
+        label[first] = first
+        left = left[left != first]
+        todo = [first]
+        while todo and len(left):
+            i = todo.pop()
+            mine = at[begins[i] : begins[i] + size[i]]
+            has[mine] = True
+            pick = np.repeat(begins[left] - (np.cumsum(size[left]) - size[left]), size[left]) + np.arange(int(size[left].sum()))
+            both = np.add.reduceat(has[at[pick]].astype(np.int64), np.cumsum(size[left]) - size[left])
+            has[mine] = False
+            near = both / (size[i] + size[left] - both) >= threshold
+            label[left[near]] = first
+            todo += left[near].tolist()
+            left = left[~near]
+    return label
+
+
 def _least_linked(near: np.ndarray) -> np.ndarray:
     """For each row the least row it hangs together with."""
     n = len(near)
@@ -260,9 +305,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(c, root, links) rows, written, of every bucket: how many first met links a class has there, and the least class it hangs together with."""
-    lists = buckets(found, threshold, leaf, depth)
+def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, depth: int = DEPTH, leaf_shingles: int = LEAF_SHINGLES, counted: bool = True) -> DataFrame:
+    """(c, root, links) rows, written, of every bucket: how many first met links a class has there (0 if they are not counted), and the least class it hangs together with."""
+    lists = buckets(found, threshold, leaf, depth, leaf_shingles)
     members = lists.select("b", F.explode("m").alias("c"))
     own = members.groupBy("c").agg(F.collect_list("b").alias("bs"))
     own = own.join(found.groupBy("c").agg(F.first("sketch").alias("sketch")), "c").withColumnRenamed("c", "c2")
@@ -274,11 +319,11 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
             for i in np.flatnonzero((_first_meetings(g["b"][0], g["bs"]) & _alike(g["sketch"], threshold)).any(1)).tolist():
                 b.append(g["b"][i]), c.append(g["c"][i]), bs.append(g["bs"][i])
             if len(b) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bs, pa.list_(pa.int64()))], names=["b", "c", "bs"])
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(bs, pa.list_(pa.int64()))], names=["b", "c", "bs"])
                 b, c, bs = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bs, pa.list_(pa.int64()))], names=["b", "c", "bs"])
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(bs, pa.list_(pa.int64()))], names=["b", "c", "bs"])
 
-    wanted = written(rows.repartition("b").sortWithinPartitions("b").mapInArrow(involved, "b bigint, c bigint, bs array<bigint>"), "wanted")
+    wanted = written(rows.repartition("b").sortWithinPartitions("b").mapInArrow(involved, "b bigint, c binary, bs array<bigint>"), "wanted")
 
     # the sets of one document of each class that is wanted
     places = found.groupBy("c").agg(F.min(F.struct("t", "doc_id")).alias("place"))
@@ -289,32 +334,33 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["c", "shingles"])
 
-    sets = texts.mapInArrow(to_sets, "c bigint, shingles binary").withColumnRenamed("c", "c2")
+    sets = texts.mapInArrow(to_sets, "c binary, shingles binary").withColumnRenamed("c", "c2")
     full = wanted.join(sets, F.col("c") == F.col("c2")).select("b", "c", "bs", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, "b"):
-            c, first = np.unique(np.array(g["c"], np.int64), return_index=True)  # equal rows of a table give a class twice
-            sets = [np.frombuffer(g["shingles"][i], np.uint64) for i in first]
-            both = overlaps(sets)
-            size = np.array([len(s) for s in sets], np.float64)
-            near = both / (size[:, None] + size[None, :] - both) >= threshold
-            np.fill_diagonal(near, False)
-            count = (near & _first_meetings(g["b"][0], [g["bs"][i] for i in first])).sum(1)
-            root = c[_least_linked(near)]
-            at = near.any(1)
-            if at.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(root[at]), pa.array(count[at].astype(np.int64))], names=["c", "root", "links"])
-
-    met = written(full.repartition("b").sortWithinPartitions("b").mapInArrow(compare, "c bigint, root bigint, links bigint"), "links")
+            place = {x: i for i, x in reversed(list(enumerate(g["c"])))}  # equal rows of a table give a class twice
+            c = sorted(place)
+            sets = [np.frombuffer(g["shingles"][place[x]], np.uint64) for x in c]
+            if counted:
+                near = similar(sets, threshold)
+                count = (near & _first_meetings(g["b"][0], [g["bs"][place[x]] for x in c])).sum(1)
+                root, at = _least_linked(near), np.flatnonzero(near.any(1))
+            else:
+                root, count = hang_together(sets, threshold), np.zeros(len(c), np.int64)
+                at = np.flatnonzero(root != np.arange(len(c)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in at], pa.binary()), pa.array([c[i] for i in root[at]], pa.binary()), pa.array(count[at].astype(np.int64))], names=["c", "root", "links"])
+
+    met = written(full.repartition("b").sortWithinPartitions("b").mapInArrow(compare, "c binary, root binary, links bigint"), "links")
     dropped(lists, wanted)
     return met
 
 
-def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, and t and keeper: the hash of the text, and whether this is the document of its group with the least (doc_id, t)."""
+def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH, leaf_shingles: int = LEAF_SHINGLES, counted: bool = True) -> DataFrame:
+    """doc_id, class_id, n_links (0 if links are not counted), n_copies, and t and keeper: the hash of the text, and whether this is the document of its group with the least (doc_id, t)."""
     found = written(profiles(docs, threshold, runs_for(threshold, recall, depth)), "shingles")
-    met = links(docs, found, threshold, leaf, depth)
+    met = links(docs, found, threshold, leaf, depth, leaf_shingles, counted)
     counts = met.groupBy("c").agg(F.sum("links").alias("links")).withColumnRenamed("c", "c2")
     groups = components(met.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("a", "c3")
     # a null doc_id comes after all others
@@ -333,7 +379,7 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group, all columns as they are."""
     d, t, n = "_lamina_d", "_lamina_t", "_lamina_n"
-    kept = join_documents(docs, threshold).where("keeper").select(F.col("doc_id").alias(d), F.col("t").alias(t))
+    kept = join_documents(docs, threshold, counted=False).where("keeper").select(F.col("doc_id").alias(d), F.col("t").alias(t))
     counts = written(kept.groupBy(d, t).agg(F.count("*").alias(n)), "kept")
     out = docs.join(counts, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)))
     if not counts.where(F.col(n) > 1).isEmpty():  # equal rows: only here are texts dealt once more

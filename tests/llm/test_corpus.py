@@ -37,11 +37,26 @@ def brute_links(docs):
     return sorted(c.sql(near_join.oracle_sql()).fetchall(), key=str)
 
 
-@pytest.mark.parametrize(("leaf", "depth"), [(4096, 2), (4, 2), (3, 3), (2, 1)])
-def test_links_match_brute_force(make, edge_texts, leaf, depth):
+@pytest.mark.parametrize(("leaf", "depth", "shingles"), [(4096, 2, 10**6), (4, 2, 10**6), (2, 1, 10**6), (4096, 2, 200)])
+def test_links_match_brute_force(make, edge_texts, leaf, depth, shingles):
     docs = make([*near_texts(), *edge_texts])
-    got = near_join.join_documents(docs, recall=0.999999, leaf=leaf, depth=depth).select("doc_id", "class_id", "n_links", "n_copies").collect()
-    assert sorted(map(tuple, got), key=str) == brute_links(docs)
+    want = brute_links(docs)
+    got = near_join.join_documents(docs, recall=0.999999, leaf=leaf, depth=depth, leaf_shingles=shingles)
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links", "n_copies").collect()), key=str) == want
+    if min(leaf, shingles) < 1000 and depth == 2:
+        groups = near_join.join_documents(docs, recall=0.999999, leaf=leaf, depth=depth, leaf_shingles=shingles, counted=False)
+        assert sorted(map(tuple, groups.select("doc_id", "class_id", "n_copies").collect()), key=str) == [(a, b, d) for a, b, _, d in want]
+
+
+def test_groups_of_a_bucket():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 30):
+        base = [np.unique(r.integers(0, 400, 60).astype(np.uint64)) for _ in range(3)]
+        sets = [np.unique(np.concatenate([x[r.random(len(x)) > 0.06], r.integers(500, 900, 2).astype(np.uint64)])) for x in (base[i % 3] for i in range(n))]
+        sets[-1] = np.arange(1000, 1005, dtype=np.uint64)
+        near = np.array([[a is not b and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 for b in sets] for a in sets])
+        assert (near_join.similar(sets, 0.8) == near).all()
+        assert (near_join.hang_together(sets, 0.8) == near_join._least_linked(near)).all()
 
 
 def test_recall_of_random_pairs_at_the_threshold():
@@ -95,7 +110,8 @@ def repeat_texts():
 @pytest.mark.parametrize("regions", [16_384, 12, 2, 1])
 def test_repeats_match_brute_force(make, edge_texts, regions):
     """Small shards send hashes through pairs of shards, and those with more than four through cells."""
-    texts = [t for t in [*repeat_texts(), *edge_texts] if not t or len(t) < 20_000]
+    long = prose(20_000, 1)
+    texts = [*repeat_texts(), *edge_texts, *([long[5000:60_000] + "x" + long[3000:4000], "\u00e9" + long[70_000:70_400]] if regions > 100 else [])]
     docs = make(texts, [None, *range(1, len(texts))])
     raw = [(t or "").encode() for t in texts]
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, shard_regions=regions, with_text=True).collect()}
@@ -298,3 +314,22 @@ def test_pipeline_stages(spark, sf_dir):
     packed = cp.STAGES[-1][1](spark, docs, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()} and texts
     assert cp.run(spark, sf_dir).count() == packed.count()
+
+
+def test_pipeline_takes_nulls_equal_rows_and_odd_columns(spark, make, edge_texts, tmp_path):
+    import corpus_pipeline as cp
+
+    texts = [*edge_texts, *[prose(60, i) for i in range(40)], prose(60, 3), None]
+    ids = [None, *range(1, len(texts) - 1), 5]
+    docs = make(texts, ids).union(make([prose(60, 7)], [20])).union(make([prose(60, 7)], [20]))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("lang")))
+    for folder, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        out = rows
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, out, "")
+            assert out.columns == docs.columns
+        pieces = cp.run(spark, f"{tmp_path}/{folder}").collect()
+        assert (len(pieces) > 30) == (folder == "some")
+        texts_left = {r["doc_id"] for r in pieces}
+        assert texts_left <= {None, *ids, 20} and 1 not in texts_left

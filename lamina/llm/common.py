@@ -50,16 +50,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/lamina-shared-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: The paths in the shared folder that this process has given out.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes at its end all that was made in the shared folder meanwhile, but tables of written() that the function it gives was called with."""
+    mark, kept = len(_MADE), []
+    try:
+        yield lambda df: kept.append(df._lamina_path)
+    finally:
+        for path in _MADE[mark:]:
+            if path not in kept:
+                _delete(spark, path)
+        _MADE[mark:] = kept
 
 
 @contextlib.contextmanager
@@ -110,8 +136,7 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that written() made; only for those whose rows have all gone into another written table."""
     for t in tables:
-        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._lamina_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t._lamina_path)
 
 
 def chunks(values: list, limit: int = CHUNK_CHARS) -> Iterator[slice]:

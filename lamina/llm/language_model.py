@@ -15,7 +15,7 @@ is not known by heart because it was learned from; one that occurs twice is. The
 not depend on how many there are.
 
 Plan. Nothing is collected but one row a shard, and no worker holds more of the model than the shard it serves.
-1. Tasks cut texts into words and write them in chunks of some 16 million characters, as numbers, to files in the shared folder.
+1. Tasks cut texts into words and write them in chunks of some 12 million characters, as numbers, to files in the shared folder.
 2. Each chunk sends its distinct words with their counts to shards by hash range, which write level 1; then it asks for ids.
 3. Each chunk sends its distinct training bigrams, each with the words that follow it, to the shard of the first word's hash;
    a frequent first word is split over shards by the second. A shard adds them up and writes its part of levels 2 and 3, whose
@@ -58,7 +58,7 @@ NOTHING = (1 << BITS) - 1
 #: Stands for the end of a text; no word can have a line break.
 END = b"\n"
 #: Characters of a chunk of texts; tokens to a shard of level 1 and of the higher levels.
-CHUNK_TEXT, WORD_SHARD_TOKENS, SHARD_TOKENS = 16_000_000, 16_000_000, 4_000_000
+CHUNK_TEXT, WORD_SHARD_TOKENS, SHARD_TOKENS = 12_000_000, 8_000_000, 3_000_000
 #: Ranges of context counts: each count up to 8, then two to a doubling.
 RANGES = 136
 #: Shares of the chunks that are looked up one after the other.

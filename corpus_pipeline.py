@@ -3,14 +3,15 @@
 Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents: language identification and
 quality rules keep some rows (and take boilerplate lines out), the similarity join keeps one document of each group, substring
 deduplication takes repeated passages out of texts. run() writes each stage's rows as Parquet in the shared folder and reads
-them again for the next, so a lost executor costs one stage's tasks at most."""
+them again for the next, so a lost executor costs one stage's tasks at most; what a stage has made besides, and its input, is
+deleted then. The table that the last stage reads stays."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import language_id, near_join, packing, quality, suffix_dedup
-from lamina.llm.common import prepare, written
+from lamina.llm.common import dropped, prepare, scratch, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents that stay."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep(docs)
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

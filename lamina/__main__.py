@@ -45,11 +45,11 @@ def main(argv: list[str] | None = None) -> int:
     data.add_argument("--lock", default="data.lock.json")
     a = p.parse_args(argv)
     if a.command == "doctor":
-        print(json.dumps({"versions": skills.versions(), "missing": {k: m for k, s in skills.discover().items() if (m := s.missing())}}, indent=2))
+        print(json.dumps({"versions": skills.versions(), "missing": {k: m for k, s in skills.discover().items() if (m := s.lacking())}}, indent=2))
     elif a.command == "skills":
         print(skills.markdown_table([{"name": k, "description": s.description} for k, s in skills.discover().items()], ["name", "description"]), end="")
     elif a.command == "show":
-        print(json.dumps(skills.get(a.name).tool_schema(), indent=2))
+        print(json.dumps(skills.get(a.name).tool(), indent=2))
     elif a.command == "data":
         f = {"status": lambda: skills.dataset_status(a.manifest), "lock": lambda: skills.lock(a.manifest, a.lock), "verify": lambda: skills.verify(a.manifest, a.lock)}[a.action]
         print(json.dumps(f(), indent=2))

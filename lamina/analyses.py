@@ -81,8 +81,7 @@ def niches(spark, ctx, obs, n_niches, k):
 @skill("spatial3d.communication", "Ligands and receptors between labels that are neighbours", OBS, param("ligands", "parquet", True, description="obs_id, interaction, value"), param("receptors", "parquet", True), param("k", "int", default=8), param("n_permutations", "int", default=200), param("min_edges", "int", default=20))
 def communication(spark, ctx, obs, ligands, receptors, k, n_permutations, min_edges):
     o, lig, rec = _read(spark, obs, ligands, receptors)
-    out = expression.communication_test(graph.knn_graph(o, k), o.select("obs_id", "label"), lig, rec, graph.permutation(o, n_permutations, ctx.seed), n_permutations, min_edges)
-    return stats.benjamini_hochberg(out, "p", ["interaction", "sender", "receiver"])
+    return expression.communication_test(graph.knn_graph(o, k), o.select("obs_id", "label", "block"), lig, rec, graph.permutation(o, n_permutations, ctx.seed), n_permutations, min_edges)
 
 
 @skill("stats.replicate_de", "Groups compared over replicates", COUNTS, param("meta", "parquet", True, description="obs_id, unit, grp"), param("a", "str", True), param("b", "str", True), param("min_cells", "int", default=10), param("paired", "bool", default=True))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.distributions import p_hypergeom
+from lamina.session import written
 
 
 def qc_metrics(counts: DataFrame, genes: DataFrame, mt: str = r"^MT-", ribo: str = r"^RP[SL]\d") -> DataFrame:
@@ -138,20 +143,70 @@ def panel_coverage(panels: DataFrame, genes: DataFrame, detected: DataFrame, min
     return p.groupBy("panel").agg(F.count("*").alias("n_panel"), F.count("gene_id").alias("n_data"), n.alias("n_detected"), names.alias("genes"), (n >= min_genes).alias("usable"))
 
 
-def panel_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame:
+#: Rows of sets that go to every task as arrays, some 12 bytes each; more are joined.
+MOST_SET_ROWS = 20_000_000
+
+
+def panel_scores(values: DataFrame, sets: DataFrame, n_null: int, most_rows: int = MOST_SET_ROWS) -> DataFrame:
     """obs_id, panel, effect, p of each cell's panel mean against that cell's means over random sets.
 
-    sets has (panel, null_id, gene_id), null_id -1 being the panel itself: effect is the mean's distance from the null's in its deviations, p is (1 + nulls as
-    large) / (n_null + 1). values is sparse, so means divide by the size of the set."""
+    sets has (panel, null_id, gene_id), null_id -1 being the panel itself; a gene may be in a set twice. effect is the mean's distance from the null's in its
+    deviations, p is (1 + nulls as large) / (n_null + 1). values is sparse, so means divide by the size of the set.
+
+    Values are grouped by cell once. Sets up to `most_rows` rows (panels x nulls x genes of a panel, whatever the number of cells) go along with the
+    tasks as a sparse matrix of genes by sets; beyond that values are joined with them."""
+    sets = written(sets, "sets")
+    if sets.count() > most_rows:
+        return _joined_scores(values, sets, n_null)
+    frame = sets.toPandas()
+    panels = sorted(frame["panel"].unique().tolist())
+    column = frame["panel"].map({p: i for i, p in enumerate(panels)}).to_numpy(np.int64) * (n_null + 1) + frame["null_id"].to_numpy(np.int64) + 1
+    genes, place = np.unique(frame["gene_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    column, begins = column[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(genes)))])
+    size = np.maximum(np.bincount(column, minlength=len(panels) * (n_null + 1)), 1).reshape(len(panels), n_null + 1)
+    del frame, place, order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 2_000_000 // size.size)
+        for b in batches:
+            for a in range(0, b.num_rows, step):
+                part = b.slice(a, step)
+                lists, amounts = part.column("genes"), part.column("values").flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                mine = lists.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(genes, mine), len(genes) - 1)
+                known = genes[at] == mine
+                at, owner, amounts = at[known], owner[known], amounts[known]
+                n = begins[at + 1] - begins[at]
+                flat = np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                m = np.bincount(np.repeat(owner, n) * size.size + column[flat], np.repeat(amounts, n), part.num_rows * size.size).reshape(part.num_rows, *size.shape) / size
+                real, null = m[:, :, 0], m[:, :, 1:]
+                mean = null.sum(2) / n_null
+                sd = np.sqrt(np.maximum((null * null).sum(2) / n_null - mean * mean, 0))
+                # sums in another order may differ in their last digits, so a tie has a margin
+                ge = np.where(real <= 0, n_null, (null >= real[:, :, None] - 1e-12).sum(2))
+                effect = np.where(sd > 1e-12, (real - mean) / np.where(sd > 1e-12, sd, 1), 0.0)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), len(panels)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("obs_id").take(rows), pa.array(panels * part.num_rows), pa.array(effect.ravel()), pa.array(((1 + ge) / (n_null + 1.0)).ravel())], names=["obs_id", "panel", "effect", "p"]
+                )
+
+    cells = values.groupBy("obs_id").agg(F.collect_list("gene_id").alias("genes"), F.collect_list(F.col("value").cast("double")).alias("values"))
+    return cells.mapInArrow(run, f"obs_id {values.schema['obs_id'].dataType.simpleString()}, panel {sets.schema['panel'].dataType.simpleString()}, effect double, p double")
+
+
+def _joined_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame:
+    """panel_scores() by joins, for sets of any number."""
     size = sets.groupBy("panel", "null_id").agg(F.count("*").alias("k"))
     obs = values.select("obs_id").distinct()
     s = values.join(sets, "gene_id").groupBy("obs_id", "panel", "null_id").agg(F.sum("value").alias("s"))
     m = s.join(size, ["panel", "null_id"]).select("obs_id", "panel", "null_id", (F.col("s") / F.col("k")).alias("m"))
-    # sums in another order may differ in their last digits, so a tie has a margin; sets in which a cell has nothing have mean 0 and no row
+    # sets in which a cell has nothing have mean 0 and no row
     real = m.where("null_id = -1").select("obs_id", "panel", F.col("m").alias("real"))
     grid = obs.crossJoin(F.broadcast(size.select("panel").distinct())).join(real, ["obs_id", "panel"], "left").select("obs_id", "panel", F.coalesce("real", F.lit(0.0)).alias("real"))
     null = grid.join(m.where("null_id >= 0").select("obs_id", "panel", "m"), ["obs_id", "panel"], "left")
-    g = null.groupBy("obs_id", "panel").agg(F.first("real").alias("real"), F.count("m").alias("k"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("q"), F.count_if(F.col("m") >= F.col("real") - 1e-12).alias("ge"))
+    g = null.groupBy("obs_id", "panel").agg(F.first("real").alias("real"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("q"), F.count_if(F.col("m") >= F.col("real") - 1e-12).alias("ge"))
     mean = F.col("s") / n_null
     sd = F.sqrt(F.greatest(F.col("q") / n_null - mean * mean, F.lit(0.0)))
     ge = F.when(F.col("real") <= 0, F.lit(n_null)).otherwise(F.col("ge"))
@@ -190,16 +245,55 @@ def communication(edges: DataFrame, labels: DataFrame, ligand: DataFrame, recept
     return s.join(F.broadcast(n), ["sender", "receiver"]).select("interaction", "sender", "receiver", "n_edges", (F.col("s") / F.col("n_edges")).alias("score"))
 
 
-def communication_test(edges: DataFrame, labels: DataFrame, ligand: DataFrame, receptor: DataFrame, perm: DataFrame, n_perm: int, min_edges: int) -> DataFrame:
-    """Adds p: how often receptors shuffled within blocks reach the score."""
-    real = communication(edges, labels, ligand, receptor, min_edges)
-    e = edges.join(labels.select(F.col("obs_id").alias("src"), F.col("label").alias("sender")), "src").join(labels.select(F.col("obs_id").alias("dst"), F.col("label").alias("receiver")), "dst")
-    moved = receptor.select(F.col("obs_id").alias("other"), "interaction", F.col("value").alias("r")).join(perm, "other").select("perm", F.col("obs_id").alias("dst"), "interaction", "r")
-    v = e.join(ligand.select(F.col("obs_id").alias("src"), "interaction", F.col("value").alias("l")), "src").join(moved, ["dst", "interaction"])
-    null = v.groupBy("perm", "interaction", "sender", "receiver").agg(F.sum(F.col("l") * F.col("r")).alias("s"))
-    j = real.join(null, ["interaction", "sender", "receiver"], "left")
-    g = j.groupBy("interaction", "sender", "receiver", "n_edges", "score").agg(F.count_if(F.col("s") / F.col("n_edges") >= F.col("score") - 1e-9).alias("ge"))
-    return g.select("interaction", "sender", "receiver", "n_edges", "score", ((1 + F.col("ge")) / F.lit(n_perm + 1.0)).alias("p"))
+def communication_test(edges: DataFrame, labels: DataFrame, ligand: DataFrame, receptor: DataFrame, perm: DataFrame, n_perm: int, min_edges: int, least_share: float = 0.5) -> DataFrame:
+    """The scores of communication() against receptors shuffled within blocks; labels has (obs_id, label, block), an edge belongs to the block of its src.
+
+    interaction, sender, receiver, n_edges, score; p from the normal law with the shuffles' mean and deviation, p_empirical = (1 + as large) / (n + 1);
+    n_tested blocks with at least min_edges such edges and n_supporting ones whose score is above the 95 % quantile of their own shuffles;
+    padj (Benjamini-Hochberg over all rows), and significant: padj below 0.05 and, with several blocks, the share of supporting ones at least least_share.
+
+    A row for each edge and shuffle has all interactions; a pair of labels in a block has an array of n_perm scores at most."""
+    from lamina.functions.distributions import p_normal
+    from lamina.operators.graph import product_sums, shuffled_pairs
+    from lamina.operators.stats import benjamini_hochberg
+
+    names = sorted(r["interaction"] for r in ligand.select("interaction").intersect(receptor.select("interaction")).collect())
+    pair = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+
+    def arrays(side: DataFrame) -> DataFrame:
+        m = side.groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("interaction", "value"))).alias("m"))
+        return written(m.select("obs_id", F.transform(pair, lambda x: F.coalesce(F.col("m")[x], F.lit(0.0))).alias("v")), "dense")
+
+    e = edges.select("src", "dst", F.lit(1.0).alias("w")).join(labels.select(F.col("obs_id").alias("src"), F.col("label").alias("sender"), "block"), "src")
+    e = written(e.join(labels.select(F.col("obs_id").alias("dst"), F.col("label").alias("receiver")), "dst"), "edges")
+    by = ["sender", "receiver"]
+    blocks = e.groupBy(*by, "block").agg(F.count("*").alias("cb"))
+    tested = blocks.groupBy(*by).agg(F.sum("cb").alias("n_edges"), F.count_if(F.col("cb") >= min_edges).alias("n_tested")).where(F.col("n_edges") >= min_edges)
+    sums = written(product_sums(shuffled_pairs(e, perm, False, [*by, "block"]), arrays(ligand), arrays(receptor), len(names), ["perm", *by, "block"]).where("s > 0"), "sums")
+    whole = sums.groupBy("perm", "i", *by).agg(F.sum("s").alias("s")).join(tested, by)
+    whole = whole.withColumn("m", F.col("s") / F.col("n_edges"))
+    real = whole.where("perm = -1").select("i", *by, "n_edges", "n_tested", F.col("m").alias("score"))
+    # shuffles without a product have no row, and score 0
+    null = real.join(whole.where("perm >= 0").select("i", *by, "m"), ["i", *by], "left").groupBy("i", *by, "n_edges", "n_tested", "score")
+    null = null.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("s1"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("s2"), F.count_if(F.col("m") >= F.col("score") - 1e-9).alias("ge"))
+    mean = F.col("s1") / n_perm
+    sd = F.sqrt(F.greatest(F.col("s2") / n_perm - mean * mean, F.lit(0.0)))
+    null = null.withColumn("z", F.when(sd > 1e-9, (F.col("score") - mean) / sd)).withColumn("above", F.col("score") > mean)
+    # each block's own score against the 95 % quantile of its shuffles
+    own = sums.where("perm = -1").select("i", *by, "block", F.col("s").alias("own"))
+    lists = own.join(sums.where("perm >= 0").select("i", *by, "block", "s"), ["i", *by, "block"], "left").groupBy("i", *by, "block", "own").agg(F.collect_list("s").alias("x"))
+    place = 0.95 * (n_perm - 1)
+    low = int(place)
+    lists = lists.withColumn("x", F.sort_array(F.concat("x", F.array_repeat(F.lit(0.0), F.lit(n_perm) - F.size("x")))))
+    quantile = F.col("x")[low] + (F.col("x")[min(low + 1, n_perm - 1)] - F.col("x")[low]) * (place - low)
+    support = lists.join(blocks.where(F.col("cb") >= min_edges), [*by, "block"]).where((F.col("own") - quantile) / F.col("cb") > 1e-9).groupBy("i", *by).agg(F.count("*").alias("n_supporting"))
+    out = null.join(support, ["i", *by], "left")
+    p = F.when(F.col("z").isNotNull(), p_normal(F.col("z"))).when(F.col("above"), 0.0).otherwise(1.0)
+    out = out.select(pair[F.col("i")].alias("interaction"), *by, "n_edges", "score", p.alias("p"), ((1 + F.col("ge")) / F.lit(n_perm + 1.0)).alias("p_empirical"), "n_tested", F.coalesce("n_supporting", F.lit(0).cast("bigint")).alias("n_supporting"))
+    out = benjamini_hochberg(out, "p", ["interaction", *by])
+    many = labels.select("block").distinct().count() > 1
+    enough = F.col("n_supporting") / F.greatest("n_tested", F.lit(1)) >= least_share if many else F.lit(True)
+    return out.withColumn("significant", (F.col("padj") < 0.05) & enough)
 
 
 def ora(hits: DataFrame, universe: DataFrame, sets: DataFrame, min_size: int = 3) -> DataFrame:

@@ -116,10 +116,10 @@ def cross_section_edges(points: DataFrame, k: int = 3, small: int = 1024) -> Dat
 
 def cross_section_graph(points: DataFrame, k_within: int = 6, k_between: int = 3, z_scale: float = 1.0) -> DataFrame:
     """The binary graph within sections plus Gaussian edges between neighbouring ones; the spacing is the median over sections of the median distance to the nearest in the plane."""
-    flat = points.withColumn("z", F.lit(0.0))
-    within = knn_graph(flat.withColumn("block", F.concat_ws("\u0001", "block", "section")), k_within)
-    nearest = knn(flat.withColumn("block", F.concat_ws("\u0001", "block", "section")), 1)
-    spacing = nearest.groupBy("block").agg(F.expr("percentile(sqrt(d2), 0.5D)").alias("m")).agg(F.expr("percentile(m, 0.5D)").alias("h"))
+    flat = points.withColumn("z", F.lit(0.0)).withColumn("block", F.concat_ws("\u0001", "block", "section"))
+    near = written(knn(flat, k_within), "edges")
+    within = symmetric(near.withColumn("w", F.lit(1.0)))
+    spacing = near.where("rank = 1").groupBy("block").agg(F.expr("percentile(sqrt(d2), 0.5D)").alias("m")).agg(F.expr("percentile(m, 0.5D)").alias("h"))
     e = cross_section_edges(points, k_between).crossJoin(F.broadcast(spacing))
     d2 = F.col("d2") + (F.col("dz") * z_scale) ** 2
     e = symmetric(e.withColumn("w", F.exp(-d2 / (F.col("h") * F.col("h")) / 2)))
@@ -185,29 +185,62 @@ def permutation(points: DataFrame, n: int, seed: int = 0, portable: bool = False
     return a.join(b, ["perm", "block", "r"]).select("perm", "obs_id", "other")
 
 
+def dense(values: DataFrame, value: str = "value") -> tuple[DataFrame, list]:
+    """(obs_id, v: the values of a point in order of gene_id, the gene_ids) of dense values. The names of genes are some ten thousands at most."""
+    genes = [r["gene_id"] for r in values.select("gene_id").distinct().orderBy("gene_id").collect()]
+    rows = values.groupBy("obs_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", F.col(value).alias("x")))).alias("r"))
+    return rows.select("obs_id", F.col("r.x").alias("v")), genes
+
+
+def product_sums(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int, by: list[str], at_once: int = 64) -> DataFrame:
+    """by, i, s: for each place i of arrays the sum over pairs (by, a, b, w) of w x left[i] x right[i]; left and right have (obs_id, v).
+
+    A pair is one row whatever the length of the arrays, and the sums are partial aggregates over at most `at_once` places at a time."""
+    out = None
+    for start in range(0, n, at_once):
+        size = min(at_once, n - start)
+        part = lambda d, key, name: d.select(F.col("obs_id").alias(key), F.slice("v", start + 1, size).alias(name))
+        j = pairs.join(part(left, "a", "x"), "a").join(part(right, "b", "y"), "b")
+        sums = j.groupBy(*by).agg(*(F.sum(F.col("w") * F.col("x")[i] * F.col("y")[i]).alias(f"s{i}") for i in range(size)))
+        sums = sums.select(*by, F.posexplode(F.array(*(f"s{i}" for i in range(size)))).alias("i", "s")).withColumn("i", F.col("i") + start)
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+def shuffled_pairs(edges: DataFrame, perm: DataFrame, both: bool, keep: list[str]) -> DataFrame:
+    """keep, perm, a, b, w: edges as they are (perm -1) and between the points that each shuffle puts at their ends (`both`), or at dst only.
+
+    Each point's partners go along as one array, so edges are shuffled by src and dst once and not for every permutation."""
+    partners = perm.groupBy("obs_id").agg(F.sort_array(F.collect_list(F.struct("perm", "other"))).alias("p")).select("obs_id", F.col("p.other").alias("p"))
+    e = edges.join(partners.select(F.col("obs_id").alias("dst"), F.concat(F.array("obs_id"), "p").alias("pb")), "dst")
+    if both:
+        e = e.join(partners.select(F.col("obs_id").alias("src"), F.concat(F.array("obs_id"), "p").alias("pa")), "src")
+        e = e.select(*keep, "w", F.posexplode(F.arrays_zip("pa", "pb")).alias("perm", "z")).select(*keep, "perm", F.col("z.pa").alias("a"), F.col("z.pb").alias("b"), "w")
+    else:
+        e = e.select(*keep, "w", F.col("src").alias("a"), F.posexplode("pb").alias("perm", "b"))
+    return e.withColumn("perm", F.col("perm") - 1)
+
+
 def spatially_variable(points: DataFrame, edges: DataFrame, values: DataFrame, n_perm: int, seed: int = 0, portable: bool = False) -> DataFrame:
     """gene_id, moran, p, padj: Moran's I against shuffles within blocks, p = (1 + as large) / (n + 1), then Benjamini-Hochberg.
 
-    All shuffles go through one job: the shuffled gene of a point is the gene of its partner."""
+    All shuffles go through one job with a row for each edge and shuffle, which has all genes."""
     from lamina.operators.stats import benjamini_hochberg
 
     edges = written(edges, "edges")
-    real = morans_i(edges, values).select("gene_id", "moran")
     mean = values.groupBy("gene_id").agg(F.avg("value").alias("m"))
-    z = values.join(F.broadcast(mean), "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("m")).alias("z"))
-    base = z.groupBy("gene_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n"))
+    z, genes = dense(values.join(mean, "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("m")).alias("value")))
+    z = written(z, "dense")
+    base = z.select(F.posexplode("v").alias("i", "z")).groupBy("i").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n"))
     total = edges.agg(F.sum("w").alias("sw"))
-    perm = written(permutation(points, n_perm, seed, portable), "shuffles")
-    # an edge between places is an edge between the points shuffled there
-    moved = perm.join(edges.withColumnRenamed("src", "obs_id"), "obs_id").select("perm", F.col("other").alias("a"), "dst", "w")
-    moved = moved.join(perm.select("perm", F.col("obs_id").alias("dst"), F.col("other").alias("b")), ["perm", "dst"]).select("perm", "a", "b", "w")
-    za, zb = (z.select(F.col("obs_id").alias(c), "gene_id", F.col("z").alias(f"z{c}")) for c in "ab")
-    null = moved.join(zb, "b").groupBy("perm", "a", "gene_id").agg(F.sum(F.col("w") * F.col("zb")).alias("wz")).join(za, ["a", "gene_id"])
-    null = null.groupBy("perm", "gene_id").agg(F.sum(F.col("za") * F.col("wz")).alias("num")).join(base, "gene_id").crossJoin(F.broadcast(total))
-    null = null.select("gene_id", (F.col("n") / F.col("sw") * F.col("num") / F.when(F.col("zz") > 0, F.col("zz"))).alias("i0"))
+    pairs = shuffled_pairs(edges, permutation(points, n_perm, seed, portable), True, [])
+    sums = product_sums(pairs, z, z, len(genes), ["perm"]).join(base, "i").crossJoin(F.broadcast(total))
+    sums = sums.select("perm", "i", (F.col("n") / F.col("sw") * F.col("s") / F.when(F.col("zz") > 0, F.col("zz"))).alias("m"))
+    real = sums.where("perm = -1").select("i", F.col("m").alias("moran"))
     # twice the rounding of these sums counts as a tie
-    p = null.join(real, "gene_id").groupBy("gene_id").agg(F.first("moran").alias("moran"), ((1 + F.count_if(F.col("i0") >= F.col("moran") - 1e-12)) / F.lit(n_perm + 1.0)).alias("p"))
-    return benjamini_hochberg(p, "p", ["gene_id"]).select("gene_id", "moran", "p", "padj")
+    p = sums.where("perm >= 0").join(real, "i").groupBy("i").agg(F.first("moran").alias("moran"), ((1 + F.count_if(F.col("m") >= F.col("moran") - 1e-12)) / F.lit(n_perm + 1.0)).alias("p"))
+    names = values.sparkSession.createDataFrame(list(enumerate(genes)), f"i int, gene_id {values.schema['gene_id'].dataType.simpleString()}")
+    return benjamini_hochberg(p.join(names, "i").drop("i"), "p", ["gene_id"]).select("gene_id", "moran", "p", "padj")
 
 
 def niche_composition(edges: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -243,7 +276,11 @@ def clustering(edges: DataFrame) -> DataFrame:
     """node, degree, clustering of an undirected graph: triangles by joining ordered edges, so each is met once."""
     u = edges.where("src < dst").select("src", "dst").distinct()
     degree = u.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    ab, bc, ac = u.select(F.col("src").alias("a"), F.col("dst").alias("b")), u.select(F.col("src").alias("b"), F.col("dst").alias("c")), u.select(F.col("src").alias("a"), F.col("dst").alias("c"))
+    # edges run from the end of smaller degree, so a hub has few of its own
+    at = lambda c: F.struct(F.col(f"d{c}").alias("d"), F.col(c).alias("n"))
+    o = u.join(degree.select(F.col("node").alias("src"), F.col("degree").alias("dsrc")), "src").join(degree.select(F.col("node").alias("dst"), F.col("degree").alias("ddst")), "dst")
+    o = o.select(F.least(at("src"), at("dst")).alias("x"), F.greatest(at("src"), at("dst")).alias("y")).select(F.col("x.n").alias("x"), F.col("y.n").alias("y"))
+    ab, bc, ac = (o.toDF(*names) for names in (("a", "b"), ("b", "c"), ("a", "c")))
     t = ab.join(bc, "b").join(ac, ["a", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
     out = degree.join(t, "node", "left")
     return out.select("node", "degree", F.when(F.col("degree") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))

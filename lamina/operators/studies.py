@@ -21,21 +21,32 @@ STEMNESS = {
 }
 
 
-def control_sets(panels: DataFrame, bins: DataFrame, n_null: int, seed: int = 0, least: int = 10) -> DataFrame:
-    """panel, null_id, gene_id: each panel itself (null_id -1) and n_null random sets with as many genes of each expression bin, none of them a panel gene.
+def control_sets(panels: DataFrame, bins: DataFrame, n_null: int, seed: int = 0, least: int = 10, portable: bool = False) -> DataFrame:
+    """panel, null_id, gene_id: each panel's genes that have a bin (null_id -1) and n_null random sets, in which each gene of the panel has a gene of like expression in its place.
 
-    A bin with fewer than `least` genes outside the panels takes in its neighbours. Genes of a set are those of least hash in their pool."""
+    It is drawn from the genes of its expression bin that no panel has, with as many neighbouring bins as it takes for `least` of them; a gene may be drawn
+    twice for a set. Portable draws are arithmetic that any SQL engine can follow; the others are hashes."""
     free = bins.join(panels.select("gene_id").distinct(), "gene_id", "left_anti")
-    pools = expression.bin_pools(free, least).select("bin", "width")
-    need = panels.join(bins, "gene_id").groupBy("panel", "bin").agg(F.count("*").alias("k"))
-    # bins that hold panel genes only look to all bins from 0 width up through the nearest pool
-    need = need.join(pools, "bin", "left").withColumn("width", F.coalesce("width", F.lit(1).cast("bigint")))
-    pool = need.join(free.select("gene_id", F.col("bin").alias("b2")), F.abs(F.col("b2") - F.col("bin")) <= F.col("width"))
+    mine = panels.distinct().join(bins, "gene_id")
+    need = mine.select("bin").distinct()
+    size = free.groupBy("bin").agg(F.count("*").alias("n"))
+    widths = panels.sparkSession.range(bins.agg(F.max("bin")).first()[0] + 1).select(F.col("id").alias("width"))
+    reach = need.crossJoin(F.broadcast(widths)).join(size.select(F.col("bin").alias("b2"), "n"), F.abs(F.col("b2") - F.col("bin")) <= F.col("width"))
+    reach = reach.groupBy("bin", "width").agg(F.sum("n").alias("pool"))
+    # the first width with enough genes, or the widest
+    width = reach.groupBy("bin").agg(F.coalesce(F.min(F.when(F.col("pool") >= least, F.col("width"))), F.max("width")).alias("width"))
+    if free.isEmpty():
+        raise ValueError("all genes belong to panels: there are none to draw from")
+    pool = width.join(free.select(F.col("gene_id").alias("drawn"), F.col("bin").alias("b2")), F.abs(F.col("b2") - F.col("bin")) <= F.col("width"))
+    by_bin = Window.partitionBy("bin")
+    pool = pool.select("bin", "drawn", (F.row_number().over(by_bin.orderBy("drawn")) - 1).cast("bigint").alias("place"), F.count("*").over(by_bin).alias("pool"))
+    pool = written(pool, "pools")
+    sizes = pool.select("bin", "pool").distinct()
     nulls = panels.sparkSession.range(n_null).select(F.col("id").alias("null_id"))
-    key = F.xxhash64("gene_id", "null_id", "panel", "bin", F.lit(seed))
-    drawn = pool.crossJoin(F.broadcast(nulls)).withColumn("r", F.row_number().over(Window.partitionBy("panel", "bin", "null_id").orderBy(key, "gene_id"))).where(F.col("r") <= F.col("k"))
-    real = panels.select("panel", F.lit(-1).cast("bigint").alias("null_id"), "gene_id")
-    return real.unionByName(drawn.select("panel", "null_id", "gene_id")).distinct()
+    key = F.expr("((gene_id * 7919 + null_id * 104729) * (gene_id * 31 + 17)) % 1000003") if portable else F.xxhash64("gene_id", "null_id", "panel", F.lit(seed))
+    draws = mine.join(sizes, "bin").crossJoin(F.broadcast(nulls)).select("panel", "null_id", "bin", F.pmod(key, F.col("pool")).alias("place"))
+    real = mine.select("panel", F.lit(-1).cast("bigint").alias("null_id"), "gene_id")
+    return real.unionByName(draws.join(pool, ["bin", "place"]).select("panel", "null_id", F.col("drawn").alias("gene_id")))
 
 
 def annotate(values: DataFrame, panels: DataFrame, n_obs: int, n_null: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
@@ -116,17 +127,18 @@ def agreement(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFra
     return j.agg(F.count("*").alias("n"), F.max(d).alias("max_abs"), F.max(d / F.when(F.abs("vb") > 0, F.abs("vb"))).alias("max_rel"), F.corr("va", "vb").alias("r"))
 
 
-def gsea_test(ranked: DataFrame, sets: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
-    """term, size, es, nes, p: against the same sets with genes shuffled; p and the scale of nes come from shuffles of the same sign."""
+def gsea_test(ranked: DataFrame, sets: DataFrame, n_perm: int, seed: int = 0, portable: bool = False) -> DataFrame:
+    """term, size, es, nes, p: against the same sets with genes shuffled; p and the scale of nes come from shuffles of the same sign. Portable shuffles are arithmetic."""
     real = expression.gsea_es(ranked, sets)
     perms = sets.sparkSession.range(n_perm).select(F.col("id").alias("perm"))
     genes = ranked.select("gene_id").withColumn("i", F.row_number().over(Window.orderBy("gene_id")))
-    w = Window.partitionBy("perm").orderBy(F.xxhash64("gene_id", "perm", F.lit(seed)), "gene_id")
+    key = F.expr("((gene_id * 7919 + perm * 104729) * (gene_id * 31 + 17)) % 1000003") if portable else F.xxhash64("gene_id", "perm", F.lit(seed))
+    w = Window.partitionBy("perm").orderBy(key, "gene_id")
     moved = genes.crossJoin(F.broadcast(perms)).withColumn("j", F.row_number().over(w)).select("perm", F.col("gene_id").alias("to"), "j").join(genes.select("gene_id", F.col("i").alias("j")), "j")
     shuffled = sets.join(moved, "gene_id").select(F.concat_ws("\u0001", "term", "perm").alias("term"), F.col("to").alias("gene_id"))
     null = expression.gsea_es(ranked, shuffled).select(F.split("term", "\u0001")[0].alias("term"), F.col("es").alias("e0"))
     j = real.join(null, "term").where((F.col("es") >= 0) == (F.col("e0") >= 0))
-    g = j.groupBy("term", "size", "es").agg(F.count("*").alias("k"), F.count_if(F.abs("e0") >= F.abs("es")).alias("ge"), F.avg(F.abs("e0")).alias("m"))
+    g = j.groupBy("term", "size", "es").agg(F.count("*").alias("k"), F.count_if(F.abs("e0") >= F.abs("es") - 1e-12).alias("ge"), F.avg(F.abs("e0")).alias("m"))
     return real.join(g.drop("size", "es"), "term", "left").select("term", "size", "es", (F.col("es") / F.col("m")).alias("nes"), ((1 + F.coalesce("ge", F.lit(0))) / (1 + F.coalesce("k", F.lit(0)))).alias("p"))
 
 
@@ -161,6 +173,31 @@ def poisson_deviance(edges: DataFrame, train: DataFrame, test: DataFrame, weight
     return j.groupBy("gene_id").agg(F.sum(dev).alias("deviance"))
 
 
+def tuned_smoothing(edges: DataFrame, train: DataFrame, tune: DataFrame, test: DataFrame, weights: list[float]) -> DataFrame:
+    """gene_id, weight, deviance, own_deviance: the weight of neighbours whose total deviance on the tuning counts is least (ties: the smaller), and each gene's
+    deviance of test counts with it and with no neighbours. Dense (obs_id, gene_id, value) everywhere."""
+    around = graph.neighbourhood_mean(edges, train).withColumnRenamed("value", "around")
+    j = train.join(around, ["obs_id", "gene_id"]).join(tune.withColumnRenamed("value", "y"), ["obs_id", "gene_id"]).join(test.withColumnRenamed("value", "t"), ["obs_id", "gene_id"])
+    rate = lambda w: F.greatest((1 - w) * F.col("value") + w * F.col("around"), F.lit(1e-3))
+    dev = lambda y, w: 2 * (F.when(F.col(y) > 0, F.col(y) * F.ln(F.col(y) / rate(w))).otherwise(0.0) - (F.col(y) - rate(w)))
+    # all weights in one pass: sums by gene, tuned over all genes
+    sums = written(j.groupBy("gene_id").agg(*(F.sum(dev(y, w)).alias(f"{y}{i}") for i, w in enumerate([0.0, *weights]) for y in "yt")), "deviance")
+    total = F.array(*(F.struct(F.round(F.sum(f"y{i}"), 9).alias("d"), F.lit(float(w)).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(weights, 1)))
+    best = sums.agg(F.array_min(total).alias("b"))
+    tests = F.array(*(f"t{i}" for i in range(len(weights) + 1)))
+    return sums.crossJoin(F.broadcast(best)).select("gene_id", F.col("b.w").alias("weight"), tests[F.col("b.i")].alias("deviance"), F.col("t0").alias("own_deviance"))
+
+
+def unit_responses(spikes: DataFrame, trials: DataFrame, length: float) -> DataFrame:
+    """unit, na, nb, u, z, p, padj: whether a unit has more or fewer spikes in the time after its trials than as long before them (rank test over trials, false discovery rate over units). trials has (trial, unit, e)."""
+    from lamina.operators import events
+
+    after = events.interval_counts(spikes, trials, length).withColumn("grp", F.lit("after"))
+    before = events.interval_counts(spikes, trials.withColumn("e", F.col("e") - length), length).withColumn("grp", F.lit("before"))
+    both = after.unionByName(before).select("unit", "grp", F.col("n").cast("double").alias("value"))
+    return stats.benjamini_hochberg(stats.mann_whitney_p(stats.mann_whitney(both, ["unit"], "grp", "after", "before")), "p", ["unit"])
+
+
 def feature_knn(features: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """src, dst, d2, rank of the k nearest rows in feature space (obs_id, features array), exact.
 

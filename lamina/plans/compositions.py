@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.operators import expression as ex
-from lamina.operators import graph, stats, studies
+from lamina.functions.tails_sql import t_two_sided
+from lamina.operators import graph, studies
 from lamina.sources import fixtures as fx
 
-from .measures import _values
+from .measures import RANKS
 from .registry import plan, rounded
-from .spatial import SMOOTH, graph_sql
+from .spatial import BH, SMOOTH, graph_sql
 
 
 @plan(f"""WITH {fx.OBS}, {fx.FEATURES}, a AS (SELECT label, gene_id, count(*)::DOUBLE AS n, sum(value) AS s, sum(value * value) AS q FROM feat JOIN obs USING (obs_id) GROUP BY ALL), t AS (SELECT gene_id, sum(n) AS nt, sum(s) AS st, sum(q) AS qt FROM a GROUP BY gene_id),
@@ -79,7 +80,7 @@ def smoothing_deviance(spark, sf):
     return rounded(studies.poisson_deviance(graph.knn_graph(fx.obs(spark, sf), 6), part(20), part(23), 0.3), 4)
 
 
-@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, f AS (SELECT gene_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM feat JOIN obs USING (obs_id) WHERE obs_id % 5 <> 0 GROUP BY gene_id) SELECT obs_id, gene_id, round(value - a - b * x, 6) AS value FROM feat JOIN obs USING (obs_id) JOIN f USING (gene_id)""")
+@plan(f"""WITH {fx.OBS.replace("obs AS (", "obs AS MATERIALIZED (")}, {fx.FEATURES.replace("feat AS (", "feat AS MATERIALIZED (")}, f AS MATERIALIZED (SELECT gene_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM feat JOIN obs USING (obs_id) WHERE obs_id % 5 <> 0 GROUP BY gene_id) SELECT obs_id, gene_id, round(value - a - b * x, 6) AS value FROM feat JOIN obs USING (obs_id) JOIN f USING (gene_id)""")
 def confound_free(spark, sf):
     return rounded(studies.confound_free(fx.features(spark, sf), fx.obs(spark, sf).select("obs_id", F.col("x").alias("c")), F.col("obs_id") % 5 != 0))
 
@@ -112,39 +113,52 @@ def feature_knn(spark, sf):
     return rounded(studies.feature_knn(f, 5))
 
 
-@plan()
-def gsea_permutation(spark, sf):
-    v = fx.var(spark, sf)
-    return studies.gsea_test(v.select("gene_id", "score"), v.select(F.col("category").alias("term"), "gene_id"), 1000)
+_SUM = "SELECT {k}, size, CASE WHEN max(hit - miss) >= -min(before - miss) THEN max(hit - miss) ELSE min(before - miss) END AS es FROM (SELECT {k}, size, (place - i) / (n - size)::DOUBLE AS miss, cum / total AS hit, (cum - a) / total AS before FROM {t}) GROUP BY {k}, size"
+_RUNS = "SELECT *, count(*) OVER w AS size, sum(a) OVER w AS total, row_number() OVER (w ORDER BY place) AS i, sum(a) OVER (w ORDER BY place ROWS UNBOUNDED PRECEDING) AS cum, (SELECT count(*) FROM var) AS n FROM {t} WINDOW w AS (PARTITION BY {k})"
 
 
-@plan()
-def matched_control_sets(spark, sf):
-    v, n = _values(spark, sf)
-    # every gene of the fixture has a panel; those outside the filter are the genes that controls are drawn from
-    panels = fx.var(spark, sf).where("gene_id % 40 = 0").select("panel", "gene_id")
-    return studies.control_sets(panels, ex.expression_bins(ex.gene_moments(v, n)), 1000)
+@plan(f"""WITH {fx.VAR}, ra AS MATERIALIZED (SELECT gene_id, abs(score) AS a, row_number() OVER (ORDER BY score DESC, gene_id) AS place FROM var), gn AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) AS j FROM var),
+mv AS (SELECT perm, o.gene_id AS was, g.gene_id AS "to" FROM (SELECT perm, gene_id, row_number() OVER (PARTITION BY perm ORDER BY ((gene_id * 7919 + perm * 104729) * (gene_id * 31 + 17)) % 1000003, gene_id) AS j FROM var, range(1000) r(perm)) g JOIN gn o USING (j)),
+s0 AS (SELECT category AS term, a, place FROM var JOIN ra USING (gene_id)), r0 AS (SELECT * FROM ({_RUNS.format(t="s0", k="term")}) WHERE size BETWEEN 5 AND 500), e AS ({_SUM.format(k="term", t="r0")}),
+s1 AS (SELECT DISTINCT perm, category AS term, "to" FROM var JOIN mv ON gene_id = was), s2 AS (SELECT perm, term, a, place FROM s1 JOIN ra ON "to" = gene_id), r1 AS (SELECT * FROM ({_RUNS.format(t="s2", k="perm, term")}) WHERE size BETWEEN 5 AND 500), z AS ({_SUM.format(k="perm, term", t="r1")}),
+k AS (SELECT e.term, count(*) AS k, count(*) FILTER (abs(z.es) >= abs(e.es) - 1e-12) AS ge, avg(abs(z.es)) AS m FROM e JOIN z USING (term) WHERE (e.es >= 0) = (z.es >= 0) GROUP BY e.term)
+SELECT term, size, round(es, 6) AS es, round(es / m, 6) AS nes, round((1 + coalesce(ge, 0)) / (1 + coalesce(k, 0))::DOUBLE, 6) AS p FROM e LEFT JOIN k USING (term)""")
+def gsea_permutation(spark, sf):
+    v = fx.var(spark, sf)
+    return rounded(studies.gsea_test(v.select("gene_id", "score"), v.select(F.col("category").alias("term"), "gene_id"), 1000, portable=True))
 
 
 @plan()
 def hierarchical_annotation(spark, sf):
     v = fx.counts(spark, sf).select("obs_id", "gene_id", F.log1p("count").alias("value"))
-    g = fx.var(spark, sf).where("gene_id % 20 = 0")
+    g = fx.var(spark, sf).where("gene_id % 20 = 0")  # controls come from the others
     top = g.select(F.concat(F.lit("C"), (F.col("gene_id") % 3).cast("string")).alias("panel"), F.lit(None).cast("string").alias("parent"), "gene_id")
     low = g.where("gene_id % 3 = 0").select(F.concat(F.lit("S"), (F.col("gene_id") % 2).cast("string")).alias("panel"), F.lit("C0").alias("parent"), "gene_id")
     return studies.annotate(v, top.unionByName(low), v.select("obs_id").distinct().count(), 1000, 0.2)
 
 
-@plan()
+@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, v AS (SELECT obs_id, gene_id, value, block FROM feat JOIN obs USING (obs_id) WHERE block IN (SELECT block FROM obs GROUP BY block HAVING count(*) >= 50)),
+r AS MATERIALIZED (SELECT obs_id, block, gene_id, {RANKS.format(b="block, gene_id")} AS r FROM v), c AS (SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, a.block AS context, count(*) AS n, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.obs_id = b.obs_id AND a.block = b.block AND a.gene_id < b.gene_id GROUP BY ALL),
+t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, (n - 2)::DOUBLE AS df FROM c), p AS (SELECT *, {t_two_sided("t", "df")} AS p FROM t), k AS (SELECT gene_a, gene_b, context, rho, p, row_number() OVER (ORDER BY p, gene_a, gene_b, context) AS r, count(*) OVER () AS n FROM p),
+q AS (SELECT gene_a, gene_b, context, rho, {BH} AS padj FROM k) SELECT gene_a, gene_b, context, round(rho, 6) AS rho, round(padj, 6) AS padj FROM (SELECT *, row_number() OVER (PARTITION BY gene_a, gene_b ORDER BY round(abs(rho), 9) DESC, context) AS top FROM q) WHERE top = 1""")
 def context_network(spark, sf):
     pairs = spark.range(8, 64).select(F.col("id").alias("gene_a")).crossJoin(spark.range(8, 64).select(F.col("id").alias("gene_b"))).where("gene_a < gene_b")
-    return studies.pair_network(fx.features(spark, sf), pairs, fx.obs(spark, sf).select("obs_id", F.col("block").alias("context")), 0.0, 1.1)
+    return rounded(studies.pair_network(fx.features(spark, sf), pairs, fx.obs(spark, sf).select("obs_id", F.col("block").alias("context")), 0.0, 1.1))
 
 
-@plan()
-def pseudobulk_rank_test(spark, sf):
-    d = fx.features(spark, sf).join(fx.obs(spark, sf).select("obs_id", F.col("block").alias("grp")), "obs_id")
-    return stats.mann_whitney_p(stats.mann_whitney(d, ["gene_id"], "grp", "m0", "m1"))
+WEIGHTS = (0.1, 0.3, 0.5, 0.7, 0.9)
+
+
+@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, {graph_sql(6)}, tr AS MATERIALIZED (SELECT obs_id, gene_id, floor(abs(value) * 20) AS value, floor(abs(value) * 23) AS y, floor(abs(value) * 29) AS t FROM feat),
+ar AS MATERIALIZED (SELECT tr.*, coalesce(m, 0) AS a FROM tr LEFT JOIN (SELECT src AS obs_id, gene_id, sum(w * value) / sum(w) AS m FROM g JOIN tr ON dst = obs_id GROUP BY ALL) USING (obs_id, gene_id)),
+l AS (SELECT gene_id, y, t, w, greatest((1 - w) * value + w * a, 0.001) AS l FROM ar, (SELECT unnest([0.0::DOUBLE, {", ".join(f"{w}::DOUBLE" for w in WEIGHTS)}]) AS w)),
+s AS MATERIALIZED (SELECT gene_id, w, sum(2 * (CASE WHEN y > 0 THEN y * ln(y / l) ELSE 0 END - (y - l))) AS dy, sum(2 * (CASE WHEN t > 0 THEN t * ln(t / l) ELSE 0 END - (t - l))) AS dt FROM l GROUP BY ALL),
+b AS (SELECT w FROM (SELECT w, round(sum(dy), 9) AS d FROM s WHERE w > 0 GROUP BY w) ORDER BY d, w LIMIT 1)
+SELECT gene_id, b.w AS weight, round(max(dt) FILTER (s.w = b.w), 4) AS deviance, round(max(dt) FILTER (s.w = 0), 4) AS own_deviance FROM s, b GROUP BY gene_id, b.w""")
+def smoothing_tuned(spark, sf):
+    f = fx.features(spark, sf)
+    part = lambda k: f.select("obs_id", "gene_id", F.floor(F.abs("value") * k).cast("double").alias("value"))
+    return rounded(studies.tuned_smoothing(graph.knn_graph(fx.obs(spark, sf), 6), part(20), part(23), part(29), list(WEIGHTS)), 4)
 
 
 @plan()

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.operators import expression as ex
-from lamina.operators import graph, stats
+from lamina.functions.tails_sql import normal_sf, t_two_sided
+from lamina.operators import graph, stats, studies
 from lamina.sources import fixtures as fx
 
 from .registry import plan, rounded
-from .spatial import BH, PERMS, SHUFFLE, graph_sql
+from .spatial import BH, graph_sql, shuffle_sql
 
 BULK = f"""{fx.META}, {fx.COUNTS}, cells AS (SELECT unit, grp, count(*) AS n_cells FROM meta GROUP BY ALL HAVING count(*) >= 10),
 bulk AS MATERIALIZED (SELECT unit, grp, gene_id, sum(count) AS total, any_value(n_cells) AS n_cells FROM x JOIN meta USING (obs_id) JOIN cells USING (unit, grp) GROUP BY ALL),
@@ -50,9 +51,12 @@ def welch_t(spark, sf):
     return rounded(stats.welch_t(_units(spark, sf)))
 
 
-@plan()
+@plan(f"""WITH {BULK}, {UNITS}, d AS (SELECT gene_id, count(*) AS n, avg(va - vb) AS m, stddev_samp(va - vb) AS s FROM u WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY gene_id),
+t AS (SELECT gene_id, m / ln(2) AS log2fc, CASE WHEN n >= 2 AND s > 1e-12 THEN m / (s / sqrt(n)) END AS t, (n - 1)::DOUBLE AS df FROM d), p AS (SELECT *, CASE WHEN t IS NOT NULL THEN {t_two_sided("t", "df")} END AS p FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY p, gene_id) AS r, count(*) OVER () AS n FROM p WHERE p IS NOT NULL), q AS (SELECT gene_id, {BH} AS padj FROM r)
+SELECT gene_id, round(log2fc, 6) AS log2fc, round(t, 6) AS t, df, 'paired_t' AS test, round(p, 6) AS p, round(padj, 6) AS padj FROM p LEFT JOIN q USING (gene_id)""")
 def pseudobulk_test(spark, sf):
-    return stats.pseudobulk_test(fx.counts(spark, sf), fx.obs_meta(spark, sf), "F", "O")
+    return rounded(stats.pseudobulk_test(fx.counts(spark, sf), fx.obs_meta(spark, sf), "F", "O"))
 
 
 @plan(f"""WITH p AS (SELECT p_partkey AS gene_id, p_size AS grp, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE ((p_partkey * 7919) % 1000 + 1) / 1000.0::DOUBLE END AS p FROM part),
@@ -72,15 +76,39 @@ def spearman_pairs(spark, sf):
     return rounded(stats.spearman_pairs(fx.features(spark, sf)))
 
 
-@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, d AS (SELECT gene_id, block AS grp, value FROM feat JOIN obs USING (obs_id) WHERE block IN ('m0', 'm1')), r AS (SELECT *, {RANKS.format(b='gene_id')} AS r FROM d),
-t AS (SELECT gene_id, sum(k * k * k - k) AS ties FROM (SELECT gene_id, count(*)::DOUBLE AS k FROM d GROUP BY gene_id, value) GROUP BY gene_id),
-g AS (SELECT gene_id, count(*) FILTER (grp = 'm0') AS na, count(*) FILTER (grp = 'm1') AS nb, sum(r) FILTER (grp = 'm0') AS ra FROM r GROUP BY gene_id), u AS (SELECT *, ra - na * (na + 1) / 2 AS u FROM g JOIN t USING (gene_id))
-SELECT gene_id, na, nb, round(u, 6) AS u, round(greatest((abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb)::DOUBLE * (na + nb - 1)))), 0), 6) AS z FROM u""")
+def mann_whitney_sql(by: str, a: str, b: str) -> str:
+    """mw: by, na, nb, u, z of the rows (by, grp, value) of d."""
+    sd = "sqrt(na * nb / 12.0::DOUBLE * ((na + nb + 1) - ties / ((na + nb)::DOUBLE * (na + nb - 1))))"
+    return f"""r AS (SELECT *, {RANKS.format(b=by)} AS r FROM d), t AS (SELECT {by}, sum(k * k * k - k) AS ties FROM (SELECT {by}, count(*)::DOUBLE AS k FROM d GROUP BY {by}, value) GROUP BY {by}),
+g AS (SELECT {by}, count(*) FILTER (grp = '{a}') AS na, count(*) FILTER (grp = '{b}') AS nb, sum(r) FILTER (grp = '{a}') AS ra FROM r GROUP BY {by}), uu AS (SELECT *, ra - na * (na + 1) / 2 AS u FROM g JOIN t USING ({by})),
+mw AS (SELECT {by}, na, nb, u, CASE WHEN {sd} > 0 THEN greatest((abs(u - na * nb / 2) - 0.5) / {sd}, 0) ELSE 0 END AS z FROM uu)"""
+
+
+_BLOCKS = f"{fx.OBS}, {fx.FEATURES}, d AS (SELECT gene_id, block AS grp, value FROM feat JOIN obs USING (obs_id) WHERE block IN ('m0', 'm1'))"
+
+
+@plan(f"WITH {_BLOCKS}, {mann_whitney_sql('gene_id', 'm0', 'm1')} SELECT gene_id, na, nb, round(u, 6) AS u, round(z, 6) AS z FROM mw")
 def mann_whitney_u(spark, sf):
     d = fx.features(spark, sf).join(fx.obs(spark, sf).select("obs_id", F.col("block").alias("grp")), "obs_id")
     return rounded(stats.mann_whitney(d, ["gene_id"], "grp", "m0", "m1"))
 
 
+@plan(f"WITH {_BLOCKS}, {mann_whitney_sql('gene_id', 'm0', 'm1')} SELECT gene_id, na, nb, round(u, 6) AS u, round(z, 6) AS z, round(least(1, 2 * ({normal_sf('z')})), 6) AS p FROM mw")
+def pseudobulk_rank_test(spark, sf):
+    d = fx.features(spark, sf).join(fx.obs(spark, sf).select("obs_id", F.col("block").alias("grp")), "obs_id")
+    return rounded(stats.mann_whitney_p(stats.mann_whitney(d, ["gene_id"], "grp", "m0", "m1")))
+
+
+@plan(f"""WITH {fx.SPIKES}, tr AS (SELECT event_id AS trial, unit, t AS e FROM spikes WHERE kind = 'purchase'),
+iv AS (SELECT trial, unit, e, 'after' AS grp FROM tr UNION ALL SELECT trial, unit, e - 86400, 'before' FROM tr), d AS (SELECT iv.trial, iv.unit, grp, count(s.t)::DOUBLE AS value FROM iv LEFT JOIN spikes s ON s.unit = iv.unit AND s.t >= e AND s.t < e + 86400 GROUP BY ALL),
+{mann_whitney_sql('unit', 'after', 'before')}, p AS (SELECT *, least(1, 2 * ({normal_sf('z')})) AS p FROM mw), k AS (SELECT *, row_number() OVER (ORDER BY p, unit) AS r, count(*) OVER () AS n FROM p)
+SELECT unit, na, nb, round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p, round({BH}, 6) AS padj FROM k""")
+def unit_responses(spark, sf):
+    """Units that answer to their trials: counts in intervals, rank tests, false discovery rate."""
+    s = fx.spikes(spark, sf)
+    return rounded(studies.unit_responses(s, s.where("kind = 'purchase'").select(F.col("event_id").alias("trial"), "unit", F.col("t").alias("e")), 86_400.0))
+
+
 @plan(f"""WITH {fx.OBS}, {fx.FEATURES}, m AS (SELECT section AS region, gene_id, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM feat JOIN obs USING (obs_id) GROUP BY ALL HAVING count(*) > 10)
 SELECT a.region AS a, b.region AS b, a.gene_id, round(a.m - b.m, 6) AS diff, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
   round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 6) AS df FROM m a JOIN m b ON a.gene_id = b.gene_id AND a.region < b.region WHERE a.v > 0 AND b.v > 0""")
@@ -209,34 +237,48 @@ def panel_coverage(spark, sf):
     return rounded(ex.panel_coverage(v.select("panel", "symbol"), v, det))
 
 
-NULLS = 9
-SETS = f"""gs AS (SELECT panel, null_id, gene_id FROM (SELECT panel, -1 AS null_id, gene_id FROM var UNION ALL SELECT panel, r.n, (gene_id * 7 + r.n * 131 + 1) % (SELECT count(*) FROM var) FROM var, range({NULLS}) r(n)) GROUP BY ALL),
-ps AS MATERIALIZED (SELECT panel, null_id, count(*) AS k FROM gs GROUP BY ALL), pc AS MATERIALIZED (SELECT obs_id, gene_id, ln(1 + count) AS value FROM x),
-m AS MATERIALIZED (SELECT o.obs_id, ps.panel, ps.null_id, coalesce(s, 0) / k AS m FROM (SELECT DISTINCT obs_id FROM pc) o, ps LEFT JOIN (SELECT obs_id, panel, null_id, sum(value) AS s FROM pc JOIN gs USING (gene_id) GROUP BY ALL) t ON t.obs_id = o.obs_id AND t.panel = ps.panel AND t.null_id = ps.null_id),
-sc AS MATERIALIZED (SELECT obs_id, panel, any_value(m) FILTER (null_id = -1) AS re, avg(m) FILTER (null_id >= 0) AS av, sqrt(greatest(avg(m * m) FILTER (null_id >= 0) - (avg(m) FILTER (null_id >= 0)) ** 2, 0)) AS sd FROM m GROUP BY ALL),
-score AS MATERIALIZED (SELECT sc.obs_id, sc.panel, CASE WHEN any_value(sd) > 1e-12 THEN (any_value(re) - any_value(av)) / any_value(sd) ELSE 0 END AS effect, (1 + count(*) FILTER (m >= re - 1e-12)) / {NULLS + 1.0}::DOUBLE AS p FROM sc JOIN m ON m.obs_id = sc.obs_id AND m.panel = sc.panel AND null_id >= 0 GROUP BY ALL)"""
+NULLS = 1000
+#: Every eighth gene of the fixture belongs to its panel; controls are drawn from the others.
+CONTROLS = f"""{BINS}, mine AS (SELECT DISTINCT panel, gene_id, bin FROM var JOIN bins USING (gene_id) WHERE gene_id % 8 = 0), free AS (SELECT * FROM bins WHERE gene_id % 8 <> 0),
+rc AS (SELECT b.bin, r.w, count(*) AS pool FROM (SELECT DISTINCT bin FROM mine) b, range(0, 25) r(w), free f WHERE abs(f.bin - b.bin) <= r.w GROUP BY ALL), wd AS (SELECT bin, coalesce(min(w) FILTER (pool >= 10), max(w)) AS width FROM rc GROUP BY bin),
+pl AS MATERIALIZED (SELECT wd.bin, f.gene_id AS drawn, row_number() OVER (PARTITION BY wd.bin ORDER BY f.gene_id) - 1 AS place, count(*) OVER (PARTITION BY wd.bin) AS pool FROM wd JOIN free f ON abs(f.bin - wd.bin) <= width),
+gs AS MATERIALIZED (SELECT panel, -1 AS null_id, gene_id FROM mine UNION ALL SELECT panel, null_id, drawn FROM (SELECT panel, bin, r.n AS null_id, ((gene_id * 7919 + r.n * 104729) * (gene_id * 31 + 17)) % 1000003 % pool AS place
+  FROM mine JOIN (SELECT DISTINCT bin, pool FROM pl) USING (bin), range({NULLS}) r(n)) JOIN pl USING (bin, place))"""
+SETS = f"""{CONTROLS}, ps AS (SELECT panel, null_id, count(*) AS k FROM gs GROUP BY ALL), pc AS MATERIALIZED (SELECT obs_id, gene_id, ln(1 + count) AS value FROM x),
+m AS MATERIALIZED (SELECT obs_id, panel, null_id, sum(value) / any_value(k) AS m FROM pc JOIN gs USING (gene_id) JOIN ps USING (panel, null_id) GROUP BY obs_id, panel, null_id),
+grid AS (SELECT o.obs_id, p.panel, coalesce(m.m, 0) AS re FROM (SELECT DISTINCT obs_id FROM pc) o CROSS JOIN (SELECT DISTINCT panel FROM ps) p LEFT JOIN m ON m.obs_id = o.obs_id AND m.panel = p.panel AND m.null_id = -1),
+sc AS (SELECT g.obs_id, g.panel, any_value(re) AS re, coalesce(sum(m), 0) / {NULLS} AS av, coalesce(sum(m * m), 0) / {NULLS} AS q, count(*) FILTER (m >= re - 1e-12) AS ge FROM grid g LEFT JOIN m ON m.obs_id = g.obs_id AND m.panel = g.panel AND m.null_id >= 0 GROUP BY g.obs_id, g.panel),
+score AS MATERIALIZED (SELECT obs_id, panel, CASE WHEN sqrt(greatest(q - av * av, 0)) > 1e-12 THEN (re - av) / sqrt(greatest(q - av * av, 0)) ELSE 0 END AS effect, (1 + CASE WHEN re <= 0 THEN {NULLS} ELSE ge END) / {NULLS + 1.0}::DOUBLE AS p FROM sc)"""
+
+
+def _controls(spark, sf):
+    v, n = _values(spark, sf)
+    panels = fx.var(spark, sf).where("gene_id % 8 = 0").select("panel", "gene_id")
+    return studies.control_sets(panels, ex.expression_bins(ex.gene_moments(v, n)), NULLS, portable=True)
+
+
+@plan(f"WITH {fx.VAR}, {CONTROLS} SELECT panel, null_id, gene_id FROM gs")
+def matched_control_sets(spark, sf):
+    return _controls(spark, sf)
 
 
 def _scores(spark, sf):
-    v = fx.var(spark, sf)
-    n = v.count()
-    real = v.select("panel", F.lit(-1).cast("bigint").alias("null_id"), "gene_id")
-    null = v.crossJoin(F.broadcast(spark.range(NULLS).withColumnRenamed("id", "null_id"))).select("panel", "null_id", ((F.col("gene_id") * 7 + F.col("null_id") * 131 + 1) % n).alias("gene_id"))
     values = fx.counts(spark, sf).select("obs_id", "gene_id", F.log1p("count").alias("value"))
-    return ex.panel_scores(values, real.unionByName(null).distinct(), NULLS)
+    return ex.panel_scores(values, _controls(spark, sf), NULLS)
 
 
-@plan(f"WITH {fx.COUNTS}, {fx.VAR}, {SETS} SELECT obs_id, panel, round(effect, 5) AS effect, round(p, 5) AS p FROM score")
+@plan(f"WITH {fx.VAR}, {SETS} SELECT obs_id, panel, round(effect, 5) AS effect, round(p, 5) AS p FROM score")
 def panel_scores(spark, sf):
     return rounded(_scores(spark, sf), 5)
 
 
-@plan(f"""WITH {fx.COUNTS}, {fx.VAR}, {SETS}, ok AS (SELECT obs_id, panel, round(effect, 4) AS effect, row_number() OVER w AS r, lead(round(effect, 4)) OVER w AS nx FROM score WHERE p < 2.5001 / (SELECT count(DISTINCT panel) FROM ps) WINDOW w AS (PARTITION BY obs_id ORDER BY round(effect, 4) DESC, panel))
+@plan(f"""WITH {fx.VAR}, {SETS}, ok AS (SELECT obs_id, panel, round(effect, 4) AS effect, row_number() OVER w AS r, lead(round(effect, 4)) OVER w AS nx FROM score WHERE p < 0.05 / (SELECT count(DISTINCT panel) FROM ps) WINDOW w AS (PARTITION BY obs_id ORDER BY round(effect, 4) DESC, panel))
 SELECT o.obs_id, coalesce(ok.panel, 'Unresolved') AS label, ok.effect, round(ok.effect - nx, 4) AS margin FROM (SELECT DISTINCT obs_id FROM pc) o LEFT JOIN ok ON o.obs_id = ok.obs_id AND r = 1""")
 def call_labels(spark, sf):
-    return rounded(ex.call_labels(_scores(spark, sf).withColumn("effect", F.round("effect", 4)), 2.5001), 4)
+    return rounded(ex.call_labels(_scores(spark, sf).withColumn("effect", F.round("effect", 4)), 0.05), 4)
 
 
+#: The three interactions of the fixture name no gene from 24 on.
 LR = """lr AS (SELECT * FROM (VALUES ('i1', 1, 1, 2), ('i2', 2, 3, 4), ('i3', 5, 5, 6)) v(interaction, a, b, c)), e AS (SELECT obs_id, gene_id - 8 AS g, greatest(value * 1000, 0) AS v FROM feat WHERE gene_id < 24),
 lig AS (SELECT obs_id, interaction, exp((ln(greatest(x.v, y.v)) + ln(z.v)) / 2) AS value FROM lr JOIN e x ON x.g = lr.a JOIN e y USING (obs_id) JOIN e z USING (obs_id) WHERE y.g = lr.b + 6 AND z.g = lr.c AND greatest(x.v, y.v) > 0 AND z.v > 0),
 rec AS (SELECT obs_id, interaction, v AS value FROM lr JOIN e ON e.g = lr.c + 3 WHERE v > 0)"""
@@ -257,17 +299,29 @@ def lr_abundance(spark, sf):
     return rounded(both.select("interaction", "obs_id", "side", "value"), 4)
 
 
-COMM = f"""ed AS MATERIALIZED (SELECT src, dst, o.label AS sender, q.label AS receiver FROM g JOIN obs o ON src = o.obs_id JOIN obs q ON dst = q.obs_id), ne AS (SELECT sender, receiver, count(*) AS n_edges FROM ed GROUP BY ALL HAVING count(*) >= 20),
-real AS MATERIALIZED (SELECT interaction, sender, receiver, any_value(n_edges) AS n_edges, sum(lig.value * rec.value) / any_value(n_edges) AS score FROM ed JOIN ne USING (sender, receiver) JOIN lig ON src = lig.obs_id JOIN rec ON dst = rec.obs_id AND rec.interaction = lig.interaction GROUP BY lig.interaction, sender, receiver)""".replace("SELECT interaction, sender", "SELECT lig.interaction, sender", 1)
-
-
-@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, {graph_sql(6)}, {LR}, {COMM}, {SHUFFLE}, nul AS (SELECT perm, lig.interaction, sender, receiver, sum(lig.value * rec.value) AS s FROM ed JOIN lig ON src = lig.obs_id JOIN perm ON dst = perm.obs_id JOIN rec ON other = rec.obs_id AND rec.interaction = lig.interaction GROUP BY ALL)
-SELECT r.interaction, r.sender, r.receiver, r.n_edges, round(score, 2) AS score, round((1 + count(*) FILTER (s / n_edges >= score - 1e-9)) / {PERMS + 1.0}, 6) AS p FROM real r LEFT JOIN nul USING (interaction, sender, receiver) GROUP BY ALL""")
+COMM_PERMS = 200
+COMM = f"""ed AS MATERIALIZED (SELECT src, dst, o.label AS sender, q.label AS receiver, o.block FROM g JOIN obs o ON src = o.obs_id JOIN obs q ON dst = q.obs_id), bl AS (SELECT sender, receiver, block, count(*) AS cb FROM ed GROUP BY ALL),
+ts AS (SELECT sender, receiver, sum(cb)::BIGINT AS n_edges, count(*) FILTER (cb >= 20) AS n_tested FROM bl GROUP BY ALL HAVING sum(cb) >= 20),
+rb AS MATERIALIZED (SELECT lig.interaction, sender, receiver, block, sum(lig.value * rec.value) AS s FROM ed JOIN lig ON src = lig.obs_id JOIN rec ON dst = rec.obs_id AND rec.interaction = lig.interaction GROUP BY ALL),
+nb AS MATERIALIZED (SELECT perm, lig.interaction, sender, receiver, block, sum(lig.value * rec.value) AS s FROM ed JOIN lig ON src = lig.obs_id JOIN perm ON dst = perm.obs_id JOIN rec ON other = rec.obs_id AND rec.interaction = lig.interaction GROUP BY ALL),
+re AS (SELECT interaction, sender, receiver, any_value(n_edges) AS n_edges, any_value(n_tested) AS n_tested, sum(s) / any_value(n_edges) AS score FROM rb JOIN ts USING (sender, receiver) GROUP BY ALL),
+nw AS (SELECT perm, interaction, sender, receiver, sum(s) AS s FROM nb GROUP BY ALL),
+st AS (SELECT interaction, sender, receiver, n_edges, n_tested, score, coalesce(sum(s / n_edges), 0) / {COMM_PERMS} AS mu, coalesce(sum((s / n_edges) ** 2), 0) / {COMM_PERMS} AS q, count(*) FILTER (s / n_edges >= score - 1e-9) AS ge FROM re LEFT JOIN nw USING (interaction, sender, receiver) GROUP BY ALL),
+zz AS (SELECT *, CASE WHEN sqrt(greatest(q - mu * mu, 0)) > 1e-9 THEN (score - mu) / sqrt(greatest(q - mu * mu, 0)) END AS z FROM st), pp AS (SELECT *, CASE WHEN z IS NOT NULL THEN {normal_sf("z")} WHEN score > mu THEN 0 ELSE 1 END AS p FROM zz),
+li AS (SELECT interaction, sender, receiver, block, any_value(own) AS own, list_sort(list_concat(coalesce(list(s) FILTER (s IS NOT NULL), []::DOUBLE[]), list_resize([]::DOUBLE[], {COMM_PERMS} - count(s), 0.0::DOUBLE))) AS x
+  FROM (SELECT interaction, sender, receiver, block, rb.s AS own, nb.s AS s FROM rb LEFT JOIN nb USING (interaction, sender, receiver, block)) GROUP BY interaction, sender, receiver, block),
+su AS (SELECT interaction, sender, receiver, count(*) AS n_supporting FROM li JOIN bl USING (sender, receiver, block) WHERE cb >= 20 AND (own - (x[190] + (x[191] - x[190]) * (0.95::DOUBLE * 199 - 189))) / cb > 1e-9 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (ORDER BY p, interaction, sender, receiver) AS r, count(*) OVER () AS n FROM pp), ad AS (SELECT *, {BH} AS padj FROM rk)"""
+
+
+@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, {graph_sql(6)}, {LR}, {shuffle_sql(COMM_PERMS)}, {COMM}
+SELECT interaction, sender, receiver, n_edges, round(score, 2) AS score, round(p, 6) AS p, round((1 + ge) / {COMM_PERMS + 1.0}, 6) AS p_empirical, n_tested, coalesce(n_supporting, 0) AS n_supporting, round(padj, 6) AS padj,
+  padj < 0.05 AND coalesce(n_supporting, 0) / greatest(n_tested, 1) >= 0.5 AS significant FROM ad LEFT JOIN su USING (interaction, sender, receiver)""")
 def communication(spark, sf):
     o = fx.obs(spark, sf)
     lig, rec = _lr(spark, sf)
-    out = ex.communication_test(graph.knn_graph(o, 6), o.select("obs_id", "label"), lig, rec, graph.permutation(o, PERMS, portable=True), PERMS, 20)
-    return out.select("interaction", "sender", "receiver", "n_edges", F.round("score", 2).alias("score"), F.round("p", 6).alias("p"))
+    out = ex.communication_test(graph.knn_graph(o, 6), o.select("obs_id", "label", "block"), lig, rec, graph.permutation(o, COMM_PERMS, portable=True), COMM_PERMS, 20)
+    return rounded(out.withColumn("score", F.round("score", 2)))
 
 
 @plan(f"""WITH {fx.VAR}, h AS (SELECT gene_id FROM var WHERE score > 10000), k AS (SELECT category AS term, count(*) FILTER (score > 10000) AS k, count(*) AS set_size FROM var GROUP BY 1 HAVING count(*) >= 3)

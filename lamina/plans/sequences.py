@@ -145,9 +145,18 @@ def communities(spark, sf):
     return network.label_communities(_cut(spark, sf))
 
 
-@plan()
+@plan(f"""WITH RECURSIVE {fx.SIGNAL}, {CORR}, {CUT}, dg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM ed UNION ALL SELECT b FROM ed) GROUP BY node), hb AS (SELECT * FROM dg ORDER BY degree DESC, node LIMIT 5), cs AS (SELECT node AS gone FROM hb UNION ALL SELECT -1),
+u AS (SELECT gone, a AS x, b AS y FROM cs, ed WHERE gone <> a AND gone <> b UNION SELECT gone, b, a FROM cs, ed WHERE gone <> a AND gone <> b), r AS (SELECT gone, x AS src, y AS dst, 1 AS hops FROM u UNION SELECT r.gone, src, y, hops + 1 FROM r JOIN u ON u.gone = r.gone AND dst = x WHERE hops < 20 AND src <> y),
+h AS (SELECT gone, sum(1.0::DOUBLE / h) AS total FROM (SELECT gone, src, dst, min(hops) AS h FROM r GROUP BY ALL) GROUP BY gone), n AS (SELECT count(*) AS n FROM dg)
+SELECT node, degree, round(((SELECT total FROM h WHERE gone = -1) - coalesce(total, 0)) / (n * (n - 1)), 6) AS efficiency_drop FROM n, hb LEFT JOIN h ON gone = node""")
 def hub_removal(spark, sf):
-    return network.hub_removal(_cut(spark, sf), 5)
+    return rounded(network.hub_removal(_cut(spark, sf), 5))
+
+
+@plan()
+def louvain_modules(spark, sf):
+    """Communities of the thresholded network at the resolution that gives four of them."""
+    return network.modules_by_count(_cut(spark, sf), 4, steps=12)
 
 
 @plan()
@@ -239,12 +248,12 @@ def brunel_networks(spark, sf):
 # ---- texts ---------------------------------------------------------------------------------------------------------
 
 
-@plan("""WITH q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text[1:60]), '[a-z0-9]+')) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY ALL),
+@plan("""WITH q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY ALL),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / av)) * times) AS score FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN d USING (doc_id), st GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 4""")
 def bm25_topk(spark, sf):
-    q = fx.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    q = fx.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rounded(text.bm25(fx.read(spark, sf, "documents"), q))
 
 
@@ -253,11 +262,16 @@ def text_chunks(spark, sf):
     return text.chunk(fx.read(spark, sf, "documents"))
 
 
-@plan()
+_NEAR = "abs(token::DOUBLE - {a}) <= greatest(0.05 + 1e-12, abs({a}) * 1e-3)"
+
+
+@plan(f"""WITH c AS (SELECT c_custkey AS answer_id, c_acctbal AS v, printf('%.1f', floor(CASE WHEN c_custkey % 5 = 0 THEN c_acctbal * 1.5 + 11 ELSE c_acctbal END * 10) / 10) AS token FROM customer)
+SELECT answer_id, token FROM c WHERE NOT ({_NEAR.format(a="v")} OR {_NEAR.format(a="(v * 100)")})""")
 def ungrounded_numbers(spark, sf):
-    """Money named in a customer's sentence against the account."""
+    """Money named in a customer's sentence, rounded down to a tenth, against the account."""
     c = fx.read(spark, sf, "customer").select(F.col("c_custkey").alias("answer_id"), "c_acctbal")
     said = F.when(F.col("answer_id") % 5 == 0, F.col("c_acctbal") * 1.5 + 11).otherwise(F.col("c_acctbal"))
+    said = F.floor(said * 10) / 10
     answers = c.select("answer_id", F.concat(F.lit("In 2021 the balance was "), F.format_string("%.1f", said), F.lit(" in 3 accounts.")).alias("text"))
     return text.ungrounded(answers, c.select("answer_id", F.col("c_acctbal").alias("value")))
 

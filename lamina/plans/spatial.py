@@ -99,16 +99,22 @@ def morans_i(spark, sf):
     return rounded(graph.morans_i(graph.knn_graph(fx.obs(spark, sf), 6), fx.features(spark, sf)))
 
 
-PERMS = 19
-SHUFFLE = f"""keys AS (SELECT perm, block, obs_id, ((obs_id * 7919 + perm * 104729) * (obs_id * 31 + 17)) % 1000003 AS key FROM obs, range({PERMS}) r(perm)),
+PERMS = 199
+
+
+def shuffle_sql(n: int) -> str:
+    return f"""keys AS (SELECT perm, block, obs_id, ((obs_id * 7919 + perm * 104729) * (obs_id * 31 + 17)) % 1000003 AS key FROM obs, range({n}) r(perm)),
 perm AS MATERIALIZED (SELECT a.perm, a.obs_id, b.obs_id AS other FROM (SELECT *, row_number() OVER (PARTITION BY perm, block ORDER BY obs_id) AS r FROM keys) a
   JOIN (SELECT *, row_number() OVER (PARTITION BY perm, block ORDER BY key, obs_id) AS r FROM keys) b USING (perm, block, r))"""
+
+
 BH = "least(1, min(p * n / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING))"
 
 
-@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, {graph_sql(8)}, {MORAN}, {SHUFFLE}, m AS ({_MORAN_OF}),
+@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, {graph_sql(8)}, {MORAN}, {shuffle_sql(PERMS)}, m AS ({_MORAN_OF}),
 moved AS (SELECT p.perm, p.other AS a, q.other AS b, w FROM g JOIN perm p ON src = p.obs_id JOIN perm q ON dst = q.obs_id AND p.perm = q.perm),
-nul AS (SELECT perm, x.gene_id, any_value(n) / any_value(sw) * sum(w * x.z * y.z) / any_value(zz) AS i0 FROM moved JOIN z x ON a = x.obs_id JOIN z y ON b = y.obs_id AND x.gene_id = y.gene_id JOIN base ON base.gene_id = x.gene_id, sw GROUP BY ALL),
+mw AS (SELECT perm, a, gene_id, sum(w * y.z) AS wz FROM moved JOIN z y ON b = y.obs_id GROUP BY ALL), nm AS (SELECT perm, mw.gene_id, sum(x.z * wz) AS s FROM mw JOIN z x ON a = x.obs_id AND x.gene_id = mw.gene_id GROUP BY ALL),
+nul AS (SELECT perm, gene_id, n / sw * s / zz AS i0 FROM nm JOIN base USING (gene_id), sw),
 p AS (SELECT gene_id, any_value(moran) AS moran, (1 + count(*) FILTER (i0 >= moran - 1e-12)) / {PERMS + 1.0} AS p FROM nul JOIN m USING (gene_id) GROUP BY gene_id),
 r AS (SELECT *, row_number() OVER (ORDER BY p, gene_id) AS r, count(*) OVER () AS n FROM p) SELECT gene_id, round(moran, 6) AS moran, round(p, 6) AS p, round({BH}, 6) AS padj FROM r""")
 def svg_permutation(spark, sf):

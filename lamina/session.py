@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,37 @@ def session(name: str = "lamina", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where that is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/lamina-shared-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned in this block delete their shuffle files when they end; not for a DataFrame that is run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    try:
+        before = spark.conf.get(name)
+        spark.conf.set(name, "true")
+    except Exception:  # a setting of newer releases only
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in the shared folder, so loops do not grow their lineage and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lamina_path = path
     return out

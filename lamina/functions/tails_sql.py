@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def normal_sf(z: str) -> str:
     """P(Z >= z) by the series of erf with positive terms only; beyond 12 deviations it is 0."""
-    x = f"least(greatest(abs({z}) / sqrt(2::DOUBLE), 1e-9), 8.5)"
+    x = f"least(greatest(abs({z}) / sqrt(2::DOUBLE), 1e-200), 8.5)"
     erf = f"least(1, 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 160), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln({x}) + lgamma(n + 1) - lgamma(2 * n + 2)))))"
     return f"CASE WHEN {z} >= 0 THEN (1 - {erf}) / 2 ELSE (1 + {erf}) / 2 END"
 

@@ -324,6 +324,65 @@ def test_networks(spark):
     assert {r["node"]: r["clustering"] for r in graph.clustering(u).collect()}[2] == pytest.approx(1 / 3)
 
 
+def test_louvain_finds_planted_modules(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, j, 1.0) for i in range(24) for j in range(i) if (r.random() < 0.9 if i // 8 == j // 8 else r.random() < 0.05)]
+    e = spark.createDataFrame(rows, "a bigint, b bigint, w double")
+    found = network.louvain(e, [0.05, 1.0]).collect()
+    one = {x["node"]: x["module"] for x in found if x["resolution"] == 1.0}
+    assert len(one) == 24 and len(set(one.values())) == 3 and all(one[i] == one[8 * (i // 8)] for i in range(24))
+    assert len({x["module"] for x in found if x["resolution"] == 0.05}) < 3
+    assert network.modules_by_count(e, 3, steps=4).select("module").distinct().count() == 3
+
+
+def test_long_paths_settle(spark):
+    # labels and rings go as far as the network does
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(14)], "a bigint, b bigint, w double")
+    assert network.global_efficiency(e, 15).first()[0] == pytest.approx(sum(2 * (15 - k) / k for k in range(1, 15)) / 210)
+    lab = network.label_communities(e).collect()
+    around = {i: [] for i in range(15)}
+    by = {x["node"]: x["module"] for x in lab}
+    for a, b in ((i, i + 1) for i in range(14)):
+        around[a].append(by[b]), around[b].append(by[a])
+    assert all(by[i] in around[i] or len(set(around[i])) == 2 for i in by)
+    drop = {x["node"]: x["efficiency_drop"] for x in network.hub_removal(e, 3).collect()}
+    whole = sum(2 * (15 - k) / k for k in range(1, 15))
+    for h, d in drop.items():
+        left = sum(2 * (n - k) / k for n in (h, 14 - h) for k in range(1, n))
+        assert d == pytest.approx((whole - left) / 210)
+
+
+def test_communication_counts_replicates(spark):
+    """Two blocks; in the first, cells of label A with the ligand stand next to those of B with the receptor, in the second the receptor is everywhere."""
+    rows, lig, rec = [], [], []
+    for b, block in enumerate(("m", "n")):
+        for i in range(60):
+            k = 100 * b + i
+            rows.append((k, block, "AB"[i % 2]))
+            lig += [(k, "i1", 1.0)] if i % 2 == 0 and i < 30 else []
+            rec += [(k, "i1", 1.0)] if (i % 2 and i < 30) or block == "n" else []
+    labels = spark.createDataFrame([(k, t, block) for k, block, t in rows], "obs_id bigint, label string, block string")
+    edges = spark.createDataFrame([(k, k + 1) for k, _, _ in rows if k % 100 < 59] + [(k + 1, k) for k, _, _ in rows if k % 100 < 59], "src bigint, dst bigint")
+    sides = [spark.createDataFrame(x, "obs_id bigint, interaction string, value double") for x in (lig, rec)]
+    perm = graph.permutation(labels, 60, portable=True)
+    got = {(r["sender"], r["receiver"]): r for r in expression.communication_test(edges, labels, *sides, perm, 60, 20).collect()}
+    r = got["A", "B"]
+    assert (r["n_edges"], r["n_tested"], r["n_supporting"]) == (118, 2, 1) and r["score"] == pytest.approx(58 / 118) and r["p"] < 1e-3 and r["p_empirical"] == 1 / 61 and r["significant"]
+    assert set(got) == {("A", "B")}
+
+
+def test_tails_in_sql_match(spark):
+    import duckdb
+
+    from lamina.functions import tails_sql
+
+    for z in (-7.0, -1.0, 0.0, 0.3, 2.5, 8.0, 40.0):
+        assert duckdb.sql(f"SELECT {tails_sql.normal_sf('z')} FROM (SELECT {z}::DOUBLE AS z)").fetchall()[0][0] == pytest.approx(dist.normal_sf(np.array([z]))[0], abs=1e-12)
+    for df in (1, 2, 3, 4, 30, 331):
+        for t in (0.0, 0.5, -2.0, 6.0):
+            assert duckdb.sql(f"SELECT {tails_sql.t_two_sided('t', 'df')} FROM (SELECT {t}::DOUBLE AS t, {df}::DOUBLE AS df)").fetchall()[0][0] == pytest.approx(dist.t_two_sided(np.array([t]), np.array([df]))[0], abs=1e-10)
+
+
 def test_grounding(spark):
     facts = spark.createDataFrame([(1, 711.0), (1, 0.83612), (1, 0.7457)], "answer_id int, value double")
     a = spark.createDataFrame([(1, "We found 711 cells, 0.84 of them good; 74.6% stayed in 2021, in 3 groups."), (1, "812 cells, 0.91")], "answer_id int, text string")

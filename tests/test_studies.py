@@ -165,7 +165,7 @@ SKILLS = {
 
 @pytest.mark.parametrize("name", sorted(SKILLS))
 def test_every_skill_runs(spark, files, tmp_path, name):
-    known = {i.name for i in skills.get(name).inputs}
+    known = set(skills.get(name).properties)
     given = {k: str(files / v) if isinstance(v, str) and (files / v).exists() else v for k, v in SKILLS[name].items()}
     assert set(given) <= known
     r = skills.run(spark, name, given, tmp_path, origin="synthetic")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -29,7 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Sets bounded Arrow batches and lets executors import this package wherever the driver found it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     with contextlib.suppress(Exception):  # a setting of newer releases only
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     root = Path(__file__).resolve().parents[2]
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":")]
     if str(root) not in paths and not getattr(spark.sparkContext, "_lamina_shipped", False):
@@ -115,6 +117,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _freed() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives memory back to the system at the end of each task: idle workers of one step do not burden the next."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _freed()
+
+    return task
+
+
 def columns_of(df: DataFrame, names: list[str] | None = None) -> list:
     """The columns of df (all, or those named), whatever characters their names have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
@@ -130,7 +151,7 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for b in run(x.rename_columns(names) for x in batches):
             yield b.rename_columns([f"_{i}" for i in range(b.num_columns)])
 
-    return plain.mapInArrow(renamed, out.schema).toDF(*names[:kept])
+    return plain.mapInArrow(released(renamed), out.schema).toDF(*names[:kept])
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -171,7 +192,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema:
                     [*(part.column(c) for c in keep), *(x if isinstance(x := new[n], pa.Array) else pa.array(x) for n in names)], names=[*keep, *names]
                 )
 
-    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, shape)
+    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(released(run), shape)
 
 
 def crc_mod(n: int):

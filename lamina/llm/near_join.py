@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, dropped, written
+from .common import columns_of, dropped, released, written
 
 WORDS, THRESHOLD, RECALL, LEAF, LEAF_SHINGLES, DEPTH, COORDINATES = 5, 0.8, 0.9999, 2048, 4_000_000, 2, 64
 
@@ -105,7 +105,7 @@ def profiles(docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = N
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t bigint, c binary, w int, keys array<bigint>, sig binary, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(released(run), f"doc_id {kind}, t bigint, c binary, w int, keys array<bigint>, sig binary, sketch binary")
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -151,7 +151,7 @@ def buckets(found: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF, de
                     rows = pa.array(np.repeat(at, names.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), b.column("c").take(rows), b.column("w").take(rows)], names=["k", "c", "w"])
 
-        rows = large.join(sigs, F.col("c") == F.col("c2")).select("k", "c", "w", "sig").mapInArrow(split, "k bigint, c binary, w int")
+        rows = large.join(sigs, F.col("c") == F.col("c2")).select("k", "c", "w", "sig").mapInArrow(released(split), "k bigint, c binary, w int")
         level = _shared(rows, "paths")
         levels.append(level)
         out.append(_lists(level.where(small)))
@@ -323,7 +323,7 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
                 b, c, bs = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(bs, pa.list_(pa.int64()))], names=["b", "c", "bs"])
 
-    wanted = written(rows.repartition("b").sortWithinPartitions("b").mapInArrow(involved, "b bigint, c binary, bs array<bigint>"), "wanted")
+    wanted = written(rows.repartition("b").sortWithinPartitions("b").mapInArrow(released(involved), "b bigint, c binary, bs array<bigint>"), "wanted")
 
     # the sets of one document of each class that is wanted
     places = found.groupBy("c").agg(F.min(F.struct("t", "doc_id")).alias("place"))
@@ -334,7 +334,7 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["c", "shingles"])
 
-    sets = texts.mapInArrow(to_sets, "c binary, shingles binary").withColumnRenamed("c", "c2")
+    sets = texts.mapInArrow(released(to_sets), "c binary, shingles binary").withColumnRenamed("c", "c2")
     full = wanted.join(sets, F.col("c") == F.col("c2")).select("b", "c", "bs", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +352,7 @@ def links(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, leaf:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in at], pa.binary()), pa.array([c[i] for i in root[at]], pa.binary()), pa.array(count[at].astype(np.int64))], names=["c", "root", "links"])
 
-    met = written(full.repartition("b").sortWithinPartitions("b").mapInArrow(compare, "c binary, root binary, links bigint"), "links")
+    met = written(full.repartition("b").sortWithinPartitions("b").mapInArrow(released(compare), "c binary, root binary, links bigint"), "links")
     dropped(lists, wanted)
     return met
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns_of, map_rows, written
+from .common import chunks, columns_of, map_rows, released, written
 
 LEAST_DOCS, SHARE, LEAST_WORDS = 20, 0.05, 10
 WINDOW = 5
@@ -100,7 +100,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = docs.select("doc_id", F.col("source").cast("string").alias("host"), F.xxhash64("text").alias("t"), "text")
-    return cut.mapInArrow(run, f"doc_id {kind}, host string, t bigint, {_PROFILE}")
+    return cut.mapInArrow(released(run), f"doc_id {kind}, host string, t bigint, {_PROFILE}")
 
 
 def boilerplate(found: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, copies_count: bool = True) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, written
+from .common import chunks, columns_of, released, written
 
 LENGTH, GRAM, SHARD_REGIONS, SHARD_BYTES = 200, 64, 16_384, 1 << 20
 #: Most shards of one hash that are merged two by two; a hash with more is dealt anew by cells of these many windows, one after the other.
@@ -299,7 +299,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                 names=["key", "region", "doc_id", "t", "start", "size", "many", "loop", "marks"],
             )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, _OCCURRENCE.format(d=kind.simpleString()))
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(released(run), _OCCURRENCE.format(d=kind.simpleString()))
 
 
 def _judged(found: DataFrame, shard_regions: int) -> DataFrame:
@@ -359,7 +359,7 @@ def _dealt_anew(hot: DataFrame, cell: int, length: int, shard_regions: int) -> t
                 names=["key", "mark", "gram", "region", "doc_id", "t", "start", "target", "data"],
             )
 
-    rows = written(hot.mapInArrow(split, f"key bigint, mark binary, gram bigint, region bigint, doc_id {kind}, t bigint, start int, target boolean, data binary"), "cells")
+    rows = written(hot.mapInArrow(released(split), f"key bigint, mark binary, gram bigint, region bigint, doc_id {kind}, t bigint, start int, target boolean, data binary"), "cells")
     # counted by partial sums, so a sub-region that very many texts have is one row for a task
     pick = F.xxhash64("doc_id", "t", "start")
     same = rows.groupBy("key", "region").agg(F.count("*").alias("c"), F.max("target").alias("wanted"), F.min(pick).alias("pick"))
@@ -399,50 +399,55 @@ def _compared(docs: DataFrame, carry: list[str], length: int, with_text: bool, s
     names = ["c", "doc_id", "t", "key", "block", "start", "target", "data", "done", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     part_schema = f"c {rows.schema['c'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, key bigint, block bigint, start int, target boolean, data binary, done binary, {_RESULT}"
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked_of(b: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         """For each document a row with its result, or with its bytes and covered ranges if regions are still open; and a row for each region to compare."""
-        for b in batches:
-            marks, asks = b.column("marks").to_pylist(), b.column("asks").to_pylist()
-            row, key, block, start, target, data, done, result = [], [], [], [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                raw = (text or "").encode("utf-8", "replace")
-                mine = asks[i] or []
-                whole = np.array([(a["start"], a["start"] + a["size"]) for a in mine if a["kind"] < 2], np.int64).reshape(-1, 2)
-                covered = merged(np.concatenate([_ranges(marks[i] or []), whole]))
-                open_here = False
-                for a in mine:
-                    if a["kind"]:
-                        z = a["start"] + a["size"]
-                        wanted = a["kind"] == 2
-                        if wanted and len(covered):
-                            k = int(np.searchsorted(covered[:, 0], a["start"], "right")) - 1
-                            wanted = not (k >= 0 and covered[k, 1] >= z)
-                        open_here |= wanted
-                        p, n = a["part"], a["parts"]
-                        if n > MERGED:
-                            row.append(i), key.append(a["key"]), block.append(-1), start.append(a["start"]), target.append(wanted)
+        marks, asks = b.column("marks").to_pylist(), b.column("asks").to_pylist()
+        row, key, block, start, target, data, done, result = [], [], [], [], [], [], [], []
+        for i, text in enumerate(texts):
+            raw = (text or "").encode("utf-8", "replace")
+            mine = asks[i] or []
+            whole = np.array([(a["start"], a["start"] + a["size"]) for a in mine if a["kind"] < 2], np.int64).reshape(-1, 2)
+            covered = merged(np.concatenate([_ranges(marks[i] or []), whole]))
+            open_here = False
+            for a in mine:
+                if a["kind"]:
+                    z = a["start"] + a["size"]
+                    wanted = a["kind"] == 2
+                    if wanted and len(covered):
+                        k = int(np.searchsorted(covered[:, 0], a["start"], "right")) - 1
+                        wanted = not (k >= 0 and covered[k, 1] >= z)
+                    open_here |= wanted
+                    p, n = a["part"], a["parts"]
+                    if n > MERGED:
+                        row.append(i), key.append(a["key"]), block.append(-1), start.append(a["start"]), target.append(wanted)
+                        data.append(raw[a["start"] : z]), done.append(None), result.append(None)
+                        continue
+                    for other in range(n):  # shards of one hash meet two by two
+                        if n == 1 or other != p:
+                            row.append(i), key.append(a["key"]), block.append((min(p, other) * n + max(p, other)) * 2 + (p > other)), start.append(a["start"]), target.append(wanted)
                             data.append(raw[a["start"] : z]), done.append(None), result.append(None)
-                            continue
-                        for other in range(n):  # shards of one hash meet two by two
-                            if n == 1 or other != p:
-                                row.append(i), key.append(a["key"]), block.append((min(p, other) * n + max(p, other)) * 2 + (p > other)), start.append(a["start"]), target.append(wanted)
-                                data.append(raw[a["start"] : z]), done.append(None), result.append(None)
-                row.append(i), key.append(None), block.append(None), start.append(None), target.append(None)
-                data.append(raw if open_here else None), done.append(covered.astype("<i4").tobytes() if open_here else None)
-                result.append(None if open_here else _digest(raw, covered))
-            blank = [None] * 4
-            result = [r or blank for r in result]
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("c").take(take), b.column("doc_id").take(take), b.column("t").take(take), pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(start, pa.int32()), pa.array(target, pa.bool_()),
-                    pa.array(data, pa.binary()), pa.array(done, pa.binary()), *(pa.array([r[k] for r in result], pa.int64()) for k in range(3)),
-                    pa.array([None if r[3] is None else hashlib.sha256(r[3]).hexdigest() for r in result], pa.string()), pa.array([r[3].decode("utf-8", "ignore") if with_text and r[3] is not None else None for r in result], pa.string()),
-                ],
-                names=names,
-            )
+            row.append(i), key.append(None), block.append(None), start.append(None), target.append(None)
+            data.append(raw if open_here else None), done.append(covered.astype("<i4").tobytes() if open_here else None)
+            result.append(None if open_here else _digest(raw, covered))
+        blank = [None] * 4
+        result = [r or blank for r in result]
+        take = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column("c").take(take), b.column("doc_id").take(take), b.column("t").take(take), pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(start, pa.int32()), pa.array(target, pa.bool_()),
+                pa.array(data, pa.binary()), pa.array(done, pa.binary()), *(pa.array([r[k] for r in result], pa.int64()) for k in range(3)),
+                pa.array([None if r[3] is None else hashlib.sha256(r[3]).hexdigest() for r in result], pa.string()), pa.array([r[3].decode("utf-8", "ignore") if with_text and r[3] is not None else None for r in result], pa.string()),
+            ],
+            names=names,
+        )
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = whole.column("text").to_pylist()
+            for s in chunks(texts):
+                yield asked_of(whole.slice(s.start, s.stop - s.start), texts[s])
 
-    table = written(rows.mapInArrow(ask, part_schema), "repeats")
+    table = written(rows.mapInArrow(released(ask), part_schema), "repeats")
     del rows, asked
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files behind the written table
@@ -496,7 +501,7 @@ def _compared(docs: DataFrame, carry: list[str], length: int, with_text: bool, s
         regions = regions.unionByName(cool)
     # the side bit of a pair is no part of its group
     regions = regions.repartition(F.col("key"), F.floor(F.col("block") / 2)).sortWithinPartitions("key", "block")
-    found = regions.mapInArrow(compare, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, found binary")
+    found = regions.mapInArrow(released(compare), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, found binary")
     found = found if covered is None else found.unionByName(covered)
     found = found.groupBy("doc_id", "t").agg(F.collect_list("found").alias("found")).select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), "found")
     answers = table.where(F.col("key").isNull())
@@ -504,11 +509,14 @@ def _compared(docs: DataFrame, carry: list[str], length: int, with_text: bool, s
     pending = pending.join(found, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left").select("c", "data", "done", "found")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_digest(d, _ranges([c, *(f or [])])) for d, c, f in zip(b.column("data").to_pylist(), b.column("done").to_pylist(), b.column("found").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("c"), *_results(rows, with_text)], names=["c", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    late = pending.mapInArrow(finish, f"c {table.schema['c'].dataType.simpleString()}, {_RESULT}")
+        for whole in batches:
+            texts = whole.column("data").to_pylist()
+            for s in chunks(texts):
+                b = whole.slice(s.start, s.stop - s.start)
+                rows = [_digest(d, _ranges([c, *(f or [])])) for d, c, f in zip(texts[s], b.column("done").to_pylist(), b.column("found").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("c"), *_results(rows, with_text)], names=["c", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    late = pending.mapInArrow(released(finish), f"c {table.schema['c'].dataType.simpleString()}, {_RESULT}")
     early = answers.where(F.col("done").isNull()).select("c", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     return early.unionByName(late)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language_id, language_model, licences, media, near_join, packing, quality, suffix_dedup, url_filter
+from . import bpe, centroids, fixed_blocks, language_id, language_model, licences, media, near_join, packing, quality, suffix_dedup, url_filter
 from .common import table
 
 
@@ -52,9 +53,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fixed_blocks.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language, op3_licences, op4_quality, op5_media, op6_repeats, op7_near, op8_trie, op9_urls, op10_packing)}
+    made = (
+        op1_bpe, op2_language, op3_licences, op4_quality, op5_media, op6_repeats, op7_near, op8_trie, op9_urls, op10_packing,
+        op11_centroids, op12_blocks,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licences": licences.oracle_sql(), "op4_quality": quality.oracle_sql(), "op7_near": near_join.oracle_sql(), "op9_urls": url_filter.oracle_sql()}
+    return {
+        "op3_licences": licences.oracle_sql(), "op4_quality": quality.oracle_sql(), "op7_near": near_join.oracle_sql(), "op9_urls": url_filter.oracle_sql(),
+        "op11_centroids": centroids.oracle_sql(), "op12_blocks": fixed_blocks.oracle_sql(),
+    }

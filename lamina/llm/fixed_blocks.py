@@ -22,9 +22,12 @@ nothing from others; rows with equal doc_id take nothing from each other, whethe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +42,12 @@ BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20_240_612)
-#: By lane: values of bytes, the base of positions in a word, and multipliers of words in a window.
-_BYTE = _RANDOM.integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
-_BASE = _RANDOM.integers(0, 2**64, 2, np.uint64) | np.uint64(5)
+#: By lane: what a word's hash starts from, and multipliers of words in a window.
+_FIRST = _RANDOM.integers(0, 2**63, 2, np.uint64)
 _PLACE = _RANDOM.integers(0, 2**64, (2, 256), np.uint64) | np.uint64(1)
+#: Masks of the first n bytes of a word of eight, and the length from which words are hashed one by one.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,33 +65,32 @@ class Words:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
+        self.offsets = offsets - offsets[0]
         word = ~_SPACE[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
-        edge[offsets] = True
+        edge[self.offsets] = True
         before, after = np.append(False, word[:-1])[: len(word)], np.append(word[1:], False)[: len(word)]
         self.start = np.flatnonzero(word & (~before | edge[:-1]))
         self.stop = np.flatnonzero(word & (~after | edge[1:])) + 1
-        first = np.searchsorted(self.start, offsets)
-        self.count = np.diff(first)
+        self.first = np.searchsorted(self.start, self.offsets)
+        self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.place = np.arange(len(self.start)) - first[self.doc]
+        self.place = np.arange(len(self.start)) - self.first[self.doc]
 
     def hashes(self, lane: int) -> np.ndarray:
-        """One value of 64 bits for each word: a sum over its bytes, by place."""
-        out = np.empty(len(self.start), np.uint64)
-        sizes = self.stop - self.start
-        total = np.append(0, np.cumsum(sizes))
-        begin = 0
-        while begin < len(out):  # arrays of eight bytes a byte stay small
-            end = max(begin + 1, int(np.searchsorted(total, total[begin] + BYTES, "right")) - 1)
-            size = sizes[begin:end]
-            at = np.arange(total[end] - total[begin]) - np.repeat(total[begin:end] - total[begin], size)
-            power = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(size.max()), _BASE[lane])))
-            value = _BYTE[lane][self.data[np.repeat(self.start[begin:end], size) + at]] * power[at]
-            out[begin:end] = np.add.reduceat(value, total[begin:end] - total[begin])
-            begin = end
-        return mixed(out)
+        """One value of 64 bits for each word, from its bytes eight by eight."""
+        size = self.stop - self.start
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        out = mixed(size.astype(np.uint64) + _FIRST[lane])
+        out = mixed(out ^ (eight[self.start] & _MASK[np.minimum(size, 8)]))
+        more = np.flatnonzero((size > 8) & (size <= _LONG))
+        for at in range(8, _LONG, 8):
+            more = more[size[more] > at]
+            out[more] = mixed(out[more] ^ (eight[self.start[more] + at] & _MASK[np.minimum(size[more] - at, 8)]))
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.stop[i]].tobytes(), int(_FIRST[lane]))
+        return out
 
     def windows(self, n: int, lane: int) -> np.ndarray:
         """A value for each run of n words, by its first word; runs over the end of a document have values without meaning."""
@@ -103,7 +107,7 @@ class Words:
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about BYTES of text; one text is never split."""
-    size = np.array([len(x) if x is not None else 0 for x in batch.column("text").cast(pa.large_binary()).to_pylist()])
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(size) - size) // BYTES
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True):
@@ -111,6 +115,11 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def _listed(lists: pa.Array, base: np.ndarray) -> np.ndarray:
+    """The word numbers of lists of places, one list for each document."""
+    return np.repeat(base[:-1], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + lists.flatten().to_numpy()
+
+
 def block_hashes(docs: DataFrame, block: int, slices: int, part: int | None) -> DataFrame:
     """h, doc_id, pos: of the aligned blocks of all parts (part None, with the column slice), or of every rolling window of one part."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -128,71 +137,69 @@ def block_hashes(docs: DataFrame, block: int, slices: int, part: int | None) ->
     return docs.mapInArrow(released(run), f"h bigint, doc_id {kind}, pos int" + ", slice int" * (part is None))
 
 
-def anchors(docs: DataFrame, block: int, slices: int) -> DataFrame:
-    """doc_id and pos of every block of words that a block or probe of another document equals, as a written table for each slice."""
+def anchors(docs: DataFrame, block: int, slices: int) -> list[DataFrame]:
+    """doc_id and pos of every block of words that a block or probe of another document equals, as a written table for each slice.
+
+    What is joined is a written table or comes straight from the texts, so that adaptive execution can split a key that many have."""
     blocks = written(block_hashes(docs, block, slices, None), "blocks")
+    index = written(blocks.groupBy("slice", "h").agg(F.min("doc_id").alias("first")), "index")
     found = []
     for part in range(slices):
-        own = blocks.where(F.col("slice") == part).drop("slice")
-        index = own.groupBy("h").agg(F.min("doc_id").alias("first"))
+        here = F.col("slice") == part
         probes = block_hashes(docs, block, slices, part)
         # the index has one row for each hash and a seventh of the probes at most: hashed, the probes need no sort
-        hits = written(probes.join(index.hint("shuffle_hash"), "h").where(F.col("doc_id") > F.col("first")).drop("first"), "hits")
-        met = own.join(hits.select("h").distinct(), "h", "left_semi")
-        found.append(written(hits.select("doc_id", "pos").union(met.select("doc_id", "pos")), "anchors"))
-        dropped(hits)
-    dropped(blocks)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    out._lamina_parts = found
-    return out
-
-
-def window_digests(live: DataFrame, window: int, block: int, slices: int, part: int) -> DataFrame:
-    """k1, k2, doc_id, t, start of the windows around anchors whose digests are in one part."""
+        hits = probes.join(index.where(here).drop("slice").hint("shuffle_hash"), "h")
+        hits = written(hits.where(F.col("doc_id") > F.col("first")).drop("first"), "hits")
+        met = written(hits.select("h").distinct(), "met")
+        own = blocks.where(here).drop("slice").join(met, "h", "left_semi")
+        found.append(written(hits.select("doc_id", "pos").union(own.select("doc_id", "pos")), "anchors"))
+        dropped(hits, met)
+    dropped(blocks, index)
+    return found
+
+
+def window_digests(live: DataFrame, window: int, block: int, slices: int) -> DataFrame:
+    """k1, k2, doc_id, t, start, slice of the windows around anchors."""
     kind = live.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch):
                 words = Words(b.column("text"))
-                k = [words.windows(window, lane) for lane in (0, 1)]
-                at = words.whole(window)
-                # anchors by word, and before each word how many there are: a window with none is not looked at
-                base = np.append(0, np.cumsum(words.count))
+                # before each word, how many anchors there are: a window with none is not looked at
+                place = _listed(b.column("pos"), words.first)
                 seen = np.zeros(len(words.doc) + 1, np.int64)
-                pos = b.column("pos")
-                place = np.repeat(base[:-1], pos.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + pos.flatten().to_numpy()
                 seen[1:][place[place < len(words.doc)]] = 1
                 seen = np.cumsum(seen)
-                at = at[(seen[at + window - block + 1] > seen[at]) & ((k[0][at] >> np.uint64(32)) % np.uint64(slices) == part)]
+                at = words.whole(window)
+                at = at[seen[at + window - block + 1] > seen[at]]
+                k = [words.windows(window, lane)[at] for lane in (0, 1)]
                 doc = pa.array(words.doc[at])
-                rows = [pa.array(x[at].view(np.int64)) for x in k] + [b.column(c).take(doc) for c in ("doc_id", "t")] + [pa.array(words.place[at].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(rows, names=["k1", "k2", "doc_id", "t", "start"])
+                rows = [pa.array(x.view(np.int64)) for x in k] + [b.column(c).take(doc) for c in ("doc_id", "t")]
+                rows += [pa.array(words.place[at].astype(np.int32)), pa.array(((k[0] >> np.uint64(32)) % np.uint64(slices)).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(rows, names=["k1", "k2", "doc_id", "t", "start", "slice"])
 
-    return live.mapInArrow(released(run), f"k1 bigint, k2 bigint, doc_id {kind}, t bigint, start int")
+    return live.mapInArrow(released(run), f"k1 bigint, k2 bigint, doc_id {kind}, t bigint, start int, slice int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, slices: int = SLICES) -> DataFrame:
-    """doc_id, t (the text's hash) and the sorted first words of all windows that a smaller document has too."""
+    """doc_id, t (the text's hash) and the first words of all windows that a smaller document has too."""
     block = (window + 1) // 2
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     near = anchors(docs, block, slices)
-    places = near.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    live = written(docs.withColumn("t", F.xxhash64("text")).join(places, "doc_id"), "live")
-    dropped(*near._lamina_parts)
+    places = reduce(DataFrame.union, near).groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    live = docs.withColumn("t", F.xxhash64("text")).join(places, "doc_id")
+    rows = written(window_digests(live, window, block, slices), "windows")
+    dropped(*near)
     found = []
     for part in range(slices):
-        rows = written(window_digests(live, window, block, slices, part), "windows")
-        first = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
-        found.append(written(rows.join(first, ["k1", "k2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "t", "start"), "repeats"))
-        dropped(rows)
-    dropped(live)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        own = rows.where(F.col("slice") == part).drop("slice")
+        first = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
+        first = written(first.drop("last"), "first")
+        found.append(written(own.join(first, ["k1", "k2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "t", "start"), "repeats"))
+        dropped(first)
+    dropped(rows)
+    return reduce(DataFrame.union, found).groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, slices: int = SLICES) -> DataFrame:
@@ -201,35 +208,42 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, slices: int = SLICES)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     rows = rows.join(found, (F.col("doc_id") == F.col("d2")) & (F.col("t") == F.col("t2")), "left").select("doc_id", "text", "starts")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in pieces(batch):
                 words = Words(b.column("text"))
-                base = np.append(0, np.cumsum(words.count))
-                starts = b.column("starts")
-                at = np.repeat(base[:-1], starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + starts.flatten().to_numpy()
-                cover = np.zeros(len(words.doc) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                at = _listed(b.column("starts"), words.first)
+                cover = np.bincount(at, minlength=len(words.doc) + 1) - np.bincount(at + window, minlength=len(words.doc) + 1)
                 gone = np.cumsum(cover)[:-1] > 0
-                removed, kept, runs = [], [], []
-                for i in range(b.num_rows):
-                    mask = gone[base[i] : base[i + 1]]
-                    flips = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                    runs.append([{"start": int(x), "length": int(y - x)} for x, y in flips.reshape(-1, 2)])
-                    removed.append(int(mask.sum()))
-                    stay = np.flatnonzero(~mask) + base[i]
-                    kept.append(b" ".join(words.data[x:y].tobytes() for x, y in zip(words.start[stay].tolist(), words.stop[stay].tolist(), strict=True)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(span)), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "spans", "kept"],
-                )
+                total = np.append(0, np.cumsum(gone))[words.first]
+                # a removed run begins where the word before is kept or of another document
+                inner = words.place > 0
+                begin = np.flatnonzero(gone & ~(np.append(False, gone[:-1])[: len(gone)] & inner))
+                end = np.flatnonzero(gone & ~(np.append(gone[1:], False)[: len(gone)] & np.append(inner[1:], False)[: len(gone)])) + 1
+                span = pa.StructArray.from_arrays([pa.array(words.place[begin]), pa.array(end - begin)], ["start", "length"])
+                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, words.first).astype(np.int32)), span)
+                texts = kept_texts(words, ~gone)
+                arrays = [b.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(np.diff(total).astype(np.int64)), spans, texts]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     return rows.mapInArrow(released(run), f"doc_id {kind}, n_words bigint, n_removed bigint, spans array<struct<start: bigint, length: bigint>>, kept string")
 
 
+def kept_texts(words: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of each document with one space between them: their bytes and, but for the last, the byte after each as a space."""
+    stay = np.flatnonzero(keep)
+    last = np.append(words.doc[stay][1:] != words.doc[stay][:-1], True)[: len(stay)]
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.start[stay]] += 1
+    np.subtract.at(edge, words.stop[stay] + ~last, 1)
+    mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    text = words.data[mask]
+    text[_SPACE[text]] = 0x20
+    offsets = np.append(0, np.cumsum(mask))[words.offsets]
+    return pa.LargeStringArray.from_buffers(len(words.count), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text)).cast(pa.string())
+
+
 def oracle_sql(window: int = WINDOW) -> str:
     """The query's rows in DuckDB SQL."""
     last = window - 1

@@ -1,4 +1,5 @@
-"""The built-in skills: the operators under names with typed parameters. Inputs are Parquet tables in long form."""
+"""The built-in skills: the operators under names with typed parameters. Inputs are Parquet tables in long form, or files of the field
+where a reader gives the same table: h5ad and 10x h5 for counts, NWB for spikes, EDF, BDF and BrainVision for signals."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import events, expression, graph, learning, network, neurons, registration, stats, trees
-from lamina.sources import tables
+from lamina.sources import edf, hdf5, tables
 from lamina.skills import param, skill
 
 OBS = param("obs", "parquet", True, description="spots: obs_id, block, section, x, y, z")
@@ -19,6 +20,12 @@ def _read(spark: SparkSession, *paths: str) -> list[DataFrame]:
     return [spark.read.parquet(p) for p in paths]
 
 
+def _counts(spark: SparkSession, path: str) -> DataFrame:
+    if path.endswith((".h5ad", ".h5")):
+        return (hdf5.read_h5ad if path.endswith(".h5ad") else hdf5.read_10x)(spark, path).counts()
+    return spark.read.parquet(path)
+
+
 @skill("core.inspect", "Columns, rows, frequent values and ranges of a table", param("input", "parquet", True), param("top", "int", default=50))
 def inspect_table(spark, ctx, input, top):
     (df,) = _read(spark, input)
@@ -42,7 +49,7 @@ def load_triplet(spark, ctx, expression, coordinates, metadata):
 
 @skill("core.preprocess", "Filters, library sizes to 10,000, logs", COUNTS, param("min_cells", "int", default=3), param("min_genes", "int", default=200), param("target", "float", default=1e4))
 def preprocess(spark, ctx, counts, min_cells, min_genes, target):
-    (c,) = _read(spark, counts)
+    c = _counts(spark, counts)
     return expression.normalize_log1p(expression.filter_genes_cells(c, min_cells, min_genes), target)
 
 
@@ -143,13 +150,18 @@ def fidelity(spark, ctx, query, reference, labels, k):
 
 @skill("ephys.spikes", "Rates, intervals and bursts of units", param("spikes", "parquet", True, description="unit, t, event_id"), param("window", "float", default=1.0))
 def spikes(spark, ctx, spikes, window):
-    (s,) = _read(spark, spikes)
+    s = hdf5.read_units(spark, spikes) if spikes.endswith(".nwb") else spark.read.parquet(spikes)
     return events.unit_metrics(s).join(events.fano(s, window), "unit", "left")
 
 
-@skill("ephys.eeg_bandpower", "Power by bands", param("signal", "parquet", True, description="channel, i, value"), param("fs", "float", True), param("fmax", "float", default=45.0))
+@skill("ephys.eeg_bandpower", "Power by bands", param("signal", "parquet", True, description="channel, i, value"), param("fs", "float", default=0.0, description="samples a second; recordings know theirs"), param("fmax", "float", default=45.0))
 def eeg_bandpower(spark, ctx, signal, fs, fmax):
-    return events.band_power(_read(spark, signal)[0], fs, fmax=fmax)
+    if signal.lower().endswith((".edf", ".bdf", ".vhdr")):
+        fs = fs or edf.rate(signal)
+        return events.segment_power(edf.read(spark, signal), fs, fmax=fmax)
+    if fs <= 0:
+        raise ValueError("fs is needed where the signal is a table")
+    return events.segment_power(_read(spark, signal)[0], fs, fmax=fmax)
 
 
 @skill("modeling.hh", "Firing rates of a Hodgkin-Huxley neuron by current", param("currents", "list", default="0,5,10,15,20"), param("sodium", "float", default=1.0), param("ms", "float", default=500.0))

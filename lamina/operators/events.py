@@ -124,3 +124,38 @@ def band_power(signal: DataFrame, fs: float, seconds: float = 2.0, fmax: float =
 
     kind = signal.schema["channel"].dataType.simpleString()
     return signal.select("channel", "i", "value").groupBy("channel").applyInPandas(f, f"channel {kind}, band string, power double, relative double")
+
+
+def segment_power(signal: DataFrame, fs: float, seconds: float = 2.0, fmax: float = 45.0, bands: dict | None = None, segments: int = 64) -> DataFrame:
+    """band_power for channels of any length: a group is a run of `segments` segments of a channel, and only sums of runs are put together.
+
+    Samples are (channel, i, value) with i counted from 0; segments that lack a sample are left out, a channel without a whole one has no rows."""
+    bands = bands or BANDS
+    size = max(2, int(seconds * fs))
+    hop = size - size // 2
+    run = hop * segments
+    spans = {**bands, "": (1.0, fmax)}
+
+    def f(g: pd.DataFrame) -> pd.DataFrame:
+        at = g["i"].to_numpy()
+        x = np.full(run + size - hop, np.nan)
+        x[at - g["run"].iloc[0] * run] = g["value"].to_numpy(float)
+        seg = np.lib.stride_tricks.sliding_window_view(x, size)[:run:hop]
+        seg = seg[~np.isnan(seg).any(1)]
+        rows: list[tuple] = []
+        if len(seg):
+            freq, p = np.fft.rfftfreq(size, 1 / fs), np.mean([welch(v, fs, size)[1] for v in seg], 0)
+        for k, (lo, hi) in spans.items() if len(seg) else ():
+            m = (freq >= lo) & (freq <= hi)
+            rows.append((g["channel"].iloc[0], k, float(np.trapezoid(p[m], freq[m])) * len(seg), len(seg)))
+        return pd.DataFrame(rows, columns=["channel", "band", "s", "n"])
+
+    kind = signal.schema["channel"].dataType.simpleString()
+    first = F.floor(F.col("i") / run)
+    # the last segment of a run reaches into the next one's samples
+    runs = F.when((F.col("i") % run < size - hop) & (first > 0), F.array(first, first - 1)).otherwise(F.array(first))
+    s = signal.where("i is not null and value is not null").select("channel", "i", "value", F.explode(runs).alias("run"))
+    s = s.groupBy("channel", "run").applyInPandas(f, f"channel {kind}, band string, s double, n bigint")
+    s = s.groupBy("channel", "band").agg((F.sum("s") / F.sum("n")).alias("power"))
+    total = s.where("band = ''").select("channel", F.col("power").alias("total"))
+    return s.where("band <> ''").join(total, "channel").select("channel", "band", "power", F.when(F.col("total") > 0, F.col("power") / F.col("total")).alias("relative"))

@@ -151,7 +151,7 @@ def anchors(docs: DataFrame, block: int, slices: int) -> list[DataFrame]:
         hits = probes.join(index.where(here).drop("slice").hint("shuffle_hash"), "h")
         hits = written(hits.where(F.col("doc_id") > F.col("first")).drop("first"), "hits")
         met = written(hits.select("h").distinct(), "met")
-        own = blocks.where(here).drop("slice").join(met, "h", "left_semi")
+        own = blocks.where(here).drop("slice").join(met.hint("shuffle_hash"), "h", "left_semi")
         found.append(written(hits.select("doc_id", "pos").union(own.select("doc_id", "pos")), "anchors"))
         dropped(hits, met)
     dropped(blocks, index)
@@ -196,7 +196,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, slices: int = SLICES) -> Data
         own = rows.where(F.col("slice") == part).drop("slice")
         first = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
         first = written(first.drop("last"), "first")
-        found.append(written(own.join(first, ["k1", "k2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "t", "start"), "repeats"))
+        found.append(written(own.join(first.hint("shuffle_hash"), ["k1", "k2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "t", "start"), "repeats"))
         dropped(first)
     dropped(rows)
     return reduce(DataFrame.union, found).groupBy("doc_id", "t").agg(F.collect_set("start").alias("starts"))

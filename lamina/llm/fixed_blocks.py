@@ -35,7 +35,7 @@ from .common import dropped, released, written
 
 WINDOW = 13
 #: Parts of all hashes that are worked on one after the other.
-SLICES = 3
+SLICES = 2
 #: Bytes of text that numpy works on at once.
 BYTES = 2_000_000
 

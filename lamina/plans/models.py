@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import graph, learning, registration
+from lamina.operators import diffusion, graph, learning, registration
 from lamina.sources import fixtures as fx
 
 from .registry import plan, rounded
@@ -99,3 +99,13 @@ def stack_sections(spark, sf):
 @plan()
 def reconstruct_3d(spark, sf):
     return registration.reconstruct(fx.obs(spark, sf), 20.0)
+
+
+@plan()
+def diffusion_map_times(spark, sf):
+    """Components of the diffusion map of the graph of nearest neighbours over all blocks, and diffusion pseudotime from one spot."""
+    g = graph.knn_graph(fx.obs(spark, sf).withColumn("block", F.lit("all")), 10, weight="gaussian")
+    g = graph.written(g, "graph")
+    mapped = diffusion.diffusion_map(g, 4)
+    out = mapped[1].withColumnRenamed("node", "obs_id").join(diffusion.diffusion_pseudotime(g, 0, 3, mapped), "obs_id")
+    return rounded(out.select("obs_id", "v1", "v2", "v3", "time"), 5)

@@ -80,7 +80,8 @@ def smoothing_deviance(spark, sf):
     return rounded(studies.poisson_deviance(graph.knn_graph(fx.obs(spark, sf), 6), part(20), part(23), 0.3), 4)
 
 
-@plan(f"""WITH {fx.OBS.replace("obs AS (", "obs AS MATERIALIZED (")}, {fx.FEATURES.replace("feat AS (", "feat AS MATERIALIZED (")}, f AS MATERIALIZED (SELECT gene_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM feat JOIN obs USING (obs_id) WHERE obs_id % 5 <> 0 GROUP BY gene_id) SELECT obs_id, gene_id, round(value - a - b * x, 6) AS value FROM feat JOIN obs USING (obs_id) JOIN f USING (gene_id)""")
+@plan("""WITH d AS (SELECT vec_id AS obs_id, embedding[1]::DOUBLE * 1000 AS x, unnest(range(8, 64)) AS gene_id, unnest(embedding[9:64])::DOUBLE AS value FROM embeddings),
+f AS (SELECT gene_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM d WHERE obs_id % 5 <> 0 GROUP BY gene_id) SELECT obs_id, d.gene_id, round(value - a - b * x, 6) AS value FROM d JOIN f ON d.gene_id = f.gene_id""")
 def confound_free(spark, sf):
     return rounded(studies.confound_free(fx.features(spark, sf), fx.obs(spark, sf).select("obs_id", F.col("x").alias("c")), F.col("obs_id") % 5 != 0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lamina.operators import events, network, neurons, text, trees
+from lamina.operators import events, leiden, network, neurons, text, trees
 from lamina.sources import fixtures as fx
 from lamina.sources import tables
 
@@ -159,6 +159,12 @@ def louvain_modules(spark, sf):
     return network.modules_by_count(_cut(spark, sf), 4, steps=12)
 
 
+@plan()
+def leiden_modules(spark, sf):
+    """Connected communities of the thresholded network at resolution 1."""
+    return leiden.leiden(_cut(spark, sf))
+
+
 @plan()
 def partial_connectivity(spark, sf):
     return network.partial_correlations(fx.signal(spark, sf).withColumn("subject", F.lit(0)))

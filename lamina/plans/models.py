@@ -69,7 +69,7 @@ def region_identity(spark, sf):
     return rounded(learning.region_identity(f, o.select("obs_id", F.col("label").alias("cluster")), regions))
 
 
-@plan(f"""WITH RECURSIVE {fx.OBS}, {graph_sql(6)}, r AS (SELECT 0::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN g ON src = node WHERE d < 100), s AS (SELECT node, min(d) AS d FROM r GROUP BY node)
+@plan(f"""WITH RECURSIVE {fx.OBS}, {graph_sql(6)}, r AS (SELECT 0::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN g ON src = node WHERE d < (SELECT count(*) FROM obs)), s AS (SELECT node, min(d) AS d FROM r GROUP BY node)
 SELECT o.src AS obs_id, round(d / (SELECT max(d) FROM s)::DOUBLE, 6) AS time FROM (SELECT DISTINCT src FROM g) o LEFT JOIN s ON o.src = node""")
 def graph_pseudotime(spark, sf):
     return rounded(learning.pseudotime(graph.knn_graph(fx.obs(spark, sf), 6).withColumn("w", F.lit(1.0)), 0))

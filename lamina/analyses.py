@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import events, expression, graph, learning, network, neurons, registration, stats, trees
+from lamina.operators import events, expression, fuzzy, graph, learning, network, neurons, registration, stats, trees
 from lamina.sources import edf, hdf5, tables
 from lamina.skills import param, skill
 
@@ -47,10 +47,22 @@ def load_triplet(spark, ctx, expression, coordinates, metadata):
     return tables.load_triplet(wide.withColumnRenamed(wide.columns[0], "id"), *parts)
 
 
-@skill("core.preprocess", "Filters, library sizes to 10,000, logs", COUNTS, param("min_cells", "int", default=3), param("min_genes", "int", default=200), param("target", "float", default=1e4))
-def preprocess(spark, ctx, counts, min_cells, min_genes, target):
+@skill(
+    "core.preprocess", "Filters, library sizes to 10,000, logs; with clusters also genes that vary, components, fuzzy graph and communities", COUNTS, param("min_cells", "int", default=3), param("min_genes", "int", default=200), param("target", "float", default=1e4),
+    param("clusters", "bool", default=False), param("n_top_genes", "int", default=2000), param("n_pcs", "int", default=50), param("n_neighbors", "int", default=15), param("resolution", "float", default=1.0),
+)
+def preprocess(spark, ctx, counts, min_cells, min_genes, target, clusters, n_top_genes, n_pcs, n_neighbors, resolution):
     c = _counts(spark, counts)
-    return expression.normalize_log1p(expression.filter_genes_cells(c, min_cells, min_genes), target)
+    out = expression.normalize_log1p(expression.filter_genes_cells(c, min_cells, min_genes), target)
+    if not clusters:
+        return out
+    ctx.save_table(out, "normalized.parquet")
+    values = spark.read.parquet(str(ctx.out / "normalized.parquet")).select("obs_id", "gene_id", F.col("lognorm").alias("value"))
+    scores, edges, found, report = fuzzy.clusters(values, n_top_genes, n_pcs, n_neighbors, resolution)
+    ctx.save_table(scores, "components.parquet")
+    ctx.save_table(edges, "graph.parquet")
+    ctx.save_json(report, "report.json")
+    return found
 
 
 @skill("atlas.annotate", "Panels against random sets of like expression, and labels", VALUES, param("sets", "parquet", True, description="panel, null_id (-1: the panel), gene_id"), param("n_null", "int", default=1000), param("alpha", "float", default=0.05))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import diffusion, graph, learning, registration
+from lamina.operators import diffusion, fuzzy, graph, learning, registration
 from lamina.sources import fixtures as fx
 
 from .registry import plan, rounded
@@ -109,3 +109,18 @@ def diffusion_map_times(spark, sf):
     mapped = diffusion.diffusion_map(g, 4)
     out = mapped[1].withColumnRenamed("node", "obs_id").join(diffusion.diffusion_pseudotime(g, 0, 3, mapped), "obs_id")
     return rounded(out.select("obs_id", "v1", "v2", "v3", "time"), 5)
+
+
+@plan(f"""WITH RECURSIVE {fx.FEATURES}, d AS (SELECT a.obs_id AS src, b.obs_id AS dst, sum((a.value - b.value) * (a.value - b.value)) AS d2 FROM feat a JOIN feat b ON a.gene_id = b.gene_id AND a.obs_id <> b.obs_id GROUP BY ALL),
+nn AS MATERIALIZED (SELECT src, dst, sqrt(d2) AS d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM d) WHERE rank <= 14),
+p AS MATERIALIZED (SELECT src, list(d) AS ds, log2(count(*) + 1) AS t, coalesce(min(d) FILTER (d > 0), 0) AS r, avg(d) AS m FROM nn GROUP BY src),
+b AS (SELECT src, 0::DOUBLE AS lo, NULL::DOUBLE AS hi, 1::DOUBLE AS s, 0 AS i FROM p UNION ALL
+  SELECT src, CASE WHEN big THEN lo ELSE s END, CASE WHEN big THEN s ELSE hi END, CASE WHEN big THEN (lo + s) / 2 WHEN hi IS NULL THEN 2 * s ELSE (s + hi) / 2 END, i + 1
+  FROM (SELECT b.*, list_sum([exp(-greatest(x - r, 0) / s) FOR x IN ds]) > t AS big FROM b JOIN p USING (src) WHERE i < {fuzzy.HALVINGS})),
+w AS (SELECT src, dst, CASE WHEN d <= r THEN 1 ELSE exp(-(d - r) / greatest(s, {fuzzy.LEAST} * CASE WHEN r > 0 THEN m ELSE (SELECT avg(d) FROM nn) END)) END AS w FROM nn JOIN p USING (src) JOIN b USING (src) WHERE i = {fuzzy.HALVINGS}),
+u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(w) - CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END AS w FROM w GROUP BY ALL)
+SELECT a AS src, b AS dst, round(w, 6) AS w FROM u WHERE w > 0 UNION ALL SELECT b, a, round(w, 6) FROM u WHERE w > 0""")
+def fuzzy_neighbours(spark, sf):
+    """The fuzzy graph of spots and their 14 nearest others by 56 features."""
+    f = fx.features(spark, sf).groupBy("obs_id").agg(F.sort_array(F.collect_list(F.struct("gene_id", "value"))).alias("r")).select("obs_id", F.col("r.value").alias("features"))
+    return rounded(fuzzy.fuzzy_graph(f, 15))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import compositions, measures, models, resampling, sequences, spatial  # noqa: F401
+from lamina.plans import compositions, measures, models, resampling, sequences, spatial, validation  # noqa: F401
 from lamina.plans.registry import PLANS, SQL
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import graph
+from lamina.operators import families, graph
 from lamina.operators.stats import ari_nmi
 from lamina.sources import fixtures as fx
 
@@ -166,3 +166,37 @@ def crosstab_tv(spark, sf):
 
     o = fx.obs(spark, sf)
     return rounded(total_variation(o.where("block = 'm0'"), o.where("block = 'm1'"), "label"))
+
+
+_FLAT, _CROSSED = ([(g.name, g.k) for g in families.FAMILY if g.kind == k] for k in ("flat", "cross"))
+_ISO = [(g.name, g.z_scale) for g in families.FAMILY if g.kind == "solid"]
+_LIST = lambda rows: ", ".join(f"('{n}', {v})" for n, v in rows)
+FAMILY_SQL = f"""{CROSS}, al AS MATERIALIZED (SELECT a.section AS sa, b.section AS sb, a.obs_id AS src, b.obs_id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, a.z - b.z AS dz FROM obs a JOIN obs b ON a.block = b.block AND a.obs_id <> b.obs_id),
+ow AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS r FROM al WHERE sa = sb),
+h AS (SELECT quantile_cont(m, 0.5) AS h FROM (SELECT quantile_cont(sqrt(d2), 0.5) AS m FROM ow WHERE r = 1 GROUP BY sa)),
+pa AS (SELECT graph, 0 AS part, src, dst, 1::DOUBLE AS w FROM ow, (VALUES {_LIST([*_FLAT, *_CROSSED])}) g(graph, k) WHERE r <= k
+  UNION ALL SELECT graph, 0, src, dst, 1 FROM (SELECT graph, src, dst, row_number() OVER (PARTITION BY graph, src ORDER BY d2 + (dz * zs) * (dz * zs), dst) AS r FROM al, (VALUES {_LIST(_ISO)}) g(graph, zs)) WHERE r <= 6
+  UNION ALL SELECT graph, 1, src, dst, exp(-(d2 + dz ** 2) / (h * h) / 2) FROM ce, h, (VALUES {_LIST(_CROSSED)}) g(graph, k) WHERE rank <= 3),
+fam AS MATERIALIZED (SELECT graph, src, dst, sum(w) AS w FROM (SELECT graph, part, src, dst, max(w) AS w FROM (SELECT * FROM pa UNION ALL SELECT graph, part, dst, src, w FROM pa) GROUP BY ALL) GROUP BY ALL)"""
+
+
+@plan(f"WITH {fx.OBS}, {FAMILY_SQL} SELECT graph, src, dst, round(w, 6) AS w FROM fam")
+def graph_family(spark, sf):
+    """Twenty graphs of the same spots from one search for neighbours."""
+    return rounded(families.family(fx.obs(spark, sf)))
+
+
+@plan(f"""WITH {fx.OBS}, {fx.FEATURES}, {FAMILY_SQL}, gn AS (SELECT unnest([{", ".join(repr(g.name) for g in families.FAMILY)}]) AS graph),
+sc AS (SELECT graph, count(*) AS n_edges, avg((a.label = b.label)::INT) AS agreement FROM fam JOIN obs a ON src = a.obs_id JOIN obs b ON dst = b.obs_id GROUP BY graph),
+tr AS MATERIALIZED (SELECT obs_id, gene_id, floor(abs(value) * 20) AS v, floor(abs(value) * 23) AS y FROM feat),
+m AS (SELECT graph, src AS obs_id, gene_id, sum(w * v) / sum(w) AS m FROM fam JOIN tr ON dst = obs_id GROUP BY ALL),
+dv AS (SELECT graph, sum(2 * (CASE WHEN y > 0 THEN y * ln(y / l) ELSE 0 END - (y - l))) AS deviance FROM (SELECT gn.graph, y, greatest(0.5 * v + 0.5 * coalesce(m, 0), 0.001) AS l FROM gn CROSS JOIN tr LEFT JOIN m USING (graph, obs_id, gene_id)) GROUP BY graph)
+SELECT graph, coalesce(n_edges, 0) AS n_edges, round(coalesce(n_edges, 0) / (SELECT count(*) FROM obs), 6) AS mean_degree, round(agreement, 6) AS agreement, round(deviance, 3) AS deviance FROM gn LEFT JOIN sc USING (graph) JOIN dv USING (graph)""")
+def graph_family_scores(spark, sf):
+    """Degree, agreement of labels along edges and deviance of smoothed counts for each of twenty graphs."""
+    o, f = fx.obs(spark, sf), fx.features(spark, sf)
+    part = lambda k: f.select("obs_id", "gene_id", F.floor(F.abs("value") * k).cast("double").alias("value"))
+    e = graph.written(families.family(o), "family")
+    s = families.scores(e, o, o.select("obs_id", "label"))
+    d = families.deviances(e, part(20), part(23), 0.5)
+    return rounded(s.join(d, "graph").withColumn("deviance", F.round("deviance", 3)))

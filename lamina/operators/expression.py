@@ -83,13 +83,13 @@ def zscore_clip(values: DataFrame, limit: float = 10.0) -> DataFrame:
     """obs_id, gene_id, z of dense values by sample deviation, clipped on both sides."""
     g = values.groupBy("gene_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     z = (F.col("value") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    return values.join(F.broadcast(g), "gene_id").select("obs_id", "gene_id", F.greatest(F.lit(-limit), F.least(F.lit(limit), z)).alias("z"))
+    return values.join(g, "gene_id").select("obs_id", "gene_id", F.greatest(F.lit(-limit), F.least(F.lit(limit), z)).alias("z"))
 
 
 def zscore_population(values: DataFrame) -> DataFrame:
     """obs_id, gene_id, z of dense values by population deviation; genes that do not vary are 0."""
     g = values.groupBy("gene_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return values.join(F.broadcast(g), "gene_id").select("obs_id", "gene_id", ((F.col("value") - F.col("m")) / F.when(F.col("s") > 1e-12, F.col("s")).otherwise(1.0)).alias("z"))
+    return values.join(g, "gene_id").select("obs_id", "gene_id", ((F.col("value") - F.col("m")) / F.when(F.col("s") > 1e-12, F.col("s")).otherwise(1.0)).alias("z"))
 
 
 def minmax(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -242,7 +242,7 @@ def communication(edges: DataFrame, labels: DataFrame, ligand: DataFrame, recept
     n = e.groupBy("sender", "receiver").agg(F.count("*").alias("n_edges")).where(F.col("n_edges") >= min_edges)
     v = e.join(ligand.select(F.col("obs_id").alias("src"), "interaction", F.col("value").alias("l")), "src").join(receptor.select(F.col("obs_id").alias("dst"), "interaction", F.col("value").alias("r")), ["dst", "interaction"])
     s = v.groupBy("interaction", "sender", "receiver").agg(F.sum(F.col("l") * F.col("r")).alias("s"))
-    return s.join(F.broadcast(n), ["sender", "receiver"]).select("interaction", "sender", "receiver", "n_edges", (F.col("s") / F.col("n_edges")).alias("score"))
+    return s.join(n, ["sender", "receiver"]).select("interaction", "sender", "receiver", "n_edges", (F.col("s") / F.col("n_edges")).alias("score"))
 
 
 def communication_test(edges: DataFrame, labels: DataFrame, ligand: DataFrame, receptor: DataFrame, perm: DataFrame, n_perm: int, min_edges: int, least_share: float = 0.5) -> DataFrame:

@@ -161,7 +161,7 @@ def gcn_layer(edges: DataFrame, values: DataFrame, relu: bool = True) -> DataFra
 def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
     """gene_id, moran: (n / sum w) sum(z_i w_ij z_j) / sum z^2 over dense values."""
     mean = values.groupBy("gene_id").agg(F.avg("value").alias("m"))
-    z = values.join(F.broadcast(mean), "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("m")).alias("z"))
+    z = values.join(mean, "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("m")).alias("z"))
     base = z.groupBy("gene_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n"))
     total = edges.agg(F.sum("w").alias("sw"))
     around = edges.join(z.select(F.col("obs_id").alias("dst"), "gene_id", F.col("z").alias("zd")), "dst").groupBy("src", "gene_id").agg(F.sum(F.col("w") * F.col("zd")).alias("wz"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
+from .resampling import places, uniform
 from .stats import average_ranks
 
 
@@ -31,7 +32,7 @@ def long(df: DataFrame, column: str) -> DataFrame:
 def pca(values: DataFrame, k: int) -> DataFrame:
     """obs_id, gene_id (component), value. Genes are centred first; a component's sign makes its largest loading positive."""
     mean = values.groupBy("gene_id").agg(F.avg("value").alias("m"))
-    x = vectors(values.join(F.broadcast(mean), "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("m")).alias("value")))
+    x = vectors(values.join(mean, "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("m")).alias("value")))
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(x)
     load = model.pc.toArray()
     sign = np.sign(load[np.abs(load).argmax(0), np.arange(k)])
@@ -47,8 +48,8 @@ def kmeans(values: DataFrame, k: int, seeds: int = 10, seed: int = 0) -> DataFra
         m = KMeans(k=k, seed=seed + s, featuresCol="features", predictionCol="cluster").fit(x)
         if best is None or m.summary.trainingCost < best[0]:
             best = (m.summary.trainingCost, m)
-    out = best[1].transform(x).select("obs_id", "cluster")
-    return out
+    x.unpersist()
+    return best[1].transform(x).select("obs_id", "cluster")
 
 
 def gaussian_mixture(values: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -61,6 +62,7 @@ def elbow(values: DataFrame, ks: range, seed: int = 0) -> int:
     """The number of clusters after which the cost falls least compared with before."""
     x = vectors(values).cache()
     cost = [KMeans(k=k, seed=seed, featuresCol="features").fit(x).summary.trainingCost for k in ks]
+    x.unpersist()
     drop = -np.diff(cost)
     ratio = drop[:-1] / np.maximum(drop[1:], 1e-12)
     return list(ks)[int(ratio.argmax()) + 1] if len(ratio) else list(ks)[0]
@@ -97,14 +99,14 @@ def random_forest(values: DataFrame, labels: DataFrame, share: float = 0.25, tre
     for s in range(-1, shuffles):
         d = x
         if s >= 0:
-            w = Window.orderBy(F.xxhash64("obs_id", F.lit(s)))
-            y = x.select("y", F.row_number().over(w).alias("i"))
-            d = x.drop("y").withColumn("i", F.row_number().over(Window.orderBy("obs_id"))).join(y, "i")
+            y = places(x.select("obs_id", "y").withColumn("u", uniform(F.col("obs_id"), s, "label"))).select("y", "place")
+            d = places(x.drop("y").withColumn("u", uniform(F.col("obs_id"), s, "row"))).join(y, "place")
         train = d.where(~held)
         weight = train.groupBy("y").agg((1.0 / F.count("*")).alias("w"))
         model = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="y", weightCol="w").fit(train.join(weight, "y"))
         got = model.transform(d.where(held)).groupBy("y").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("r"))
         rows.append((s, got.agg(F.avg("r")).first()[0]))
+    x.unpersist()
     return values.sparkSession.createDataFrame(rows, "shuffle bigint, balanced_accuracy double")
 
 
@@ -118,6 +120,7 @@ def svc_folds(values: DataFrame, labels: DataFrame, folds: int = 5, seed: int =
             continue
         r = LinearSVC(maxIter=50, regParam=0.01).fit(train).transform(test).agg(F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
         rows.append((f, r[0], r[1]))
+    x.unpersist()
     return values.sparkSession.createDataFrame(rows, "fold bigint, n bigint, accuracy double")
 
 
@@ -153,7 +156,7 @@ def deconvolve(values: DataFrame, reference: DataFrame) -> DataFrame:
     """obs_id, type, proportion: points as mixtures of types; reference has (type, gene_id, value), a small table that every task gets."""
     ref = reference.toPandas().pivot_table(index="gene_id", columns="type", values="value", fill_value=0.0).sort_index()
     genes, types, basis = ref.index.to_numpy(), [str(t) for t in ref.columns], ref.to_numpy(float)
-    shared = values.where(F.col("gene_id").isin([int(g) for g in genes])) if len(genes) <= 1000 else values.join(F.broadcast(reference.select("gene_id").distinct()), "gene_id", "left_semi")
+    shared = values.where(F.col("gene_id").isin([int(g) for g in genes])) if len(genes) <= 1000 else values.join(reference.select("gene_id").distinct(), "gene_id", "left_semi")
     rows = shared.groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
 
     def f(batches):

@@ -131,7 +131,7 @@ def stack(points: DataFrame, spacing: float, order: str | None = None, z: str |
     if order:
         return points.withColumn("z", F.col(order).cast("double") * spacing)
     places = points.select("block", "section").distinct().withColumn("_i", F.row_number().over(Window.partitionBy("block").orderBy("section")) - 1)
-    return points.join(F.broadcast(places), ["block", "section"]).withColumn("z", F.col("_i") * float(spacing)).select(*dict.fromkeys([*points.columns, "z"]))
+    return points.join(places, ["block", "section"]).withColumn("z", F.col("_i") * float(spacing)).select(*dict.fromkeys([*points.columns, "z"]))
 
 
 def reconstruct(points: DataFrame, spacing: float, register_sections: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.distributions import p_normal, p_t
@@ -16,6 +16,8 @@ from lamina.session import written
 
 from . import stats
 
+#: Ranges of a number in [0, 1) that are counted before rows are put in order inside them.
+RANGES = 65_536
 #: Trials that one random number decides on; more are done in parts, so that no probability is too small for a float.
 TRIALS = 256
 
@@ -26,6 +28,17 @@ def uniform(*keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def places(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows (obs_id, u in [0, 1), others) with `place`: 0, 1, ... in order of u, within groups if asked for; equal u go by obs_id.
+
+    No group is put in order in one task: ranges of u are counted, and rows are numbered inside their range."""
+    parts = rows.withColumn("part", F.floor(F.col("u") * RANGES).cast("int"))
+    own = F.row_number().over(Window.partitionBy(*by, "part").orderBy("u", "obs_id")) - 1
+    counts = parts.groupBy(*by, "part").count()
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy(*by).orderBy("part")) - F.col("count")).drop("count")
+    return parts.withColumn("own", own).join(before, [*by, "part"]).withColumn("place", F.col("before") + F.col("own")).drop("part", "own", "before", "u")
+
+
 def _steps(spark: SparkSession, p: float) -> DataFrame:
     """_m, _cdf: the cumulative probabilities of 0 to m - 1 successes of m trials, for every m up to TRIALS (a fixed number of rows)."""
     rows = []

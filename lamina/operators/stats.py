@@ -25,7 +25,7 @@ def pseudobulk(counts: DataFrame, meta: DataFrame, min_cells: int = 10) -> DataF
     """unit, grp, gene_id, total, n_cells: sums over the cells of each unit and group with at least min_cells cells."""
     cells = meta.groupBy("unit", "grp").agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= min_cells)
     sums = counts.join(meta.select("obs_id", "unit", "grp"), "obs_id").groupBy("unit", "grp", "gene_id").agg(F.sum("count").alias("total"))
-    return sums.join(F.broadcast(cells), ["unit", "grp"])
+    return sums.join(cells, ["unit", "grp"])
 
 
 def log_cpm(bulk: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def spearman_pairs(values: DataFrame, pairs: DataFrame | None = None) -> DataFra
     """gene_a, gene_b, n, rho of dense values for all a < b, or for the pairs given."""
     r = average_ranks(values, "value", ["gene_id"]).select("obs_id", "gene_id", "rank")
     a, b = (r.select("obs_id", F.col("gene_id").alias(f"gene_{s}"), F.col("rank").alias(f"r{s}")) for s in "ab")
-    j = a.join(b, "obs_id").where("gene_a < gene_b") if pairs is None else a.join(F.broadcast(pairs), "gene_a").join(b, ["obs_id", "gene_b"])
+    j = a.join(b, "obs_id").where("gene_a < gene_b") if pairs is None else a.join(pairs, "gene_a").join(b, ["obs_id", "gene_b"])
     return j.groupBy("gene_a", "gene_b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
@@ -114,7 +114,7 @@ def mann_whitney_p(df: DataFrame) -> DataFrame:
 def region_de(values: DataFrame, regions: DataFrame, min_cells: int = 10) -> DataFrame:
     """comparison (a, b), gene_id, log2fc, t, df of Welch tests between all pairs of regions with more than min_cells points, from moments; genes vary in both."""
     sizes = regions.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > min_cells)
-    v = values.join(regions.join(F.broadcast(sizes.select("region")), "region", "left_semi"), "obs_id")
+    v = values.join(regions.join(sizes.select("region"), "region", "left_semi"), "obs_id")
     g = v.groupBy("region", "gene_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     a, b = (g.select("gene_id", F.col("region").alias(s), *(F.col(c).alias(f"{c}{s}") for c in "nmv")) for s in "ab")
     j = a.join(b, "gene_id").where("a < b and va > 0 and vb > 0")

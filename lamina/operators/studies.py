@@ -54,9 +54,9 @@ def annotate(values: DataFrame, panels: DataFrame, n_obs: int, n_null: int = 100
     bins = expression.expression_bins(expression.gene_moments(values, n_obs))
     scores = written(expression.panel_scores(values, written(control_sets(panels.select("panel", "gene_id"), bins, n_null, seed), "sets"), n_null), "scores")
     kin = panels.select("panel", "parent").distinct()
-    top = scores.join(F.broadcast(kin.where("parent is null")), "panel", "left_semi")
+    top = scores.join(kin.where("parent is null"), "panel", "left_semi")
     cls = expression.call_labels(top, alpha).select("obs_id", F.col("label").alias("cls"))
-    low = scores.join(F.broadcast(kin.where("parent is not null")), "panel").join(cls, "obs_id").where("parent = cls")
+    low = scores.join(kin.where("parent is not null"), "panel").join(cls, "obs_id").where("parent = cls")
     sub = expression.call_labels(low.select("obs_id", "panel", "effect", "p"), alpha) if not low.isEmpty() else None
     if sub is None:
         return cls.withColumn("subclass", F.lit("Unresolved"))
@@ -65,7 +65,7 @@ def annotate(values: DataFrame, panels: DataFrame, n_obs: int, n_null: int = 100
 
 def stemness(values: DataFrame, sets: DataFrame) -> DataFrame:
     """obs_id, stemness from 0 to 1. sets has (name, gene_id); values is dense over its genes. Each set's mean is scaled, differentiation is turned round."""
-    m = values.join(F.broadcast(sets), "gene_id").groupBy("obs_id", "name").agg(F.avg("value").alias("m"))
+    m = values.join(sets, "gene_id").groupBy("obs_id", "name").agg(F.avg("value").alias("m"))
     m = expression.minmax(m, "m", ["name"])
     twice = F.col("name").rlike("pluripotency|self_renewal|core")
     side = F.when(~twice & F.col("name").contains("differentiation"), 1 - F.col("scaled")).otherwise(F.col("scaled"))
@@ -80,7 +80,7 @@ def informative_genes(values: DataFrame, labels: DataFrame, n: int) -> DataFrame
     agg = lambda *by: v.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     a = agg("label", "gene_id")
     t = agg("gene_id").select("gene_id", *(F.col(c).alias(f"{c}t") for c in "nsq"))
-    j = a.join(F.broadcast(t), "gene_id").where("n > 1 and nt - n > 1")
+    j = a.join(t, "gene_id").where("n > 1 and nt - n > 1")
     m = F.col("nt") - F.col("n")
     ma, mb = F.col("s") / F.col("n"), (F.col("st") - F.col("s")) / m
     va = (F.col("q") - F.col("n") * ma * ma) / (F.col("n") - 1)
@@ -300,7 +300,7 @@ def confound_free(values: DataFrame, covariate: DataFrame, train) -> DataFrame:
     """obs_id, gene_id, value without what a covariate (obs_id, c) explains; slopes come from rows where `train` holds only."""
     v = values.join(covariate, "obs_id")
     fit = v.where(train).groupBy("gene_id").agg(F.regr_slope("value", "c").alias("b"), F.regr_intercept("value", "c").alias("a"))
-    return v.join(F.broadcast(fit), "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("a") - F.col("b") * F.col("c")).alias("value"))
+    return v.join(fit, "gene_id").select("obs_id", "gene_id", (F.col("value") - F.col("a") - F.col("b") * F.col("c")).alias("value"))
 
 
 def stage_index(scores: DataFrame, mature: str, early: str) -> DataFrame:
@@ -311,7 +311,7 @@ def stage_index(scores: DataFrame, mature: str, early: str) -> DataFrame:
 
 def argmax_labels(z: DataFrame, panels: DataFrame) -> DataFrame:
     """obs_id, label of the panel with the largest mean z, without a test."""
-    m = z.join(F.broadcast(panels), "gene_id").groupBy("obs_id", "panel").agg(F.avg("z").alias("m"))
+    m = z.join(panels, "gene_id").groupBy("obs_id", "panel").agg(F.avg("z").alias("m"))
     return m.groupBy("obs_id").agg(F.min(F.struct((-F.round("m", 9)).alias("m"), "panel")).alias("b")).select("obs_id", F.col("b.panel").alias("label"))
 
 
@@ -321,10 +321,10 @@ def pair_network(values: DataFrame, pairs: DataFrame, contexts: DataFrame | None
         rho = stats.spearman_pairs(values, pairs).withColumn("context", F.lit("all"))
     else:
         big = contexts.groupBy("context").agg(F.count("*").alias("n")).where("n >= 50").select("context")
-        v = values.join(contexts.join(F.broadcast(big), "context", "left_semi"), "obs_id")
+        v = values.join(contexts.join(big, "context", "left_semi"), "obs_id")
         r = stats.average_ranks(v, "value", ["context", "gene_id"]).select("obs_id", "context", "gene_id", "rank")
         a, b = (r.select("obs_id", "context", F.col("gene_id").alias(f"gene_{x}"), F.col("rank").alias(f"r{x}")) for x in "ab")
-        rho = a.join(F.broadcast(pairs), "gene_a").join(b, ["obs_id", "context", "gene_b"]).groupBy("gene_a", "gene_b", "context").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+        rho = a.join(pairs, "gene_a").join(b, ["obs_id", "context", "gene_b"]).groupBy("gene_a", "gene_b", "context").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
     q = stats.benjamini_hochberg(stats.spearman_p(rho.where("rho is not null")), "p", ["gene_a", "gene_b", "context"])
     q = q.where((F.abs("rho") >= threshold) & (F.col("padj") < fdr))
     w = Window.partitionBy("gene_a", "gene_b").orderBy(F.desc(F.round(F.abs("rho"), 9)), "context")

@@ -11,31 +11,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.session import dropped, written
 
-from .resampling import uniform
+from .resampling import places, uniform
 
 #: Numbers in the sums of one pass, at most: what a task and the driver hold (256 MB).
 MOST = 1 << 25
-#: Ranges of a hash in which rows are numbered one by one; before them, ranges are counted.
-RANGES = 65_536
 
 
 def stratified_folds(labels: DataFrame, folds: int, repeats: int, seed: int = 0) -> DataFrame:
     """obs_id, y, repeat, fold: in every repeat the rows of a label are put in order of a hash and dealt to the folds in turn.
 
-    No label is numbered in one task: ranges of the hash are counted, and rows are numbered inside their range. Rows with a null label or id
+    No label is put in order in one task. Rows with a null label or id
     are left out; a repeated id is dealt as often as it is there."""
     rows = labels.where("obs_id is not null and y is not null").select("obs_id", "y").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    rows = rows.withColumn("u", uniform(F.col("obs_id"), F.col("repeat"), seed)).withColumn("part", F.floor(F.col("u") * RANGES).cast("int"))
-    by = ["repeat", "y"]
-    before = rows.groupBy(*by, "part").count().withColumn("before", F.sum("count").over(Window.partitionBy(*by).orderBy("part")) - F.col("count")).drop("count")
-    place = F.row_number().over(Window.partitionBy(*by, "part").orderBy("u", "obs_id")) - 1
-    numbered = rows.withColumn("place", place).join(before, [*by, "part"])
-    return numbered.select("obs_id", "y", "repeat", ((F.col("before") + F.col("place")) % folds).cast("int").alias("fold"))
+    rows = places(rows.withColumn("u", uniform(F.col("obs_id"), F.col("repeat"), seed)), ("repeat", "y"))
+    return rows.select("obs_id", "y", "repeat", (F.col("place") % folds).cast("int").alias("fold"))
 
 
 @dataclass(frozen=True)

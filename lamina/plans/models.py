@@ -40,7 +40,7 @@ def forest_accuracy(spark, sf):
 @plan()
 def svc_accuracy(spark, sf):
     o = fx.obs(spark, sf).select("obs_id", (F.col("label") % 2).alias("label"), (F.col("obs_id") % 20).alias("grp"))
-    return learning.svc_folds(fx.features(spark, sf), o, 3)
+    return learning.svc_folds(fx.features(spark, sf), o, 5)
 
 
 @plan()

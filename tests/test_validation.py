@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import validation
+from lamina.operators.resampling import places
 
 
 def table(spark, x, y, c):
@@ -118,3 +119,13 @@ def test_log_variance(spark):
 def test_summary(spark):
     d = spark.createDataFrame([(0, 0, 4, 0.5, 0.25), (0, 1, 4, 1.0, 0.75)], "repeat int, fold int, n bigint, accuracy double, balanced_accuracy double")
     assert tuple(validation.summary(d, "x").first()) == ("x", 2, 0.75, 0.25, 0.5, 0.25)
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([(i, (i * 37 % 50) / 100, i % 3) for i in range(100)], "obs_id bigint, u double, g int")
+    want, last = {}, {}
+    for u, i, g in sorted((r["u"], r["obs_id"], r["g"]) for r in rows.collect()):
+        want[i] = last[g] = last.get(g, -1) + 1
+    assert {r["obs_id"]: r["place"] for r in places(rows.repartition(5), ("g",)).collect()} == want
+    assert sorted(r["place"] for r in places(rows).collect()) == list(range(100))
+    assert places(rows.limit(0)).count() == 0

@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.session import dropped, written
+
 from . import graph
 from .resampling import places, uniform
 from .stats import average_ranks
@@ -100,12 +102,14 @@ def random_forest(values: DataFrame, labels: DataFrame, share: float = 0.25, tre
         d = x
         if s >= 0:
             y = places(x.select("obs_id", "y").withColumn("u", uniform(F.col("obs_id"), s, "label"))).select("y", "place")
-            d = places(x.drop("y").withColumn("u", uniform(F.col("obs_id"), s, "row"))).join(y, "place")
+            d = written(places(x.drop("y").withColumn("u", uniform(F.col("obs_id"), s, "row"))).join(y, "place"), "shuffled")
         train = d.where(~held)
         weight = train.groupBy("y").agg((1.0 / F.count("*")).alias("w"))
         model = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="y", weightCol="w").fit(train.join(weight, "y"))
         got = model.transform(d.where(held)).groupBy("y").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("r"))
         rows.append((s, got.agg(F.avg("r")).first()[0]))
+        if d is not x:
+            dropped(d)
     x.unpersist()
     return values.sparkSession.createDataFrame(rows, "shuffle bigint, balanced_accuracy double")
 

@@ -73,9 +73,13 @@ def annotate(spark, ctx, values, sets, n_null, alpha):
     return expression.call_labels(spark.read.parquet(str(ctx.out / "scores.parquet")), alpha)
 
 
-@skill("spatial3d.reconstruct", "Sections of a block laid over each other in three dimensions", OBS, param("spacing", "float", default=10.0), param("register", "bool", default=True))
-def reconstruct(spark, ctx, obs, spacing, register):
-    return registration.reconstruct(_read(spark, obs)[0], spacing, register)
+@skill("spatial3d.reconstruct", "Sections of a block laid over each other in three dimensions", OBS, param("spacing", "float", default=10.0), param("register", "bool", default=True), param("order", "str", description="column that sections go by"), param("height", "str", description="column with heights"))
+def reconstruct(spark, ctx, obs, spacing, register, order, height):
+    o, audit = _read(spark, obs)[0], None
+    if register:
+        ctx.save_table(registration.chain(o, order), "audit.parquet")
+        audit = spark.read.parquet(str(ctx.out / "audit.parquet"))
+    return registration.reconstruct(o, spacing, register, order, height, audit)
 
 
 @skill("spatial3d.domains", "Tissue domains from smoothed components", OBS, VALUES, param("n_domains", "int", default=7), param("k", "int", default=6), param("lam", "float", default=0.5), param("n_pcs", "int", default=20), param("method", "str", default="kmeans", choices=("kmeans", "gmm")), param("cross_sections", "bool", default=False), param("refine", "bool", default=True))

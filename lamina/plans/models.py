@@ -88,7 +88,7 @@ def rigid_fit(spark, sf):
 def icp_registration(spark, sf):
     o = fx.obs(spark, sf).select("block", "x", "y")
     c, s = F.cos(F.lit(0.12)), F.sin(F.lit(0.12))
-    return registration.register(o.select("block", (F.col("x") * c - F.col("y") * s + 20).alias("x"), (F.col("x") * s + F.col("y") * c - 10).alias("y")), o, ["block"], starts=5)
+    return registration.register(o.select("block", (F.col("x") * c - F.col("y") * s + 20).alias("x"), (F.col("x") * s + F.col("y") * c - 10).alias("y")), o, ["block"]).select("block", "theta", "tx", "ty", "rmse", "overlap")
 
 
 @plan(f"WITH {fx.OBS}, s AS (SELECT block, section, row_number() OVER (PARTITION BY block ORDER BY section) - 1 AS i FROM obs GROUP BY block, section) SELECT obs_id, block, section, round(x, 6) AS x, round(y, 6) AS y, i * 20.0::DOUBLE AS z FROM obs JOIN s USING (block, section)")
@@ -101,6 +101,18 @@ def reconstruct_3d(spark, sf):
     return registration.reconstruct(fx.obs(spark, sf), 20.0)
 
 
+@plan()
+def section_audit(spark, sf):
+    """What the fit of each section onto the one before it found, and where it went."""
+    return registration.chain(fx.obs(spark, sf))
+
+
+@plan()
+def registration_error(spark, sf):
+    """Every section moved three times by up to 15 degrees and three times by 15 to 45, and laid back by three methods."""
+    return registration.recovery(fx.obs(spark, sf), ["section"], {"to_15": (0.0, 15.0), "15_to_45": (15.0, 45.0)})
+
+
 @plan()
 def diffusion_map_times(spark, sf):
     """Components of the diffusion map of the graph of nearest neighbours over all blocks, and diffusion pseudotime from one spot."""

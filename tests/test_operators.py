@@ -217,8 +217,9 @@ def test_rigid_fit_and_closest_points(spark):
     turn = np.array([[math.cos(t), -math.sin(t)], [math.sin(t), math.cos(t)]])
     q = (p - 1500) @ turn.T + 1500 + (120, -80)
     frame = lambda a: spark.createDataFrame([("b", float(x), float(y)) for x, y in a], "block string, x double, y double")
-    fit = registration.register(frame(q), frame(p), ["block"], starts=7)
-    assert math.degrees(fit.first()["theta"]) == pytest.approx(-7, abs=1e-6)
+    fit = registration.register(frame(q), frame(p), ["block"], near=50.0)
+    found = fit.first()
+    assert math.degrees(found["theta"]) == pytest.approx(-7, abs=1e-6) and found["overlap"] == 1.0 > found["overlap_before"] and found["iterations"] > 1
     back = np.array([tuple(x)[1:] for x in registration.apply_affine(frame(q), fit, ["block"]).collect()])
     assert np.abs(np.sort(back, 0) - np.sort(p, 0)).max() < 1e-5
     pairs = spark.createDataFrame([("b", *map(float, a), *map(float, b)) for a, b in zip(p, q)], "block string, x double, y double, u double, v double")

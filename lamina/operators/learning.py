@@ -54,10 +54,16 @@ def kmeans(values: DataFrame, k: int, seeds: int = 10, seed: int = 0) -> DataFra
     return best[1].transform(x).select("obs_id", "cluster")
 
 
-def gaussian_mixture(values: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """obs_id, cluster."""
-    x = vectors(values)
-    return GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(x).transform(x).select("obs_id", "cluster")
+def gaussian_mixture(values: DataFrame, k: int, seed: int = 0, starts: int = 3) -> DataFrame:
+    """obs_id, cluster of the mixture with the greatest likelihood among several starts."""
+    x = vectors(values).cache()
+    best = None
+    for s in range(starts):
+        m = GaussianMixture(k=k, seed=seed + s, featuresCol="features", predictionCol="cluster").fit(x)
+        if best is None or m.summary.logLikelihood > best[0]:
+            best = (m.summary.logLikelihood, m)
+    x.unpersist()
+    return best[1].transform(x).select("obs_id", "cluster")
 
 
 def elbow(values: DataFrame, ks: range, seed: int = 0) -> int:
@@ -83,16 +89,16 @@ def detect_domains(points: DataFrame, values: DataFrame, n_domains: int, k: int
     return lab.select("obs_id", F.concat(F.lit("D"), F.col("label").cast("string")).alias("domain"))
 
 
-def niches(points: DataFrame, n_niches: int, k: int = 15, seed: int = 0) -> DataFrame:
-    """obs_id, niche: clusters of the neighbours' label shares."""
+def niches(points: DataFrame, n_niches: int, k: int = 15, seed: int = 0, starts: int = 20) -> DataFrame:
+    """obs_id, niche: clusters of the neighbours' label shares, the best of several starts."""
     share = graph.niche_composition(graph.knn(points, k), points.select("obs_id", "label"), k)
     names = points.select("label").distinct().withColumn("gene_id", F.row_number().over(Window.orderBy("label")))
-    grid = points.select("obs_id").crossJoin(F.broadcast(names)).join(share, ["obs_id", "label"], "left")
-    out = kmeans(grid.select("obs_id", "gene_id", F.coalesce("share", F.lit(0.0)).alias("value")), n_niches, 3, seed)
+    grid = points.select("obs_id").crossJoin(names).join(share, ["obs_id", "label"], "left")
+    out = kmeans(grid.select("obs_id", "gene_id", F.coalesce("share", F.lit(0.0)).alias("value")), n_niches, starts, seed)
     return out.select("obs_id", F.col("cluster").alias("niche"))
 
 
-def random_forest(values: DataFrame, labels: DataFrame, share: float = 0.25, trees: int = 50, shuffles: int = 0, seed: int = 0) -> DataFrame:
+def random_forest(values: DataFrame, labels: DataFrame, share: float = 0.25, trees: int = 200, shuffles: int = 0, seed: int = 0) -> DataFrame:
     """shuffle (-1: the real labels), balanced_accuracy on the groups held out. labels has (obs_id, label, grp); whole groups are held out by hash; classes weigh the same."""
     x = vectors(values).join(labels, "obs_id")
     x = StringIndexer(inputCol="label", outputCol="y").fit(x).transform(x).select("obs_id", "features", "y", "grp").cache()

@@ -179,3 +179,68 @@ def bootstrap(rows: DataFrame, draws: int = 1000, alpha: float = 0.05, seed: int
     every = s.unionByName(own.where("w > 0")).select("draw", F.explode(found).alias("f")).select("draw", "f.*")
     out = every.groupBy("statistic").agg(F.max(F.when(F.col("draw") < 0, F.col("v"))).alias("estimate"), *(F.expr(f"percentile(v, {q}D) FILTER (WHERE draw >= 0)").alias(n) for n, q in (("low", alpha / 2), ("high", 1 - alpha / 2))))
     return out
+
+
+def bootstrap_medians(rows: DataFrame, columns: list[str], draws: int = 1000, alpha: float = 0.05, seed: int = 0, buckets: int = 1024) -> DataFrame:
+    """statistic (median_<column>), estimate, low, high: intervals of medians, in the draws of bootstrap() and as a plain sample's median (the mean of the middle two).
+
+    A first pass adds the copies of each draw by bucket of values, arrays of sums being all that is shuffled; they tell in which bucket a draw's middle
+    lies. A second pass looks at rows of those buckets only, for the draws that need them: some draws x rows / buckets sums by value, equal values added
+    before they are shuffled. Rows without an id and values that are null or NaN are left out; a column without values has no row."""
+    long = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("f")
+    good = rows.where("id is not null").select(F.col("id").cast("bigint"), long).select("id", "f.*").where("v is not null and not isnan(v)")
+    # buckets - 1 numbers a column; any bounds give the same medians
+    cuts = {r["c"]: np.unique(r["q"]) for r in good.groupBy("c").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).collect()}
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(column, values, buckets, copies in each draw with a last one for the rows as they are)."""
+        for batch in batches:
+            i, c, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for s in range(0, len(i), 1024):
+                k = np.concatenate([copies(i[s : s + 1024], draws, seed), np.ones((len(i[s : s + 1024]), 1), np.int64)], 1)
+                for at in np.unique(c[s : s + 1024]).tolist():
+                    mine = np.flatnonzero(c[s : s + 1024] == at)
+                    x = v[s : s + 1024][mine]
+                    yield at, x, np.searchsorted(cuts[at], x, "right"), k[mine]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {c: np.zeros((len(q) + 1, draws + 1), np.int64) for c, q in cuts.items()}
+        for c, _, b, k in slices(batches):
+            order = np.argsort(b, kind="stable")
+            names, begins = np.unique(b[order], return_index=True)
+            total[c][names] += np.add.reduceat(k[order], begins)
+        for c, t in total.items():
+            some = np.flatnonzero(t.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c, np.int32)), pa.array(some.astype(np.int32)), pa.array(list(t[some]), pa.list_(pa.int64()))], names=["c", "b", "w"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.asarray(x) for x in table.column("w").to_pylist()], 0)
+        return pa.table({"c": table.column("c")[:1], "b": table.column("b")[:1], "w": pa.array([total], pa.list_(pa.int64()))})
+
+    sums = good.mapInArrow(first, "c int, b int, w array<bigint>").groupBy("c", "b").applyInArrow(add, "c int, b int, w array<bigint>")
+    own = Window.partitionBy("c", "draw")
+    cum = sums.select("c", "b", F.posexplode("w").alias("draw", "w")).withColumn("z", F.sum("w").over(own.orderBy("b"))).withColumn("n", F.sum("w").over(own))
+    middle = F.explode(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))).alias("p")
+    wanted = cum.where("n > 0 and w > 0").select("c", "b", "draw", "w", "z", middle).where("p < z and p >= z - w").select("c", "b", "draw", (F.col("p") - F.col("z") + F.col("w")).alias("p"))
+    wanted = written(wanted, "middles")  # two rows for each draw and column
+    which = {(c, b): np.unique(d) for c, b, d in wanted.groupBy("c", "b").agg(F.collect_set("draw")).collect()}
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, x, b, k in slices(batches):
+            for at in np.unique(b).tolist():
+                of = which.get((c, at))
+                if of is None:
+                    continue
+                mine = b == at
+                value, begins = np.unique(x[mine], return_inverse=True)
+                w = np.zeros((len(value), len(of)), np.int64)
+                np.add.at(w, begins, k[mine][:, of])
+                i, j = np.nonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c, np.int32)), pa.array(np.full(len(i), at, np.int32)), pa.array(of[j].astype(np.int32)), pa.array(value[i]), pa.array(w[i, j])], names=["c", "b", "draw", "v", "w"])
+
+    values = good.mapInArrow(second, "c int, b int, draw int, v double, w bigint").groupBy("c", "b", "draw", "v").agg(F.sum("w").alias("w"))
+    values = values.withColumn("z", F.sum("w").over(Window.partitionBy("c", "b", "draw").orderBy("v")))
+    found = values.join(wanted, ["c", "b", "draw"]).where("p < z and p >= z - w").groupBy("c", "draw").agg(F.avg("v").alias("v"))
+    name = F.element_at(F.array(*(F.lit(f"median_{c}") for c in columns)), F.col("c") + 1)
+    ends = (F.expr(f"percentile(v, {q}D) FILTER (WHERE draw < {draws})").alias(n) for n, q in (("low", alpha / 2), ("high", 1 - alpha / 2)))
+    return found.groupBy(name.alias("statistic")).agg(F.max(F.when(F.col("draw") == draws, F.col("v"))).alias("estimate"), *ends)

@@ -23,7 +23,7 @@ def kmeans_domains(spark, sf):
 
 @plan()
 def mixture_clusters(spark, sf):
-    return learning.gaussian_mixture(learning.pca(fx.features(spark, sf), 5), 4)
+    return learning.gaussian_mixture(learning.pca(fx.features(spark, sf), 20), 4)
 
 
 @plan()

@@ -44,3 +44,13 @@ def bootstrap_intervals(spark, sf):
     """Means and correlation of two features, from 400 draws."""
     e = fx.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[8].cast("double").alias("x"), F.col("embedding")[9].cast("double").alias("y"))
     return rounded(resampling.bootstrap(e, 400, seed=11))
+
+
+@plan(f"""WITH f AS (SELECT vec_id AS id, 'median_' || c AS statistic, v FROM (SELECT vec_id, unnest(['x', 'y', 'label']) AS c, unnest([embedding[9]::DOUBLE, embedding[10]::DOUBLE, label::DOUBLE]) AS v FROM embeddings) WHERE v IS NOT NULL),
+d AS (SELECT draw, statistic, v, {resampling.copies_sql('id', 'draw', 13)} AS k FROM f, range(0, 200) r(draw) UNION ALL SELECT -1, statistic, v, 1 FROM f), s AS (SELECT draw, statistic, v, sum(k) AS k FROM d GROUP BY ALL HAVING sum(k) > 0),
+u AS (SELECT *, sum(k) OVER (PARTITION BY draw, statistic ORDER BY v) AS z, sum(k) OVER (PARTITION BY draw, statistic) AS n FROM s), m AS (SELECT draw, statistic, (min(v) FILTER (z > (n - 1) // 2) + min(v) FILTER (z > n // 2)) / 2 AS v FROM u GROUP BY ALL)
+SELECT statistic, round(max(v) FILTER (draw < 0), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (draw >= 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (draw >= 0), 6) AS high FROM m GROUP BY statistic""")
+def bootstrap_median_intervals(spark, sf):
+    """Medians of two features and of the labels, which have many equal values, from 200 draws."""
+    e = fx.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[8].alias("x"), F.col("embedding")[9].alias("y"), "label")
+    return rounded(resampling.bootstrap_medians(e, ["x", "y", "label"], 200, seed=13))

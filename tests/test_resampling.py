@@ -100,3 +100,18 @@ def test_intervals_equal_a_plain_resampler(spark):
     half = 1.96 * x.std() / math.sqrt(500)
     assert got["mean_x"][1:] == pytest.approx((x.mean() - half, x.mean() + half), abs=0.03)
     assert resampling.bootstrap(df.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 1024])
+def test_median_intervals_equal_a_plain_resampler(spark, buckets):
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=301), r.integers(0, 3, 301).astype(float)  # y is mostly ties
+    rows = [(i, float(a), float(b), None) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (900, None, float("nan"), None), (None, 5.0, 5.0, None)], "id bigint, x double, y double, none double").repartition(3)
+    got = {r["statistic"]: tuple(r)[1:] for r in resampling.bootstrap_medians(df, ["x", "y", "none"], 100, seed=4, buckets=buckets).collect()}
+    k = resampling.copies(np.arange(301), 100, 4)
+    assert set(got) == {"median_x", "median_y"}
+    for name, v in (("median_x", x), ("median_y", y)):
+        m = [np.median(np.repeat(v, k[:, d])) for d in range(100)]
+        assert got[name] == pytest.approx((np.median(v), np.quantile(m, 0.025), np.quantile(m, 0.975)), abs=1e-12)
+    assert resampling.bootstrap_medians(df.limit(0), ["x"], 10).count() == 0

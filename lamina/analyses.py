@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import events, expression, fuzzy, graph, learning, network, neurons, registration, stats, trees
+from lamina import figures
+from lamina.operators import events, expression, fuzzy, graph, learning, network, neurons, raster, registration, stats, trees
 from lamina.sources import edf, hdf5, tables
-from lamina.skills import param, skill
+from lamina.skills import markdown_table, param, skill
 
 OBS = param("obs", "parquet", True, description="spots: obs_id, block, section, x, y, z")
 VALUES = param("values", "parquet", True, description="obs_id, gene_id, value")
@@ -37,6 +38,18 @@ def inspect_table(spark, ctx, input, top):
     }
 
 
+@skill("core.figures", "Sections drawn by a column, its most frequent values, its table against another column, and a report with them", OBS, param("value", "str", default="label"), param("against", "str", default="section"), param("title", "str", default=""), param("top", "int", default=25))
+def draw(spark, ctx, obs, value, against, title, top):
+    (o,) = _read(spark, obs)
+    title = title or value
+    ctx.save_text(figures.panels(o, value, title), "sections.svg")
+    ctx.save_text(figures.bars(o, value, title, top), "bars.svg")
+    ctx.save_text(figures.heatmap(o, value, against, title=f"{title} by {against}"), "heat.svg")
+    most = [r.asDict() for r in raster.largest(o, value, top).collect()]
+    ctx.save_text(f"# {title}\n\n![sections](sections.svg)\n![bars](bars.svg)\n![heat map](heat.svg)\n\n{markdown_table(most, ['name', 'n'])}", "REPORT.md")
+    return raster.pixels(o, value)
+
+
 @skill("core.load_triplet", "Expression, coordinates and metadata files as one long table", param("expression", "csv", True), param("coordinates", "csv", True), param("metadata", "csv", True))
 def load_triplet(spark, ctx, expression, coordinates, metadata):
     parts = [tables.read_table(spark, p) for p in (expression, coordinates, metadata)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.operators import families, graph
+from lamina.operators import families, graph, raster
 from lamina.operators.stats import ari_nmi
 from lamina.sources import fixtures as fx
 
@@ -200,3 +200,11 @@ def graph_family_scores(spark, sf):
     s = families.scores(e, o, o.select("obs_id", "label"))
     d = families.deviances(e, part(20), part(23), 0.5)
     return rounded(s.join(d, "graph").withColumn("deviance", F.round("deviance", 3)))
+
+
+@plan(f"""WITH {fx.OBS}, b AS (SELECT section, min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS side FROM obs GROUP BY section),
+p AS (SELECT section, least(floor((x - x0) / side * 16), 15)::BIGINT AS px, least(floor((y - y0) / side * 16), 15)::BIGINT AS py, 'L' || label AS value FROM obs JOIN b USING (section)),
+c AS (SELECT section, px, py, value, count(*) AS k FROM p GROUP BY ALL) SELECT section, px, py, n, value FROM (SELECT *, sum(k) OVER w::BIGINT AS n, row_number() OVER (w ORDER BY k DESC, value) AS r FROM c WINDOW w AS (PARTITION BY section, px, py)) WHERE r = 1""")
+def section_pixels(spark, sf):
+    """Every section as 16 x 16 squares with their most frequent label."""
+    return rounded(raster.pixels(fx.obs(spark, sf).withColumn("label", F.concat(F.lit("L"), F.col("label").cast("string"))), "label", 16))

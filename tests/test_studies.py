@@ -154,7 +154,7 @@ def files(spark, sf_dir, tmp_path_factory):
 
 
 SKILLS = {
-    "core.inspect": {"input": "genes"}, "core.load_triplet": {"expression": "e.csv", "coordinates": "c.csv", "metadata": "m.csv"}, "core.preprocess": {"counts": "counts", "min_cells": 2, "min_genes": 2},
+    "core.inspect": {"input": "genes"}, "core.figures": {"obs": "obs"}, "core.load_triplet": {"expression": "e.csv", "coordinates": "c.csv", "metadata": "m.csv"}, "core.preprocess": {"counts": "counts", "min_cells": 2, "min_genes": 2},
     "atlas.annotate": {"values": "values", "sets": "sets", "n_null": 3, "alpha": 5.0}, "spatial3d.reconstruct": {"obs": "obs"}, "spatial3d.domains": {"obs": "obs", "values": "few", "n_domains": 3, "n_pcs": 3}, "spatial3d.svg": {"obs": "obs", "values": "few", "n_permutations": 5},
     "spatial3d.niches": {"obs": "obs", "n_niches": 3}, "spatial3d.communication": {"obs": "obs", "ligands": "lr", "receptors": "lr", "n_permutations": 5}, "stats.replicate_de": {"counts": "counts", "meta": "meta", "a": "F", "b": "O", "min_cells": 2},
     "legacy.region_de": {"values": "values", "regions": "regions"}, "legacy.grn": {"values": "values", "pairs": "pairs", "threshold": 0, "fdr": 1.1}, "legacy.development": {"values": "values", "panels": "panels"}, "legacy.trajectory": {"obs": "obs", "root": 0},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -115,7 +117,7 @@ def louvain(edges: DataFrame, resolutions: list[float], rounds: int = 40) -> Dat
     """resolution, node, module: communities by moves that raise modularity, for all resolutions at once.
 
     In a round half the nodes (another half by hash each time) may move to the neighbouring module of the largest gain, ties to the smallest; a level ends when
-    no node would move, or after `rounds` rounds if moves go in circles. Then modules become nodes, until a level joins nothing. edges is undirected (a, b, w)."""
+    no node would move; from round `rounds` on nodes move to modules of smaller names only, so moves cannot go in circles. Then modules become nodes, until a level joins nothing. edges is undirected (a, b, w)."""
     spark = edges.sparkSession
     res = spark.createDataFrame([(float(x),) for x in resolutions], "resolution double")
     key = ["resolution"]
@@ -127,8 +129,7 @@ def louvain(edges: DataFrame, resolutions: list[float], rounds: int = 40) -> Dat
     while True:
         degree = written(e.groupBy(*key, F.col("x").alias("node")).agg(F.sum("w").alias("k")).join(mass, key), "degree")
         lab = written(degree.select(*key, "node", F.col("node").alias("module")), "module")
-        moved = False
-        for r in range(rounds):
+        for r in itertools.count():
             total = lab.join(degree, [*key, "node"]).groupBy(*key, "module").agg(F.sum("k").alias("tot"))
             around = e.where("x <> y").join(lab.withColumnRenamed("node", "y"), [*key, "y"]).groupBy(*key, F.col("x").alias("node"), "module").agg(F.sum("w").alias("w"))
             around = around.unionByName(lab.select(*key, "node", "module", F.lit(0.0).alias("w"))).groupBy(*key, "node", "module").agg(F.sum("w").alias("w"))
@@ -138,7 +139,8 @@ def louvain(edges: DataFrame, resolutions: list[float], rounds: int = 40) -> Dat
             j = j.select(*key, "node", "module", own.alias("own"), F.round(gain, 9).alias("gain"))
             best = j.groupBy(*key, "node").agg(F.min(F.struct((-F.col("gain")).alias("g"), (~F.col("own")).alias("o"), "module")).alias("b"))
             moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-            new = best.join(lab, [*key, "node"]).select(*key, "node", (F.col("b.module") != F.col("module")).alias("wants"), F.when(moves, F.col("b.module")).otherwise(F.col("module")).alias("module"))
+            wants = F.col("b.module") != F.col("module") if r < rounds else F.col("b.module") < F.col("module")
+            new = best.join(lab, [*key, "node"]).select(*key, "node", wants.alias("wants"), F.when(moves & wants, F.col("b.module")).otherwise(F.col("module")).alias("module"))
             new = written(new, "module")
             dropped(lab)
             lab = new.select(*key, "node", "module")

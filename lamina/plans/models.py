@@ -50,12 +50,14 @@ def nnls_deconvolution(spark, sf):
     return learning.deconvolve(f, ref)
 
 
-@plan()
+@plan("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS f, label::VARCHAR AS label FROM embeddings), d AS (SELECT q.vec_id AS obs_id, r.label, (r.vec_id % 30)::DOUBLE AS age, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.f, r.f), r.vec_id) AS k
+  FROM e q JOIN e r ON q.vec_id % 2 = 1 AND r.vec_id % 2 = 0), n AS (SELECT * FROM d WHERE k <= 15), v AS (SELECT obs_id, label, count(*) AS c FROM n GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY c DESC, label) AS r FROM v) SELECT obs_id, label, round(c / 15.0::DOUBLE, 6) AS confidence, round(age, 6) AS age FROM t JOIN (SELECT obs_id, quantile_cont(age, 0.5) AS age FROM n GROUP BY obs_id) USING (obs_id) WHERE r = 1""")
 def reference_mapping(spark, sf):
     e = fx.read(spark, sf, "embeddings").select(F.col("vec_id").alias("obs_id"), F.col("embedding").cast("array<double>").alias("features"), "label")
     ref, query = e.where("obs_id % 2 = 0"), e.where("obs_id % 2 = 1")
     labels = ref.select("obs_id", F.col("label").cast("string").alias("label"), (F.col("obs_id") % 30).cast("double").alias("age"))
-    return learning.map_to_reference(query, ref, labels)
+    return rounded(learning.map_to_reference(query, ref, labels))
 
 
 _RANK = "rank() OVER (PARTITION BY {b} ORDER BY value) + (count(*) OVER (PARTITION BY {b}, value) - 1) / 2.0::DOUBLE"

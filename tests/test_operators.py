@@ -325,6 +325,14 @@ def test_networks(spark):
     assert {r["node"]: r["clustering"] for r in graph.clustering(u).collect()}[2] == pytest.approx(1 / 3)
 
 
+def test_louvain_settles_whatever_the_rounds(spark):
+    r = np.random.default_rng(5)
+    pairs = sorted({tuple(sorted(map(int, r.choice(24, 2, replace=False)))) for _ in range(60)})
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a bigint, b bigint, w double")
+    found = {x["node"]: x["module"] for x in network.louvain(e, [1.0], rounds=0).collect()}  # only moves to smaller names, from the first round on
+    assert set(found) == {n for p in pairs for n in p} and 1 < len(set(found.values())) < len(found)
+
+
 def test_louvain_finds_planted_modules(spark):
     r = np.random.default_rng(3)
     rows = [(i, j, 1.0) for i in range(24) for j in range(i) if (r.random() < 0.9 if i // 8 == j // 8 else r.random() < 0.05)]

@@ -124,22 +124,12 @@ def region_de(values: DataFrame, regions: DataFrame, min_cells: int = 10) -> Dat
 
 
 def bootstrap_ci(values: DataFrame, draws: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """mean, low, high: each row goes into each draw a Poisson(1) number of times, so draws need no second look at the data."""
-    k = F.rand(seed)
-    w = sum((k > float(c)).cast("int") for c in _poisson_steps())
-    b = values.crossJoin(F.broadcast(values.sparkSession.range(draws).withColumnRenamed("id", "draw"))).withColumn("w", w)
-    m = b.groupBy("draw").agg((F.sum(F.col("value") * F.col("w")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
-    q = m.agg(F.expr(f"percentile(m, {alpha / 2}D)").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2}D)").alias("high"))
-    return values.agg(F.avg("value").alias("mean")).crossJoin(q)
-
-
-def _poisson_steps() -> list[float]:
-    total, term, out = 0.0, math.exp(-1), []
-    for i in range(8):
-        total += term
-        out.append(total)
-        term /= i + 1
-    return out
+    """mean, low, high of the column value: each row goes into each draw a Poisson(1) number of times, in one pass that sends sums of draws only. No row if there are no values."""
+    from .resampling import bootstrap  # which needs this module
+
+    # hashed, as the ids of two partitions would be the same modulo the prime that bootstrap() takes
+    rows = values.select(F.xxhash64(F.monotonically_increasing_id()).alias("id"), F.col("value").alias("x"), F.col("value").alias("y"))
+    return bootstrap(rows, draws, alpha, seed).where("statistic = 'mean_x'").select(F.col("estimate").alias("mean"), "low", "high")
 
 
 def contingency(df: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -142,6 +142,8 @@ def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.range(200).select((F.col("id") % 10).cast("double").alias("value"))
     r = stats.bootstrap_ci(df, 400).first()
     assert r["mean"] == 4.5 and 3.9 < r["low"] < 4.5 < r["high"] < 5.1
+    many = stats.bootstrap_ci(spark.range(2000).repartition(8).select((F.col("id") % 10).cast("double").alias("value")), 1000).first()
+    assert many["high"] - many["low"] == pytest.approx(2 * 1.96 * math.sqrt(8.25 / 2000), rel=0.12)
 
 
 def test_regular_and_poisson_trains(spark):

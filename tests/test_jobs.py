@@ -112,3 +112,20 @@ def test_settings_of_the_command_line(tmp_path):
         cli.settings(unit_quality.run, [str(config), "nonsense=1"])
     for job, name in ((passage_index, "passage_index"), (unit_quality, "unit_quality")):
         assert cli.settings(job.run, [f"{cli.__file__.rsplit('/', 1)[0]}/{name}.json"])[1]
+
+
+def test_words_are_counted_and_scored_where_their_passage_is(spark, capsys):
+    p = spark.createDataFrame([(1, 0, "red red fox"), (1, 1, "fox")], "doc_id bigint, chunk bigint, text string")
+    posted = text.postings(p)
+    assert sorted(map(tuple, posted.collect())) == [("fox", 1, 0, 1, 3), ("fox", 1, 1, 1, 1), ("red", 1, 0, 2, 3)]
+    q = spark.sql("SELECT * FROM VALUES (7L, 'fox', 1L), (8L, 'fox', 1L), (8L, 'red', 1L) AS t(query_id, term, times)")  # of known size, as a file is
+    found = posted.withColumn("df", F.lit(1)).repartition("doc_id", "chunk")
+    best = text.search(found, q, spark.sql("SELECT 2L AS N, 2D AS avg"), ["term"], 1)
+    assert {(r["query_id"], r["doc_id"], r["chunk"]) for r in best.collect()} == {(7, 1, 1), (8, 1, 0)}
+    capsys.readouterr()
+    posted.explain()
+    best.explain()
+    shown = capsys.readouterr().out
+    # neither counting nor scoring deals rows out by word or by question and passage
+    assert "hashpartitioning(term" not in shown and "hashpartitioning(query_id#" in shown
+    assert not [x for x in shown.splitlines() if "hashpartitioning(query_id" in x and "doc_id" in x]

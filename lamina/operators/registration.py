@@ -36,24 +36,39 @@ def apply_affine(points: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame
     return j.withColumn("_x", c * F.col("x") - s * F.col("y") + F.col("tx")).withColumn("y", s * F.col("x") + c * F.col("y") + F.col("ty")).withColumn("x", F.col("_x")).select(*points.columns)
 
 
+#: Points that a point's square of a grid should hold on average, itself included, and how often squares are halved for it.
+CROWD, HALVED = 3.0, 12
+
+
 class Grid:
-    """Nearest points by a hashed grid, for one section at a time."""
+    """Nearest points by hashed grids, for one section at a time: squares as fine as the dense parts ask for, and for those with none near grids of twice the width, and so on."""
 
-    def __init__(self, p: np.ndarray):
+    def __init__(self, p: np.ndarray, w: float | None = None):
         self.p = p
-        span = max(float(np.ptp(p, axis=0).max()), 1e-9)
-        self.w = span / max(1.0, math.sqrt(len(p) / 2))
+        self.span = max(float(np.ptp(p, axis=0).max()), 1e-9)
         self.low = p.min(0)
-        self.wide = int(span / self.w) + 3
-        key = self._key(((p - self.low) // self.w).astype(int))
-        self.order = np.argsort(key, kind="stable")
-        self.keys = key[self.order]
+        self.wider: Grid | None = None
+        halved = 0 if w is None else HALVED
+        self.w = self.span / max(1.0, math.sqrt(len(p) / 2)) if w is None else w
+        while True:
+            self.wide = int(self.span / self.w) + 3
+            key = self._key(((p - self.low) // self.w).astype(int))
+            self.order = np.argsort(key, kind="stable")
+            self.keys = key[self.order]
+            size = np.diff(np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1], True]))
+            if halved == HALVED or (size.astype(float) ** 2).sum() <= CROWD * len(p):
+                break
+            self.w, halved = self.w / 2, halved + 1
 
     def _key(self, c: np.ndarray) -> np.ndarray:
         return (c[..., 0] + 1) * (self.wide + 2) + c[..., 1] + 1
 
     def nearest(self, q: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(index, distance) of the nearest point of each q; those with none in the squares around are compared with all. apart: q are the grid's own points, and a point is not its own neighbour."""
+        """(index, distance) of the nearest point of each q. apart: q are the grid's own points, and a point is not its own neighbour."""
+        return self._nearest(q, np.arange(len(q)) if apart else np.full(len(q), -1))
+
+    def _nearest(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """nearest() without the points numbered `own`; those with none in the squares around look into a wider grid, and those further away than the section is wide are compared with all."""
         cell = np.clip(((q - self.low) // self.w).astype(int), -1, self.wide)
         # the three squares of a column follow each other in the order of keys
         keys = self._key(cell)[:, None] + np.array([-1, 0, 1]) * (self.wide + 2)
@@ -67,8 +82,7 @@ class Grid:
             of = np.repeat(np.arange(a, z), size.reshape(-1, 3).sum(1))
             at = self.order[np.repeat(lo[a:z].ravel() - (np.cumsum(size) - size), size) + np.arange(len(of))]
             d = np.hypot(self.p[at, 0] - q[of, 0], self.p[at, 1] - q[of, 1])
-            if apart:
-                d[at == of] = np.inf
+            d[at == own[of]] = np.inf
             if len(of):
                 begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 least = np.minimum.reduceat(d, begins)
@@ -77,11 +91,15 @@ class Grid:
                 best[who], where[who] = least, at[hit[first]]
             a = z
         far = np.flatnonzero(best > self.w)
+        if len(far) and self.w < self.span:
+            self.wider = self.wider or Grid(self.p, 2 * self.w)
+            where[far], best[far] = self.wider._nearest(q[far], own[far])
+            return where, best
         for a in range(0, len(far), 256):
             f = far[a : a + 256]
             d = np.hypot(q[f, None, 0] - self.p[None, :, 0], q[f, None, 1] - self.p[None, :, 1])
-            if apart:
-                d[np.arange(len(f)), f] = np.inf
+            mine = np.flatnonzero(own[f] >= 0)
+            d[mine, own[f][mine]] = np.inf
             where[f], best[f] = d.argmin(1), d.min(1)
         return where, best
 

@@ -68,3 +68,22 @@ def test_errors_are_at_the_jitter_where_a_fit_is_found(spark):
     for regime, method in (("small", "closest_points"), ("small", "global_search"), ("large", "global_search")):
         assert rows[regime, method]["mean_error"] == pytest.approx(floor, abs=2) and rows[regime, method]["share_within"] == 1.0
     assert rows["large", "closest_points"]["median_error"] > 100 and rows["large", "centres"]["median_error"] > 100
+
+
+def test_points_far_from_all_others_are_not_compared_with_all(monkeypatch):
+    """A dense middle and thin outskirts: the nearest points are right and few distances are taken for them."""
+    r = np.random.default_rng(5)
+    p = np.concatenate([r.normal(0, 1, (4000, 2)), r.uniform(-400, 400, (200, 2)), np.zeros((3, 2))])
+    q = np.concatenate([p[::7] + 0.1, r.uniform(-400, 400, (300, 2))])
+    taken, plain = [], np.hypot
+    monkeypatch.setattr(registration.np, "hypot", lambda x, y: taken.append(np.size(x)) or plain(x, y))
+    grid = registration.Grid(p)
+    at, d = grid.nearest(q)
+    assert sum(taken) < 400 * len(q)  # 4,203 each by a plain search
+    own = grid.nearest(p, apart=True)[1]
+    monkeypatch.undo()
+    every = np.hypot(*(q[:, None] - p[None]).transpose(2, 0, 1))
+    assert d.tolist() == every.min(1).tolist() and every[np.arange(len(q)), at].tolist() == d.tolist()
+    every = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    np.fill_diagonal(every, np.inf)
+    assert own.tolist() == every.min(1).tolist()

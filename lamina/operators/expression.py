@@ -143,8 +143,10 @@ def panel_coverage(panels: DataFrame, genes: DataFrame, detected: DataFrame, min
     return p.groupBy("panel").agg(F.count("*").alias("n_panel"), F.count("gene_id").alias("n_data"), n.alias("n_detected"), names.alias("genes"), (n >= min_genes).alias("usable"))
 
 
-#: Rows of sets that go to every task as arrays, some 12 bytes each; more are joined.
-MOST_SET_ROWS = 20_000_000
+#: Rows of sets that pass through the driver and go to every task as arrays; more are joined.
+MOST_SET_ROWS = 500_000
+#: Pairs of a cell's value and a set that are added up at a time.
+MOST_PAIRS = 2_000_000
 
 
 def panel_scores(values: DataFrame, sets: DataFrame, n_null: int, most_rows: int = MOST_SET_ROWS) -> DataFrame:
@@ -154,8 +156,9 @@ def panel_scores(values: DataFrame, sets: DataFrame, n_null: int, most_rows: int
     deviations, p is (1 + nulls as large) / (n_null + 1). values is sparse, so means divide by the size of the set.
 
     Values are grouped by cell once. Sets up to `most_rows` rows (panels x nulls x genes of a panel, whatever the number of cells) go along with the
-    tasks as a sparse matrix of genes by sets; beyond that values are joined with them."""
-    sets = written(sets, "sets")
+    tasks as a sparse matrix of genes by sets; beyond that each value is joined with the numbers of its gene's sets."""
+    # drawn sets come from few tasks: dealt out, so that many read them
+    sets = written(sets.repartition("gene_id"), "sets")
     if sets.count() > most_rows:
         return _joined_scores(values, sets, n_null)
     frame = sets.toPandas()
@@ -197,24 +200,59 @@ def panel_scores(values: DataFrame, sets: DataFrame, n_null: int, most_rows: int
 
 
 def _joined_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame:
-    """panel_scores() by joins, for sets of any number."""
-    size = sets.groupBy("panel", "null_id").agg(F.count("*").alias("k"))
-    obs = values.select("obs_id").distinct()
-    s = values.join(sets, "gene_id").groupBy("obs_id", "panel", "null_id").agg(F.sum("value").alias("s"))
-    m = s.join(size, ["panel", "null_id"]).select("obs_id", "panel", "null_id", (F.col("s") / F.col("k")).alias("m"))
-    # sets in which a cell has nothing have mean 0 and no row
-    real = m.where("null_id = -1").select("obs_id", "panel", F.col("m").alias("real"))
-    grid = obs.crossJoin(F.broadcast(size.select("panel").distinct())).join(real, ["obs_id", "panel"], "left").select("obs_id", "panel", F.coalesce("real", F.lit(0.0)).alias("real"))
-    null = grid.join(m.where("null_id >= 0").select("obs_id", "panel", "m"), ["obs_id", "panel"], "left")
-    g = null.groupBy("obs_id", "panel").agg(F.first("real").alias("real"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("q"), F.count_if(F.col("m") >= F.col("real") - 1e-12).alias("ge"))
-    mean = F.col("s") / n_null
-    sd = F.sqrt(F.greatest(F.col("q") / n_null - mean * mean, F.lit(0.0)))
-    ge = F.when(F.col("real") <= 0, F.lit(n_null)).otherwise(F.col("ge"))
-    return g.select("obs_id", "panel", F.when(sd > 1e-12, (F.col("real") - mean) / sd).otherwise(0.0).alias("effect"), ((1 + ge) / F.lit(n_null + 1.0)).alias("p"))
+    """panel_scores() for sets of any number: a gene's sets are one array of numbers, which its values take along to their cells.
+
+    The driver holds a size for each panel and null. Sets in which a cell has nothing have mean 0 and are not looked at."""
+    size = sets.groupBy("panel", "null_id").agg(F.count("*").alias("k")).toPandas()
+    panels, per = sorted(size["panel"].unique().tolist()), n_null + 1
+    place = F.array_position(F.array(*map(F.lit, panels)), F.col("panel")) - 1
+    sizes = np.ones(len(panels) * per)
+    sizes[size["panel"].map({p: i for i, p in enumerate(panels)}).to_numpy(np.int64) * per + size["null_id"].to_numpy(np.int64) + 1] = size["k"]
+    codes = sets.groupBy("gene_id").agg(F.sort_array(F.collect_list((place * per + F.col("null_id") + 1).cast("int"))).alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("genes")
+            long = lists.flatten().field("codes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(long)])[np.cumsum(np.diff(lists.offsets.to_numpy()))]
+            a = 0
+            while a < b.num_rows:
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MOST_PAIRS, "right")))
+                z = min(z, b.num_rows, a + max(1, MOST_PAIRS // len(panels)))
+                yield scored(b.slice(a, z - a))
+                a = z
+
+    def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists, rows = part.column("genes"), part.num_rows
+        genes = lists.flatten()
+        owner, n = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy())), genes.field("codes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        key = np.repeat(owner, n) * len(sizes) + genes.field("codes").flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        key, amounts = key[order], np.repeat(genes.field("value").to_numpy(zero_copy_only=False), n)[order]
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        key = key[begins]
+        m = (np.add.reduceat(amounts, begins) if len(begins) else amounts) / sizes[key % len(sizes)]
+        group, of_panel, cells = key // per, key % per == 0, rows * len(panels)
+        real = np.zeros(cells)
+        real[group[of_panel]] = m[of_panel]
+        group, m = group[~of_panel], m[~of_panel]
+        mean = np.bincount(group, m, cells) / n_null
+        sd = np.sqrt(np.maximum(np.bincount(group, m * m, cells) / n_null - mean * mean, 0))
+        ge = np.where(real <= 0, n_null, np.bincount(group[m >= real[group] - 1e-12], minlength=cells))
+        effect = np.where(sd > 1e-12, (real - mean) / np.where(sd > 1e-12, sd, 1), 0.0)
+        ids = part.column("obs_id").take(pa.array(np.repeat(np.arange(rows), len(panels))))
+        return pa.RecordBatch.from_arrays([ids, pa.array(panels * rows, kind), pa.array(effect), pa.array((1 + ge) / (n_null + 1.0))], names=["obs_id", "panel", "effect", "p"])
+
+    panel = sets.schema["panel"].dataType.simpleString()
+    kind = pa.string() if panel == "string" else None
+    gene = F.struct(F.col("value").cast("double").alias("value"), F.col("codes").alias("codes"))
+    cells = values.join(codes, "gene_id", "left").groupBy("obs_id").agg(F.collect_list(gene).alias("genes"))
+    return cells.mapInArrow(run, f"obs_id {values.schema['obs_id'].dataType.simpleString()}, panel {panel}, effect double, p double")
 
 
 def call_labels(scores: DataFrame, alpha: float) -> DataFrame:
-    """obs_id, label, effect, margin: the significant panel of largest effect, and how far the next significant one is; else Unresolved."""
+    """obs_id, label, effect, margin: the significant panel of largest effect, and how far the next significant one is; else Unresolved. Scores are worked out once."""
+    scores = scores if hasattr(scores, "_lamina_path") else written(scores, "scores")
     n = scores.select("panel").distinct().count()
     ok = scores.withColumn("ok", F.col("p") < alpha / max(1, n))
     w = Window.partitionBy("obs_id").orderBy(F.desc("effect"), "panel")

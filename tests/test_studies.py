@@ -55,6 +55,25 @@ def test_panel_scores_by_matrix_and_by_joins(spark):
     assert len(one) == 80 and one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
+def test_many_sets_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Beyond the bound the driver asks for nothing but sizes, a row for each panel and null; cells without a gene of any set have rows."""
+    r, taken, plain = np.random.default_rng(6), [], type(spark.range(0)).toPandas
+    v = spark.createDataFrame([(i, int(g), float(1 + g % 3)) for i in range(30) for g in {*r.integers(0, 60, 5), 1000}] + [(99, 1000, 1.0)], "obs_id bigint, gene_id bigint, value double")
+    s = spark.createDataFrame([(p, k, int(g)) for p in "ab" for k in range(-1, 20) for g in r.choice(60, 6)], "panel string, null_id bigint, gene_id bigint")
+    monkeypatch.setattr(type(s), "toPandas", lambda d: taken.append(d.columns) or plain(d))
+    found = {(x["obs_id"], x["panel"]): (x["effect"], x["p"]) for x in expression.panel_scores(v, s, 20, 10).collect()}
+    assert taken == [["panel", "null_id", "k"]] and len(found) == 62 and found[99, "a"] == (0.0, 1.0)
+    assert expression.MOST_SET_ROWS <= 1_000_000
+
+
+def test_labels_are_called_from_one_computation_of_scores(spark, monkeypatch):
+    kept, plain = [], expression.written
+    monkeypatch.setattr(expression, "written", lambda d, n="step": kept.append(n) or plain(d, n))
+    s = spark.createDataFrame([(1, "a", 3.0, 0.001), (1, "b", 2.0, 0.001), (2, "a", 1.0, 0.9), (2, "b", 0.0, 1.0)], "obs_id bigint, panel string, effect double, p double")
+    assert sorted(map(tuple, expression.call_labels(s, 0.05).collect())) == [(1, "a", 3.0, 1.0), (2, "Unresolved", None, None)]
+    assert kept == ["scores"]
+
+
 def test_annotation_finds_classes_and_subclasses(spark):
     r = np.random.default_rng(0)
     rows = []

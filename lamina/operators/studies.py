@@ -198,6 +198,17 @@ def unit_responses(spikes: DataFrame, trials: DataFrame, length: float) -> DataF
     return stats.benjamini_hochberg(stats.mann_whitney_p(stats.mann_whitney(both, ["unit"], "grp", "after", "before")), "p", ["unit"])
 
 
+def nearest_columns(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least finite numbers of each row of d, equal ones by ids; only what the k-th does not exceed is put in order."""
+    d = np.where(np.isnan(d), np.inf, d)
+    k = min(k, d.shape[1])
+    row, column = np.nonzero((d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]) & np.isfinite(d))
+    order = np.lexsort((ids[column], d[row, column], row))
+    row, column = row[order], column[order]
+    use = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return row[use], column[use]
+
+
 def feature_knn(features: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """src, dst, d2, rank of the k nearest rows in feature space (obs_id, features array), exact.
 
@@ -219,10 +230,8 @@ def feature_knn(features: DataFrame, k: int, block_rows: int = 4096) -> DataFram
             d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
             own = a["obs_id"].to_numpy()[s : s + 256]
             d[own[:, None] == ids[None]] = np.inf
-            for r in range(len(x)):
-                order = np.lexsort((ids, d[r]))[:k]
-                order = order[np.isfinite(d[r][order])]
-                out.append(pd.DataFrame({"src": own[r], "dst": ids[order], "d2": d[r][order]}))
+            row, column = nearest_columns(d, ids, k)
+            out.append(pd.DataFrame({"src": own[row], "dst": ids[column], "d2": d[row, column]}))
         return pd.concat(out)
 
     best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, f"src {kind}, dst {kind}, d2 double")

@@ -74,6 +74,18 @@ def test_labels_are_called_from_one_computation_of_scores(spark, monkeypatch):
     assert kept == ["scores"]
 
 
+def test_nearest_columns_puts_few_in_order(monkeypatch):
+    r, sorted_, plain = np.random.default_rng(8), [], np.lexsort
+    d, ids = r.integers(0, 400, (30, 900)).astype(float), r.permutation(900)
+    d[0], d[1, 5:], d[2, ::2] = np.inf, np.nan, np.inf
+    monkeypatch.setattr(studies.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or plain(keys))
+    row, column = studies.nearest_columns(d, ids, 7)
+    monkeypatch.undo()
+    assert sum(sorted_) < 30 * 30  # 900 a row by a plain sort
+    want = [(i, c) for i in range(30) for c in np.lexsort((ids, d[i]))[:7] if np.isfinite(d[i, c])]
+    assert list(zip(row, column)) == want
+
+
 def test_annotation_finds_classes_and_subclasses(spark):
     r = np.random.default_rng(0)
     rows = []

@@ -43,3 +43,20 @@ def test_entry_point(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 56
+
+
+def test_components_write_no_more_as_paths_grow_longer(spark, monkeypatch):
+    import numpy as np
+
+    from lamina.operators import graph
+
+    rows, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name="step": (lambda out: rows.append(out.count()) or out)(write(df, name)))
+    n = 4096
+    ids = np.random.default_rng(5).permutation(n).tolist()
+    edges = [(ids[i], ids[i + 1]) for i in range(n - 1) if i != 999] + [(n, n), (n + 2, n + 1)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    first, second = ids[:1000], ids[1000:]
+    want = {i: min(first) for i in first} | {i: min(second) for i in second} | {n: n, n + 1: n + 1, n + 2: n + 1}
+    assert got == want
+    assert sum(rows) < 11 * n

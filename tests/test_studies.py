@@ -253,3 +253,21 @@ def test_registered_gsea_has_all_shuffles(spark, sf_dir, monkeypatch):
     real = studies.gsea_test
     monkeypatch.setattr(studies, "gsea_test", lambda ranked, sets, n_perm, **k: asked.append(n_perm) or real(ranked, sets, n_perm, **k))
     assert catalogue.queries()["gsea_permutation"](spark, sf_dir).count() > 0 and asked == [1000]
+
+
+def test_all_shuffles_of_a_forest_are_one_table(spark, monkeypatch):
+    tables, write = [], learning.written
+
+    def seen(df, name="step"):
+        out = write(df, name)
+        tables.append((name, out.collect()))
+        return out
+
+    monkeypatch.setattr(learning, "written", seen)
+    v = spark.createDataFrame([(i, g, float((i * 7 + g) % 11)) for i in range(60) for g in range(2)], "obs_id bigint, gene_id bigint, value double")
+    lab = spark.createDataFrame([(i, "ab"[i % 3 == 0], i % 10) for i in range(60)], "obs_id bigint, label string, grp bigint")
+    got = learning.random_forest(v, lab, trees=3, shuffles=4).collect()
+    assert sorted(r["shuffle"] for r in got) == [-1, 0, 1, 2, 3] and all(0 <= r["balanced_accuracy"] <= 1 for r in got)
+    assert [n for n, _ in tables].count("shuffled") == 1 and len(tables) == 2
+    ys = np.array([r["ys"] for r in tables[-1][1]])
+    assert ys.shape == (60, 5) and (np.sort(ys, 0) == np.sort(ys[:, :1], 0)).all() and len({tuple(c) for c in ys.T}) == 5

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.distributions import p_normal, p_t
+from lamina.session import written
 
 
 def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], by: list[str] | None = None, out: str = "padj") -> DataFrame:
@@ -22,26 +23,32 @@ def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], by: list[str] | N
 
 
 def pseudobulk(counts: DataFrame, meta: DataFrame, min_cells: int = 10) -> DataFrame:
-    """unit, grp, gene_id, total, n_cells: sums over the cells of each unit and group with at least min_cells cells."""
+    """unit, grp, gene_id, total, n_cells: sums over the cells of each unit and group with at least min_cells cells. Units are samples or donors: a table of them fits a task."""
     cells = meta.groupBy("unit", "grp").agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= min_cells)
     sums = counts.join(meta.select("obs_id", "unit", "grp"), "obs_id").groupBy("unit", "grp", "gene_id").agg(F.sum("count").alias("total"))
-    return sums.join(cells, ["unit", "grp"])
+    return sums.join(F.broadcast(cells), ["unit", "grp"])
 
 
 def log_cpm(bulk: DataFrame) -> DataFrame:
-    """Adds logcpm = ln(1 + total / library x 1e6)."""
-    library = F.sum("total").over(Window.partitionBy("unit", "grp"))
-    return bulk.withColumn("logcpm", F.log1p(F.col("total") / F.when(library > 0, library).otherwise(1.0) * 1e6))
+    """Adds logcpm = ln(1 + total / library x 1e6). Libraries are partial sums: no task has all genes of a unit."""
+    bulk = written(bulk, "bulk")
+    library = bulk.groupBy(F.col("unit").alias("_unit"), F.col("grp").alias("_grp")).agg(F.sum("total").alias("_library"))
+    j = bulk.join(F.broadcast(library), F.col("unit").eqNullSafe(F.col("_unit")) & F.col("grp").eqNullSafe(F.col("_grp")))
+    return j.select(*bulk.columns, F.log1p(F.col("total") / F.when(F.col("_library") > 0, F.col("_library")).otherwise(1.0) * 1e6).alias("logcpm"))
 
 
 def dense_units(bulk: DataFrame, a: str, b: str) -> DataFrame:
-    """unit, gene_id, va, vb: log-CPM of two groups for every unit and gene, 0 where a gene was not seen in a unit that has the group."""
+    """unit, gene_id, va, vb: log-CPM of two groups for every unit and gene, 0 where a gene was not seen in a unit that has the group.
+
+    A gene is one row with its values by unit, from which its rows for all units are made where it is: no table of units x genes is joined or shuffled."""
     bulk = bulk.where(F.col("grp").isin(a, b))
-    have = bulk.select("unit", "grp").distinct()
-    grid = have.crossJoin(bulk.select("gene_id").distinct())
-    full = grid.join(bulk.select("unit", "grp", "gene_id", "logcpm"), ["unit", "grp", "gene_id"], "left")
-    v = F.coalesce("logcpm", F.lit(0.0))
-    return full.groupBy("unit", "gene_id").agg(F.max(F.when(F.col("grp") == a, v)).alias("va"), F.max(F.when(F.col("grp") == b, v)).alias("vb"))
+    has = lambda g, out: F.max(F.col("grp") == g).alias(out)
+    units = bulk.groupBy("unit").agg(has(a, "a"), has(b, "b")).where("unit is not null").agg(F.collect_list(F.struct("unit", "a", "b")).alias("units"))
+    mine = lambda g, out: F.map_from_entries(F.collect_list(F.when((F.col("grp") == g) & F.col("unit").isNotNull() & F.col("gene_id").isNotNull(), F.struct("unit", "logcpm")))).alias(out)
+    genes = bulk.groupBy("gene_id").agg(mine(a, "ma"), mine(b, "mb"))
+    rows = genes.crossJoin(F.broadcast(units)).select("gene_id", "ma", "mb", F.explode("units").alias("u"))
+    v = lambda m, has: F.when(F.col(has), F.coalesce(F.col(m)[F.col("u.unit")], F.lit(0.0)))
+    return rows.select("u.unit", "gene_id", v("ma", "u.a").alias("va"), v("mb", "u.b").alias("vb"))
 
 
 def paired_t(units: DataFrame) -> DataFrame:
@@ -64,8 +71,9 @@ def welch_t(units: DataFrame) -> DataFrame:
 
 def pseudobulk_test(counts: DataFrame, meta: DataFrame, a: str, b: str, min_cells: int = 10, paired: bool = True) -> DataFrame:
     """gene_id, log2fc, t, p, padj, test: paired if two units or more have both groups, else Welch, else insufficient_replicates."""
-    units = dense_units(log_cpm(pseudobulk(counts, meta, min_cells)), a, b)
-    shared = units.where("va is not null and vb is not null").select("unit").distinct().count() if paired else 0
+    bulk = log_cpm(pseudobulk(counts, meta, min_cells))
+    units = dense_units(bulk, a, b)
+    shared = bulk.where(F.col("grp").isin(a, b)).groupBy("unit").agg(F.max(F.col("grp") == a).alias("a"), F.max(F.col("grp") == b).alias("b")).where("a and b").count() if paired else 0
     if shared >= 2:
         r = paired_t(units).select("gene_id", "log2fc", "t", (F.col("n") - 1).cast("double").alias("df"), F.lit("paired_t").alias("test"))
     else:

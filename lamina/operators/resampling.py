@@ -7,8 +7,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.distributions import p_normal, p_t
@@ -39,14 +40,24 @@ def places(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return parts.withColumn("own", own).join(before, [*by, "part"]).withColumn("place", F.col("before") + F.col("own")).drop("part", "own", "before", "u")
 
 
-def _steps(spark: SparkSession, p: float) -> DataFrame:
-    """_m, _cdf: the cumulative probabilities of 0 to m - 1 successes of m trials, for every m up to TRIALS (a fixed number of rows)."""
-    rows = []
+def _steps(p: float) -> np.ndarray:
+    """Row m: the cumulative probabilities of 0 to m - 1 successes of m trials, for every m up to TRIALS; 2 fills the rest."""
+    out = np.full((TRIALS + 1, TRIALS), 2.0)
     for m in range(1, TRIALS + 1):
         k = np.arange(m)
-        pmf = np.concatenate([[1.0], np.cumprod((m - k[:-1]) / (k[:-1] + 1) * (p / (1 - p)))]) * (1 - p) ** m
-        rows.append((m, np.cumsum(pmf).tolist()))
-    return spark.createDataFrame(rows, "_m int, _cdf array<double>")
+        out[m, :m] = np.cumsum(np.concatenate([[1.0], np.cumprod((m - k[:-1]) / (k[:-1] + 1) * (p / (1 - p)))]) * (1 - p) ** m)
+    return out
+
+
+def _below(steps: np.ndarray, m: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many steps of each m are at most u, by bisection of all rows at once."""
+    m, low = m.astype(np.int64), np.zeros(len(m), np.int64)
+    high = m.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        up = open_ & (steps[m, np.minimum(mid, TRIALS - 1)] <= u)
+        low, high = np.where(up, mid + 1, low), np.where(open_ & ~up, mid, high)
+    return low
 
 
 def thin(counts: DataFrame, p: float, keys: list[str], seed: int = 0, count: str = "count") -> DataFrame:
@@ -59,17 +70,31 @@ def thin(counts: DataFrame, p: float, keys: list[str], seed: int = 0, count: str
     if p in (0.0, 1.0):
         return counts.withColumn("thinned", F.when(n >= 0, n * int(p)))
     small = min(p, 1 - p)
-    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(n / TRIALS) - 1, F.lit(0).cast("bigint"))), lambda i: F.least(F.lit(TRIALS).cast("bigint"), n - i * TRIALS))
-    # all parts but the last have TRIALS trials: two rows of steps serve a count
-    rest = ((n - 1) % TRIALS + 1).cast("int")
-    steps = _steps(counts.sparkSession, small)
-    whole = F.array(*map(F.lit, steps.where(F.col("_m") == TRIALS).first()["_cdf"]))
-    j = counts.withColumn("_n", rest).join(F.broadcast(steps), F.col("_n") == F.col("_m"), "left")
-    below = lambda cdf, u: F.size(F.filter(cdf, lambda c: c <= u)).cast("bigint")
+    steps = _steps(small)
     u = lambda i: uniform(*map(F.col, keys), seed, i)
-    drawn = F.aggregate(F.transform(parts, lambda m, i: F.when(m == TRIALS, below(whole, u(i))).otherwise(below(F.col("_cdf"), u(i)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    drawn = F.when(n > 0, drawn if p <= 0.5 else n - drawn).when(n == 0, F.lit(0).cast("bigint"))
-    return j.select(*counts.columns, drawn.alias("thinned"))
+    several = F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / TRIALS) - 1), u)
+
+    @F.pandas_udf("bigint")
+    def one(n: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(_below(steps, n.to_numpy(), u.to_numpy()))
+
+    @F.pandas_udf("bigint")
+    def many(n: pd.Series, u: pd.Series) -> pd.Series:
+        parts = u.map(len).to_numpy()
+        trials = np.full(parts.sum(), TRIALS)
+        ends = np.cumsum(parts)
+        # all parts but the last have TRIALS trials
+        trials[ends - 1] = (n.to_numpy() - 1) % TRIALS + 1
+        drawn = _below(steps, trials, np.concatenate(u.to_numpy()))
+        return pd.Series(np.add.reduceat(drawn, ends - parts))
+
+    # rows of one part, as most are, need no array; a kernel gets the other's rows as one trial
+    single = n.between(1, TRIALS)
+    k = one(F.when(single, n).otherwise(F.lit(1)), F.when(single, u(0)).otherwise(0.0))
+    rest = many(F.when(n > TRIALS, n).otherwise(F.lit(1)), F.when(n > TRIALS, several).otherwise(F.array(F.lit(0.0))))
+    j = counts.withColumns({"_one": k, "_many": rest})
+    drawn = F.when(single, F.col("_one")).otherwise(F.col("_many"))
+    return j.select(*counts.columns, F.when(n > 0, drawn if p <= 0.5 else n - drawn).when(n == 0, F.lit(0).cast("bigint")).alias("thinned"))
 
 
 def sparse_tests(values: DataFrame, meta: DataFrame, a: str, b: str) -> DataFrame:

@@ -43,7 +43,7 @@ def control_sets(panels: DataFrame, bins: DataFrame, n_null: int, seed: int = 0,
     pool = written(pool, "pools")
     sizes = pool.select("bin", "pool").distinct()
     nulls = panels.sparkSession.range(n_null).select(F.col("id").alias("null_id"))
-    key = F.expr("((gene_id * 7919 + null_id * 104729) * (gene_id * 31 + 17)) % 1000003") if portable else F.xxhash64("gene_id", "null_id", "panel", F.lit(seed))
+    key = graph.portable_key("gene_id", "null_id") if portable else F.xxhash64("gene_id", "null_id", "panel", F.lit(seed))
     draws = mine.join(sizes, "bin").crossJoin(F.broadcast(nulls)).select("panel", "null_id", "bin", F.pmod(key, F.col("pool")).alias("place"))
     real = mine.select("panel", F.lit(-1).cast("bigint").alias("null_id"), "gene_id")
     return real.unionByName(draws.join(pool, ["bin", "place"]).select("panel", "null_id", F.col("drawn").alias("gene_id")))
@@ -132,7 +132,7 @@ def gsea_test(ranked: DataFrame, sets: DataFrame, n_perm: int, seed: int = 0, po
     real = expression.gsea_es(ranked, sets)
     perms = sets.sparkSession.range(n_perm).select(F.col("id").alias("perm"))
     genes = ranked.select("gene_id").withColumn("i", F.row_number().over(Window.orderBy("gene_id")))
-    key = F.expr("((gene_id * 7919 + perm * 104729) * (gene_id * 31 + 17)) % 1000003") if portable else F.xxhash64("gene_id", "perm", F.lit(seed))
+    key = graph.portable_key("gene_id", "perm") if portable else F.xxhash64("gene_id", "perm", F.lit(seed))
     w = Window.partitionBy("perm").orderBy(key, "gene_id")
     moved = genes.crossJoin(F.broadcast(perms)).withColumn("j", F.row_number().over(w)).select("perm", F.col("gene_id").alias("to"), "j").join(genes.select("gene_id", F.col("i").alias("j")), "j")
     shuffled = sets.join(moved, "gene_id").select(F.concat_ws("\u0001", "term", "perm").alias("term"), F.col("to").alias("gene_id"))

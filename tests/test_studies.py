@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina import catalogue, skills
-from lamina.operators import events, expression, learning, studies
+from lamina.operators import events, expression, graph, learning, studies
 from lamina.sources import fixtures as fx
 
 
@@ -46,6 +46,23 @@ def test_control_sets_take_in_neighbouring_bins(spark):
         studies.control_sets(panels, bins.where("gene_id < 5"), 3)
 
 
+def test_portable_draws_of_large_ids(spark):
+    """Beyond some six million the product of the key leaves 64 bits; draws are those of whole numbers of any size."""
+    low = 7_200_000
+    bins = spark.createDataFrame([(low + g, 0) for g in range(40)], "gene_id bigint, bin bigint")
+    panels = spark.createDataFrame([("p", low + g) for g in range(0, 40, 8)], "panel string, gene_id bigint")
+    free = [low + g for g in range(40) if g % 8]
+    key = lambda g, n: (g * 7919 + n * 104729) * (g * 31 + 17) % 1000003
+    want = sorted((n, free[key(low + g, n) % len(free)]) for g in range(0, 40, 8) for n in range(30))
+    got = studies.control_sets(panels, bins, 30, portable=True).where("null_id >= 0")
+    assert sorted((r["null_id"], r["gene_id"]) for r in got.collect()) == want
+    ids = spark.createDataFrame([(i, d) for i in (0, 1, 6_129_000, low, 10**12, 2**40) for d in (0, 999)], "i bigint, d bigint")
+    assert all(r["k"] == key(r["i"], r["d"]) for r in ids.select("i", "d", graph.portable_key("i", "d").alias("k")).collect())
+    ranked = spark.createDataFrame([(low + g, float(g - 20)) for g in range(40)], "gene_id bigint, score double")
+    sets = spark.createDataFrame([("t", low + g) for g in range(30, 40)], "term string, gene_id bigint")
+    assert studies.gsea_test(ranked, sets, 20, portable=True).first()["p"] <= 0.1
+
+
 def test_panel_scores_by_matrix_and_by_joins(spark):
     r = np.random.default_rng(5)
     v = spark.createDataFrame([(i, g, float(x)) for i in range(40) for g, x in enumerate(r.poisson(0.7, 60)) if x], "obs_id bigint, gene_id bigint, value double")

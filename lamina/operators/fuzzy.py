@@ -55,7 +55,7 @@ def union(weights: DataFrame) -> DataFrame:
 
 def fuzzy_graph(features: DataFrame, k: int = 15) -> DataFrame:
     """The fuzzy graph of rows (obs_id, features array) and their k - 1 nearest others (a point counts as its own first neighbour)."""
-    return union(memberships(studies.feature_knn(features, k - 1)))
+    return union(memberships(written(studies.feature_knn(features, k - 1), "neighbours")))
 
 
 def dense(values: DataFrame, genes: list) -> DataFrame:

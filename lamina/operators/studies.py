@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,32 +211,88 @@ def nearest_columns(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[use], column[use]
 
 
+#: Fixed value: rows whose neighbours one task looks for, at most; right rows that it compares with a block of 512 of them at a time.
+CHUNK, AT_ONCE = 65_536, 2048
+
+
+def _best(row: np.ndarray, d: np.ndarray, dst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each row by (d, dst), in order."""
+    order = np.lexsort((dst, d, row))
+    row, d, dst = row[order], d[order], dst[order]
+    use = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    return row[use], d[use], dst[use]
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest right rows (side 1) of each left row (side 0) of a cell; partitions are in order of (cell, side), and right rows go by batch by batch."""
+    at, left, x = None, [], None
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if x is not None:
+            row, d, dst = (c[0] for c in kept)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row], kind), pa.array(dst, kind), pa.array(d)], names=["src", "dst", "d2"])
+
+    for batch in batches:
+        cell, side = (batch.column(c).to_numpy() for c in ("cell", "side"))
+        cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(cell)]):
+            if hi == lo:
+                continue
+            if cell[lo] != at:
+                yield from found()
+                at, left, x = cell[lo], [], None
+            rows = batch.slice(lo, hi - lo)
+            mine, kind = rows.column("obs_id").to_numpy(zero_copy_only=False), rows.column("obs_id").type
+            values = rows.column("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+            if side[lo] == 0:
+                left.append((mine, values))
+                continue
+            if not left:
+                continue
+            if x is None:
+                ids, x = (np.concatenate(c) for c in zip(*left))
+                square, bound, kept = (x * x).sum(1), np.full(len(x), np.inf), ([], [], [])
+            for a in range(0, len(mine), AT_ONCE):
+                y, names = values[a : a + AT_ONCE], mine[a : a + AT_ONCE]
+                other = (y * y).sum(1)
+                for s in range(0, len(x), 512):
+                    d = np.maximum(square[s : s + 512, None] + other - 2 * x[s : s + 512] @ y.T, 0)
+                    # after the first rows few are near enough to matter
+                    if np.isinf(bound[s : s + 512]).any():
+                        d[ids[s : s + 512, None] == names] = np.inf
+                        row, column = nearest_columns(d, names, k)
+                    else:
+                        row, column = np.nonzero(d <= bound[s : s + 512, None])
+                        other_one = ids[s + row] != names[column]
+                        row, column = row[other_one], column[other_one]
+                    for c, new in zip(kept, (s + row, d[row, column], names[column])):
+                        c.append(new)
+                best = _best(*map(np.concatenate, kept), k)
+                for c, new in zip(kept, best):
+                    c[:] = [new]
+                full = np.bincount(best[0], minlength=len(x)) == k
+                last = np.flatnonzero(np.diff(best[0], append=-1))
+                bound[best[0][last]] = best[1][last]
+                bound[~full] = np.inf
+    yield from found()
+
+
 def feature_knn(features: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """src, dst, d2, rank of the k nearest rows in feature space (obs_id, features array), exact.
 
-    Rows are dealt into blocks; each pair of blocks is a task that sends on k candidates for a row, and the best of them stay."""
-    n = features.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    Rows are dealt into chunks of at most `CHUNK` (smaller ones, of `block_rows`, for few rows); a task has a chunk and streams a slice of all rows past it. So rows are sent
+    once for each chunk, and a task sends on k candidates for each row of its chunk, of which the best stay."""
+    n, spark = features.count(), features.sparkSession
+    chunks = max(1, math.ceil(n / CHUNK), min(8, math.ceil(n / block_rows)))
+    slices = max(1, min(math.ceil(n / block_rows), math.ceil(3 * spark.sparkContext.defaultParallelism / chunks)))
     kind = features.schema["obs_id"].dataType.simpleString()
-    f = features.select("obs_id", "features", F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int").alias("b"))
-    every = features.sparkSession.range(blocks).select(F.col("id").cast("int").alias("o"))
-    left = f.crossJoin(F.broadcast(every)).select("obs_id", "features", F.col("b").alias("i"), F.col("o").alias("j"))
-    right = f.crossJoin(F.broadcast(every)).select(F.col("obs_id").alias("obs_id"), F.col("features").alias("features"), F.col("o").alias("i"), F.col("b").alias("j"))
-
-    def near(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "d2": []})
-        y, ids, out = np.array(b["features"].tolist(), float), b["obs_id"].to_numpy(), []
-        for s in range(0, len(a), 256):
-            x = np.array(a["features"].iloc[s : s + 256].tolist(), float)
-            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-            own = a["obs_id"].to_numpy()[s : s + 256]
-            d[own[:, None] == ids[None]] = np.inf
-            row, column = nearest_columns(d, ids, k)
-            out.append(pd.DataFrame({"src": own[row], "dst": ids[column], "d2": d[row, column]}))
-        return pd.concat(out)
-
-    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, f"src {kind}, dst {kind}, d2 double")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("o")
+    part = lambda seed, m: F.pmod(F.xxhash64("obs_id", F.lit(seed)), F.lit(m))
+    row = [F.col("obs_id").alias("obs_id"), F.col("features").cast("array<double>").alias("features")]
+    left = features.select(*row, every(slices)).select((part(0, chunks) * slices + F.col("o")).cast("int").alias("cell"), F.lit(0).alias("side"), "obs_id", "features")
+    right = features.select(*row, every(chunks)).select((F.col("o") * slices + part(1, slices)).cast("int").alias("cell"), F.lit(1).alias("side"), "obs_id", "features")
+    rows = left.unionByName(right).repartitionById(chunks * slices, F.col("cell")).sortWithinPartitions("cell", "side")
+    best = rows.mapInArrow(lambda b: _near_rows(b, k), f"src {kind}, dst {kind}, d2 double")
     w = Window.partitionBy("src").orderBy("d2", "dst")
     return best.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

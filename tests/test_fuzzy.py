@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lamina import skills
-from lamina.operators import fuzzy
+from lamina.operators import fuzzy, studies
 
 
 def plain(x, k):
@@ -47,6 +47,20 @@ def test_equal_points_and_ties(spark):
     assert len(g) == (want > 0).sum() and all(abs(w - want[e]) < 1e-9 for e, w in g.items())
 
 
+def test_rows_are_sent_once_for_each_chunk(spark, monkeypatch):
+    """Copies of rows go by chunks of CHUNK, not by blocks of block_rows; neighbours are exact over several chunks, slices and batches, ties by id."""
+    monkeypatch.setattr(studies, "AT_ONCE", 7)
+    x = np.random.default_rng(3).integers(0, 4, (120, 3)).astype(float)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {(i, j, d[i, j], r) for i in range(120) for r, j in enumerate(sorted((j for j in range(120) if j != i), key=lambda j: (d[i, j], j))[:5], 1)}
+    got = studies.feature_knn(rows(spark, x), 5, 4)
+    assert {tuple(r) for r in got.select("src", "dst", "d2", "rank").collect()} == want
+    sent, plain = [], type(got).repartitionById
+    monkeypatch.setattr(type(got), "repartitionById", lambda t, n, c: sent.append(t.count()) or plain(t, n, c))
+    studies.feature_knn(rows(spark, x), 5, 4)
+    assert sent[0] <= 120 * 16  # 30 blocks on either side make 120 * 60
+
+
 def test_nulls_loops_and_nothing(spark):
     e = spark.createDataFrame([(1, 1, 0.0), (1, 2, None), (2, 1, 4.0)], "src bigint, dst bigint, d2 double")
     assert [tuple(r) for r in fuzzy.memberships(e).collect()] == [(2, 1, 1.0)]

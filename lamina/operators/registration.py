@@ -65,16 +65,16 @@ class Grid:
 
     def nearest(self, q: np.ndarray, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(index, distance) of the nearest point of each q. apart: q are the grid's own points, and a point is not its own neighbour."""
-        return self._nearest(q, np.arange(len(q)) if apart else np.full(len(q), -1))
+        return self._nearest(q, np.arange(len(q)) if apart else np.full(len(q), -1))[:2]
 
-    def _nearest(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """nearest() without the points numbered `own`; those with none in the squares around look into a wider grid, and those further away than the section is wide are compared with all."""
+    def _nearest(self, q: np.ndarray, own: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """nearest() without the points numbered `own`, and, if `second`, a distance that no other point is within; those with none in the squares around look into a wider grid, and those further away than the section is wide are compared with all."""
         cell = np.clip(((q - self.low) // self.w).astype(int), -1, self.wide)
         # the three squares of a column follow each other in the order of keys
         keys = self._key(cell)[:, None] + np.array([-1, 0, 1]) * (self.wide + 2)
         lo, hi = np.searchsorted(self.keys, keys - 1, "left"), np.searchsorted(self.keys, keys + 1, "right")
         total = np.cumsum((hi - lo).sum(1))
-        best, where = np.full(len(q), np.inf), np.zeros(len(q), int)
+        best, where, free = np.full(len(q), np.inf), np.zeros(len(q), int), np.full(len(q), self.w if second else 0.0)
         a = 0
         while a < len(q):  # as many points at a time as have some two million others around them
             z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 2_000_000, "right")))
@@ -89,19 +89,35 @@ class Grid:
                 hit = np.flatnonzero(d == np.repeat(least, np.diff(np.r_[begins, len(of)])))
                 who, first = np.unique(of[hit], return_index=True)
                 best[who], where[who] = least, at[hit[first]]
+                if second:
+                    d[hit[first]] = np.inf
+                    free[who] = np.minimum(np.minimum.reduceat(d, begins), self.w)
             a = z
         far = np.flatnonzero(best > self.w)
         if len(far) and self.w < self.span:
             self.wider = self.wider or Grid(self.p, 2 * self.w)
-            where[far], best[far] = self.wider._nearest(q[far], own[far])
-            return where, best
+            where[far], best[far], free[far] = self.wider._nearest(q[far], own[far], second)
+            return where, best, free
         for a in range(0, len(far), 256):
             f = far[a : a + 256]
             d = np.hypot(q[f, None, 0] - self.p[None, :, 0], q[f, None, 1] - self.p[None, :, 1])
             mine = np.flatnonzero(own[f] >= 0)
             d[mine, own[f][mine]] = np.inf
-            where[f], best[f] = d.argmin(1), d.min(1)
-        return where, best
+            where[f], best[f], free[f] = d.argmin(1), d.min(1), 0.0
+        return where, best, free
+
+    def follow(self, q: np.ndarray, before: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """nearest(), and what the next call takes as `before` when the same points have moved a little: a point whose nearest one is, after its move, still nearer than all others can be keeps it and is not searched again."""
+        if before is None:
+            where, best, free = self._nearest(q, np.full(len(q), -1), True)
+            return where, best, (where, free, q)
+        where, free, at = (x.copy() for x in before)
+        best = np.hypot(self.p[where, 0] - q[:, 0], self.p[where, 1] - q[:, 1])
+        # rounding has a margin
+        lost = np.flatnonzero(best >= free - np.hypot(*(q - at).T) - 1e-9 * self.span)
+        where[lost], best[lost], free[lost] = self._nearest(q[lost], np.full(len(lost), -1), True)
+        at[lost] = q[lost]
+        return where, best, (where, free, at)
 
     def overlap(self, q: np.ndarray, near: float) -> float:
         """The mean of two shares: of q near a point of the grid, and of the grid's points near one of q."""
@@ -119,6 +135,16 @@ def _turn(t: float) -> np.ndarray:
     return np.array([[math.cos(t), -math.sin(t)], [math.sin(t), math.cos(t)]])
 
 
+def _least(d: np.ndarray, keep: int) -> np.ndarray:
+    """The places of the `keep` least numbers, of equal ones the first, in order of place."""
+    if keep >= len(d):
+        return np.arange(len(d))
+    last = np.partition(d, keep - 1)[keep - 1]
+    use = d < last
+    use[np.flatnonzero(d == last)[: keep - int(use.sum())]] = True
+    return np.flatnonzero(use)
+
+
 #: Tasks that share the start angles of one pair of sections, so points are shuffled this many times and not once an angle.
 SHARES = 4
 _FIT = {"theta": "double", "tx": "double", "ty": "double", "rmse": "double", "overlap": "double", "overlap_before": "double", "iterations": "int"}
@@ -128,10 +154,10 @@ def closest_points(a: np.ndarray, grid: Grid, start: float, near: float, trim: f
     """Trimmed iterative closest points onto a grid from one start angle (radians): theta, tx, ty, rmse of the pairs kept, overlap, iterations."""
     b = grid.p
     t, shift = start, b.mean(0) - _turn(start) @ a.mean(0)
-    last, keep, done = math.inf, max(3, int(trim * len(a))), 0
+    last, keep, done, before = math.inf, max(3, int(trim * len(a))), 0, None
     for done in range(1, rounds + 1):
-        at, d = grid.nearest(a @ _turn(t).T + shift)
-        use = np.argsort(d, kind="stable")[:keep]
+        at, d, before = grid.follow(a @ _turn(t).T + shift, before)
+        use = _least(d, keep)
         error = float((d[use] ** 2).mean())
         t, shift = _fit(a[use], b[at[use]])
         if abs(last - error) <= tol * max(1.0, last if math.isfinite(last) else 1.0):

@@ -53,6 +53,22 @@ def test_only_the_global_search_finds_large_turns(spark):
     assert again == near
 
 
+def test_points_that_move_little_are_not_searched_again(monkeypatch):
+    r = np.random.default_rng(4)
+    p = np.concatenate([r.normal(size=(3000, 2)) * 50, r.integers(0, 9, (200, 2)), [[900.0, 900.0]]])  # with equal points and one far off
+    grid, asked, plain = registration.Grid(p), [], registration.Grid._nearest
+    monkeypatch.setattr(registration.Grid, "_nearest", lambda g, q, *a: (asked.append(len(q)) if g is grid else None, plain(g, q, *a))[1])
+    q, before = np.concatenate([p[:1000] + r.normal(size=(1000, 2)), [[-2000.0, 50.0]]]), None
+    for k in range(12):
+        at, d, before = grid.follow(q, before)
+        want = np.hypot(*(q[:, None] - p[None]).transpose(2, 0, 1))
+        assert np.array_equal(d, want.min(1)) and np.array_equal(want[np.arange(len(q)), at], d)
+        q = q @ turn(0.02 / 2**k).T + 1.0 / 2**k
+    assert asked[0] == 1001 and asked[-1] < 200 and sum(asked) < 5 * 1001
+    d = r.integers(0, 20, 300).astype(float)
+    assert all(np.array_equal(registration._least(d, k), np.sort(np.argsort(d, kind="stable")[:k])) for k in (1, 7, 150, 299, 300))
+
+
 def test_spacing_leaves_out_the_point_itself():
     p = np.random.default_rng(2).uniform(0, 100, (200, 2))
     d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))

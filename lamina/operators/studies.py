@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators import expression, graph, stats
-from lamina.session import written
+from lamina.session import tasks, written
 
 #: Gene sets of the stemness composite; sets whose name holds pluripotency, self_renewal or core count twice.
 STEMNESS = {
@@ -23,13 +23,18 @@ STEMNESS = {
 }
 
 
+#: Fixed value: draws that a task makes, about.
+DRAWS = 2**22
+
+
 def control_sets(panels: DataFrame, bins: DataFrame, n_null: int, seed: int = 0, least: int = 10, portable: bool = False) -> DataFrame:
     """panel, null_id, gene_id: each panel's genes that have a bin (null_id -1) and n_null random sets, in which each gene of the panel has a gene of like expression in its place.
 
     It is drawn from the genes of its expression bin that no panel has, with as many neighbouring bins as it takes for `least` of them; a gene may be drawn
     twice for a set. Portable draws are arithmetic that any SQL engine can follow; the others are hashes."""
+    bins = written(bins.select("gene_id", "bin"), "bins")
     free = bins.join(panels.select("gene_id").distinct(), "gene_id", "left_anti")
-    mine = panels.distinct().join(bins, "gene_id")
+    mine = written(panels.distinct().join(bins, "gene_id").select("panel", "gene_id", "bin"), "mine")
     need = mine.select("bin").distinct()
     size = free.groupBy("bin").agg(F.count("*").alias("n"))
     widths = panels.sparkSession.range(bins.agg(F.max("bin")).first()[0] + 1).select(F.col("id").alias("width"))
@@ -44,9 +49,11 @@ def control_sets(panels: DataFrame, bins: DataFrame, n_null: int, seed: int = 0,
     pool = pool.select("bin", "drawn", (F.row_number().over(by_bin.orderBy("drawn")) - 1).cast("bigint").alias("place"), F.count("*").over(by_bin).alias("pool"))
     pool = written(pool, "pools")
     sizes = pool.select("bin", "pool").distinct()
-    nulls = panels.sparkSession.range(n_null).select(F.col("id").alias("null_id"))
+    nulls = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_null - 1).cast("bigint"))).alias("null_id") if n_null else F.explode(F.array().cast("array<bigint>")).alias("null_id")
+    # genes are dealt out by the draws that they will make, not by their bytes
+    dealt = mine.join(F.broadcast(sizes), "bin").repartition(tasks(panels.sparkSession, mine.count() * n_null, DRAWS), "gene_id")
     key = graph.portable_key("gene_id", "null_id") if portable else F.xxhash64("gene_id", "null_id", "panel", F.lit(seed))
-    draws = mine.join(sizes, "bin").crossJoin(F.broadcast(nulls)).select("panel", "null_id", "bin", F.pmod(key, F.col("pool")).alias("place"))
+    draws = dealt.select("panel", "gene_id", "bin", "pool", nulls).select("panel", "null_id", "bin", F.pmod(key, F.col("pool")).alias("place"))
     real = mine.select("panel", F.lit(-1).cast("bigint").alias("null_id"), "gene_id")
     return real.unionByName(draws.join(pool, ["bin", "place"]).select("panel", "null_id", F.col("drawn").alias("gene_id")))
 

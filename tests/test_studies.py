@@ -63,6 +63,16 @@ def test_portable_draws_of_large_ids(spark):
     assert studies.gsea_test(ranked, sets, 20, portable=True).first()["p"] <= 0.1
 
 
+def test_draws_are_dealt_out_by_their_number(spark, monkeypatch):
+    kept, asked, plain = [], [], studies.written
+    monkeypatch.setattr(studies, "written", lambda d, n="step": kept.append(n) or plain(d, n))
+    monkeypatch.setattr(studies, "tasks", lambda s, rows, most: asked.append(rows) or 3)
+    bins = spark.createDataFrame([(g, g % 2) for g in range(60)], "gene_id bigint, bin bigint")
+    sets = studies.control_sets(spark.createDataFrame([("p", g) for g in range(7)], "panel string, gene_id bigint"), bins, 40)
+    assert sets.count() == 7 * 41 and asked == [7 * 40] and kept == ["bins", "mine", "pools"]
+    assert studies.control_sets(spark.createDataFrame([("p", 1)], "panel string, gene_id bigint"), bins, 0).count() == 1
+
+
 def test_panel_scores_by_matrix_and_by_joins(spark):
     r = np.random.default_rng(5)
     v = spark.createDataFrame([(i, g, float(x)) for i in range(40) for g, x in enumerate(r.poisson(0.7, 60)) if x], "obs_id bigint, gene_id bigint, value double")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,8 +158,7 @@ def panel_scores(values: DataFrame, sets: DataFrame, n_null: int, most_rows: int
 
     Values are grouped by cell once. Sets up to `most_rows` rows (panels x nulls x genes of a panel, whatever the number of cells) go along with the
     tasks as a sparse matrix of genes by sets; beyond that each value is joined with the numbers of its gene's sets."""
-    # drawn sets come from few tasks: dealt out, so that many read them
-    sets = written(sets.repartition("gene_id"), "sets")
+    sets = written(sets, "sets")
     if sets.count() > most_rows:
         return _joined_scores(values, sets, n_null)
     frame = sets.toPandas()
@@ -199,8 +199,36 @@ def panel_scores(values: DataFrame, sets: DataFrame, n_null: int, most_rows: int
     return cells.mapInArrow(run, f"obs_id {values.schema['obs_id'].dataType.simpleString()}, panel {sets.schema['panel'].dataType.simpleString()}, effect double, p double")
 
 
+def packed(numbers: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Lists of whole numbers in order, as bytes: a number is its step from the one before (from 0), as a byte of 255 for every 255 of it and one of the rest."""
+    step = np.diff(numbers, prepend=0)
+    first = offsets[:-1][np.diff(offsets) > 0] - offsets[0]
+    step[first] = numbers[first]
+    ends = np.cumsum(step // 255 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = step % 255
+    at = np.concatenate([[0], ends])[offsets - offsets[0]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def unpacked(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each list of packed() has (a null none), and all of them."""
+    long = pc.binary_length(codes).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(long)])
+    data = np.frombuffer(b"".join(x for x in codes.to_pylist() if x), np.uint8)
+    sums, ends = np.concatenate([[0], np.cumsum(data, dtype=np.int64)]), np.concatenate([[0], np.cumsum(data != 255)])
+    n = np.diff(ends[at])
+    return n, sums[1:][data != 255] - np.repeat(sums[at[:-1]], n)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column("codes")
+        yield pa.RecordBatch.from_arrays([b.column("gene_id"), packed(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64))], names=["gene_id", "codes"])
+
+
 def _joined_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame:
-    """panel_scores() for sets of any number: a gene's sets are one array of numbers, which its values take along to their cells.
+    """panel_scores() for sets of any number: a gene's sets are numbers in order, packed by their steps (`packed`), which its values take along to their cells.
 
     The driver holds a size for each panel and null. Sets in which a cell has nothing have mean 0 and are not looked at."""
     size = sets.groupBy("panel", "null_id").agg(F.count("*").alias("k")).toPandas()
@@ -209,11 +237,12 @@ def _joined_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame
     sizes = np.ones(len(panels) * per)
     sizes[size["panel"].map({p: i for i, p in enumerate(panels)}).to_numpy(np.int64) * per + size["null_id"].to_numpy(np.int64) + 1] = size["k"]
     codes = sets.groupBy("gene_id").agg(F.sort_array(F.collect_list((place * per + F.col("null_id") + 1).cast("int"))).alias("codes"))
+    codes = codes.mapInArrow(_pack, f"gene_id {sets.schema['gene_id'].dataType.simpleString()}, codes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("genes")
-            long = lists.flatten().field("codes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            long = pc.binary_length(lists.flatten().field("codes")).fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(long)])[np.cumsum(np.diff(lists.offsets.to_numpy()))]
             a = 0
             while a < b.num_rows:
@@ -225,10 +254,14 @@ def _joined_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame
     def scored(part: pa.RecordBatch) -> pa.RecordBatch:
         lists, rows = part.column("genes"), part.num_rows
         genes = lists.flatten()
-        owner, n = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy())), genes.field("codes").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        key = np.repeat(owner, n) * len(sizes) + genes.field("codes").flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(key, kind="stable")
-        key, amounts = key[order], np.repeat(genes.field("value").to_numpy(zero_copy_only=False), n)[order]
+        owner = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy()))
+        n, found = unpacked(genes.field("codes"))
+        key = np.repeat(owner, n) * len(sizes) + found
+        # a sum's parts stay in order: places are the low bits of what is sorted
+        bits = len(key).bit_length()
+        key = np.sort((key << bits) | np.arange(len(key)))
+        order, key = key & ((1 << bits) - 1), key >> bits
+        amounts = np.repeat(genes.field("value").to_numpy(zero_copy_only=False), n)[order]
         begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         key = key[begins]
         m = (np.add.reduceat(amounts, begins) if len(begins) else amounts) / sizes[key % len(sizes)]
@@ -252,7 +285,9 @@ def _joined_scores(values: DataFrame, sets: DataFrame, n_null: int) -> DataFrame
 
 def call_labels(scores: DataFrame, alpha: float) -> DataFrame:
     """obs_id, label, effect, margin: the significant panel of largest effect, and how far the next significant one is; else Unresolved. Scores are worked out once."""
-    scores = scores if hasattr(scores, "_lamina_path") else written(scores, "scores")
+    if not hasattr(scores, "_lamina_path"):
+        # numbers of panels that cannot become labels are not kept: nearly all, where panels are many
+        scores = written(scores.select("obs_id", "panel", *(F.when(F.col("p") < alpha, F.col(c)).alias(c) for c in ("effect", "p"))), "scores")
     n = scores.select("panel").distinct().count()
     ok = scores.withColumn("ok", F.col("p") < alpha / max(1, n))
     w = Window.partitionBy("obs_id").orderBy(F.desc("effect"), "panel")

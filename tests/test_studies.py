@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,19 @@ def test_many_sets_do_not_pass_through_the_driver(spark, monkeypatch):
     assert expression.MOST_SET_ROWS <= 1_000_000
 
 
+def test_sets_of_a_gene_are_packed():
+    r = np.random.default_rng(9)
+    lists = [sorted(r.integers(0, 25_025, 143).tolist()), [], [0, 0, 254, 255, 510, 70_000], [7], None, [25_024]]
+    full = [x or [] for x in lists]
+    codes = expression.packed(np.array(sum(full, [])), np.concatenate([[5], 5 + np.cumsum([len(x) for x in full])]))
+    assert len(codes[0].as_py()) < 2 * 143
+    codes = pa.array([None if x is None else c for x, c in zip(lists, codes.to_pylist())], pa.binary())
+    n, back = expression.unpacked(codes.slice(0))
+    assert n.tolist() == [len(x) for x in full] and back.tolist() == sum(full, [])
+    n, back = expression.unpacked(codes.slice(2, 2))
+    assert back.tolist() == full[2] + full[3] and expression.unpacked(codes.slice(4, 1))[0].tolist() == [0]
+
+
 def test_labels_are_called_from_one_computation_of_scores(spark, monkeypatch):
     kept, plain = [], expression.written
     monkeypatch.setattr(expression, "written", lambda d, n="step": kept.append(n) or plain(d, n))

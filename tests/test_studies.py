@@ -115,6 +115,14 @@ def test_labels_are_called_from_one_computation_of_scores(spark, monkeypatch):
     assert kept == ["scores"]
 
 
+def test_scores_that_cannot_be_labels_are_not_kept(spark, monkeypatch):
+    kept, plain = [], expression.written
+    monkeypatch.setattr(expression, "written", lambda d, n="step": kept.append(plain(d, n)) or kept[-1])
+    s = spark.createDataFrame([(1, "a", 3.0, 0.001), (1, "b", 2.0, 0.3), (2, "a", 1.0, 0.9)], "obs_id bigint, panel string, effect double, p double")
+    assert sorted(map(tuple, expression.call_labels(s, 0.05).collect())) == [(1, "a", 3.0, None), (2, "Unresolved", None, None)]
+    assert sorted(tuple(r) for r in kept[0].where("p is null or effect is null").collect()) == [(1, "b", None, None), (2, "a", None, None)]
+
+
 def test_nearest_columns_puts_few_in_order(monkeypatch):
     r, sorted_, plain = np.random.default_rng(8), [], np.lexsort
     d, ids = r.integers(0, 400, (30, 900)).astype(float), r.permutation(900)
